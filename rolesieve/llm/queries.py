@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolesieve.llm.base import read
 
@@ -21,6 +22,27 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def _fold(n: int, k: int):
+    """Whether crc32(doc_id as text) mod n is k."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm import quality_pu
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_pu.train(docs, read(spark, sf_dir, "labels"))
+    return quality_pu.score_documents(docs, model).select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm import toxic_crf
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxic_crf.train(docs, read(spark, sf_dir, "labels"))
+    return toxic_crf.score_documents(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "score", "predicted", "n_spans", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
