@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.toxic_crf import labelled_sample
+from rolesieve.llm.toxic_crf import labelled_sample, texts_of
 
 WORDS = re.compile(r"\S+")
 ODD = [c.encode() for c in "|*#%$&@<>{}[]=+/\\_~^;:!?\"'()-,."]
@@ -129,20 +129,30 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip((1 / (1 + np.exp(-g.logits(unl)))).mean() / max(fired, 1e-3), 0.05, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, test: int = 1, sample: int = 6000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, test: int = 1, sample: int = 4000) -> QualityModel:
     """Fit on at most ``sample`` trusted positives and ``sample`` unlabelled rows."""
     outside = labels.where(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != test))
     share = outside.agg(F.avg("quality")).first()[0]
-    pos = labelled_sample(docs, labels.where("quality = 1"), "quality", fold, test, sample)["text"].tolist()
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(8)).alias("at"))
-    unl = rows.orderBy("at", "doc_id").limit(sample).select("text").toPandas()["text"].tolist()
-    if not pos or not unl:
+    pos = labelled_sample(docs, labels.where("quality = 1"), "quality", fold, test, (0, sample))
+    some = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(8)).alias("at")).orderBy("at", "doc_id").limit(sample).select("doc_id")
+    p, u = gather(pos), gather(texts_of(docs, some))
+    if not len(p) or not len(u):
         return QualityModel(np.zeros(24 + len(ODD)), np.ones(24 + len(ODD)), [np.zeros((24 + len(ODD), 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    p, u = matrix(pos), matrix(unl)
     prior = float(share) if share is not None and 0 < share < 1 else estimate_prior(p, u)
     return minimise_risk(p, u, float(np.clip(prior, 0.02, 0.98)))
 
 
+def gather(rows: DataFrame) -> np.ndarray:
+    """Statistics of a bounded sample, worked out in the tasks that read it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": list(matrix(pdf["text"].tolist()))})
+
+    got = rows.select("doc_id", "text").mapInPandas(run, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    return np.array(got["x"].tolist()).reshape(len(got), 24 + len(ODD))
+
+
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score, predicted for each row, from its whole text."""
     spark = docs.sparkSession

@@ -6,7 +6,7 @@ suffix (hashed); transitions link neighbouring tags.  Tokens are labelled from t
 document labels: in a toxic training document, those whose word or prefix is far more
 frequent in toxic than in other training documents.  The model and the document
 regression over its marginals are fitted on a bounded sample of labelled rows
-(``sample`` a class, the smallest by a hash of doc_id); every text is scored whole.
+(``sample``, the smallest by a hash of doc_id); every text is scored whole.
 
 Null and empty texts have no tokens; their score is that of a document without toxic mass.
 """
@@ -159,13 +159,18 @@ class ToxicModel:
         return 1 / (1 + np.exp(-self.summary(texts, tagged) @ self.regression))
 
 
-def label_parts(texts: list[list[str]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> set[str]:
+def label_parts(words: list[list[str]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> set[str]:
     """Words and prefixes far more frequent in toxic documents than in the others."""
     inside, outside = Counter(), Counter()
-    for words, y in zip(texts, toxic):
-        (inside if y else outside).update({x for w in set(words) for x in parts(w)})
+    for each, y in zip(words, toxic):
+        if y:
+            inside.update({x for w in each for x in parts(w)})
+    inside = Counter({x: c for x, c in inside.items() if c >= least})
+    for each, y in zip(words, toxic):
+        if not y:
+            outside.update({x for w in each for x in parts(w) if x in inside})
     n, m = toxic.sum() + 1, len(toxic) - toxic.sum() + 1
-    return {x for x, c in inside.items() if c >= least and np.log((c + 0.5) / n) - np.log((outside[x] + 0.5) / m) > odds}
+    return {x for x, c in inside.items() if np.log((c + 0.5) / n) - np.log((outside[x] + 0.5) / m) > odds}
 
 
 def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 60, rate: float = 0.5) -> ToxicModel:
@@ -174,39 +179,44 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
     ``share``: the part of toxic rows among all labelled ones, where ``texts`` has another.
     """
     toxic = np.asarray(toxic).astype(bool)
-    tokens = [[w for w in TOKEN.findall(t.lower())] for t in texts]
-    hints = label_parts([[w for w in x if w != "\n"] for x in tokens], toxic)
     vocab: dict[str, int] = {}
-    ids, breaks, gold = [], [], []
-    for words, y in zip(tokens, toxic):
-        new = True
-        for w in words:
-            if w == "\n":
-                new = True
-                continue
-            ids.append(vocab.setdefault(w, len(vocab)))
-            breaks.append(new)
-            gold.append(y)
-            new = False
+    ids, breaks, gold, sets = [], [], [], []
+    for text, y in zip(texts, toxic):
+        words = TOKEN.findall(text.lower())
+        at = np.fromiter((-1 if w == "\n" else vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
+        first = np.r_[True, at[:-1] < 0][: len(at)]
+        # the first word after any run of line ends starts a sequence
+        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
+        keep = at >= 0
+        line = run[keep]
+        ids.append(at[keep])
+        breaks.append(np.r_[True, line[1:] != line[:-1]][: len(line)])
+        gold.append(np.full(len(line), y))
+        sets.append(np.unique(at[keep]))
+    names = list(vocab)
+    hints = label_parts([[names[i] for i in x] for x in sets], toxic)
+    ids, breaks, gold = (np.concatenate(x) if x else np.zeros(0, int) for x in (ids, breaks, gold))
+    del sets
     model = ToxicModel(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(7))
     hinted = np.array([any(x in hints for x in parts(w)) for w in vocab] or [False])
-    if not ids or not hinted.any():
+    if not len(ids) or not hinted.any():
         share = toxic.mean() if share is None and len(toxic) else share or 0.0
         model.regression[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
-    ids, breaks = np.array(ids), np.array(breaks)
-    gold = np.array(gold) & hinted[ids]
+    gold = gold.astype(bool) & hinted[ids]
     seq = Sequences.of(breaks)
     follows = np.flatnonzero(seq.token_row[1:] == seq.token_row[:-1])
     seen = np.bincount(2 * gold[follows] + gold[follows + 1], minlength=4).reshape(2, 2)
     feats = [features(w) for w in vocab]
-    flat, owner = np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    flat, owner = np.concatenate(feats).astype(np.int32), np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
+    del feats, vocab, names
+    n_words = len(hinted)
     g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     model.weights[:] = 0
     for _ in range(rounds):
-        per_word = np.bincount(owner, weights=model.weights[flat], minlength=len(feats)) + model.base
+        per_word = np.bincount(owner, weights=model.weights[flat], minlength=n_words) + model.base
         p, pairs = seq.marginals(per_word[ids], model.trans, pairs=True)
-        miss = np.bincount(ids, weights=gold - p, minlength=len(feats))
+        miss = np.bincount(ids, weights=gold - p, minlength=n_words)
         grad = np.bincount(flat, weights=miss[owner], minlength=BUCKETS) - 0.01 * model.weights
         tgrad = seen - pairs - 0.01 * model.trans
         g2 += grad**2
@@ -227,21 +237,27 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
 
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, test: int, sample: int) -> pd.DataFrame:
-    """(text, label) of at most ``sample`` rows of each class outside the test fold, in a fixed random order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, test: int, sample: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most ``sample`` rows of class 0 and 1 outside the test fold, the first by a hash.
 
     A row with doc_id d is in the test fold if crc32(d as text) mod ``fold`` is ``test``;
     null labels and doc_ids, and texts that are null, teach nothing.
     """
     seen = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != test)).dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(seen, "doc_id").withColumn("at", F.xxhash64("doc_id"))
-    picked = [rows.where(F.col("label") == y).orderBy("at", "doc_id").limit(sample).select("text", "label") for y in (0, 1)]
-    return picked[0].unionAll(picked[1]).toPandas()
+    seen = seen.withColumn("at", F.xxhash64("doc_id"))
+    picked = [seen.where(F.col("label") == y).orderBy("at", "doc_id").limit(sample[y]).select("doc_id", "label") for y in (0, 1)]
+    return texts_of(docs, picked[0].unionAll(picked[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 4, test: int = 2, sample: int = 1500) -> ToxicModel:
-    """Fit on at most ``sample`` labelled rows of each class outside the test fold."""
-    rows = labelled_sample(docs, labels, "toxic", fold, test, sample)
+def texts_of(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """Texts of a bounded set of rows: their ids go to the texts, not the texts to the ids."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    return rows.join(F.broadcast(few), "doc_id").orderBy("doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: int = 4, test: int = 2, sample: tuple[int, int] = (2000, 800)) -> ToxicModel:
+    """Fit on at most ``sample`` labelled rows of class 0 and 1 outside the test fold."""
+    rows = labelled_sample(docs, labels, "toxic", fold, test, sample).select("text", "label").toPandas()
     outside = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != test))
     share = outside.agg(F.avg("toxic")).first()[0]
     return fit(rows["text"].tolist(), rows["label"].to_numpy(), share)
