@@ -27,6 +27,12 @@ def _fold(n: int, k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm import quality_pu
 
