@@ -43,3 +43,63 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, key: str, rows: int = 20_000):
+    """From pandas batches sorted by ``key``, frames of at least ``rows`` rows (but the last) that hold whole groups.
+
+    Memory is bounded by ``rows`` and the largest group; callers cut groups to blocks first.
+    """
+    import pandas as pd
+
+    held, n = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        n += len(pdf)
+        if n < rows:
+            continue
+        pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf.reset_index(drop=True)
+        k = pdf[key].to_numpy()
+        cut = len(k) - 1
+        while cut > 0 and k[cut - 1] == k[-1]:
+            cut -= 1
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+        held, n = [pdf.iloc[cut:]], len(k) - cut
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def forest(linked):
+    """Edges (i, j) of a spanning forest of a symmetric boolean matrix: each node to its group's first."""
+    import numpy as np
+
+    n, out = len(linked), []
+    new = np.ones(n, bool)
+    for i in range(n):
+        if not new[i]:
+            continue
+        new[i] = False
+        front = np.array([i])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(0) & new)
+            new[front] = False
+            out += [(i, int(j)) for j in front]
+    return out
+
+
+def block_pairs(rows: DataFrame, key: list[str], sized: str, member: str, block: int) -> DataFrame:
+    """Deal groups out as pairs of blocks, so that no task holds more than two blocks of a group.
+
+    ``sized`` is the group's number of rows.  Adds ``task`` (one long a pair of blocks) and
+    ``side`` (0 or 1; all 0 where the two blocks are the same).
+    """
+    from pyspark.sql import functions as F
+
+    g = F.ceil(F.col(sized) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(member), g.cast("long")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    return rows.withColumn("task", F.xxhash64(*key, lo, hi)).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("own", "other")

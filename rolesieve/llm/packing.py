@@ -156,7 +156,7 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
         ratio = np.where(up, np.maximum(x, 0) / np.where(up, way, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = pattern
-        if k % 50 == 49:
+        if k % 100 == 99:
             inverse = np.linalg.inv(basis)
         else:  # change of one column
             row = inverse[out] / way[out]

@@ -27,6 +27,18 @@ def _fold(n: int, k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.html_text import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.jaccard_forest import near_copies
+
+    return near_copies(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.packing import pack_documents
 
