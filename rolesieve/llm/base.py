@@ -103,3 +103,15 @@ def block_pairs(rows: DataFrame, key: list[str], sized: str, member: str, block:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     return rows.withColumn("task", F.xxhash64(*key, lo, hi)).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("own", "other")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of passes whose tables are written by now.
+
+    The cleaner acts when the driver's collector finds a plan unreachable; a driver with
+    room to spare may not collect for hours, while the executors' disks fill.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

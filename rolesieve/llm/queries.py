@@ -27,6 +27,12 @@ def _fold(n: int, k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.html_text import extract_pages
 
