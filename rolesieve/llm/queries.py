@@ -27,6 +27,12 @@ def _fold(n: int, k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.pivot_index import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.suffix_dedup import remove_repeats
 
@@ -45,6 +51,12 @@ def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.routed_search import search
+
+    return search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.packing import pack_documents
 
