@@ -33,6 +33,33 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.cross_entropy import cross_entropy_difference
+
+    target = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = cross_entropy_difference(read(spark, sf_dir, "documents", "doc_id", "text"), target)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")))
+
+
+OP2_SQL = """
+WITH words AS (
+  SELECT doc_id, list_concat(list_concat(['<s>'], list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')), ['</s>']) AS w FROM documents),
+marked AS (
+  SELECT doc_id, unnest(w[:-2]) AS h, unnest(w[2:]) AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM words),
+pairs AS (SELECT h, w, count(*) AS b, count(*) FILTER (WHERE t) AS t FROM marked GROUP BY ALL),
+contexts AS (SELECT h, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY h),
+singles AS (SELECT w, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY w),
+sums AS (SELECT count(*) AS v, sum(b) AS b, sum(t) AS t FROM singles),
+losses AS (
+  SELECT h, w,
+    -ln(CASE WHEN c.t > 0 THEN 0.7 * p.t / c.t + (1 - 0.7::DOUBLE) * (s.t + 0.1) / (n.t + 0.1 * n.v) ELSE (s.t + 0.1) / (n.t + 0.1 * n.v) END) AS lt,
+    -ln(0.7 * p.b / c.b + (1 - 0.7::DOUBLE) * (s.b + 0.1) / (n.b + 0.1 * n.v)) AS lb
+  FROM pairs p JOIN contexts c USING (h) JOIN singles s USING (w), sums n)
+SELECT doc_id, count(*) AS n_tokens, round(avg(lt), 6) AS target_loss, round(avg(lb), 6) AS background_loss, round(avg(lt) - avg(lb), 6) AS difference
+FROM marked JOIN losses USING (h, w) GROUP BY doc_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.suffix_dedup import remove_repeats
 
@@ -84,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_cross_entropy": OP2_SQL}
