@@ -112,6 +112,9 @@ def release(spark: SparkSession) -> None:
     room to spare may not collect for hours, while the executors' disks fill.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans' proxies, the second what these held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

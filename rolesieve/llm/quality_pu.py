@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.toxic_crf import labelled_sample, texts_of
+from rolesieve.llm.toxic_crf import accepted, labelled_sample, texts_of
 
 WORDS = re.compile(r"\S+")
 ODD = [c.encode() for c in "|*#%$&@<>{}[]=+/\\_~^;:!?\"'()-,."]
@@ -165,3 +165,9 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= 0.5).astype(int)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int")
+
+
+def drop_poor(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
+    """Documents that score ``threshold`` or more, unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.layers))
+    return accepted(docs, lambda: QualityModel(*sent.value).score, lambda s: s >= threshold)

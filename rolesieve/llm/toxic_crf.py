@@ -300,3 +300,22 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": score, "predicted": (score >= threshold).astype(int), "n_spans": [len(s) for s in spans], "spans": [[{k: v for k, v in x.items() if k != "nth"} for x in s] for s in spans]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int, n_spans long, spans array<struct<start:long,end:long,score:double>>")
+
+
+def accepted(docs: DataFrame, score, passes) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts pass; ``score(texts)`` is called batch by batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = score()
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                yield part[passes(f([t if isinstance(t, str) else "" for t in part["text"]]))]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
+    """Documents that score below ``threshold``, unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.regression, model.base))
+    return accepted(docs, lambda: ToxicModel(*sent.value).score, lambda s: s < threshold)
