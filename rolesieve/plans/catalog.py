@@ -1,19 +1,22 @@
-"""All registered queries of the reference's own operators, with their SQL."""
+"""All registered queries over the base tables, with their SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolesieve.plans import views
+
 FLAGSHIP = "search"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+for _m in ("text",):
+    importlib.import_module(f"rolesieve.plans.{_m}_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return dict(views.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return dict(views.SQL)
