@@ -313,7 +313,7 @@ def _(t):
 
 
 @query("parse_structured_chunks", """
-WITH r AS (SELECT chunk_id, chunk_text, CASE chunk_index % 3 WHEN 0 THEN concat('```json', chr(10), to_json({'chunks': [{'text': chunk_text, 'heading': 'h'}, {'text': '', 'heading': 'x'}]}), chr(10), '```') WHEN 1 THEN to_json([{'text': chunk_text, 'heading': 'l'}]) ELSE 'no json' END AS reply FROM line_chunks)
+WITH r AS (SELECT chunk_id, chunk_text, CASE chunk_index % 3 WHEN 0 THEN concat('```json', chr(10), CAST(to_json({'chunks': [{'text': chunk_text, 'heading': 'h'}, {'text': '', 'heading': 'x'}]}) AS VARCHAR), chr(10), '```') WHEN 1 THEN CAST(to_json([{'text': chunk_text, 'heading': 'l'}]) AS VARCHAR) ELSE 'no json' END AS reply FROM line_chunks)
 SELECT chunk_id, 0 AS pos, chunk_text AS text, CASE WHEN reply LIKE '```%' THEN 'h' WHEN reply LIKE '[%' THEN 'l' END AS heading, reply <> 'no json' AS parsed FROM r""")
 def _(t):
     one = lambda h: F.struct(F.col("chunk_text").alias("text"), F.lit(h).alias("heading"))
