@@ -90,7 +90,7 @@ def subjects_of_users(assignments: DataFrame, closure: DataFrame) -> DataFrame:
 
 def granted_documents(tuples: DataFrame, assignments: DataFrame, positions: DataFrame, closure: DataFrame, relations: list[str]) -> DataFrame:
     """(user_id, document_id) by ownership, or by a grant to a set of the user's whose clearance suffices."""
-    owner = tuples.where("relation = 'owner'").select(F.expr("CAST(substring(subject, 6) AS BIGINT)").alias("user_id"), "document_id")
+    owner = tuples.where("relation = 'owner'").select(F.expr("TRY_CAST(substring(subject, 6) AS BIGINT)").alias("user_id"), "document_id")
     subjects = subjects_of_users(assignments, closure).join(user_clearance(assignments, positions), "user_id")
     by_set = tuples.where(F.col("relation").isin(relations)).join(subjects, "subject").where("clearance >= required").select("user_id", "document_id")
     return owner.unionAll(by_set).distinct()
