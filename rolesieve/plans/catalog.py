@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rolesieve.plans import views
 
 FLAGSHIP = "search"
-for _m in ("text", "organisation", "policy", "retrieval"):
+for _m in ("text", "organisation", "policy", "retrieval", "conversation", "operations"):
     importlib.import_module(f"rolesieve.plans.{_m}_queries")
 
 

@@ -17,7 +17,7 @@ SEM = "sem AS (SELECT query_id, chunk_id, document_id, chunk_sensitivity, 1 - li
 def bm25_sql(post: str, asked: str) -> str:
     """CTEs bm (query_id, chunk_id, score) from FROM clauses of postings and asked tokens."""
     return f"""post AS (SELECT chunk_id, token, count(*) AS tf FROM ({post}) GROUP BY ALL), len AS (SELECT chunk_id, sum(tf) AS dl FROM post GROUP BY 1), sz AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-raw AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, sz GROUP BY token, n), idf AS (SELECT token, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+rawidf AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, sz GROUP BY token, n), idf AS (SELECT token, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM rawidf) ELSE r END AS idf FROM rawidf),
 asked AS (SELECT query_id, token, count(*) AS times FROM ({asked}) GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM asked JOIN post USING (token) JOIN idf USING (token) JOIN len USING (chunk_id), sz GROUP BY ALL HAVING score > 0)"""
 
