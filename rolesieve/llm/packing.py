@@ -24,44 +24,79 @@ from pyspark.sql import functions as F
 
 from rolesieve.llm.base import materialise, partitions
 
-#: The tokenizer's white space: it never joins what stands on its two sides.
-CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
+#: Characters of which it is known how the tokenizer's normalizer and splitter treat them.
+_LETTERS = "a-zß-öø-ÿā-įıĳ-ɏ"
+STRANGE = re.compile("[^\\x00-\\x7fÀ-ÖØ-öø-įıĲ-ɏ‘-”–—…€]")
+UNIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\t-\r 0-9{_LETTERS}]+")
 
 
-class ChunkTokenizer:
-    """Ids of whole texts by the tokenizers library, chunk by chunk between white space; chunks are cached."""
+class CachedTokenizer:
+    """Ids of whole texts by the tokenizers library, each distinct unit of its splitter once.
 
-    def __init__(self, path: str, cache: int = 250_000):
+    The splitter's units never touch one another, so a text's ids are those of its units.
+    Units new to a worker go to the library in one string, where the end-of-word pieces tell
+    them apart.  Texts with characters outside the known ones, or with the vocabulary's
+    special strings, go to it whole.
+    """
+
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.cache, self.new, self.old = cache, {}, {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for piece, i in self.library.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        ids = np.frombuffer(self.whole(" ".join(units)), dtype="<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(units) or (len(ids) and cut[-1] != len(ids)):
+            return [self.whole(u) for u in units]
+        raw, start = ids.tobytes(), 0
+        out = []
+        for end in (4 * cut).tolist():
+            out.append(raw[start:end])
+            start = end
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, as the library's encode(text, add_special_tokens=False) has them."""
-        cut = [CHUNK.findall(t) for t in texts]
-        wanted = set()
-        for chunks in cut:
-            wanted.update(chunks)
+        cut = [None if STRANGE.search(t) or any(x in t for x in self.special) else UNIT.findall(t.lower()) for t in texts]
+        if len(self.new) > self.cache:
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        got = {c: new.get(c) or old.get(c) for c in wanted}
-        fresh = [c for c, v in got.items() if v is None]
-        if len(new) + len(fresh) > self.cache:
-            self.old, self.new = new, {}
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for c, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                got[c] = np.array(e.ids, dtype="<u4").tobytes()
-        self.new.update(got)
-        return [np.frombuffer(b"".join([got[c] for c in chunks]), dtype="<u4") for chunks in cut]
-
-
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
+        found = [None if units is None else list(map(new.get, units)) for units in cut]
+        missing = {u for units, ids in zip(cut, found) if units and None in ids for u, v in zip(units, ids) if v is None}
+        fresh = []
+        for u in missing:
+            if (v := old.get(u)) is not None:
+                new[u] = v
+            else:
+                fresh.append(u)
+        for lo in range(0, len(fresh), 5000):
+            part = fresh[lo : lo + 5000]
+            new.update(zip(part, self.learn(part)))
+        out = []
+        for t, units, ids in zip(texts, cut, found):
+            if units is None:
+                raw = self.whole(t)
+            else:
+                raw = b"".join([new[u] if v is None else v for u, v in zip(units, ids)] if None in ids else ids)
+            out.append(np.frombuffer(raw, dtype="<u4"))
+        return out
+
+
+_tokenizers: dict[str, CachedTokenizer] = {}
+
+
+def tokenizer(path: str) -> CachedTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = CachedTokenizer(path)
     return _tokenizers[path]
 
 
