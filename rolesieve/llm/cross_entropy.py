@@ -66,6 +66,17 @@ def _asked(grams: np.ndarray, buckets: int):
     return [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """A byte a count; those of 255 and more follow whole."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<u8", offset=n).astype(np.int64)
+    return out
+
+
 def _texts(pdf: pd.DataFrame) -> list[str]:
     return [t if isinstance(t, str) else "" for t in pdf["text"]]
 
@@ -82,15 +93,15 @@ def gathered(rows: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
             for kind in (0, 1):
                 grams = g.kinds[kind]
                 both = g.counts(kind, every), g.counts(kind, wanted)
-                out += [(b, kind, int(left["batch"].iloc[0]), _number(grams[at]).tobytes(), *(c[at].astype("<u4").tobytes() for c in both)) for b, at in _asked(grams, buckets)]
+                out += [(b, kind, int(left["batch"].iloc[0]), _number(grams[at]).tobytes(), *(_pack(c[at]) for c in both)) for b, at in _asked(grams, buckets)]
         return pd.DataFrame(out, columns=["bucket", "kind", "batch", "numbers", "background", "target"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         h = [_numbers(x) for x in pdf["numbers"]]
         ends = np.cumsum([0, *map(len, h)])
         _, at = np.unique(np.concatenate(h), return_inverse=True)
-        total = [np.bincount(at, weights=np.frombuffer(b"".join(pdf[c]), "<u4")) for c in ("background", "target")]
-        out = [(b, *(t[at[lo:hi]].astype("<u8").tobytes() for t in total)) for b, lo, hi in zip(pdf["batch"], ends[:-1], ends[1:])]
+        total = [np.bincount(at, weights=np.concatenate([_unpack(x, len(y)) for x, y in zip(pdf[c], h)])) for c in ("background", "target")]
+        out = [(b, *(_pack(t[at[lo:hi]].astype(np.int64)) for t in total)) for b, lo, hi in zip(pdf["batch"], ends[:-1], ends[1:])]
         out = pd.DataFrame(out, columns=["batch", "background", "target"], dtype=object)
         out.insert(1, "bucket", pdf["bucket"].iloc[0])
         out.insert(2, "kind", pdf["kind"].iloc[0])
@@ -129,7 +140,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: flo
             c = np.zeros((2, len(g.kinds[kind])))
             for b, at in _asked(g.kinds[kind], buckets):
                 for row, blob in enumerate(got[b, kind]):
-                    c[row, at] = np.frombuffer(blob, "<u8")
+                    c[row, at] = _unpack(blob, len(at))
             counts.append(c)
         word, context = np.searchsorted(g.kinds[0], g.of_word), np.searchsorted(g.kinds[0], g.of_context)
         pair = np.searchsorted(g.kinds[1], g.of_pair)

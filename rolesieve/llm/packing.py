@@ -66,12 +66,23 @@ class CachedTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, as the library's encode(text, add_special_tokens=False) has them."""
-        cut = [None if STRANGE.search(t) or any(x in t for x in self.special) else UNIT.findall(t.lower()) for t in texts]
         if len(self.new) > self.cache:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        found = [None if units is None else list(map(new.get, units)) for units in cut]
-        missing = {u for units, ids in zip(cut, found) if units and None in ids for u, v in zip(units, ids) if v is None}
+        found: list = []
+        holes: list[list[tuple[int, str]]] = []
+        missing: set[str] = set()
+        for t in texts:
+            if STRANGE.search(t) or any(x in t for x in self.special):
+                found.append([self.whole(t)])
+                holes.append([])
+                continue
+            units = UNIT.findall(t.lower())
+            ids = list(map(new.get, units))
+            hole = [(i, units[i]) for i, v in enumerate(ids) if v is None] if None in ids else []
+            missing.update([u for _, u in hole])
+            found.append(ids)
+            holes.append(hole)
         fresh = []
         for u in missing:
             if (v := old.get(u)) is not None:
@@ -81,14 +92,10 @@ class CachedTokenizer:
         for lo in range(0, len(fresh), 5000):
             part = fresh[lo : lo + 5000]
             new.update(zip(part, self.learn(part)))
-        out = []
-        for t, units, ids in zip(texts, cut, found):
-            if units is None:
-                raw = self.whole(t)
-            else:
-                raw = b"".join([new[u] if v is None else v for u, v in zip(units, ids)] if None in ids else ids)
-            out.append(np.frombuffer(raw, dtype="<u4"))
-        return out
+        for ids, hole in zip(found, holes):
+            for i, u in hole:
+                ids[i] = new[u]
+        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in found]
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
