@@ -8,5 +8,5 @@ from rolesieve.operators.tables import parse_bytes
 
 
 def read_text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, rejects) of the files under ``path``."""
+    """(texts, rejects) of the files under ``path``; files of no bytes at all are not listed by Spark's reader."""
     return parse_bytes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
