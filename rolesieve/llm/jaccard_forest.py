@@ -53,7 +53,7 @@ _up, _down = _powers(_P, 1 << 16), _powers(_INV, 1 << 16)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _up, _down
     if len(_up) <= n:
-        _up, _down = _powers(_P, 2 * n), _powers(_INV, 2 * n)
+        _up, _down = _powers(_P, n + n // 4), _powers(_INV, n + n // 4)
     return _up, _down
 
 

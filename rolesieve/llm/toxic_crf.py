@@ -110,7 +110,7 @@ class ToxicModel:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         cache = self.cache
-        if len(cache) > 400_000:
+        if len(cache) > 150_000:
             cache.clear()
         get = cache.get
         out = [get(w) for w in words]
@@ -169,8 +169,9 @@ def label_parts(words: list[list[str]], toxic: np.ndarray, least: int = 3, odds:
     for each, y in zip(words, toxic):
         if not y:
             outside.update({x for w in each for x in parts(w) if x in inside})
-    n, m = toxic.sum() + 1, len(toxic) - toxic.sum() + 1
-    return {x for x, c in inside.items() if np.log((c + 0.5) / n) - np.log((outside[x] + 0.5) / m) > odds}
+    ratio = (toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1)
+    expected = {x: ratio * (outside[x] + 0.5) for x in inside}  # were it as frequent there as in the others
+    return {x for x, c in inside.items() if np.log(c / expected[x]) > odds and c - expected[x] > 4 * (expected[x] + 1) ** 0.5}
 
 
 def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 60, rate: float = 0.5) -> ToxicModel:
