@@ -11,7 +11,7 @@ from rolesieve.operators import policy as P
 from rolesieve.plans.organisation_queries import CLEAR, CLOSURE, closure
 from rolesieve.plans.views import query, quoted
 
-ASCII = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]+"
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 MATCH = f"""{CLOSURE}, {CLEAR}, expanded AS (SELECT user_id, oui_id FROM assignments UNION SELECT user_id, descendant FROM assignments JOIN closure ON oui_id = ancestor),
 matches AS (SELECT p.entity_key, p.tier, a.user_id FROM rule_pairs p, (SELECT DISTINCT user_id FROM assignments) a WHERE p.oui_id = '__ALL__'
  UNION SELECT p.entity_key, p.tier, a.user_id FROM rule_pairs p JOIN assignments a ON p.oui_id <> '__ALL__' AND (p.oui_id IS NULL OR p.oui_id = a.oui_id) AND (p.position_id IS NULL OR p.position_id = a.position_id)
@@ -29,9 +29,9 @@ def tiers(t):
     return P.resolve_tiers(t.rules, O.user_clearance(t.assignments, t.positions), matches(t))
 
 
-@query("extract_entities_regex", rf"SELECT doc_id, 'email' AS label, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{ASCII}')) FROM documents WHERE lang = 'en') GROUP BY doc_id")
+@query("extract_entities_regex", rf"SELECT doc_id, 'email' AS label, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) FROM documents) GROUP BY doc_id")
 def _(t):
-    e = t.documents.where("lang = 'en'").select("doc_id", F.explode(P.extract_entities(F.col("text"), ["email"])).alias("e"))
+    e = t.documents.select("doc_id", F.explode(P.extract_entities(F.col("text"), ["email"])).alias("e"))
     return e.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count("*").alias("hits"))
 
 

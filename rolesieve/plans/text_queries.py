@@ -268,9 +268,9 @@ for _p, _by in K.DIRECTOR_REDACTIONS:
     _red = f"regexp_replace({_red}, '{_p}', '{_by}', 'gi')"
 
 
-@query("redact_for_director", f"SELECT doc_id, {_red} AS text FROM documents WHERE lang = 'en'")
+@query("redact_for_director", f"SELECT doc_id, {_red} AS text FROM documents")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", X.redact_for_director(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", X.redact_for_director(F.col("text")).alias("text"))
 
 
 @query("classify_sensitivity", "SELECT chunk_id, CASE WHEN m BETWEEN 1 AND 5 THEN m " + " ".join(f"WHEN regexp_matches(x, '{'|'.join(K.SENSITIVITY[k])}', 'i') THEN {k}" for k in (4, 3, 2)) + " ELSE 1 END AS level FROM (SELECT chunk_id, CAST(CASE document_id % 4 WHEN 0 THEN document_id % 9 END AS INT) AS m, concat(chunk_text, CASE document_id % 5 WHEN 1 THEN ' Bảng lương' WHEN 2 THEN ' kế hoạch nhân sự' WHEN 3 THEN ' biên bản họp' ELSE '' END) AS x FROM line_chunks)")
