@@ -60,6 +60,48 @@ FROM marked JOIN losses USING (h, w) GROUP BY doc_id
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.m = l.a),
+parts AS (SELECT n, min(m) AS c FROM reach GROUP BY n), degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN parts ON n = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, octet_length(raw) - 49)) AS i, h FROM d WHERE octet_length(raw) >= 50),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS w FROM starts),
+least_doc AS (SELECT w, min(doc_id) AS m FROM windows GROUP BY w),
+hits AS (SELECT doc_id, i FROM windows JOIN least_doc USING (w) WHERE m < doc_id),
+marks AS (SELECT doc_id, i AS pos, 1 AS s FROM hits UNION ALL SELECT doc_id, i + 50, -1 FROM hits),
+steps AS (SELECT doc_id, pos, sum(s) AS s FROM marks GROUP BY ALL),
+depth AS (SELECT doc_id, pos, sum(s) OVER (PARTITION BY doc_id ORDER BY pos) AS n, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS till FROM steps),
+runs AS (SELECT doc_id, pos, till, coalesce(lag(n) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before, n FROM depth),
+gone AS (SELECT doc_id, sum(till - pos) FILTER (WHERE n > 0) AS removed, count(*) FILTER (WHERE n > 0 AND before = 0) AS spans FROM runs GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, pos AS a, till AS b FROM runs WHERE n = 0 AND till IS NOT NULL
+  UNION ALL SELECT doc_id, max(pos), NULL FROM runs GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, min(pos) FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, CASE WHEN b IS NULL THEN length(h) ELSE 2 * (b - a) END), '' ORDER BY a, b NULLS LAST) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN kept.doc_id IS NULL THEN raw ELSE unhex(coalesce(kept.h, '')) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP5_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents),
+runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.m = l.a),
+parts AS (SELECT n, min(m) AS c FROM reach GROUP BY n), degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, coalesce(k, 0) AS n_links, c AS class_id, doc_id = c AS kept FROM documents JOIN parts ON n = doc_id LEFT JOIN degree ON a = doc_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolesieve.llm.suffix_dedup import remove_repeats
 
@@ -111,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cross_entropy": OP2_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_cross_entropy": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_near_copies": OP5_SQL}
