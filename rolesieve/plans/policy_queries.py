@@ -288,14 +288,14 @@ def coverage(t):
     pairs = t.rule_pairs.select("entity_key", F.col("oui_id").alias("u"), F.col("position_id").alias("p"))
     up = closure(t).select(F.col("descendant").alias("u"), F.col("ancestor").alias("oui_id")).unionAll(t.oui.select(F.col("oui_id").alias("u"), "oui_id"))
     by_unit = pairs.join(up, "u").join(combos, "oui_id").where("p is null or p = position_id").select("entity_key", "oui_id", "position_id")
-    everyone = pairs.where(F.col("u") == K.ALL_SCOPE).select("entity_key", F.lit(1).alias("one")).join(combos.withColumn("one", F.lit(1)), "one").select("entity_key", "oui_id", "position_id")
+    everyone = combos.crossJoin(F.broadcast(pairs.where(F.col("u") == K.ALL_SCOPE).select("entity_key"))).select("entity_key", "oui_id", "position_id")
     return combos, by_unit.unionAll(everyone).distinct()
 
 
 @query("scope_coverage", f"WITH RECURSIVE {CLOSURE}, {COMBOS} SELECT r.entity_key, c.oui_id, c.position_id, v.entity_key IS NOT NULL AS covered FROM rules r CROSS JOIN combos c LEFT JOIN covered v ON v.entity_key = r.entity_key AND v.oui_id = c.oui_id AND v.position_id = c.position_id")
 def _(t):
     combos, covered = coverage(t)
-    grid = t.rules.select("entity_key", F.lit(1).alias("one")).join(combos.withColumn("one", F.lit(1)), "one").drop("one")
+    grid = combos.crossJoin(F.broadcast(t.rules.select("entity_key")))
     return grid.join(covered.withColumn("hit", F.lit(True)), ["entity_key", "oui_id", "position_id"], "left").select("entity_key", "oui_id", "position_id", F.coalesce("hit", F.lit(False)).alias("covered"))
 
 

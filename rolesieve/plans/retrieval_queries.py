@@ -128,7 +128,7 @@ def _(t):
     chunks, ask = both_tables(t)
     users = ask.select("user_id").distinct()
     seen = O.viewable_documents(tuples(t), t.assignments, t.positions, closure(t)).join(F.broadcast(users), "user_id", "left_semi")
-    public = t.docs.where("sensitivity = 1").select("document_id", F.lit(1).alias("one")).join(users.withColumn("one", F.lit(1)), "one").select("user_id", "document_id")
+    public = t.docs.where("sensitivity = 1").select("document_id", F.lit(1).alias("one")).join(F.broadcast(users.withColumn("one", F.lit(1))), "one").select("user_id", "document_id")  # the askers of one block
     scoped = chunks.select("chunk_id", "document_id").join(seen.unionAll(public).distinct(), "document_id").select("user_id", "chunk_id")
     return scoped.unionAll(chunks.where("level = 1").select(F.lit(None).cast("long").alias("user_id"), "chunk_id"))
 
