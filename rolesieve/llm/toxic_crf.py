@@ -60,7 +60,7 @@ class Sequences:
         return Sequences(row, col, length)
 
     def marginals(self, emission: np.ndarray, trans: np.ndarray, pairs: bool = False):
-        """P(toxic) of each token by forward-backward; with ``pairs`` also the expected transition counts and log Z."""
+        """P(toxic) of each token by forward-backward; with ``pairs`` also the expected transition counts."""
         order = np.argsort(-self.length, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
@@ -71,23 +71,18 @@ class Sequences:
         live = np.searchsorted(-ln, -np.arange(t), side="left")  # rows longer than each column
         w00, w01, w10, w11 = trans.ravel()
         fwd, bwd = np.zeros((t, n)), np.zeros((t, n))
-        scale = np.zeros(n)  # log of the mass of the other tag, for log Z
         if t:
             fwd[0] = e[0]
-        step = np.zeros((t, n))
         for k in range(1, t):
             m = live[k]
             a = fwd[k - 1, :m]
-            to0 = np.logaddexp(a + w10, w00)
-            step[k, :m] = np.logaddexp(a + w11, w01) - to0
-            fwd[k, :m] = step[k, :m] + e[k, :m]
-            scale[:m] += to0
+            fwd[k, :m] = np.logaddexp(a + w11, w01) - np.logaddexp(a + w10, w00) + e[k, :m]
         for k in range(t - 2, -1, -1):
             m = live[k + 1]
             b = bwd[k + 1, :m] + e[k + 1, :m]
             bwd[k, :m] = np.logaddexp(b + w11, w10) - np.logaddexp(b + w01, w00)
-        p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -60, 60)))
-        marg = p[self.token_col, place[self.token_row]]
+        at = self.token_col, place[self.token_row]
+        marg = 1 / (1 + np.exp(-np.clip(fwd[at] + bwd[at], -60, 60)))
         if not pairs:
             return marg
         counts = np.zeros((2, 2))
