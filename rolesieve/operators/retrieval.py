@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,33 +15,50 @@ from rolesieve.functions import text as X
 
 #: Questions ranked by one pass over the chunks: what a task holds of them is bounded.
 QUERY_BLOCK = 2000
+#: Chunks of one matrix product.
+CHUNK_BLOCK = 2048
+NEAREST = "query_id long, chunk_id long, distance double"
+
+
+def blocks_of(rows: DataFrame, size: int):
+    """Lists of at most ``size`` rows; the driver holds one at a time."""
+    rest = rows.toLocalIterator()
+    while block := list(islice(rest, size)):
+        yield block
 
 
-def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): the k nearest chunks by cosine, one matrix product a batch.
+def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, chunk_id, distance, rank): the k nearest chunks by cosine, by matrix products.
 
-    The questions are a bounded block; each task keeps k candidates a question before anything is shuffled.
+    The chunks are read once for each block of questions; each task keeps k candidates a question
+    before anything is shuffled.
     """
-    rows = queries.select("query_id", "embedding").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} questions in a block")
+    found = [_nearest(chunks, rows, k) for rows in blocks_of(queries.select("query_id", "embedding"), block)]
+    none = chunks.sparkSession.createDataFrame([], NEAREST)
+    return top(reduce(DataFrame.unionAll, found, none), ["query_id"], [F.round("distance", 9), "chunk_id"], k)
+
+
+def _nearest(chunks: DataFrame, rows: list, k: int) -> DataFrame:
+    """The k best chunks of each task for a block of questions."""
     ids = np.array([r[0] for r in rows], np.int64)
     q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def run(batches):
+        distance, chunk = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            m = np.array(pdf["embedding"].tolist(), np.float64)
-            s = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-            chunk = pdf["chunk_id"].to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": chunk[best].ravel(), "distance": 1 - np.take_along_axis(s, best, 1).ravel()})
-
-    found = chunks.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, distance double")
-    return top(found, ["query_id"], [F.round("distance", 9), "chunk_id"], k)
+            for lo in range(0, len(pdf) if len(ids) else 0, CHUNK_BLOCK):
+                part = pdf.iloc[lo : lo + CHUNK_BLOCK]
+                m = np.array(part["embedding"].tolist(), np.float64)
+                d = 1 - q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+                distance = np.hstack([distance, d])
+                chunk = np.hstack([chunk, np.broadcast_to(part["chunk_id"].to_numpy(), d.shape)])
+                best = np.lexsort((chunk, np.round(distance, 9)), axis=1)[:, :k]
+                distance, chunk = np.take_along_axis(distance, best, 1), np.take_along_axis(chunk, best, 1)
+        if distance.size:
+            yield pd.DataFrame({"query_id": np.repeat(ids, distance.shape[1]), "chunk_id": chunk.ravel(), "distance": distance.ravel()})
+
+    return chunks.select("chunk_id", "embedding").mapInPandas(run, NEAREST)
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
