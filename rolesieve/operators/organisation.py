@@ -104,6 +104,29 @@ def editable_documents(tuples, assignments, positions, closure) -> DataFrame:
     return granted_documents(tuples, assignments, positions, closure, ["editor"])
 
 
+def search_scopes(chunks, docs, tuples, assignments, positions, closure, askers) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, scope) and (scope, user_id): what each asker may be shown, never expanded to users and chunks.
+
+    Public chunks and all of public documents are in the scope of everyone.  Others are in that of the unit
+    grants of their document, and in that of its owner where the grants do not reach the owner, so that
+    no user is in two scopes of a chunk.  askers: user_id; chunks: chunk_id, document_id, level.
+    """
+    askers = askers.select("user_id").where("user_id is not null").distinct()
+    grants = tuples.where(F.col("relation").isin("viewer", "editor")).groupBy("document_id").agg(F.sort_array(F.collect_set(F.struct("subject", "required"))).alias("grants"))
+    grants = grants.withColumn("scope", F.sha2(F.to_json("grants"), 256))
+    subjects = subjects_of_users(assignments, closure).join(askers, "user_id", "left_semi").join(user_clearance(assignments, positions), "user_id")
+    needs = grants.groupBy("scope").agg(F.first("grants").alias("grants")).select("scope", F.explode("grants").alias("g")).select("scope", "g.*")
+    by_unit = needs.join(subjects, "subject").where("clearance >= required").select("scope", "user_id").distinct()
+    one = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    members = by_unit.unionAll(askers.select(F.lit("everyone").alias("scope"), "user_id")).unionAll(askers.select(one.alias("scope"), "user_id"))
+    at = chunks.select("chunk_id", "document_id", "level").join(docs.select("document_id", "sensitivity", F.col("owner_user_id").alias("user_id")), "document_id").join(grants.select("document_id", "scope"), "document_id", "left")
+    public = F.coalesce(F.col("level") == 1, F.lit(False)) | F.coalesce(F.col("sensitivity") == 1, F.lit(False))
+    closed = at.where(~public)
+    owned = closed.join(askers, "user_id", "left_semi").join(by_unit, ["scope", "user_id"], "left_anti")
+    in_scope = at.where(public).select("chunk_id", F.lit("everyone").alias("scope")).unionAll(closed.where("scope is not null").select("chunk_id", "scope")).unionAll(owned.select("chunk_id", one.alias("scope")))
+    return in_scope, members
+
+
 def active_grants(requests: DataFrame, as_of: str) -> DataFrame:
     """(user_id, document_id) of approved requests that have not expired."""
     return requests.where(F.col("status").eqNullSafe("approved") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")))).select("user_id", "document_id").distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rolesieve import constants as K
 from rolesieve.functions import text as X
+from rolesieve.operators.tables import written
 
 #: Questions ranked by one pass over the chunks: what a task holds of them is bounded.
 QUERY_BLOCK = 2000
@@ -27,38 +28,55 @@ def blocks_of(rows: DataFrame, size: int):
         yield block
 
 
-def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, members: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest chunks by cosine, by matrix products.
 
     The chunks are read once for each block of questions; each task keeps k candidates a question
-    before anything is shuffled.
+    before anything is shuffled.  With ``members`` (scope, user_id) the chunks have a scope, the
+    questions a user_id, and a question is asked of the scopes of its user alone; the scopes of a
+    chunk that is in several must have no user in common.
     """
-    found = [_nearest(chunks, rows, k) for rows in blocks_of(queries.select("query_id", "embedding"), block)]
+    found = []
+    for rows in blocks_of(queries.select("query_id", "embedding", *(["user_id"] if members else [])), block):
+        open_to = None
+        if members:
+            at: dict = {}
+            for i, r in enumerate(rows):
+                at.setdefault(r["user_id"], []).append(i)
+            askers = chunks.sparkSession.createDataFrame([(u,) for u in at if u is not None], "user_id long")
+            open_to = {}
+            for r in members.join(F.broadcast(askers), "user_id").select("scope", "user_id").distinct().toLocalIterator():
+                open_to.setdefault(r["scope"], np.zeros(len(rows), bool))[at[r["user_id"]]] = True
+        found.append(_nearest(chunks, rows, k, open_to))
     none = chunks.sparkSession.createDataFrame([], NEAREST)
     return top(reduce(DataFrame.unionAll, found, none), ["query_id"], [F.round("distance", 9), "chunk_id"], k)
 
 
-def _nearest(chunks: DataFrame, rows: list, k: int) -> DataFrame:
-    """The k best chunks of each task for a block of questions."""
+def _nearest(chunks: DataFrame, rows: list, k: int, open_to: dict | None = None) -> DataFrame:
+    """The k best chunks of each task for a block of questions; ``open_to``: which of them may see a scope."""
     ids = np.array([r[0] for r in rows], np.int64)
     q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    nobody = np.zeros(len(rows), bool)
 
     def run(batches):
         distance, chunk = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
         for pdf in batches:
-            for lo in range(0, len(pdf) if len(ids) else 0, CHUNK_BLOCK):
+            for lo in range(0, len(pdf), CHUNK_BLOCK):
                 part = pdf.iloc[lo : lo + CHUNK_BLOCK]
                 m = np.array(part["embedding"].tolist(), np.float64)
                 d = 1 - q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+                if open_to is not None:
+                    d[~np.stack([open_to.get(x, nobody) for x in part["scope"]], axis=1)] = np.inf
                 distance = np.hstack([distance, d])
                 chunk = np.hstack([chunk, np.broadcast_to(part["chunk_id"].to_numpy(), d.shape)])
                 best = np.lexsort((chunk, np.round(distance, 9)), axis=1)[:, :k]
                 distance, chunk = np.take_along_axis(distance, best, 1), np.take_along_axis(chunk, best, 1)
-        if distance.size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, distance.shape[1]), "chunk_id": chunk.ravel(), "distance": distance.ravel()})
+        seen = np.isfinite(distance)
+        if seen.any():
+            yield pd.DataFrame({"query_id": np.repeat(ids, seen.sum(axis=1)), "chunk_id": chunk[seen], "distance": distance[seen]})
 
-    return chunks.select("chunk_id", "embedding").mapInPandas(run, NEAREST)
+    return chunks.select("chunk_id", "embedding", *(["scope"] if open_to is not None else [])).mapInPandas(run, NEAREST)
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -93,6 +111,67 @@ def bm25(post: DataFrame, query_tokens: DataFrame, key: str = "chunk_id") -> Dat
     return scored.where("score > 0")
 
 
+RAW_IDF = "user_id long, token string, raw double, n long"
+
+
+def _raw_idf(by_token: DataFrame, members: DataFrame, users: list) -> DataFrame:
+    """For a block of users: the raw idf of each asked token, and by null token the sum and number over all tokens of each task."""
+    ids, n = np.array([r["user_id"] for r in users], np.int64), np.array([r["n"] for r in users], np.float64)
+    at = {int(u): i for i, u in enumerate(ids)}
+    block = by_token.sparkSession.createDataFrame([(u,) for u in at], "user_id long")
+    pairs = [(r["scope"], at[r["user_id"]]) for r in members.join(F.broadcast(block), "user_id").toLocalIterator()]
+    row = {s: i for i, s in enumerate(sorted({s for s, _ in pairs}))}
+    sees = np.zeros((len(row), len(ids)), np.float32)
+    for scope, u in pairs:
+        sees[row[scope], u] = 1
+
+    def run(batches):
+        total, number = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo : lo + 256]
+                counts = np.zeros((len(part), len(row)))
+                for i, (scopes, dfs) in enumerate(zip(part["scopes"], part["dfs"])):
+                    for scope, df in zip(scopes, dfs):
+                        if scope in row:
+                            counts[i, row[scope]] = df
+                df = counts @ sees
+                has = df > 0
+                raw = np.where(has, np.log(n - df + 0.5) - np.log(df + 0.5), 0)
+                total += raw.sum(axis=0)
+                number += has.sum(axis=0)
+                i, u = np.nonzero(has & part["asked"].notna().to_numpy()[:, None])
+                if len(i):
+                    yield pd.DataFrame({"user_id": ids[u], "token": part["token"].to_numpy()[i], "raw": raw[i, u], "n": 1})
+        yield pd.DataFrame({"user_id": ids, "token": None, "raw": total, "n": number})
+
+    return by_token.mapInPandas(run, RAW_IDF)
+
+
+def scoped_bm25(post: DataFrame, query_tokens: DataFrame, in_scope: DataFrame, members: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score) of BM25 where each user's corpus is the chunks that user may see.
+
+    ``in_scope`` has key, scope; ``members`` scope, user_id; ``query_tokens`` query_id, user_id, token.
+    Counts are made once a scope and added up by user in memory, a block of users at a time, so no chunk
+    is multiplied by its readers but where it holds a token that one of them asks.
+    """
+    wanted = query_tokens.groupBy("query_id", "user_id", "token").agg(F.count("*").alias("times"))
+    members = members.join(query_tokens.select("user_id").distinct(), "user_id", "left_semi").distinct()
+    length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
+    sizes = in_scope.join(length, key).groupBy("scope").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    size = sizes.join(members, "scope").groupBy("user_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    dfs = post.join(in_scope, key).groupBy("scope", "token").agg(F.count("*").alias("df"))
+    by_token = dfs.groupBy("token").agg(F.collect_list("scope").alias("scopes"), F.collect_list("df").alias("dfs"))
+    by_token = by_token.join(wanted.select("token", F.lit(True).alias("asked")).distinct(), "token", "left")
+    raw = written(reduce(DataFrame.unionAll, [_raw_idf(by_token, members, rows) for rows in blocks_of(size.select("user_id", "n"), QUERY_BLOCK)], post.sparkSession.createDataFrame([], RAW_IDF)))
+    mean = raw.where("token is null").groupBy("user_id").agg((F.sum("raw") / F.sum("n")).alias("mean"))
+    idf = wanted.join(raw.drop("n"), ["user_id", "token"]).join(mean, "user_id").join(size.drop("n"), "user_id").select("query_id", "user_id", "token", "times", "avgdl", F.when(F.col("raw") < 0, K.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    hits = post.join(wanted.select("token").distinct(), "token", "left_semi").join(in_scope, key).join(length, key)
+    seen = idf.join(members, "user_id").join(hits, ["scope", "token"])
+    weight = F.col("idf") * F.col("tf") * (K.BM25_K1 + 1) / (F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / F.col("avgdl")))
+    return seen.groupBy("query_id", key).agg(F.sum(weight * F.col("times")).alias("score")).where("score > 0")
+
+
 def rrf_fuse(lists: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, rrf, semantic, lexical): lists has query_id, key, source, rank (from 1), distance."""
     d = lambda s: F.max(F.when(F.col("source") == s, F.col("distance"))).alias(s)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -88,3 +90,11 @@ def embed_batches(rows: DataFrame, embed, batch: int = 64) -> DataFrame:
             yield pd.DataFrame({"id": pdf["id"], "embedding": out})
 
     return rows.select("id", "text").mapInPandas(run, "id long, embedding array<double>")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back, so that its plan is made and run once."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

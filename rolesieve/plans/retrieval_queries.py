@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rolesieve.functions import text as X
 from rolesieve.operators import organisation as O
 from rolesieve.operators import retrieval as R
+from rolesieve.operators.tables import written
 from rolesieve.plans.organisation_queries import AS_OF, GRANTS, closure, granted, tuples
 from rolesieve.plans.text_queries import tokens_sql
 from rolesieve.plans.views import query
@@ -106,9 +107,9 @@ FLAGS = f"seen AS ({granted('viewer', 'editor')}), g AS (SELECT DISTINCT user_id
 SCOPE = f"{GRANTS}, chunks AS ({CHUNKS}), ask AS ({ASK}), {FLAGS}"
 
 
-def flagged(t, pairs):
+def flagged(t, pairs, viewable=None):
     """Access flags of (query_id, user_id, chunk_id, document_id, level) rows, all by equi joins."""
-    seen = O.viewable_documents(tuples(t), t.assignments, t.positions, closure(t)).withColumn("seen", F.lit(True))
+    seen = (viewable or O.viewable_documents(tuples(t), t.assignments, t.positions, closure(t))).withColumn("seen", F.lit(True))
     d = t.docs.select("document_id", "sensitivity", "owner_user_id")
     grants = O.active_grants(t.access_requests, AS_OF).withColumn("g", F.lit(True))
     j = pairs.join(d, "document_id").join(O.user_clearance(t.assignments, t.positions), "user_id", "left").join(seen, ["user_id", "document_id"], "left").join(grants, ["user_id", "document_id"], "left")
@@ -210,3 +211,32 @@ def _(t):
     """Hybrid search of every question, gated by what its asker may see, reranked by risk-weighted score."""
     rows = R.access_gate(candidates(t)).withColumn("score", R.display_score(F.col("semantic"), F.col("lexical"))).withColumn("ce", ce())
     return R.rerank_rwss(rows, 5).select("query_id", "user_id", "chunk_id", "document_id", "blurred", "restricted", "score", "rwss", F.col("rank").cast("long").alias("rank"))
+
+
+def scoped_candidates(t):
+    """As ``candidates``, but both lists hold the 20 best of what the asker may be shown, for all questions that have a vector."""
+    d = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = t.chunk_vectors.withColumnRenamed("chunk_sensitivity", "level").join(d, "chunk_id")
+    ask = written(t.text_queries.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id"))
+    below = written(closure(t))
+    grants = written(O.document_tuples(t.docs, t.document_oui, t.oui_parents, below, written(O.org_root(t.oui_parents))))
+    in_scope, members = map(written, O.search_scopes(chunks, t.docs, grants, t.assignments, t.positions, below, ask))
+    s = R.semantic_topk(t.chunk_vectors.join(in_scope, "chunk_id"), ask, 20, members=members).select("query_id", "chunk_id", F.lit("semantic").alias("source"), "rank", R.similarity(F.col("distance")).alias("distance"))
+    asked = written(ask.select("query_id", "user_id", F.explode(X.tokenize(F.col("text"))).alias("token")))
+    lex = R.scoped_bm25(written(R.postings(chunks, text="text")), asked, in_scope, members)
+    lex = R.top(lex, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("distance"))
+    f = written(R.rrf_fuse(s.unionAll(lex)).join(ask.select("query_id", "user_id"), "query_id").join(chunks.select("chunk_id", "document_id", "level"), "chunk_id"))
+    # of the documents found, what the askers may view
+    found = grants.join(f.select("document_id").distinct(), "document_id", "left_semi")
+    return flagged(t, f, O.viewable_documents(found, t.assignments.join(f.select("user_id").distinct(), "user_id", "left_semi"), t.positions, below))
+
+
+@query("search_scoped")
+def _(t):
+    """``search`` with the asker's scope before the cuts to 20, for every benchmark question that has a vector.
+
+    Ranked and gated rows, as ``search``: the unit filter a user may pick (G10), the hash check (C13), the
+    final threshold (G14) and masking (E12) are queries of their own and not part of either.
+    """
+    rows = R.access_gate(scoped_candidates(t)).withColumn("score", R.display_score(F.col("semantic"), F.col("lexical"))).withColumn("ce", ce())
+    return R.rerank_rwss(rows, 5).select("query_id", "user_id", "chunk_id", "document_id", "blurred", "restricted", "score", "rwss", F.col("rank").cast("long").alias("rank"))
