@@ -6,8 +6,9 @@ tags, CTD = C / T * log_b(C / LC * T / LT), b = ln(C / (C - LC) * LC + LCb / Cb
 Cb and LCb those of the body, every zero taken as one.  A node's sum is that of its
 children's densities; the subtree of greatest sum is the article.  The least density on
 its path up to the body is the threshold: inside it, blocks that hold links and fall
-below go.  What the markup itself names as no article (navigation, headers, footers,
-asides, forms, adverts, notices, comments, hidden parts) never counts.
+below go.  What the markup itself gives as no article (navigation, headers, footers,
+asides, forms, hidden parts) never counts, nor does what a whole token of its class, id or
+role names so (adverts, comments ...), unless it holds the article or most of the text.
 
 Null and empty pages give an empty text; broken markup is closed as browsers do; repeated
 rows are extracted each; further columns are ignored.
@@ -34,15 +35,17 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 SOFT = {"br", "wbr", "img"}
 #: What an opening tag closes first, as browsers do, up to the named borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class, id or role that name what is not the article.
-NOISE = re.compile(r"(?<![a-z])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer\w*|site-?header|masthead|complementary|contentinfo|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|comment-?\w*|disqus|respond|replies|reply|pagination|pager|toolbar|widget\w*|search\w*|skip-?\w*|toc)(?![a-z])", re.I)
+#: Whole tokens of class or id, and roles, that name what is not the article.  Words that articles use for their
+#: own parts too (notice, related, share, toc, widget, search ...) are not among them: density and links decide.
+NOISE = set("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored breadcrumb breadcrumbs nav navbar navigation menu menubar sidebar side-bar footer site-footer page-footer site-header masthead cookies cookie-banner cookie-notice cookie-consent gdpr popup newsletter subscribe social social-links social-share share-buttons sharing comments comment comment-list comments-area disqus respond replies pagination pager toolbar skip-link".split())
+ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "density")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "density")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+        self.tag, self.parent, self.noise, self.named = tag, parent, noise, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
@@ -56,11 +59,42 @@ def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 return True
-            if name in ("class", "id", "role") and NOISE.search(value.replace("_", "-")):
-                return True
     return False
 
 
+def is_named(tag: str, attributes: str) -> bool:
+    """Whether class, id or role name it as no article."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in NAMED.findall(attributes):
+        name, tokens = name.lower(), value.strip("\"'").lower().replace("_", "-").split()
+        if name in ("class", "id", "role") and not (ROLES if name == "role" else NOISE).isdisjoint(tokens):
+            return True
+    return False
+
+
+def drop_named(root: Node) -> None:
+    """Makes noise of what its name gives as such, unless it holds the article or, where none is marked up, most of the text."""
+    nodes, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if not n.noise:
+            nodes.append(n)
+            stack += [c for c in n.children if isinstance(c, Node)]
+    if not any(n.named for n in nodes):
+        return
+    chars, holds = {}, {}
+    for n in reversed(nodes):  # children before parents
+        inner = [c for c in n.children if isinstance(c, Node) and not c.noise]
+        chars[n] = sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) + sum(chars[c] for c in inner)
+        holds[n] = n.tag in ("article", "main") or any(holds[c] for c in inner)
+    for n in nodes:  # parents before children
+        if n.parent and n.parent.noise:
+            n.noise = True
+        elif n.named:
+            n.noise = not holds[n] and (holds[root] or 2 * chars[n] <= chars[root])
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text stays as strings among the children."""
     root = Node("body", None, False)
@@ -96,6 +130,7 @@ def parse(page: str) -> Node:
                         break
                     up = up.parent
             node = Node(tag, at, at.noise or is_noise(tag, attributes, _within(at, "article") or _within(at, "main")))
+            node.named = is_named(tag, attributes)
             at.children.append(node)
             if tag not in VOID and not attributes.rstrip().endswith("/"):
                 at = node
@@ -108,6 +143,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.parent:
                 at = up.parent
+    drop_named(root)
     return root
 
 
