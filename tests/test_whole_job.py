@@ -10,8 +10,9 @@ import numpy as np
 
 from rolesieve.llm.html_text import extract
 from rolesieve.operators import retrieval as R
+from rolesieve.plans import policy_queries as P
 from rolesieve.plans import retrieval_queries as Q
-from rolesieve.plans.views import Tables, with_views
+from rolesieve.plans.views import QUERIES, Tables, with_views
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,7 +79,7 @@ def test_search_scoped_against_brute_force(spark):
     for k, (a, b) in want.items():
         for x, y in zip(got[k], (a, b)):
             assert (x is None) == (y is None) and (x is None or abs(x - max(0, y)) < 3e-5)
-    assert len({r["query_id"] for r in Q.query.__globals__["QUERIES"]["search_scoped"](spark, DATA).collect()}) == 40
+    assert len({r["query_id"] for r in QUERIES["search_scoped"](spark, DATA).collect()}) == 40
 
 
 def test_html_words_in_names_do_not_decide():
@@ -92,3 +93,14 @@ def test_html_words_in_names_do_not_decide():
     assert extract(f"<article><p>{text}</p><ul class=toc>{links}</ul><p>{text}</p></article>") == f"{text}\n\n{text}"
     comments = "<div class=comments><p>" + "Nice post, thanks. " * 99 + "</p></div>"
     assert extract(f"<body><article><p>{text}</p></article>{comments}</body>") == text  # beside a marked article, of any length
+
+
+def test_policy_of_all_pairs_of_user_and_document(spark):
+    con = duckdb.connect()
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = con.execute(with_views(f"{P.RT} SELECT document_id, user_id, string_agg(DISTINCT CASE tier WHEN 'block' THEN label END, ',' ORDER BY CASE tier WHEN 'block' THEN label END), string_agg(DISTINCT CASE tier WHEN 'require' THEN label END, ',' ORDER BY CASE tier WHEN 'require' THEN label END), max(CASE tier WHEN 'block' THEN 2 WHEN 'require' THEN 1 ELSE 0 END) FROM detections JOIN tiers ON entity_key = label GROUP BY ALL")).fetchall()
+    groups = QUERIES["tier_groups"](spark, DATA)
+    got = QUERIES["apply_policy_groups"](spark, DATA).join(groups, "tiers").select("document_id", "user_id", "blocked", "required", "decision").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((*r[:4], ("full", "require", "block")[r[4]]) for r in want), key=str)
+    assert len({r["user_id"] for r in got}) == groups.count() == 150
