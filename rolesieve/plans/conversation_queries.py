@@ -137,6 +137,12 @@ def _(t):
     return t.messages.where("role = 'user'").select("message_id", (F.length("content") > 500).alias("blocked"))
 
 
+@query("reject_oversized_whole")
+def _(t):
+    """``reject_oversized`` with the 2,000 characters of the system we follow."""
+    return t.messages.where("role = 'user'").select("message_id", (F.length("content") > 2000).alias("blocked"))
+
+
 @query("open_conversations", "SELECT conv_id % 150 AS user_id, conv_id, max(turn) AS last_turn, row_number() OVER (PARTITION BY conv_id % 150 ORDER BY conv_id DESC) AS place FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id")
 def _(t):
     u = F.col("conv_id") % 150

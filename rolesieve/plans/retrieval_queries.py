@@ -199,6 +199,12 @@ def _(t):
     return R.context_budget(rows, 4000).select("query_id", "rank", "upto")
 
 
+@query("context_budget_whole")
+def _(t):
+    """``context_budget`` with the 40,000 characters of the system we follow."""
+    return R.context_budget(t.line_chunks.select(F.col("document_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), F.col("chunk_text").alias("text")).withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy("rank")).cast("long"))).select("query_id", "rank", "upto")
+
+
 @query("enrich_document_type", "SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN coalesce(d.document_type, 'general') ELSE 'Kept' END AS document_type FROM chunk_vectors c LEFT JOIN docs d USING (document_id)")
 def _(t):
     stale = F.when(F.col("chunk_id") % 2 == 0, "general").otherwise("Kept")

@@ -145,6 +145,12 @@ def _(t):
     return t.conversations.select("conv_id", "turn", X.trim_question(q).alias("q"))
 
 
+@query("trim_question_whole")
+def _(t):
+    """``trim_question`` of the whole of each user's text, as it stands."""
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", X.trim_question(F.col("text")).alias("q"))
+
+
 @query("strip_heading_prefix", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE text END AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.strip_heading_prefix(F.col("text"), F.when(F.col("doc_id") % 3 > 0, "heading")).alias("text"))

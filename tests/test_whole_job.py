@@ -10,11 +10,13 @@ import numpy as np
 
 from rolesieve.llm.html_text import extract
 from rolesieve.operators import retrieval as R
+from rolesieve.plans import catalog
 from rolesieve.plans import policy_queries as P
 from rolesieve.plans import retrieval_queries as Q
-from rolesieve.plans.views import QUERIES, Tables, with_views
+from rolesieve.plans.views import Tables, with_views
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = catalog.queries()
 
 
 def test_more_questions_than_one_block(spark):
@@ -104,3 +106,16 @@ def test_policy_of_all_pairs_of_user_and_document(spark):
     got = QUERIES["apply_policy_groups"](spark, DATA).join(groups, "tiers").select("document_id", "user_id", "blocked", "required", "decision").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((*r[:4], ("full", "require", "block")[r[4]]) for r in want), key=str)
     assert len({r["user_id"] for r in got}) == groups.count() == 150
+
+
+def test_trim_question_reads_the_whole_text(spark, tmp_path):
+    long = "Thời hạn nộp báo cáo tài chính hằng năm của công ty chúng tôi theo quy định hiện hành"
+    spark.createDataFrame([(1, 0, "user", long + " là gì?"), (2, 0, "user", long)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["q"] for r in QUERIES["trim_question_whole"](spark, str(tmp_path)).collect()] == [long, long]
+
+
+def test_limits_are_the_references(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "x" * 2000), (2, 0, "user", "x" * 2001)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(1, "\n".join(["y" * 9998] * 5))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, QUERIES["reject_oversized_whole"](spark, str(tmp_path)).collect())) == [(1000, False), (2000, True)]
+    assert sorted(r["rank"] for r in QUERIES["context_budget_whole"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
