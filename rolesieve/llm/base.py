@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -19,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, one machine) a local folder is made.
+    Where the session names none, a local master (tests) gets a temporary folder; a
+    cluster gets an error, since its executors would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="rolesieve-"))
     return _own[0]
@@ -33,12 +37,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only tasks of the stage at hand, since
-    the table outlives every executor.
+    the table outlives every executor.  The shuffle files of the write go with its end,
+    by Spark's own setting.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialise`` on which nothing rests any more."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path:
+            jvm = t.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores put before those that ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, row: str, name: str = "rows") -> DataFrame:
+    """``df`` written with a key of its own for each row, so that repeated ids stay apart in every join."""
+    from pyspark.sql import functions as F
+
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -94,7 +133,7 @@ def block_pairs(rows: DataFrame, key: list[str], sized: str, member: str, block:
     """Deal groups out as pairs of blocks, so that no task holds more than two blocks of a group.
 
     ``sized`` is the group's number of rows.  Adds ``task`` (one long a pair of blocks) and
-    ``side`` (0 or 1; all 0 where the two blocks are the same).
+    ``side`` (0 for all rows where the two blocks are the same, else 1 and 2).
     """
     from pyspark.sql import functions as F
 
@@ -102,19 +141,13 @@ def block_pairs(rows: DataFrame, key: list[str], sized: str, member: str, block:
     own = F.pmod(F.xxhash64(member), g.cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    return rows.withColumn("task", F.xxhash64(*key, lo, hi)).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("own", "other")
+    return rows.withColumn("task", F.xxhash64(*key, lo, hi)).withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)).drop("own", "other")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of passes whose tables are written by now.
-
-    The cleaner acts when the driver's collector finds a plan unreachable; a driver with
-    room to spare may not collect for hours, while the executors' disks fill.
-    """
-    import gc
-    import time
+def two_sides(side):
+    """Places of the two blocks of a task of ``block_pairs``: twice the same for a block with itself."""
+    import numpy as np
 
-    for _ in range(2):  # the first round frees the plans' proxies, the second what these held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    if not side[0]:
+        return np.arange(len(side)), np.arange(len(side))
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2)

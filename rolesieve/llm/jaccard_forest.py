@@ -3,17 +3,26 @@
 A document is the set of its runs of ``words`` words (lower case, split at ASCII white
 space; a shorter text is one run of all its words; 64-bit hashes stand for the runs).
 Documents of equal sets are one class from the start.  Each class has a signature of
-trees * depth minima; a tree sorts the classes by its prefix of the signature.  Matched
-prefixes start at full depth and are shortened until pairs of the wanted similarity
-share a prefix in some tree with the target recall.  Groups of equal prefixes are cut
-into pairs of blocks, a signature estimate with four standard deviations of room and
-the bound on set sizes drop chance matches, and what remains ties classes together.
-Inside these ties every pair is verified on the whole sets.
-
-Texts that are null or without words link with nothing.  Ties and repeats are ordered
-by doc_id; rows that share a doc_id count as copies if their sets agree, and links
-between rows of one doc_id are not counted.  An empty table gives no rows; further
-columns are ignored.
+trees * depth minima, and every tree of the forest is the prefix trie of the classes'
+slices of it: a node at depth k holds the classes whose first k minima agree.
+
+The descent starts at the leaves.  At each depth the pairs inside the nodes that the
+signature estimate (with six standard deviations of room) and the set sizes allow are
+weighed: a pair of similarity s meets in some tree with probability
+P = 1 - (1 - s**k)**trees, so one pair met stands for 1 / P pairs.  What was met over what
+that stands for is the recall of the depth on this table; while it is short of
+``recall``, or nothing was met at all, the prefixes are shortened by one, down to the
+depth at which even pairs of exactly ``similarity`` reach it.
+
+A node is cut into pairs of blocks, so no task holds more than two blocks of it.  A pair
+is looked at in the first tree in which it meets, and only classes with such a pair are
+sent to verification, which compares whole sets and returns counts and a spanning
+forest, never the pairs.
+
+Every row is a document of its own, also where rows share a doc_id: links count rows,
+and exactly one row of a class is kept, the first by doc_id.  Texts that are null or
+without words, and rows with a null doc_id, link with nothing and are kept.  An empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.base import block_pairs, forest, materialise, whole_groups
+from rolesieve.llm.base import block_pairs, discard, forest, materialise, numbered, two_sides, whole_groups
 from rolesieve.llm.components import connected_components
 
 _P = 0x9E3779B97F4A7C15
@@ -83,22 +92,27 @@ def shingle_set(text: str, words: int = 5) -> np.ndarray:
     return np.unique(mix(out + np.uint64(n)))
 
 
+def meeting(similarity, depth: int, trees: int):
+    """Probability that a pair meets in some tree at this depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_depth(trees: int, depth: int, similarity: float, recall: float) -> int:
-    """Shorten the prefix from ``depth`` until some tree matches with the wanted probability."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    """The deepest prefix at which pairs of the least similarity meet with the wanted probability."""
+    while depth > 1 and meeting(similarity, depth, trees) < recall:
         depth -= 1
     return depth
 
 
 def signatures(docs: DataFrame, words: int, minima: int) -> DataFrame:
-    """doc_id, n (runs), key (of the whole set), signature (uint32 minima); documents without words have n 0."""
+    """row, doc_id, n (runs), key (of the whole set), signature (uint32 minima); documents without words have n 0."""
     rng = np.random.default_rng(11)
     a = rng.integers(1, _M, minima, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
+            for r, d, t in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
                 s = shingle_set(t, words) if isinstance(t, str) else np.zeros(0, np.uint64)
                 if len(s):
                     low = np.full(minima, _M, np.uint64)
@@ -107,10 +121,10 @@ def signatures(docs: DataFrame, words: int, minima: int) -> DataFrame:
                     sig = (low >> np.uint64(32)).astype("<u4").tobytes()
                 else:
                     sig = b""
-                rows.append((d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "signature"])
+                rows.append((r, d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n long, key binary, signature binary")
+    return docs.mapInPandas(run, "row long, doc_id long, n long, key binary, signature binary")
 
 
 def _pairs_of(task: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,37 +133,82 @@ def _pairs_of(task: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(task)))
 
 
-def candidate_ties(reps: DataFrame, trees: int, depth: int, at: int, similarity: float, block: int) -> DataFrame:
-    """(a, b): a spanning forest, group by group, of the pairs of classes worth verifying."""
-    minima = trees * depth
-    least = similarity - 4 * (similarity * (1 - similarity) / minima) ** 0.5
+def node_tasks(reps: DataFrame, trees: int, depth: int, at: int, block: int) -> DataFrame:
+    """task, side, tree, rep, n, signature: the trie nodes of two classes or more at a depth, as pairs of blocks."""
     word = lambda t: F.substring("signature", 4 * depth * t + 1, 4 * at)
-    spread = reps.select("rep", "n", F.posexplode(F.array(*[F.xxhash64(word(t)) for t in range(trees)])).alias("tree", "prefix"))
+    spread = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(word(t)) for t in range(trees)])).alias("tree", "prefix"))
     size = spread.groupBy("tree", "prefix").agg(F.count("*").alias("members")).where("members > 1")
     rows = materialise(spread.join(size, ["tree", "prefix"]).select("rep", "tree", "prefix", "members"), "prefixes")
-    rows = rows.join(reps.select("rep", "n", "signature"), "rep")
-    tasks = block_pairs(rows, ["tree", "prefix"], "members", "rep", block).repartition("task").sortWithinPartitions("task", "side", "rep")
+    rows = block_pairs(rows, ["tree", "prefix"], "members", "rep", block)
+    return rows.join(reps.select("rep", "n", "signature"), "rep").select("task", "side", "tree", "rep", "n", "signature")
+
+
+def worth_verifying(tree: int, sig: np.ndarray, n: np.ndarray, side: np.ndarray, at: int, depth: int, similarity: float):
+    """(i, j, estimate, trees met) of the pairs of a task that first meet in this tree and may be similar enough."""
+    minima = sig.shape[1]
+    least = similarity - 6 * (similarity * (1 - similarity) / minima) ** 0.5
+    left, right = two_sides(side)
+    out = []
+    for lo in range(0, len(left), 64):
+        rows = left[lo : lo + 64]
+        same = sig[rows][:, None, :] == sig[right]
+        share = same.mean(2)
+        ok = (share >= least) & (np.minimum(n[rows][:, None], n[right]) >= similarity * np.maximum(n[rows][:, None], n[right]) - 1e-9)
+        if not side[0]:
+            ok &= rows[:, None] < right
+        i, j = np.nonzero(ok)
+        if len(i):
+            met = same[i, j].reshape(len(i), -1, depth)[:, :, :at].all(2)
+            first = met.any(1) & (met.argmax(1) == tree)
+            out.append((rows[i[first]], right[j[first]], share[i, j][first], met.sum(1)[first]))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, int)] * 4
+
+
+def met_pairs(tasks: DataFrame, trees: int, depth: int, at: int, similarity: float) -> DataFrame:
+    """(task, side, rep, met, due) for each class with a pair to verify in a task.
+
+    ``met`` is how many pairs the class met first in this task (each pair counted at one of
+    its ends) and ``due`` how many such pairs the table must hold for that many to meet.
+    """
+    minima = trees * depth
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, "task"):
-            rep, n, side = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
+            rep, n, side, tree, task = (pdf[c].to_numpy() for c in ("rep", "n", "side", "tree", "task"))
             sig = np.frombuffer(b"".join(pdf["signature"]), "<u4").reshape(len(pdf), minima)
-            start, size = _pairs_of(pdf["task"].to_numpy())
-            out = []
-            two = start[size == 2]  # pairs, all at once
-            ok = ((sig[two] == sig[two + 1]).mean(1) >= least) & (np.minimum(n[two], n[two + 1]) >= similarity * np.maximum(n[two], n[two + 1]) - 1e-9)
-            out.append(np.stack([rep[two][ok], rep[two + 1][ok]], 1))
+            start, size = _pairs_of(task)
+            two = start[size == 2]  # tasks of two rows, all at once
+            same = sig[two] == sig[two + 1]
+            share, met = same.mean(1), same.reshape(len(two), trees, depth)[:, :, :at].all(2)
+            least = similarity - 6 * (similarity * (1 - similarity) / minima) ** 0.5
+            ok = (share >= least) & (np.minimum(n[two], n[two + 1]) >= similarity * np.maximum(n[two], n[two + 1]) - 1e-9) & met.any(1) & (met.argmax(1) == tree[two]) & ((side[two] == 0) | (side[two] != side[two + 1]))
+            found = [(two[ok], two[ok] + 1, share[ok])]
             for s, k in zip(start[size > 2], size[size > 2]):
-                g, m = sig[s : s + k], n[s : s + k]
-                linked = np.zeros((k, k), bool)
-                for lo in range(0, k, 64):
-                    linked[lo : lo + 64] = (g[lo : lo + 64, None, :] == g[None, :, :]).mean(2) >= least
-                linked &= np.minimum(m[:, None], m) >= similarity * np.maximum(m[:, None], m) - 1e-9
-                np.fill_diagonal(linked, False)
-                out.append(np.array([(rep[s + i], rep[s + j]) for i, j in forest(linked)], np.int64).reshape(-1, 2))
-            yield pd.DataFrame(np.concatenate(out).astype(np.int64), columns=["a", "b"])
-
-    return tasks.select("task", "side", "rep", "n", "signature").mapInPandas(run, "a long, b long").distinct()
+                i, j, e, _ = worth_verifying(int(tree[s]), sig[s : s + k], n[s : s + k], side[s : s + k], at, depth, similarity)
+                found.append((s + i, s + j, e))
+            i, j, e = (np.concatenate(x) for x in zip(*found))
+            count = np.bincount(i, minlength=len(pdf))
+            due = np.bincount(i, weights=1 / meeting(np.maximum(e, similarity), at, trees), minlength=len(pdf))
+            need = np.zeros(len(pdf), bool)
+            need[i] = need[j] = True
+            need = np.flatnonzero(need)
+            yield pd.DataFrame({"task": task[need], "side": side[need], "tree": tree[need], "rep": rep[need], "met": count[need], "due": due[need]})
+
+    dealt = tasks.repartition("task").sortWithinPartitions("task", "side", "rep")
+    return dealt.mapInPandas(run, "task long, side int, tree int, rep long, met long, due double")
+
+
+def descend(reps: DataFrame, trees: int, depth: int, similarity: float, recall: float, block: int) -> tuple[DataFrame, int]:
+    """The classes to verify by task, from the first depth whose recall on this table suffices, and that depth."""
+    shortest = prefix_depth(trees, depth, similarity, recall)
+    at = depth
+    while True:
+        found = materialise(met_pairs(node_tasks(reps, trees, depth, at, block), trees, depth, at, similarity), "met")
+        met, due = found.agg(F.sum("met"), F.sum("due")).first()
+        if at <= shortest or (met and met >= recall * due):
+            return found, at
+        discard(found)
+        at -= 1
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -172,55 +231,69 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, ties: DataFrame, copies: DataFrame, words: int, similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of a tie, verified on the whole sets: (rep, links) and spanning edges (a, b)."""
-    size = ties.groupBy("component").agg(F.count("*").alias("members"))
-    tied = materialise(ties.join(size, "component").select(F.col("node").alias("rep"), "component", "members").join(copies, "rep"), "tied")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).where("text is not null")
-    rows = tied.join(texts, "rep").dropDuplicates(["rep"])
-    tasks = block_pairs(rows, ["component"], "members", "rep", block).repartition("task").sortWithinPartitions("task", "side", "rep")
+def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, trees: int, depth: int, at: int, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of the classes, verified on the whole sets: (rep, links) and spanning edges (a, b)."""
+    texts = found.select("rep").distinct().join(docs.select(F.col("row").alias("rep"), "text"), "rep")
+    rows = found.select("task", "side", "tree", "rep").join(reps.select("rep", "copies", "n", "signature"), "rep").join(texts, "rep")
+    rows = rows.repartition("task").sortWithinPartitions("task", "side", "rep")
+    minima = trees * depth
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, "task", 2_000):
+        for pdf in whole_groups(batches, "task", 1_000):
             start, size = _pairs_of(pdf["task"].to_numpy())
-            rep, copies, side = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
+            rep, copies, side, tree, n = (pdf[c].to_numpy() for c in ("rep", "copies", "side", "tree", "n"))
+            sig = np.frombuffer(b"".join(pdf["signature"]), "<u4").reshape(len(pdf), minima)
             out = []
             for s, k in zip(start, size):
-                if k < 2:
+                i, j, _, _ = worth_verifying(int(tree[s]), sig[s : s + k], n[s : s + k], side[s : s + k], at, depth, similarity)
+                if not len(i):
                     continue
                 sets = [shingle_set(t, words) for t in pdf["text"].iloc[s : s + k]]
-                n = np.array([len(x) for x in sets], float)
-                both = overlaps(sets)
-                linked = both >= similarity * (n[:, None] + n - both) - 1e-9
-                np.fill_diagonal(linked, False)
-                mine = side[s : s + k]
-                if mine.any():
-                    linked &= mine[:, None] != mine  # pairs within a block are another task's
+                m = np.array([len(x) for x in sets], float)
+                if len(i) > 4 * k:
+                    both = overlaps(sets)[i, j]
+                else:
+                    both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], float)
+                sure = both >= similarity * (m[i] + m[j] - both) - 1e-9
+                i, j = i[sure], j[sure]
+                linked = np.zeros((k, k), bool)
+                linked[i, j] = linked[j, i] = True
                 many = linked @ copies[s : s + k]
                 hit = np.flatnonzero(many)
                 out.append(pd.DataFrame({"rep": rep[s + hit], "links": many[hit], "other": None}))
-                out.append(pd.DataFrame([(rep[s + i], 0, rep[s + j]) for i, j in forest(linked)], columns=["rep", "links", "other"]))
+                out.append(pd.DataFrame([(rep[s + x], 0, rep[s + y]) for x, y in forest(linked)], columns=["rep", "links", "other"]))
             if out:
                 got = pd.concat([x for x in out if len(x)] or out[:1])
                 yield got.astype({"rep": "int64", "links": "int64", "other": "Int64"})
 
-    found = materialise(tasks.select("task", "side", "rep", "copies", "text").mapInPandas(run, "rep long, links long, other long"), "links")
-    links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    return links, found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    links = materialise(rows.mapInPandas(run, "rep long, links long, other long"), "links")
+    count = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
+    return count, links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+
 
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 16, depth: int = 4, recall: float = 0.99998, block: int = 256, row: str | None = None) -> DataFrame:
+    """One row a document: doc_id, n_links, class_id (smallest doc_id reachable by links), kept (the one row of its class).
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = 16, depth: int = 4, recall: float = 0.9999, block: int = 256) -> DataFrame:
-    """One row a document: doc_id, n_links, class_id (smallest doc_id reachable by links), kept (doc_id = class_id)."""
-    sigs = materialise(signatures(docs, words, trees * depth), "signatures")
+    ``row`` names a column of ``docs`` that is a key of its rows, if it has one; the result then has it too.
+    """
+    if row is None:
+        docs = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "row", "documents")
+    else:
+        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(row).cast("long").alias("row"))
+    sigs = materialise(signatures(docs.select("row", "doc_id", "text"), words, trees * depth), "signatures")
     real = sigs.where("n > 0 and doc_id is not null")
-    reps = materialise(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("signature").alias("signature")), "reps")
-    at = prefix_depth(trees, depth, similarity, recall)
-    ties = connected_components(candidate_ties(reps, trees, depth, at, similarity, block))
-    links, edges = verified(docs, ties, reps.select("rep", "copies"), words, similarity, block)
-    classes = connected_components(edges)
-    of_key = reps.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of_key = materialise(of_key.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")), "classes")
-    members = sigs.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = members.where("key is not null").join(of_key, "key").select("doc_id", "n_links", "class_id")
-    alone = members.where("key is null").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    reps = real.groupBy("key").agg(first, F.count("*").alias("copies"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+    reps = materialise(reps.select("key", F.col("first.row").alias("rep"), "first", "copies", "n", "signature"), "reps")
+    found, at = descend(reps, trees, depth, similarity, recall, block)
+    links, edges = verified(docs, found, reps, trees, depth, at, words, similarity)
+    classes = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    of_key = reps.join(links, "rep", "left").join(classes, "rep", "left").select("key", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    of_key = materialise(of_key, "classes")
+    least = of_key.groupBy("component").agg(F.min("first").alias("least"))
+    of_key = of_key.join(least, "component").select("key", "n_links", "least")
+    members = sigs.select("row", "doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    out = members.where("key is not null").join(of_key, "key").select("row", "doc_id", "n_links", F.col("least.doc_id").alias("class_id"), (F.col("least.row") == F.col("row")).alias("kept"))
+    alone = members.where("key is null").select("row", "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    out = out.unionByName(alone)
+    return out.drop("row") if row is None else out.withColumnRenamed("row", row)
