@@ -151,3 +151,12 @@ def two_sides(side):
     if not side[0]:
         return np.arange(len(side)), np.arange(len(side))
     return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+
+
+def batched(rows: DataFrame, text: str, size: int, hashed) -> tuple[DataFrame, int, int]:
+    """Adds ``batch``: rows dealt by a hash column to batches of about ``size`` bytes of ``text``; also the numbers of rows and batches."""
+    from pyspark.sql import functions as F
+
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    batches = max(1, -(-(total or 0) // size), -(-n // 20_000))
+    return rows.withColumn("batch", F.pmod(hashed, F.lit(batches)).cast("long")), n, batches

@@ -10,12 +10,13 @@ counts with a start and an end mark.  A document's score is the mean over its to
 (end mark included) of target loss minus background loss, in nats: the lower, the more
 like the target.
 
-Counts are exact and grow with the table.  Batches of documents send the counts of
-their distinct words and bigrams to buckets by hash; a bucket adds them up and answers
-each batch in the order it asked, so that a gram however frequent costs one number a
-batch.  Words are lower-cased and split at ASCII white space.  Null and empty texts have
+Counts are of 64-bit hashes, whole, and grow with the table.  Batches of documents (a
+number of bytes each) send the counts of their distinct words and bigrams to buckets by
+hash; a bucket adds them up and answers each batch in the order it asked, so that a gram
+however frequent costs one number a batch.  Words are lower-cased and split at ASCII white space.  Null and empty texts have
 the end mark alone; a table without target documents has a uniform target model; an
-empty table gives no rows; rows that share a doc_id are scored each.
+empty table gives no rows; rows that share a doc_id are scored each (and stand in one
+batch); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.base import materialise, partitions, release
+from rolesieve.llm.base import batched, materialise, partitions
 from rolesieve.llm.jaccard_forest import _P, mix, word_hashes
-from rolesieve.llm.suffix_dedup import _number, _numbers, bucket_of
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -59,11 +59,26 @@ class Grams:
 
 
 def _asked(grams: np.ndarray, buckets: int):
-    """(bucket, places) in the order in which a batch asks and is answered."""
-    to = bucket_of(grams, buckets)
-    order = np.lexsort((grams & np.uint64((1 << 40) - 1), to))
-    ends = np.searchsorted(to[order], np.arange(buckets + 1))
-    return [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
+    """(bucket, places) in the order in which a batch asks and is answered; ``grams`` are sorted."""
+    to = (grams >> np.uint64(48)).astype(np.int64) * buckets >> 16
+    ends = np.searchsorted(to, np.arange(buckets + 1))
+    return [(b, np.arange(ends[b], ends[b + 1])) for b in range(buckets) if ends[b] < ends[b + 1]]
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as their differences, in as few bytes each as the largest needs."""
+    step = np.diff(grams, prepend=np.uint64(0))
+    width = max(1, -(-int(step[1:].max(initial=np.uint64(0))).bit_length() // 8))
+    return bytes([width]) + grams[:1].tobytes() + step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _sums(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    few = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    step = np.zeros((len(few) + 1, 8), np.uint8)
+    step[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    step[1:, :width] = few
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -93,11 +108,11 @@ def gathered(rows: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
             for kind in (0, 1):
                 grams = g.kinds[kind]
                 both = g.counts(kind, every), g.counts(kind, wanted)
-                out += [(b, kind, int(left["batch"].iloc[0]), _number(grams[at]).tobytes(), *(_pack(c[at]) for c in both)) for b, at in _asked(grams, buckets)]
+                out += [(b, kind, int(left["batch"].iloc[0]), _steps(grams[at]), *(_pack(c[at]) for c in both)) for b, at in _asked(grams, buckets)]
         return pd.DataFrame(out, columns=["bucket", "kind", "batch", "numbers", "background", "target"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = [_numbers(x) for x in pdf["numbers"]]
+        h = [_sums(x) for x in pdf["numbers"]]
         ends = np.cumsum([0, *map(len, h)])
         _, at = np.unique(np.concatenate(h), return_inverse=True)
         total = [np.bincount(at, weights=np.concatenate([_unpack(x, len(y)) for x, y in zip(pdf[c], h)])) for c in ("background", "target")]
@@ -112,18 +127,16 @@ def gathered(rows: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket", "kind").applyInPandas(answer, "batch long, bucket int, kind int, background binary, target binary, distinct long, n_background long, n_target long")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, add: float = 0.1, batch: int = 400) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, add: float = 0.1, size: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference; ``target_ids`` has the doc_id of the target documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = rows.count()
-    batches, buckets = max(1, -(-n // batch)), min(1 << 16, 2 * partitions(spark))
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long")
-    rows = rows.withColumn("batch", number)
-    target = target_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    target = target.select(F.col("doc_id").alias("target_id"), number.alias("target_batch"))
+    # rows that cannot be target documents are dealt by their text
+    rows, n, batches = batched(rows, "text", size, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
+    target = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
+    target = target.withColumn("target_batch", F.pmod(F.xxhash64("target_id"), F.lit(batches)).cast("long"))
+    buckets = min(1 << 16, 2 * partitions(spark))
     answers = materialise(gathered(rows, target, buckets), "grams")
-    release(spark)
     sums = answers.where("batch is null and kind = 0").agg(F.sum("distinct"), F.sum("n_background"), F.sum("n_target")).first()
     ends = n, rows.join(target.select(F.col("target_id").alias("doc_id")), "doc_id", "left_semi").count() if n else 0
     vocabulary = (sums[0] or 1) - 1  # without the start mark
