@@ -233,7 +233,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def verified(docs: DataFrame, found: DataFrame, reps: DataFrame, trees: int, depth: int, at: int, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links of the classes, verified on the whole sets: (rep, links) and spanning edges (a, b)."""
-    texts = found.select("rep").distinct().join(docs.select(F.col("row").alias("rep"), "text"), "rep")
+    wanted = materialise(found.select("rep").distinct(), "wanted")  # its size is known before the texts move
+    texts = docs.select(F.col("row").alias("rep"), "text").join(wanted, "rep")
     rows = found.select("task", "side", "tree", "rep").join(reps.select("rep", "copies", "n", "signature"), "rep").join(texts, "rep")
     rows = rows.repartition("task").sortWithinPartitions("task", "side", "rep")
     minima = trees * depth
