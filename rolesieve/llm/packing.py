@@ -1,8 +1,10 @@
 """Packing token sequences by cutting-stock column generation.
 
-A text's ids, closed by an end id, are cut into full sequences and one remainder.  Only
-the histogram of remainder lengths (at most ``capacity`` numbers, whatever the input)
-reaches the driver.  There a linear program over patterns, each a multiset of lengths
+A text's ids, closed by an end id, are cut into full sequences and one remainder.
+Remainders of at most a 32nd of a sequence are joined to bundles of about half a one, by
+running sums within salted groups, since the program's rounding to a 128th of a sequence
+would cost them dear; from there on a bundle counts as one remainder.  Only the
+histogram of lengths (at most ``capacity`` numbers, whatever the input) reaches the driver.  There a linear program over patterns, each a multiset of lengths
 that fits in a sequence, is solved by column generation: the duals of the restricted
 program price the lengths, and a knapsack dynamic program finds the pattern of greatest
 worth, until none is worth more than a sequence.  The solution is rounded down, what is
@@ -175,7 +177,7 @@ def largest_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[
     return out
 
 
-def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, grain: int = 16, tolerance: float = 1.5e-3):
+def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, grain: int = 16, tolerance: float = 1.5e-3) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
     """[(uses, pattern)] that meet the demand of each class exactly, and the classes.
 
     The program's rows are the lengths rounded up to ``grain``.  It ends when the bound
@@ -217,13 +219,29 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
     return chosen, classes
 
 
+def grain_of(capacity: int) -> int:
+    return max(1, capacity // 128)
+
+
+def bundled(short: DataFrame, capacity: int) -> DataFrame:
+    """Adds salt, bundle and at: runs of short remainders of about half a sequence, and each one's place in its run.
+
+    A run starts wherever the running sum of its salt passes the next multiple of half a
+    sequence less half a grain, so that two runs, rounded up, fill a sequence.
+    """
+    width = max(1, capacity // 2 - grain_of(capacity) // 2)
+    salted = short.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(2 * partitions(short.sparkSession))))
+    order = Window.partitionBy("salt").orderBy("doc_id", "start", "length", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    return salted.withColumn("at", F.coalesce(F.sum("length").over(order), F.lit(0))).withColumn("bundle", F.floor(F.col("at") / width))
+
+
 def assign(remainders: DataFrame, capacity: int) -> DataFrame:
-    """sequence_id and offset for each remainder (doc_id, start, length < capacity, ...)."""
+    """sequence_id and offset for each remainder or bundle (doc_id, start, length < capacity, ...)."""
     spark = remainders.sparkSession
     hist = remainders.groupBy("length").count().toPandas()  # at most ``capacity`` rows
     if hist.empty:
         return remainders.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    grain = 16
+    grain = grain_of(capacity)
     lengths, demand = hist["length"].to_numpy(), hist["count"].to_numpy()
     plan, classes = cutting_stock(lengths, demand, capacity, grain=grain)
     # slots of a class in the order of ranks: (first rank, uses, copies a use, first sequence)
@@ -250,22 +268,31 @@ def rank_within(rows: DataFrame, group: str, salts: int | None = None) -> DataFr
     that even one value that all rows share is counted and numbered in many tasks.
     """
     salts = salts or 2 * partitions(rows.sparkSession)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    counts = rows.groupBy(group, "salt").count()
-    before = F.sum("count").over(Window.partitionBy(group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(group, "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy(group, "salt").orderBy("doc_id", "start", "length")) - 1
-    return rows.withColumn("local", local).join(counts, [group, "salt"]).withColumn("rank", F.col("before") + F.col("local")).drop("salt", "local", "before")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(salts)))
+    counts = rows.groupBy(group, "deal").count()
+    before = F.sum("count").over(Window.partitionBy(group).orderBy("deal").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, "deal", F.coalesce(before, F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy(group, "deal").orderBy("doc_id", "start", "length")) - 1
+    return rows.withColumn("local", local).join(counts, [group, "deal"]).withColumn("rank", F.col("before") + F.col("local")).drop("deal", "local", "before")
 
 
 def pack_documents(docs: DataFrame, model: str, capacity: int = 2048, end: int = 1) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Full pieces are sequences of their own, numbered after those of the remainders by
-    negative ids.  Ties are ordered by doc_id and start; an empty table gives no rows;
-    further columns are ignored; a null doc_id is packed like any other.
+    negative ids.  Ties are ordered by doc_id and start; repeated rows are packed each; an
+    empty table gives no rows; further columns are ignored; a null doc_id is packed like any other.
     """
     cut = materialise(pieces(docs, model, capacity, end), "pieces")
     full = rank_within(cut.where(F.col("length") == capacity).withColumn("one", F.lit(0)), "one")
     full = full.select(*cut.columns, (-F.col("rank") - 1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return assign(cut.where(F.col("length") < capacity), capacity).unionByName(full)
+    none = F.lit(None).cast("long")
+    long = cut.where((F.col("length") < capacity) & (F.col("length") > capacity // 32)).withColumn("salt", none)
+    short = materialise(bundled(cut.where((F.col("length") < capacity) & (F.col("length") <= capacity // 32)), capacity), "short")
+    bundles = short.groupBy("salt", "bundle").agg(F.sum("length").alias("length"))
+    bundles = bundles.select(none.alias("doc_id"), F.col("bundle").alias("start"), "length", none.alias("ids_crc32"), none.alias("doc_tokens"), "salt")
+    placed = materialise(assign(long.unionByName(bundles), capacity), "placed")
+    base = short.groupBy("salt", "bundle").agg(F.min("at").alias("base"))
+    to = placed.where("salt is not null").select("salt", F.col("start").alias("bundle"), "sequence_id", "offset").join(base, ["salt", "bundle"])
+    short = short.join(to, ["salt", "bundle"]).select(*cut.columns, "sequence_id", (F.col("offset") + F.col("at") - F.col("base")).alias("offset"))
+    return placed.where("salt is null").select(*full.columns).unionByName(short).unionByName(full)
