@@ -7,11 +7,14 @@ Cb and LCb those of the body, every zero taken as one.  A node's sum is that of
 children's densities; the subtree of greatest sum is the article.  The least density on
 its path up to the body is the threshold: inside it, blocks that hold links and fall
 below go.  What the markup itself gives as no article (navigation, headers, footers,
-asides, forms, hidden parts) never counts, nor does what a whole token of its class, id or
-role names so (adverts, comments ...), unless it holds the article or most of the text.
+asides, forms, hidden parts) never counts.  Densities choose the article before any name is
+looked at; then, off its path, what a whole token of its class, id or role names as
+something else (adverts, comments ...) goes, and the choice is made once more on the rest.
+A name never counts against an element that holds the article or most of the text.
 
-Null and empty pages give an empty text; broken markup is closed as browsers do; repeated
-rows are extracted each; further columns are ignored.
+Null and empty pages give an empty text; broken markup is closed as browsers do, unclosed
+quotes included; repeated rows are extracted each; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)>|([^<]+|<)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Elements whose content is not text of the page.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "dialog", "menu", "datalist", "input", "label", "fieldset", "audio", "video"}
@@ -42,10 +46,12 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dial
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "density")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "within", "density")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
         self.tag, self.parent, self.noise, self.named = tag, parent, noise, False
+        #: Whether it is or stands inside an article.
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
@@ -73,33 +79,35 @@ def is_named(tag: str, attributes: str) -> bool:
     return False
 
 
-def drop_named(root: Node) -> None:
-    """Makes noise of what its name gives as such, unless it holds the article or, where none is marked up, most of the text."""
-    nodes, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        if not n.noise:
-            nodes.append(n)
-            stack += [c for c in n.children if isinstance(c, Node)]
-    if not any(n.named for n in nodes):
-        return
-    chars, holds = {}, {}
+def drop_named(root: Node, best: Node) -> bool:
+    """Makes noise of what its name gives as such off the path of ``best``; whether there was any.
+
+    Spared is what holds the article or, where none is marked up, most of the text.
+    """
+    path, up = set(), best
+    while up:
+        path.add(up)
+        up = up.parent
+    nodes = preorder(root)
+    if not any(n.named and n not in path for n in nodes):
+        return False
+    holds: dict[Node, bool] = {}
     for n in reversed(nodes):  # children before parents
-        inner = [c for c in n.children if isinstance(c, Node) and not c.noise]
-        chars[n] = sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) + sum(chars[c] for c in inner)
-        holds[n] = n.tag in ("article", "main") or any(holds[c] for c in inner)
+        holds[n] = n.tag in ("article", "main") or any(holds.get(c, False) for c in n.children if isinstance(c, Node))
+    changed = False
     for n in nodes:  # parents before children
         if n.parent and n.parent.noise:
             n.noise = True
-        elif n.named:
-            n.noise = not holds[n] and (holds[root] or 2 * chars[n] <= chars[root])
+        elif n.named and n not in path and not holds[n] and (holds[root] or 2 * n.chars <= root.chars):
+            n.noise = changed = True
+    return changed
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text stays as strings among the children."""
     root = Node("body", None, False)
-    at, position = root, 0
-    while m := TAGS.search(page, position):
+    at, position, last = root, 0, page.rfind(">")
+    while position <= last and (m := TAGS.search(page, position)):
         position = m.end()
         close, tag, attributes, text = m.groups()
         if text:
@@ -129,7 +137,7 @@ def parse(page: str) -> Node:
                         at = up.parent
                         break
                     up = up.parent
-            node = Node(tag, at, at.noise or is_noise(tag, attributes, _within(at, "article") or _within(at, "main")))
+            node = Node(tag, at, at.noise or is_noise(tag, attributes, at.within))
             node.named = is_named(tag, attributes)
             at.children.append(node)
             if tag not in VOID and not attributes.rstrip().endswith("/"):
@@ -143,18 +151,11 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.parent:
                 at = up.parent
-    drop_named(root)
+    if position < len(page):  # no tag ends here any more
+        at.children.append(UNFINISHED.split(page[position:], maxsplit=1)[0])
     return root
 
 
-def _within(node: Node | None, tag: str) -> bool:
-    while node:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def preorder(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -169,6 +170,8 @@ def main_node(root: Node) -> tuple[Node, float]:
     """The subtree of greatest density sum and the threshold of its path."""
     nodes = preorder(root)
     for n in reversed(nodes):  # children before parents
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.density = 0.0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += len("".join(c.split()))
@@ -205,7 +208,10 @@ def extract(page: str) -> str:
     """Blocks of the article, white space in each made one space, joined by an empty line."""
     if not page:
         return ""
-    best, threshold = main_node(parse(page))
+    root = parse(page)
+    best, threshold = main_node(root)
+    if drop_named(root, best):
+        best, threshold = main_node(root)
     blocks: list[str] = []
     words: list[str] = []
 
