@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample is tied to its nearest neighbours; the neighbour graph is cut into
-partitions of equal size by moving vertices to where most of their neighbours are as
-long as there is room.  A small network learns the partition of a vector; it files
-every row of the table, and sends a query to its most probable partitions, whose rows
-are reranked by exact cosine.  How many partitions a query tries is set on part of the
-sample that the network has not seen: the least number that finds ``recall`` of the true
-neighbours there.  Partitions that hold very many rows are cut into blocks.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, neither
-do queries of another length than the sample's commonest.  Ties go to the smaller vec_id;
-with repeated vec_ids each row is a candidate but never of its own vec_id; fewer than
-``k`` candidates give fewer rows, an empty table none.
+Vectors of one length are an index of their own.  A bounded sample of it (``per_part``
+rows for each partition, ``most`` at most) is tied to its nearest neighbours; the neighbour
+graph is cut into partitions of equal size by moving vertices to where most of their
+neighbours are as long as there is room.  A small network learns the partition of a
+vector; it files every row of the table, and sends a query to its most probable
+partitions, whose rows are reranked by exact cosine.  The partitions grow with the square
+root of the rows.  How many of them a query tries is set on part of the sample that the
+network has not seen: the least number that finds ``recall`` of the true neighbours
+there.  Partitions of very many rows, and the queries that try one, are cut into blocks.
+A length with too few rows in the sample is one partition, searched whole.  A query that
+found fewer than ``k`` in its partitions is asked once more, in all of them.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do
+null vec_ids.  Ties go to the smaller vec_id; with repeated vec_ids each row is a query and
+a candidate of its own, but never a candidate for its own vec_id; fewer than ``k``
+candidates give fewer rows, an empty table none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,17 +127,16 @@ def fit_router(x: np.ndarray, label: np.ndarray, graph: np.ndarray, parts: int,
     return layers
 
 
-def train(vectors: DataFrame, parts: int, k: int, recall: float, sample: int) -> tuple[int, Router | None]:
-    """(length of vectors, router) from at most ``sample`` rows, the first by a hash of vec_id."""
-    some = vectors.withColumn("at", F.xxhash64("vec_id", F.lit(6))).orderBy("at", "vec_id").limit(sample).select("v").toPandas()["v"]
-    if some.empty:
-        return 0, None
-    dims = int(some.map(len).mode()[0])
-    x = unit([v for v in some if len(v) == dims])
+def one_partition(dims: int) -> Router:
+    return Router([np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
+
+
+def train_one(x: np.ndarray, parts: int, k: int, recall: float) -> Router:
+    """The router of a sample of unit vectors."""
     parts = max(1, min(parts, len(x) // 20))
     if parts == 1:
-        return dims, Router([np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
-    test = max(20, len(x) // 5)
+        return one_partition(x.shape[1])
+    test = min(2000, max(20, len(x) // 5))
     seen, held = x[test:], x[:test]
     graph = neighbours(seen, min(10, len(seen) - 1))
     label = balanced_partition(graph, seen, parts)
@@ -144,29 +147,49 @@ def train(vectors: DataFrame, parts: int, k: int, recall: float, sample: int) ->
     tried = np.take_along_axis(place, true, 1)
     share = [(tried < p).mean() for p in range(1, parts + 1)]
     router.probes = 1 + int(np.argmax(np.array(share) >= min(recall, share[-1])))
-    return dims, router
+    return router
+
+
+def train(vectors: DataFrame, k: int, recall: float, per_part: int, most: int) -> dict[int, Router]:
+    """A router for each length of vector in the sample, its rows the first by a hash of vec_id."""
+    n = vectors.count()
+    some = vectors.withColumn("at", F.xxhash64("vec_id", F.lit(6))).orderBy("at", "vec_id").limit(sample_of(n, per_part, most)).select("v").toPandas()["v"]
+    out = {}
+    for dims, mine in some.groupby(some.map(len)):
+        out[int(dims)] = train_one(unit(mine), parts_of(n * len(mine) // len(some), len(mine), per_part), k, recall)
+    return out
+
 
+def parts_of(n: int, sampled: int, per_part: int) -> int:
+    """Partitions for n rows: 16, or the 14th of their square root, as far as the sample can tell them apart."""
+    return min(max(16, int(n**0.5 / 14)), max(1, sampled // per_part))
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, parts: int = 16, recall: float = 0.97, sample: int = 4000, block: int = 4096) -> DataFrame:
+
+def sample_of(n: int, per_part: int, most: int) -> int:
+    return min(most, per_part * max(16, int(n**0.5 / 14)))
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, per_part: int = 250, most: int = 40_000, block: int = 4096, asking: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id is divisible by ``every``."""
     good = usable(vectors)
-    dims, router = train(good, parts, k, recall, sample)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if router is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sent = vectors.sparkSession.sparkContext.broadcast(router)
+    routers = train(good, k, recall, per_part, most)
+    sent = vectors.sparkSession.sparkContext.broadcast(routers)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = sent.value
         for pdf in batches:
-            order = r.order(unit(pdf["v"])).astype(np.int32)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "part": order[:, 0], "probes": list(order[:, : r.probes])})
-
-    filed = materialise(good.where(F.size("v") == dims).mapInPandas(route, "vec_id long, v array<double>, part int, probes array<int>"), "filed")
-    blocks = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a partition
-    base = filed.join(F.broadcast(blocks), "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = filed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("probes").alias("part"))
-    asked = asked.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+            size = pdf["v"].map(len).to_numpy()
+            for d in np.unique(size):
+                part = pdf[size == d]
+                r = sent.value.get(int(d)) or one_partition(int(d))
+                order = r.order(unit(part["v"])).astype(np.int32)
+                yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "dims": int(d), "part": order[:, 0], "probes": list(order[:, : r.probes])})
+
+    routed = good.mapInPandas(route, "vec_id long, v array<double>, dims int, part int, probes array<int>")
+    filed = materialise(routed.withColumn("row", F.monotonically_increasing_id()), "filed")
+    queries = filed.where(F.col("vec_id") % every == 0)
+    blocks = filed.groupBy("dims", "part").agg(F.count("*").alias("n"))
+    blocks = blocks.select("dims", "part", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    base = filed.join(blocks, ["dims", "part"]).select("dims", "part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
 
     def rerank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -175,15 +198,36 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, parts: int = 16, rec
             order = np.argsort(ids, kind="stable")
             ids, m = ids[order], m[order]
             for lo in range(0, len(queries), 256):
-                q = queries["query_id"].to_numpy()[lo : lo + 256]
-                s = unit(queries["q"].iloc[lo : lo + 256]) @ m.T
+                part = queries.iloc[lo : lo + 256]
+                q = part["query_id"].to_numpy()
+                s = unit(part["q"]) @ m.T
                 s[q[:, None] == ids] = -np.inf
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, best, 1)
                 ok = score > -np.inf
-                out.append(pd.DataFrame({"query_id": np.repeat(q, best.shape[1])[ok.ravel()], "vec_id": ids[best][ok], "score": score[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = asked.withColumnsRenamed({"part": "asked_part", "block": "asked_block"}).groupBy("asked_part", "asked_block").cogroup(base.groupBy("part", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                of = np.broadcast_to(np.arange(len(q))[:, None], best.shape)[ok]
+                out.append(pd.DataFrame({"row": part["row"].to_numpy()[of], "query_id": q[of], "vec_id": ids[best][ok], "score": score[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
+
+    def ask(pairs: DataFrame) -> DataFrame:
+        """The ``k`` best of (row, query_id, q, dims, part) by query row; the pairs of a partition are dealt to blocks of queries."""
+        load = pairs.groupBy("dims", "part").agg(F.ceil(F.count("*") / asking).cast("int").alias("shares"))
+        pairs = pairs.join(blocks, ["dims", "part"]).join(load, ["dims", "part"])
+        pairs = pairs.select("row", "query_id", "q", "dims", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share"))
+        rows = base.join(load, ["dims", "part"]).select("dims", "part", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v")
+        keys = ["dims", "part", "block", "share"]
+        asked = pairs.withColumnsRenamed({x: f"asked_{x}" for x in keys})
+        found = asked.groupBy(*(f"asked_{x}" for x in keys)).cogroup(rows.groupBy(*keys)).applyInPandas(rerank, "row long, query_id long, vec_id long, score double")
+        best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    asked = queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dims", F.explode("probes").alias("part"))
+    first = materialise(ask(asked), "nearest")
+    full = first.groupBy("row").count().where(F.col("count") >= k).select("row")
+    short = queries.join(full, "row", "left_anti").select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dims")
+    out = ["query_id", "rank", "vec_id", "score"]
+    if short.isEmpty():
+        return first.select(*out)
+    short = materialise(short, "short")
+    again = ask(short.join(blocks.select("dims", "part"), "dims"))
+    return first.join(short.select("row"), "row", "left_anti").select(*out).unionByName(again.select(*out))
