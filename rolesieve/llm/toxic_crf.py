@@ -1,14 +1,20 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Sequences are the lines of a text (cut after ``MAX_TOKENS`` tokens), tags are toxic and
-other.  A token's emission is the sum of the weights of its word, its prefixes and its
-suffix (hashed); transitions link neighbouring tags.  Tokens are labelled from the
-document labels: in a toxic training document, those whose word or prefix is far more
-frequent in toxic than in other training documents.  The model and the document
-regression over its marginals are fitted on a bounded sample of labelled rows
-(``sample``, the smallest by a hash of doc_id); every text is scored whole.
+Sequences are the lines of a text, whole, tags are toxic and other.  A token's emission is
+the sum of the weights of its word, its prefixes, its suffix and its shape (hashed), of
+whether it repeats the word before it, and of its neighbouring words; transitions link
+neighbouring tags.  Tokens are labelled from the document labels: in a toxic training
+document, those with a word, prefix, shape or repetition far more frequent in toxic than in
+other training documents.  The model and the document regression over its marginals are
+fitted on a bounded sample of labelled rows (``sample``, the smallest by a hash of doc_id);
+every text is scored whole.
+
+Long lines are laid out in rows of ``ROW`` tokens; what a row passes on to the next is a
+product of 2 x 2 matrices, so the marginals are those of the whole line.
 
 Null and empty texts have no tokens; their score is that of a document without toxic mass.
+Every row is scored, whatever its doc_id; an empty table gives no rows; further columns
+are ignored.  A doc_id with labels of both kinds teaches nothing.
 """
 
 from __future__ import annotations
@@ -24,27 +30,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolesieve.llm.jaccard_forest import shingle_set
+
 TOKEN = re.compile(r"\w+|\n")
-MAX_TOKENS = 64
-BUCKETS = 1 << 18
+#: Tokens in a row of the layout.
+ROW = 64
+BUCKETS = 1 << 20
+
+
+def shape(token: str) -> str:
+    """^ for a token all in capitals, ^~ for capitals inside, nothing for other tokens."""
+    if len(token) > 1 and token.isupper():
+        return "^"
+    return "^~" if any(c.isupper() for c in token[1:]) else ""
+
 
+def parts(token: str) -> list[str]:
+    """The word, its prefixes and its shape, by which tokens are labelled and weighed."""
+    word = token.lower()
+    out = ["=" + word, *(word[:k] for k in range(4, min(9, len(word))))]
+    return [*out, shape(token)] if shape(token) else out
 
-def parts(word: str) -> list[str]:
-    """The word and its prefixes, by which tokens are labelled and weighed."""
-    return ["=" + word, *(word[:k] for k in range(4, min(9, len(word))))]
 
+#: The part of a token that repeats the one before it.
+REPEATS = "="
 
-def features(word: str) -> list[int]:
-    return [zlib.crc32(x.encode()) % BUCKETS for x in (*parts(word), "-" + word[-3:])]
+
+def hashed(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def features(token: str) -> list[int]:
+    return [hashed(x) for x in (*parts(token), "-" + token.lower()[-3:])]
 
 
 @dataclass
 class Sequences:
-    """Token emissions of many texts laid out as a matrix, one sequence a row."""
+    """Token emissions of many texts laid out as a matrix; a sequence is one row or several in turn."""
 
     token_row: np.ndarray  # of each token
     token_col: np.ndarray
     length: np.ndarray  # of each row
+    goes_on: np.ndarray  # whether a row is followed by the next in its sequence
 
     @staticmethod
     def of(breaks: np.ndarray) -> Sequences:
@@ -53,11 +80,48 @@ class Sequences:
         start = np.flatnonzero(breaks)
         line = np.cumsum(breaks) - 1
         col = np.arange(n) - start[line] if n else np.zeros(0, int)
-        more = (col % MAX_TOKENS == 0) & (col > 0)
+        more = (col % ROW == 0) & (col > 0)
         row = np.cumsum(breaks | more) - 1
-        col = col % MAX_TOKENS
         length = np.bincount(row, minlength=row[-1] + 1 if n else 0)
-        return Sequences(row, col, length)
+        goes_on = np.zeros(len(length), bool)
+        goes_on[row[more] - 1] = True
+        return Sequences(row, col % ROW, length, goes_on)
+
+    def passed_on(self, e: np.ndarray, place: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row (in layout order) the odds that reach it from the row before and the row after; nan at the ends."""
+        t, n = e.shape
+        ahead, back = np.full(n, np.nan), np.full(n, np.nan)
+        whole = np.flatnonzero(self.goes_on)
+        if not len(whole):
+            return ahead, back
+        inside = np.unique(np.concatenate([whole, whole + 1]))
+        length, more = self.length[inside], self.goes_on[inside]
+        start = np.r_[True, ~more[:-1]]
+        grow, w = e[:, place[inside]], np.exp(trans)
+        # each row as one step, from the tag before it to that of its last token; no tag stands before a line
+        one = np.zeros((len(inside), 2, 2))
+        one[:, 0, 0] = one[:, 1, 1] = 1
+        one[start] = np.stack([np.ones((start.sum(), 2)), np.repeat(grow[0, start][:, None], 2, 1)], 2)
+        for k in range(t):
+            at = np.flatnonzero((length > k) & ~(start & (k == 0)))
+            if len(at):
+                new = one[at, :, :1] * w[0] + one[at, :, 1:] * w[1]
+                new[:, :, 1] *= grow[k, at][:, None]
+                one[at] = new / new.max((1, 2), keepdims=True)
+        depth = np.arange(len(inside)) - np.maximum.accumulate(np.where(start, np.arange(len(inside)), 0))
+        after = one[:, 0, :].copy()  # of the rows that start a line: weights of the tags at their ends
+        upto = np.ones((len(inside), 2))  # weights of the tags before the row
+        by_depth = [np.flatnonzero(depth == k) for k in range(depth.max() + 1)]
+        for at in by_depth[1:]:
+            ahead[place[inside[at]]] = after[at - 1, 1] / after[at - 1, 0]
+            v = (after[at - 1][:, :, None] * one[at]).sum(1)
+            after[at] = v / v.max(1, keepdims=True)
+        for at in by_depth[:0:-1]:
+            last = np.where(more[at][:, None], upto[np.minimum(at + 1, len(inside) - 1)], 1.0)
+            u = (one[at] * last[:, None, :]).sum(2)
+            upto[at] = u / u.max(1, keepdims=True)
+            back[place[inside[at - 1]]] = upto[at, 1] / upto[at, 0]
+        return ahead, back
 
     def marginals(self, emission: np.ndarray, trans: np.ndarray, pairs: bool = False):
         """P(toxic) of each token by forward-backward; with ``pairs`` also the expected transition counts."""
@@ -66,35 +130,68 @@ class Sequences:
         place[order] = np.arange(len(order))
         ln = self.length[order]
         n, t = len(order), int(ln[0]) if len(order) else 0
-        e = np.zeros((t, n))
-        e[self.token_col, place[self.token_row]] = emission
+        e = np.ones((t, n))  # odds, not logarithms: a step is then a quotient of two sums, bounded by those of the transitions
+        e[self.token_col, place[self.token_row]] = np.exp(np.clip(emission, -30, 30))
         live = np.searchsorted(-ln, -np.arange(t), side="left")  # rows longer than each column
-        w00, w01, w10, w11 = trans.ravel()
-        fwd, bwd = np.zeros((t, n)), np.zeros((t, n))
+        trans = np.clip(trans - trans.max(), -30, 0)
+        w00, w01, w10, w11 = np.exp(trans).ravel()
+        fwd, bwd = np.ones((t, n)), np.ones((t, n))
+        ahead, back = self.passed_on(e, place, trans)
         if t:
             fwd[0] = e[0]
+            on = np.flatnonzero(~np.isnan(ahead))
+            fwd[0, on] *= (ahead[on] * w11 + w01) / (ahead[on] * w10 + w00)
+            on = np.flatnonzero(~np.isnan(back))
+            bwd[ln[on] - 1, on] = back[on]
         for k in range(1, t):
-            m = live[k]
-            a = fwd[k - 1, :m]
-            fwd[k, :m] = np.logaddexp(a + w11, w01) - np.logaddexp(a + w10, w00) + e[k, :m]
+            a = fwd[k - 1, : live[k]]
+            fwd[k, : live[k]] = (a * w11 + w01) / (a * w10 + w00) * e[k, : live[k]]
         for k in range(t - 2, -1, -1):
-            m = live[k + 1]
-            b = bwd[k + 1, :m] + e[k + 1, :m]
-            bwd[k, :m] = np.logaddexp(b + w11, w10) - np.logaddexp(b + w01, w00)
+            b = bwd[k + 1, : live[k + 1]] * e[k + 1, : live[k + 1]]
+            bwd[k, : live[k + 1]] = (b * w11 + w10) / (b * w01 + w00)
         at = self.token_col, place[self.token_row]
-        marg = 1 / (1 + np.exp(-np.clip(fwd[at] + bwd[at], -60, 60)))
+        marg = fwd[at] * bwd[at]
+        marg /= 1 + marg
         if not pairs:
             return marg
         counts = np.zeros((2, 2))
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            each = np.stack([np.full(len(a), w00), b * w01, a * w10, a * b * w11])
+            counts[:] += (each / each.sum(0)).sum(1).reshape(2, 2)
+
         for k in range(1, t):
-            m = live[k]
-            a, b = fwd[k - 1, :m], bwd[k, :m] + e[k, :m]
-            logs = np.stack([np.zeros(m) + w00, b + w01, a + w10, a + b + w11])
-            logs = np.exp(logs - logs.max(0))
-            counts += (logs / logs.sum(0)).sum(1).reshape(2, 2)
+            add(fwd[k - 1, : live[k]], bwd[k, : live[k]] * e[k, : live[k]])
+        left = np.flatnonzero(self.goes_on)
+        if len(left):
+            right = place[left + 1]
+            add(fwd[self.length[left] - 1, place[left]], bwd[0, right] * e[0, right])
         return marg, counts
 
 
+def following(words: list[str], starts: np.ndarray) -> np.ndarray:
+    """Whether each token is, case apart, the one before it in its line."""
+    low = [w.lower() for w in words]
+    same = np.fromiter((a == b for a, b in zip(low[1:], low)), bool, max(0, len(low) - 1))
+    return np.r_[False, same][: len(low)] & ~starts
+
+
+def tokens_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tokens without line ends, document of each, whether each starts a line)."""
+    words: list[str] = []
+    size = []
+    for t in texts:
+        toks = TOKEN.findall(t)
+        words += toks
+        size.append(len(toks))
+    doc = np.repeat(np.arange(len(texts)), size)
+    ends = np.fromiter((w == "\n" for w in words), bool, len(words))
+    line = np.cumsum(ends)[~ends]
+    doc = doc[~ends]
+    starts = np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+    return [w for w in words if w != "\n"], doc, starts
+
+
 @dataclass
 class ToxicModel:
     weights: np.ndarray
@@ -103,39 +200,41 @@ class ToxicModel:
     base: float = -3.0  # of every emission: tokens are mostly not toxic
     cache: dict = field(default_factory=dict)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > 150_000:
-            cache.clear()
-        get = cache.get
-        out = [get(w) for w in words]
-        if None in out:
-            for i, e in enumerate(out):
-                if e is None:
+    def known(self, words: list[str]) -> np.ndarray:
+        """Rows (own, as the word before, as the word after) of the weights of each token."""
+        number, table = self.cache.setdefault("number", {}), self.cache.setdefault("table", [])
+        if len(number) > 150_000:
+            number.clear()
+            table.clear()
+        get = number.get
+        at = [get(w) for w in words]
+        if None in at:
+            for i, k in enumerate(at):
+                if k is None:
                     w = words[i]
-                    out[i] = cache[w] = get(w) if w in cache else float(self.weights[features(w)].sum())
-        return np.array(out, dtype=np.float64) + self.base
+                    k = get(w)
+                    if k is None:
+                        k = number[w] = len(table)
+                        low = w.lower()
+                        table.append((float(self.weights[features(w)].sum()), float(self.weights[hashed("<" + low)]), float(self.weights[hashed(">" + low)])))
+                    at[i] = k
+        return np.array(table)[at]
+
+    def emissions(self, words: list[str], starts: np.ndarray) -> np.ndarray:
+        own, before, after = self.known(words).T
+        inside = ~starts[1:]
+        out = own + self.base + self.weights[hashed(REPEATS)] * following(words, starts)
+        out[1:] += np.where(inside, before[:-1], 0)
+        out[:-1] += np.where(inside, after[1:], 0)
+        return out
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document of each token, number of the token in its text, P(toxic))."""
-        words, doc, breaks = [], [], []
-        for t in texts:
-            toks = TOKEN.findall(t.lower())
-            words += toks
-            doc.append(len(toks))
+        words, doc, starts = tokens_of(texts)
         if not words:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        em = self.emissions(words)
-        doc = np.repeat(np.arange(len(texts)), doc)
-        line_end = np.array([w == "\n" for w in words])
-        breaks = np.r_[True, line_end[:-1]] | np.r_[True, doc[1:] != doc[:-1]]
-        keep = ~line_end
-        # a break before a line end moves on to the next token that is kept
-        group = np.cumsum(breaks)[keep]
-        doc, em = doc[keep], em[keep]
-        starts = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        p = Sequences.of(starts).marginals(em, self.trans) if len(em) else em
-        first = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1] if len(doc) else np.zeros(0, int)
+        p = Sequences.of(starts).marginals(self.emissions(words, starts), self.trans)
+        first = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
         nth = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
         return doc, nth, p
 
@@ -154,66 +253,89 @@ class ToxicModel:
         return 1 / (1 + np.exp(-self.summary(texts, tagged) @ self.regression))
 
 
-def label_parts(words: list[list[str]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> set[str]:
-    """Words and prefixes far more frequent in toxic documents than in the others."""
+def label_parts(sets: list[set[str]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> set[str]:
+    """Parts far more frequent in toxic documents than in the others."""
     inside, outside = Counter(), Counter()
-    for each, y in zip(words, toxic):
+    for each, y in zip(sets, toxic):
         if y:
-            inside.update({x for w in each for x in parts(w)})
+            inside.update(each)
     inside = Counter({x: c for x, c in inside.items() if c >= least})
-    for each, y in zip(words, toxic):
+    for each, y in zip(sets, toxic):
         if not y:
-            outside.update({x for w in each for x in parts(w) if x in inside})
+            outside.update(each & inside.keys())
     ratio = (toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1)
     expected = {x: ratio * (outside[x] + 0.5) for x in inside}  # were it as frequent there as in the others
     return {x for x, c in inside.items() if np.log(c / expected[x]) > odds and c - expected[x] > 4 * (expected[x] + 1) ** 0.5}
 
 
+def copies_once(texts: list[str], toxic: np.ndarray) -> list[int]:
+    """Places of the texts without copies of one another (of one label and least 5-word run), which would make hints of chance words."""
+    seen: dict = {}
+    for i, (t, y) in enumerate(zip(texts, toxic)):
+        runs = shingle_set(t)
+        seen.setdefault((bool(y), int(runs[0]) if len(runs) else None), i)
+    return list(seen.values())
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 60, rate: float = 0.5) -> ToxicModel:
     """Train the field on tokens labelled from the documents, then the document regression.
 
     ``share``: the part of toxic rows among all labelled ones, where ``texts`` has another.
     """
     toxic = np.asarray(toxic).astype(bool)
+    one = copies_once(texts, toxic)
+    texts, toxic = [texts[i] for i in one], toxic[one]
     vocab: dict[str, int] = {}
-    ids, breaks, gold, sets = [], [], [], []
-    for text, y in zip(texts, toxic):
-        words = TOKEN.findall(text.lower())
-        at = np.fromiter((-1 if w == "\n" else vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
-        first = np.r_[True, at[:-1] < 0][: len(at)]
-        # the first word after any run of line ends starts a sequence
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
-        keep = at >= 0
-        line = run[keep]
-        ids.append(at[keep])
-        breaks.append(np.r_[True, line[1:] != line[:-1]][: len(line)])
-        gold.append(np.full(len(line), y))
-        sets.append(np.unique(at[keep]))
+    found = []
+    for text in texts:  # one at a time, so that only numbers of tokens add up
+        words, _, starts = tokens_of([text])
+        found.append((np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)), starts))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x, _ in found])
+    ids, starts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, bool))
     names = list(vocab)
-    hints = label_parts([[names[i] for i in x] for x in sets], toxic)
-    ids, breaks, gold = (np.concatenate(x) if x else np.zeros(0, int) for x in (ids, breaks, gold))
+    lower: dict[str, int] = {}
+    folded = np.array([lower.setdefault(w.lower(), len(lower)) for w in names] or [0], np.int32)[ids]
+    again = np.r_[False, folded[1:] == folded[:-1]][: len(ids)] & ~starts
+    del found, lower, folded
+    of = [frozenset(parts(w)) for w in names]
+    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sets = [set().union(*(of[i] for i in np.unique(ids[a:b]))) | ({REPEATS} if again[a:b].any() else set()) for a, b in zip(edge[:-1], edge[1:])]
+    hints = label_parts(sets, toxic)
     del sets
     model = ToxicModel(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(7))
-    hinted = np.array([any(x in hints for x in parts(w)) for w in vocab] or [False])
-    if not len(ids) or not hinted.any():
+    hinted = np.array([not hints.isdisjoint(x) for x in of] or [False])
+    if not len(ids) or not (hinted.any() or REPEATS in hints):
         share = toxic.mean() if share is None and len(toxic) else share or 0.0
         model.regression[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
-    gold = gold.astype(bool) & hinted[ids]
-    seq = Sequences.of(breaks)
-    follows = np.flatnonzero(seq.token_row[1:] == seq.token_row[:-1])
+    gold = toxic[doc] & (hinted[ids] | (again & (REPEATS in hints)))
+    del doc, of
+    seq = Sequences.of(starts)
+    follows = np.flatnonzero(~starts[1:])
     seen = np.bincount(2 * gold[follows] + gold[follows + 1], minlength=4).reshape(2, 2)
-    feats = [features(w) for w in vocab]
+    feats = [features(w) for w in names]
     flat, owner = np.concatenate(feats).astype(np.int32), np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
+    before, after = (np.array([hashed(mark + w.lower()) for w in names], np.int32) for mark in "<>")
+    repeats = hashed(REPEATS)
+    decay = np.full(BUCKETS, 0.01)
+    decay[before] = decay[after] = 2.0  # a toxic word has chance neighbours
+    decay[flat] = 0.01
     del feats, vocab, names
     n_words = len(hinted)
     g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    model.weights[:] = 0
+    here, there = ids[follows], ids[follows + 1]
     for _ in range(rounds):
         per_word = np.bincount(owner, weights=model.weights[flat], minlength=n_words) + model.base
-        p, pairs = seq.marginals(per_word[ids], model.trans, pairs=True)
-        miss = np.bincount(ids, weights=gold - p, minlength=n_words)
-        grad = np.bincount(flat, weights=miss[owner], minlength=BUCKETS) - 0.01 * model.weights
+        em = per_word[ids] + model.weights[repeats] * again
+        em[follows + 1] += model.weights[before][here]
+        em[follows] += model.weights[after][there]
+        p, pairs = seq.marginals(em, model.trans, pairs=True)
+        miss = gold - p
+        grad = np.bincount(flat, weights=np.bincount(ids, weights=miss, minlength=n_words)[owner], minlength=BUCKETS)
+        grad += np.bincount(before, weights=np.bincount(here, weights=miss[follows + 1], minlength=n_words), minlength=BUCKETS)
+        grad += np.bincount(after, weights=np.bincount(there, weights=miss[follows], minlength=n_words), minlength=BUCKETS)
+        grad[repeats] += miss[again].sum()
+        grad -= decay * model.weights
         tgrad = seen - pairs - 0.01 * model.trans
         g2 += grad**2
         t2 += tgrad**2
@@ -239,7 +361,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, t
     A row with doc_id d is in the test fold if crc32(d as text) mod ``fold`` is ``test``;
     null labels and doc_ids, and texts that are null, teach nothing.
     """
-    seen = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != test)).dropDuplicates(["doc_id"])
+    seen = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != test)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     seen = seen.withColumn("at", F.xxhash64("doc_id"))
     picked = [seen.where(F.col("label") == y).orderBy("at", "doc_id").limit(sample[y]).select("doc_id", "label") for y in (0, 1)]
     return texts_of(docs, picked[0].unionAll(picked[1]))
@@ -281,12 +403,9 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3)
                 doc, nth, p = tagged
                 hot = np.flatnonzero(p > 0.5)
                 for d in np.unique(doc[hot]):
-                    at = [x.span() for x in re.finditer(r"\w+", texts[d].lower())] if len(texts[d].lower()) == len(texts[d]) else [x.span() for x in re.finditer(r"\w+", "".join(c.lower()[:1] for c in texts[d]))]
-                    mine = hot[doc[hot] == d]
-                    for i in mine:
+                    at = [x.span() for x in TOKEN.finditer(texts[d]) if x[0] != "\n"]  # the scan that made the tokens
+                    for i in hot[doc[hot] == d]:
                         k = int(nth[i])
-                        if k >= len(at):
-                            continue
                         (a, b), q = at[k], float(p[i])
                         if spans[d] and spans[d][-1]["nth"] == k - 1:
                             spans[d][-1].update(end=b, nth=k, score=max(q, spans[d][-1]["score"]))
