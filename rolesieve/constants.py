@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Sentinels, notices and scales.
 ALL_SCOPE = "__ALL__"
 MASK_CHAR = "•"
 MASK_PLACEHOLDER = "•" * 16
@@ -123,6 +124,8 @@ FLAG_WORDS = {
     "has_legal": r"(nghị định|thông tư|điều\s+\d+|luật|hợp đồng|quyết định số)",
     "has_strategic": r"(chiến lược|kế hoạch mở rộng|sáp nhập|m&a|định hướng|roadmap)",
 }
+#: The same as whole words, in a form that both engines read alike.
+FLAG_PATTERNS = {flag: rf"(?:^|[^\p{{L}}\p{{N}}_]){words}(?:$|[^\p{{L}}\p{{N}}_])" for flag, words in FLAG_WORDS.items()}
 
 # Words by which a question names an entity label.
 LABEL_ALIASES = {
@@ -152,3 +155,57 @@ DIRECTOR_REDACTIONS = [
     (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[EMAIL ĐÃ ẨN]"),
     (r"\b\d{9}(?:\d{3})?\b", "[CCCD ĐÃ ẨN]"),
 ]
+
+# Typed patterns of personal data with their scores, in order of precedence.
+PII_PATTERNS = [
+    ("PERSON_NAME", 0.8, r"\b(?:Nguyễn|Trần|Lê|Phạm|Hoàng|Huỳnh|Phan|Vũ|Võ|Đặng|Bùi|Đỗ|Hồ|Ngô|Dương|Lý)(?:\s+[A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂĐƠƯ][a-zàáâãèéêìíòóôõùúýăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]+){1,3}\b"),
+    ("PHONE_NUMBER", 0.85, r"\b(?:\+84|0)(?:3[2-9]|5[6-9]|7[0-9]|8[0-9]|9[0-9])[\s\-]?\d{3}[\s\-]?\d{3}\b"),
+    ("SALARY_AMOUNT", 0.85, r"\b\d{1,3}(?:[.,]\d{3})+\s*(?:VND|đồng|vnđ)\b"),
+    ("ADDRESS", 0.75, r"(?:Số\s+\d+[^,\n]{0,30}(?:đường|phố|ngõ|ngách)[^,\n]{0,40}|(?:Căn hộ|Phòng)\s+\w+[^,\n]{0,60})"),
+    ("CCCD_CMND", 0.7, r"\b\d{9}(?:\d{3})?\b"),
+    ("EMAIL_ADDRESS", 0.9, r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"),
+    ("BANK_ACCOUNT", 0.5, r"\b\d{10,19}\b"),
+    ("IP_ADDRESS", 0.8, r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    ("DATE_OF_BIRTH", 0.65, r"\b(?:0[1-9]|[12]\d|3[01])[/\-](?:0[1-9]|1[0-2])[/\-](?:19|20)\d{2}\b"),
+    ("PASSPORT", 0.6, r"\b[A-Z]\d{7,8}\b"),
+]
+
+# The rules a new store starts with: key, name, group, source of detection, action, sensitivity, flags.
+DEFAULT_RULES = [
+    ("credential", "Thông tin xác thực", "Bảo mật", "regex", "block", 5, ["has_credential"]),
+    ("password", "Mật khẩu", "Bảo mật", "gliner", "block", 5, ["has_credential"]),
+    ("api_key", "API key", "Bảo mật", "regex", "block", 5, ["has_credential"]),
+    ("token", "Token", "Bảo mật", "regex", "block", 5, ["has_credential"]),
+    ("salary", "Lương", "Nhân sự & Tài chính", "gliner", "mask", 4, ["has_financial", "has_hr"]),
+    ("bonus", "Tiền thưởng", "Nhân sự & Tài chính", "gliner", "mask", 4, ["has_financial", "has_hr"]),
+    ("income", "Thu nhập", "Nhân sự & Tài chính", "gliner", "mask", 4, ["has_financial", "has_hr"]),
+    ("payroll", "Bảng lương", "Nhân sự & Tài chính", "gliner", "mask", 4, ["has_financial", "has_hr"]),
+    ("bank_account", "Tài khoản ngân hàng", "Tài chính", "regex", "mask", 4, ["has_pii", "has_financial"]),
+    ("tax_id", "Mã số thuế", "Tài chính", "regex", "mask", 4, ["has_pii", "has_financial"]),
+    ("financial_data", "Dữ liệu tài chính", "Tài chính", "gliner", "mask", 4, ["has_financial"]),
+    ("money", "Số tiền", "Tài chính", "regex", "mask", 3, ["has_financial"]),
+    ("percentage", "Tỷ lệ", "Tài chính", "regex", "mask", 3, ["has_financial"]),
+    ("customer", "Khách hàng", "Khách hàng", "gliner", "mask", 3, ["has_pii"]),
+    ("customer_id", "Mã khách hàng", "Khách hàng", "gliner", "mask", 3, ["has_pii"]),
+    ("customer_email", "Email khách hàng", "Khách hàng", "regex", "mask", 3, ["has_pii"]),
+    ("customer_phone", "Điện thoại khách hàng", "Khách hàng", "regex", "mask", 3, ["has_pii"]),
+    ("project", "Dự án", "Chiến lược", "gliner", "mask", 3, ["has_strategic"]),
+    ("project_code", "Mã dự án", "Chiến lược", "gliner", "mask", 3, ["has_strategic"]),
+    ("roadmap", "Lộ trình", "Chiến lược", "gliner", "mask", 4, ["has_strategic"]),
+    ("strategy", "Chiến lược", "Chiến lược", "gliner", "mask", 4, ["has_strategic"]),
+    ("business_plan", "Kế hoạch kinh doanh", "Chiến lược", "gliner", "mask", 4, ["has_strategic"]),
+    ("merger", "Sáp nhập", "Chiến lược", "gliner", "block", 5, ["has_strategic"]),
+    ("contract", "Hợp đồng", "Pháp lý", "gliner", "mask", 4, ["has_legal"]),
+    ("contract_number", "Số hợp đồng", "Pháp lý", "gliner", "mask", 4, ["has_legal"]),
+    ("person_name", "Họ tên", "Thông tin cá nhân", "gliner", "mask", 3, ["has_pii"]),
+    ("national_id", "Số định danh", "Thông tin cá nhân", "regex", "mask", 4, ["has_pii", "has_hr"]),
+    ("dob", "Ngày sinh", "Thông tin cá nhân", "regex", "mask", 4, ["has_pii", "has_hr"]),
+    ("social_insurance", "Bảo hiểm xã hội", "Nhân sự & Tài chính", "regex", "mask", 4, ["has_pii", "has_hr"]),
+    ("address", "Địa chỉ", "Thông tin cá nhân", "gliner", "mask", 3, ["has_pii"]),
+    ("phone", "Số điện thoại", "Thông tin cá nhân", "regex", "mask", 3, ["has_pii"]),
+    ("email", "Email", "Thông tin cá nhân", "regex", "mask", 3, ["has_pii"]),
+    ("organization", "Tổ chức", "Chung", "gliner", "full", 1, []),
+    ("date", "Ngày tháng", "Chung", "gliner", "full", 1, []),
+    ("date_generic", "Ngày tháng dạng số", "Chung", "regex", "full", 1, []),
+    ("location", "Địa điểm", "Chung", "gliner", "full", 1, []),
+]

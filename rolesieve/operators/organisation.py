@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolesieve.operators.tables import written
+
 
 def org_closure(parents: DataFrame) -> DataFrame:
     """(descendant, ancestor) pairs of a multi-parent graph, each once, a node never with itself.
@@ -12,26 +16,50 @@ def org_closure(parents: DataFrame) -> DataFrame:
     Pairs are lengthened by one edge a round until no new ones appear, so a diamond's two paths are one
     pair from the round they meet in; rounds are as many as the graph is deep.
     """
-    edges = parents.select(F.col("oui_id").alias("descendant"), F.col("parent_oui_id").alias("ancestor")).where("descendant <> ancestor").distinct().cache()
-    known, new = edges, edges
+    edges = written(parents.select(F.col("oui_id").alias("descendant"), F.col("parent_oui_id").alias("ancestor")).where("descendant <> ancestor").distinct())
+    known, new = [edges], edges
     step = edges.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("up"))
     while True:
         longer = new.join(step, "ancestor").select("descendant", F.col("up").alias("ancestor")).where("descendant <> ancestor").distinct()
-        new = longer.join(known, ["descendant", "ancestor"], "left_anti").cache()
+        new = written(longer.join(reduce(DataFrame.unionAll, known), ["descendant", "ancestor"], "left_anti"))
         if new.isEmpty():
-            return known
-        known = known.unionAll(new)
+            return reduce(DataFrame.unionAll, known)
+        known.append(new)
 
 
 def org_root(parents: DataFrame) -> DataFrame:
-    """(oui_id, root): follow each node's smallest parent to the top."""
-    up = parents.groupBy("oui_id").agg(F.min("parent_oui_id").alias("parent")).cache()
-    at = up.select("oui_id", F.col("parent").alias("root"))
+    """(oui_id, root): follow each node's smallest parent to the top; null where that path runs into a cycle.
+
+    The steps double each round, so a chain of n nodes takes log2(n) rounds; what has not
+    arrived after more rounds than the nodes can need stands on a cycle.
+    """
+    up = written(parents.where("oui_id is not null and parent_oui_id is not null").groupBy("oui_id").agg(F.min("parent_oui_id").alias("root")))
+    n, at = up.count(), up.withColumn("moved", F.lit(True))
+    for _ in range(n.bit_length() + 1):
+        over = at.select(F.col("oui_id").alias("root"), F.col("root").alias("further"))
+        at = written(at.select("oui_id", "root").join(over, "root", "left").select("oui_id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        if at.where("moved").isEmpty():
+            break
+    return at.select("oui_id", F.when(~F.col("moved"), F.col("root")).alias("root"))
+
+
+def topo_levels(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(oui_id, level): the longest path from a root, parents before children; nodes on or below a cycle come last, all at one level.
+
+    Each round places the nodes whose parents are all placed.
+    """
+    edges = written(parents.join(nodes.select(F.col("oui_id").alias("parent_oui_id")), "parent_oui_id", "left_semi").select("oui_id", "parent_oui_id").distinct())
+    left = written(nodes.select("oui_id").distinct())
+    done, level = [], 0
     while True:
-        nxt = at.join(up.select(F.col("oui_id").alias("root"), "parent"), "root", "left").select("oui_id", F.coalesce("parent", "root").alias("root"), F.col("parent").isNotNull().alias("moved")).cache()
-        at = nxt.select("oui_id", "root")
-        if nxt.where("moved").isEmpty():
-            return at
+        waits = edges.join(left.select(F.col("oui_id").alias("parent_oui_id")), "parent_oui_id", "left_semi").select("oui_id").distinct()
+        ready = written(left.join(waits, "oui_id", "left_anti"))
+        if ready.isEmpty():
+            done.append(left.withColumn("level", F.lit(level)))
+            return reduce(DataFrame.unionAll, done)
+        done.append(ready.withColumn("level", F.lit(level)))
+        left = written(left.join(ready, "oui_id", "left_anti"))
+        level += 1
 
 
 def expanded_ouis(assignments: DataFrame, closure: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def finalize_results(rows: DataFrame, least: float, k: int) -> DataFrame:
     return ranked.withColumn("some", any_passes).where((F.col("some") & F.col("passes") & (F.col("rank") <= k)) | (~F.col("some") & (F.col("rank") == 1))).drop("some", "passes")
 
 
-def context_budget(rows: DataFrame, most: int = 40_000, separator: int = 2) -> DataFrame:
-    """Blocks in rank order until one would pass the budget; the first always stays."""
-    upto = F.sum(F.length("text") + separator).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - separator
+def context_budget(rows: DataFrame, most: int = 40_000, separator: int = 7) -> DataFrame:
+    """Blocks in rank order, each counted with its separator, until one would pass the budget; the first always stays."""
+    upto = F.sum(F.length("text") + separator).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("upto", upto).where((F.col("rank") == 1) | (F.col("upto") <= most))

@@ -95,6 +95,9 @@ def embed_batches(rows: DataFrame, embed, batch: int = 64) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back, so that its plan is made and run once."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(named or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

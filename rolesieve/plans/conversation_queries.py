@@ -38,13 +38,22 @@ def _(t):
     return placed(t).where("back <= 100").select("conv_id", "question_id", F.when(F.col("back") <= 3, "recent").otherwise("older").alias("part"))
 
 
-_rel = f"rel AS (SELECT o.conv_id, o.question_id, o.turn, len(list_intersect(list_distinct({tokens_sql('o.question')}), list_distinct({tokens_sql('n.question')}))) AS overlap FROM placed o JOIN placed n ON n.conv_id = o.conv_id AND n.back = 1 WHERE o.back > 3), best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM rel WHERE overlap > 0 QUALIFY rank <= 3)"
+def words_sql(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> ''))"
+
+
+def words_of(column: str):
+    """Distinct lower-case words, split at white space alone."""
+    return F.array_distinct(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != ""))
+
+
+_rel = f"rel AS (SELECT o.conv_id, o.question_id, o.turn, len(list_intersect({words_sql('o.question')}, {words_sql('n.question')})) AS overlap FROM placed o JOIN placed n ON n.conv_id = o.conv_id AND n.back = 1 WHERE o.back > 3), best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM rel WHERE overlap > 0 QUALIFY rank <= 3)"
 
 
 def relevant(t):
     p = placed(t)
-    now = p.where("back = 1").select("conv_id", X.tokenize(F.col("question")).alias("asked"))
-    o = p.where("back > 3").join(now, "conv_id").withColumn("overlap", F.size(F.array_intersect(X.tokenize(F.col("question")), "asked")).cast("long")).where("overlap > 0")
+    now = p.where("back = 1").select("conv_id", words_of("question").alias("asked"))
+    o = p.where("back > 3").join(now, "conv_id").withColumn("overlap", F.size(F.array_intersect(words_of("question"), "asked")).cast("long")).where("overlap > 0")
     return o.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("overlap"), "turn")).cast("long")).where("rank <= 3")
 
 

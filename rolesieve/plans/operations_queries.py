@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolesieve.functions import text as X
+from rolesieve.operators import organisation as O
 from rolesieve.operators import tables as D
 from rolesieve.plans.organisation_queries import GRANTS, closure, granted, tuples
 from rolesieve.plans.text_queries import _html
@@ -198,15 +199,7 @@ def _(t):
 
 @query("topo_levels", f"WITH RECURSIVE walk AS (SELECT oui_id AS id, 1 AS d FROM oui_parents UNION SELECT p.oui_id, w.d + 1 FROM walk w JOIN oui_parents p ON p.parent_oui_id = w.id) SELECT o.oui_id, coalesce(max(d), 0) AS level FROM oui o LEFT JOIN walk w ON w.id = o.oui_id GROUP BY 1")
 def _(t):
-    """Longest path from a root; each round raises the children of what was raised before."""
-    level = t.oui.select("oui_id", F.lit(0).alias("level")).cache()
-    e = t.oui_parents
-    while True:
-        up = e.join(level.select(F.col("oui_id").alias("parent_oui_id"), F.col("level").alias("above")), "parent_oui_id").groupBy("oui_id").agg((F.max("above") + 1).alias("new"))
-        nxt = level.join(up, "oui_id", "left").select("oui_id", F.greatest("level", F.coalesce("new", F.lit(0))).alias("level"), (F.coalesce("new", F.lit(0)) > F.col("level")).alias("moved")).cache()
-        level = nxt.select("oui_id", "level")
-        if nxt.where("moved").isEmpty():
-            return level
+    return O.topo_levels(t.oui, t.oui_parents)
 
 
 @query("validate_edges", f"WITH {EDGES}, {NODES}, k AS (SELECT e.*, a.kind AS ka, b.kind AS kb FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst) SELECT type, src, dst FROM k WHERE (ka, kb, type) IN (('instance', 'org_unit', 'IS_A'), ('position', 'instance', 'IS_A_ROLE_OF'))")

@@ -61,12 +61,12 @@ _flags = sorted({f for v in K.ENTITY_FLAGS.values() for f in v})
 _pairs = [(k, f) for k, v in K.ENTITY_FLAGS.items() for f in v]
 
 
-@query("boolean_labels", "WITH m(label, flag) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in _pairs) + "), f AS (SELECT document_id, flag FROM detections JOIN m USING (label)) SELECT doc_id, " + ", ".join(f"EXISTS (SELECT 1 FROM f WHERE f.document_id = doc_id AND flag = '{f}')" + (f" OR regexp_matches(text, '{K.FLAG_WORDS[f]}', 'i')" if f in K.FLAG_WORDS else "") + f" AS {f}" for f in _flags) + " FROM documents")
+@query("boolean_labels", "WITH m(label, flag) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in _pairs) + "), f AS (SELECT document_id, flag FROM detections JOIN m USING (label)) SELECT doc_id, " + ", ".join(f"EXISTS (SELECT 1 FROM f WHERE f.document_id = doc_id AND flag = '{f}')" + (f" OR regexp_matches(text, '{K.FLAG_PATTERNS[f]}', 'i')" if f in K.FLAG_WORDS else "") + f" AS {f}" for f in _flags) + " FROM documents")
 def _(t):
     m = t.spark.createDataFrame(_pairs, "label string, flag string")
     f = t.detections.join(F.broadcast(m), "label").groupBy("document_id").agg(*[F.bool_or(F.col("flag") == x).alias("d_" + x) for x in _flags])
     j = t.documents.join(f, F.col("doc_id") == F.col("document_id"), "left")
-    words = lambda x: F.col("text").rlike("(?iu)" + K.FLAG_WORDS[x]) if x in K.FLAG_WORDS else F.lit(False)
+    words = lambda x: F.col("text").rlike("(?iu)" + K.FLAG_PATTERNS[x]) if x in K.FLAG_WORDS else F.lit(False)
     return j.select("doc_id", *[(F.coalesce("d_" + x, F.lit(False)) | words(x)).alias(x) for x in _flags])
 
 
@@ -189,6 +189,24 @@ def _(t):
     return P.mask_spans(t.documents.select(F.col("doc_id").alias("id"), "text", P.extract_entities(F.col("text")).alias("entities"), spec.alias("tiers")))
 
 
+@query("scan_pii")
+def _(t):
+    """Typed personal data of every document, one row a span."""
+    found = t.documents.select("doc_id", F.explode(P.scan_pii(F.col("text"))).alias("e"))
+    return found.select("doc_id", "e.entity_type", "e.text", "e.start", "e.end", "e.score")
+
+
+_defaults = ", ".join(f"({i}, '{k}', '{n}', '{g}', '{d}', '{a}', {s}, [{', '.join(chr(39) + x + chr(39) for x in f)}]::VARCHAR[])" for i, (k, n, g, d, a, s, f) in enumerate(K.DEFAULT_RULES))
+
+
+@query("seed_default_rules", f"WITH defaults(pos, entity_key, display_name, group_name, detection_source, action, sensitivity, flags) AS (VALUES {_defaults}), had AS (SELECT DISTINCT label AS entity_key FROM detections) SELECT entity_key, display_name, group_name, detection_source, action, sensitivity, 10 * pos AS priority, array_to_string(flags, ',') AS flags, CASE WHEN action = 'full' THEN '__ALL__' ELSE '' END AS allowed, CASE WHEN action = 'mask' THEN '__ALL__' ELSE '' END AS masked FROM defaults WHERE entity_key NOT IN (SELECT entity_key FROM had)")
+def _(t):
+    """The default rules for labels that no detection has yet."""
+    new = P.seed_default_rules(t.detections.select(F.col("label").alias("entity_key")))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x["oui_id"]), ",")
+    return new.select("entity_key", "display_name", "group_name", "detection_source", "action", "sensitivity", "priority", F.array_join("boolean_labels", ",").alias("flags"), shown("allow_scope_pairs").alias("allowed"), shown("mask_scope_pairs").alias("masked"))
+
+
 _ask = "asked AS (SELECT d.document_id, d.label, u.user_id FROM detections d JOIN (SELECT DISTINCT user_id FROM assignments) u ON u.user_id % 50 = d.document_id % 50)"
 
 

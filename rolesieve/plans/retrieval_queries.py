@@ -37,7 +37,7 @@ def _(t):
 
 @query("bm25_topk", f"WITH {LINE_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS most FROM bm) SELECT query_id, chunk_id, rank, round(score, 6) AS score, round(1 - score / most, 6) AS distance FROM r WHERE rank <= 20")
 def _(t):
-    found = R.bm25(R.postings(t.line_chunks), asked_tokens(t.text_queries))
+    found = R.bm25(written(R.postings(t.line_chunks)), asked_tokens(t.text_queries))
     best = R.top(found, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20)
     most = F.max("score").over(R.Window.partitionBy("query_id"))
     return best.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round(1 - F.col("score") / most, 6).alias("distance"))
@@ -61,7 +61,7 @@ def _(t):
 
 # One table of chunks with vectors and text, and questions with both.
 CHUNKS = "SELECT chunk_id, c.document_id, chunk_sensitivity AS level, embedding, text FROM chunk_vectors c JOIN documents d ON d.doc_id = c.chunk_id"
-ASK = "SELECT query_id, user_id, embedding, text FROM queries q JOIN (SELECT item_id, text FROM benchmark) b ON b.item_id = q.query_id"
+ASK = "SELECT query_id, user_id, embedding, text FROM text_queries q JOIN embeddings e ON e.vec_id = q.query_id"
 BOTH = (
     f"chunks AS ({CHUNKS}), ask AS ({ASK}), sem AS (SELECT query_id, chunk_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance FROM ask q CROSS JOIN chunks c), semk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM sem QUALIFY rank <= 20), "
     + bm25_sql(f"SELECT chunk_id, unnest({tokens_sql('text')}) AS token FROM chunks", f"SELECT query_id, unnest({tokens_sql('text')}) AS token FROM ask")
@@ -74,14 +74,14 @@ SHOWN = "round(greatest(0, least(1, coalesce(0.6::DOUBLE * semantic + 0.4::DOUBL
 def both_tables(t):
     d = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = t.chunk_vectors.withColumnRenamed("chunk_sensitivity", "level").join(d, "chunk_id")
-    ask = t.queries.join(t.benchmark.withColumnRenamed("item_id", "query_id"), "query_id")
+    ask = t.text_queries.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return chunks, ask
 
 
 def fused(t):
     chunks, ask = both_tables(t)
     s = R.semantic_topk(chunks, ask, 20).select("query_id", "chunk_id", F.lit("semantic").alias("source"), "rank", R.similarity(F.col("distance")).alias("distance"))
-    lex = R.bm25(R.postings(chunks, text="text"), asked_tokens(ask))
+    lex = R.bm25(written(R.postings(chunks, text="text")), asked_tokens(ask))
     lex = R.top(lex, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("distance"))
     return R.rrf_fuse(s.unionAll(lex))
 
@@ -119,8 +119,17 @@ def flagged(t, pairs, viewable=None):
 
 def candidates(t):
     chunks, ask = both_tables(t)
-    f = fused(t).join(ask.select("query_id", "user_id"), "query_id").join(chunks.select("chunk_id", "document_id", "level"), "chunk_id")
-    return flagged(t, f)
+    f = written(fused(t).join(ask.select("query_id", "user_id"), "query_id").join(chunks.select("chunk_id", "document_id", "level"), "chunk_id"))
+    return flagged(t, f, viewable_of(t, f))
+
+
+def viewable_of(t, f):
+    """What the users of ``f`` may view of the documents of ``f``: both go into the access joins first."""
+    documents, users = f.select("document_id").distinct(), f.select("user_id").distinct()
+    below = written(closure(t))
+    few = lambda x: x.join(documents, "document_id", "left_semi")
+    grants = O.document_tuples(few(t.docs), few(t.document_oui), t.oui_parents, below, O.org_root(t.oui_parents))
+    return O.viewable_documents(grants, t.assignments.join(users, "user_id", "left_semi"), t.positions, below)
 
 
 @query("retrieval_scope", f"{SCOPE} SELECT DISTINCT user_id, chunk_id FROM flagged WHERE visible UNION SELECT NULL, chunk_id FROM chunks WHERE level = 1")
@@ -192,11 +201,11 @@ def _(t):
     return c.join(u, "k").where("chunk_sensitivity <= clearance").select("chunk_id", "user_id")
 
 
-@query("context_budget", "WITH r AS (SELECT document_id AS query_id, chunk_index + 1 AS rank, chunk_text AS text FROM line_chunks), n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, text FROM r), s AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 AS upto FROM n) SELECT query_id, rank, upto FROM s WHERE rank = 1 OR upto <= 4000")
+@query("context_budget", "WITH r AS (SELECT document_id AS query_id, chunk_index + 1 AS rank, chunk_text AS text FROM line_chunks), n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, text FROM r), s AS (SELECT *, sum(length(text) + 7) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM n) SELECT query_id, rank, upto FROM s WHERE rank = 1 OR upto <= 40000")
 def _(t):
     w = R.Window.partitionBy("document_id").orderBy("chunk_index")
     rows = t.line_chunks.select(F.col("document_id").alias("query_id"), F.row_number().over(w).cast("long").alias("rank"), F.col("chunk_text").alias("text"))
-    return R.context_budget(rows, 4000).select("query_id", "rank", "upto")
+    return R.context_budget(rows).select("query_id", "rank", "upto")
 
 
 @query("context_budget_whole")

@@ -86,8 +86,7 @@ def _(t):
 _hf = """
 WITH lines AS (SELECT document_id, 1 + chunk_index // 8 AS page, chunk_index AS pos, trim(chunk_text) AS line FROM line_chunks),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY pos) AS a, row_number() OVER (PARTITION BY document_id, page ORDER BY pos DESC) AS b FROM lines),
-tops AS (SELECT document_id, line FROM ranked WHERE a <= 3 AND length(line) > 5 UNION ALL SELECT document_id, line FROM ranked WHERE b <= 3 AND length(line) > 5),
-frequent AS (SELECT document_id, line FROM tops GROUP BY ALL HAVING count(*) >= 3),
+frequent AS (SELECT document_id, line FROM ranked WHERE a <= 3 AND length(line) > 5 GROUP BY ALL HAVING count(*) >= 3 UNION SELECT document_id, line FROM ranked WHERE b <= 3 AND length(line) > 5 GROUP BY ALL HAVING count(*) >= 3),
 many AS (SELECT document_id FROM lines GROUP BY 1 HAVING count(DISTINCT page) > 1)
 SELECT l.document_id, l.page, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l
 WHERE NOT EXISTS (SELECT 1 FROM frequent f JOIN many USING (document_id) WHERE f.document_id = l.document_id AND f.line = l.line) GROUP BY ALL"""

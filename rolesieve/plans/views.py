@@ -30,7 +30,7 @@ VIEWS = {
     # rules: (profile order) key, action, sensitivity, enabled, style and position of masks
     "rules": "SELECT 0 AS pos, 'email' AS entity_key, 'identity' AS group_name, 'mask' AS action, 3 AS sensitivity, true AS enabled, 10 AS priority, 'full' AS mask_style, CAST(NULL AS VARCHAR(9)) AS mask_position UNION ALL SELECT 1, 'phone', 'identity', 'mask', 3, true, 20, 'partial', 'tail' UNION ALL SELECT 2, 'credential', 'secrets', 'block', 5, true, 30, 'full', CAST(NULL AS VARCHAR(9)) UNION ALL SELECT 3, 'money', 'finance', 'mask', 4, true, 40, 'partial', 'head' UNION ALL SELECT 4, 'person_name', 'identity', 'full', 2, true, 50, 'full', CAST(NULL AS VARCHAR(9)) UNION ALL SELECT 5, 'legacy', 'old', 'mask', 2, false, 60, 'full', CAST(NULL AS VARCHAR(9))",
     # scope pairs of the rules: an id that is null stands for any
-    "rule_pairs": "SELECT 'email' AS entity_key, 'mask' AS tier, '__ALL__' AS oui_id, CAST(NULL AS BIGINT) AS position_id UNION ALL SELECT 'phone', 'mask', 'n3', CAST(NULL AS BIGINT) UNION ALL SELECT 'money', 'allow', 'r1', CAST(NULL AS BIGINT) UNION ALL SELECT 'money', 'mask', '__ALL__', CAST(NULL AS BIGINT) UNION ALL SELECT 'person_name', 'allow', '__ALL__', CAST(NULL AS BIGINT) UNION ALL SELECT 'legacy', 'mask', 'n5', 35 UNION ALL SELECT 'phone', 'allow', 'n4', 32",
+    "rule_pairs": "SELECT 'email' AS entity_key, 'mask' AS tier, '__ALL__' AS oui_id, CAST(NULL AS BIGINT) AS position_id UNION ALL SELECT 'phone', 'mask', 'n3', CAST(NULL AS BIGINT) UNION ALL SELECT 'money', 'allow', 'r1', CAST(NULL AS BIGINT) UNION ALL SELECT 'money', 'mask', '__ALL__', CAST(NULL AS BIGINT) UNION ALL SELECT 'person_name', 'allow', '__ALL__', CAST(NULL AS BIGINT) UNION ALL SELECT 'legacy', 'mask', 'n5', 35 UNION ALL SELECT 'phone', 'allow', 'n4', 32 UNION ALL SELECT CASE n_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'money' END, CASE WHEN n_nationkey % 2 = 0 THEN 'mask' ELSE 'allow' END, concat('n', n_nationkey), CASE WHEN n_nationkey % 4 < 2 THEN CAST(31 + n_nationkey % 5 AS BIGINT) END FROM nation WHERE n_nationkey > 9",
     # detections: what a detector found, one row each
     "detections": "SELECT doc_id AS document_id, 'email' AS label, n_chars % 7 AS hits FROM documents WHERE text LIKE '%@%' UNION ALL SELECT doc_id, 'credential', 1 FROM documents WHERE text LIKE '%token =%' UNION ALL SELECT doc_id, 'money', doc_id % 3 FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'unknown', 2 FROM documents WHERE doc_id % 11 = 0",
 }

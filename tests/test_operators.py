@@ -121,3 +121,21 @@ def test_streams(spark, tmp_path):
     q = dedupe_stream(stream(), ["k"], "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("once").count() == 2
+
+
+def test_roots_and_levels_end_on_a_cycle(spark):
+    from rolesieve.operators import organisation as O
+
+    parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y"), ("s", "s")], "oui_id string, parent_oui_id string")
+    roots = {r["oui_id"]: r["root"] for r in O.org_root(parents).collect()}
+    assert roots == {"b": "a", "c": "a", "x": None, "y": None, "z": None, "s": None}
+    nodes = spark.createDataFrame([(x,) for x in "abcxyzsq"], "oui_id string")
+    levels = {r["oui_id"]: r["level"] for r in O.topo_levels(nodes, parents).collect()}
+    assert levels == {"a": 0, "q": 0, "b": 1, "c": 2, "x": 3, "y": 3, "z": 3, "s": 3}
+
+
+def test_context_budget_counts_the_separator(spark):
+    from rolesieve.operators import retrieval as R
+
+    rows = spark.createDataFrame([(1, i, "x" * 10) for i in (1, 2, 3)], "query_id long, rank long, text string")
+    assert R.context_budget(rows, 34).count() == 2 and R.context_budget(rows, 33).count() == 1 and R.context_budget(rows, 1).count() == 1
