@@ -1,7 +1,7 @@
 """Packing token sequences by cutting-stock column generation.
 
 A text's ids, closed by an end id, are cut into full sequences and one remainder.
-Remainders of at most a 32nd of a sequence are joined to bundles of about half a one, by
+Remainders of at most a 32nd of a sequence are joined to bundles of a quarter to a half, by
 running sums within salted groups, since the program's rounding to a 128th of a sequence
 would cost them dear; from there on a bundle counts as one remainder.  Only the
 histogram of lengths (at most ``capacity`` numbers, whatever the input) reaches the driver.  There a linear program over patterns, each a multiset of lengths
@@ -224,15 +224,17 @@ def grain_of(capacity: int) -> int:
 
 
 def bundled(short: DataFrame, capacity: int) -> DataFrame:
-    """Adds salt, bundle and at: runs of short remainders of about half a sequence, and each one's place in its run.
+    """Adds salt, bundle and at: runs of short remainders of a half, three eighths or a quarter of a sequence by salt, and each one's place in its run.
 
-    A run starts wherever the running sum of its salt passes the next multiple of half a
-    sequence less half a grain, so that two runs, rounded up, fill a sequence.
+    A run starts wherever the running sum of its salt passes the next multiple of that width
+    less half a grain, so that runs, rounded up, fill a sequence among themselves; three
+    widths leave the program room to fill up longer remainders.
     """
-    width = max(1, capacity // 2 - grain_of(capacity) // 2)
+    widths = F.array(*(F.lit(max(1, capacity * k // 8 - grain_of(capacity) // 2)) for k in (4, 3, 2)))
     salted = short.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(2 * partitions(short.sparkSession))))
     order = Window.partitionBy("salt").orderBy("doc_id", "start", "length", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return salted.withColumn("at", F.coalesce(F.sum("length").over(order), F.lit(0))).withColumn("bundle", F.floor(F.col("at") / width))
+    at = F.coalesce(F.sum("length").over(order), F.lit(0))
+    return salted.withColumn("at", at).withColumn("bundle", F.floor(F.col("at") / widths[(F.col("salt") % 3).cast("int")]))
 
 
 def assign(remainders: DataFrame, capacity: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -16,13 +17,13 @@ from rolesieve.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "a", "\n\n", "one two three", "x" * 3000, "naïve ½ café 🙂🙂", "<|endoftext|> it's I'M  12", "▁▁ tab\tnul\x00", "Привет, мир². ΑΣ", "word " * 4000]
-DOCS = "doc_id long, text string, score double, key string, batch long"
+DOCS = "doc_id long, text string, score double, key string, batch long, row string, kept string, task long"
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty, repeated and very long texts, and columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, 1.0, "k", 3) for i, t in enumerate(ODD)] + [(None, "null id", 0.0, None, None)], DOCS).cache()
+    return spark.createDataFrame([(i, t, 1.0, "k", 3, "r", "no", 1) for i, t in enumerate(ODD)] + [(None, "null id", 0.0, None, None, None, None, None)], DOCS).cache()
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +76,7 @@ def vectors(spark):
 
 def test_near_vectors(spark):
     df, rows = vectors(spark)
-    got = {r["vec_id"]: r for r in pivot_index.near_vectors(df, pivots=20, prefix=6, block=16).collect()}
+    got = {r["vec_id"]: r for r in pivot_index.near_vectors(df, density=2.0, prefix=6, post=4, shared=2, block=16).collect()}
     m = np.array(rows)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     s = m @ m.T >= 0.95
@@ -89,17 +90,46 @@ def test_near_vectors(spark):
     assert pivot_index.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_with_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (1, None), (1, c), (2, b), (3, c), (3, c)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pivot_index.near_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_near_vectors_recall_at_defaults(spark):
+    """Planted pairs just above the threshold and one tight ball of many, against all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    near = 0.952 * x + (1 - 0.952**2) ** 0.5 * z
+    ball = x[0] + 0.02 * rng.normal(size=(1500, 64))
+    m = np.concatenate([x, near, ball])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_vectors(df).collect()}
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T >= 0.95
+    np.fill_diagonal(s, False)
+    want = s.sum(1)
+    assert all(got[i] <= want[i] for i in range(len(m)))  # none below the threshold
+    assert sum(got[i] for i in range(6000)) >= 0.99 * want[:6000].sum() and sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_routed_search(spark):
     df, rows = vectors(spark)
-    got = routed_search.search(df, every=5, parts=4, block=32).collect()
+    got = routed_search.search(df, every=5, block=32, asking=8).collect()
     m = np.array(rows)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     s = m @ m.T
     np.fill_diagonal(s, -2)
     found = defaultdict(dict)
     for r in got:
-        assert abs(s[r["query_id"], r["vec_id"]] - r["score"]) < 1e-12
-        found[r["query_id"]][r["rank"]] = r["vec_id"]
+        if r["query_id"] < len(m):
+            assert abs(s[r["query_id"], r["vec_id"]] - r["score"]) < 1e-12
+            found[r["query_id"]][r["rank"]] = r["vec_id"]
     hits = [len(set(np.argsort(-s[q], kind="stable")[:5]) & set(found[q].values())) for q in range(0, len(m), 5)]
     assert np.mean(hits) >= 4.5 and all(sorted(f) == list(range(1, len(f) + 1)) for f in found.values())
     assert routed_search.search(df.limit(0)).count() == 0
@@ -107,12 +137,40 @@ def test_routed_search(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in routed_search.search(few).collect()} == {(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)}
 
 
+def test_routed_search_of_each_length_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 200)] + [(i, rng.normal(size=3).tolist()) for i in (200, 201, 202)] + [(50, [1.0] * 8), (250, [1.0] * 5)]
+    got = routed_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    count = defaultdict(int)
+    for r in got:
+        assert r["query_id"] != r["vec_id"]
+        count[r["query_id"]] += 1
+    assert count == {50: 10, 100: 5, 150: 5, 200: 2}  # two queries under one id; no candidate of the length of 250
+
+
+def test_routed_search_recall_at_defaults(spark):
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=(40, 32))
+    m = (centre[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 32))).astype(float)
+    got = routed_search.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")).collect()
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    have = defaultdict(set)
+    for r in got:
+        have[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = m @ m[q]
+        s[q] = -2
+        hits += len(have[q] & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hits >= 0.9 * 5 * 120
+
+
 # op2
 
 
 def test_cross_entropy(spark, odd, empty):
     target = spark.createDataFrame([(3,), (6,), (6,), (None,)], "doc_id long")
-    got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(odd, target, batch=3).collect()}
+    got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(odd, target, size=9_000).collect()}
     rows = [(r["doc_id"], ["<s>", *[w for w in re.split("[ \t-\r]+", (r["text"] or "").lower()) if w], "</s>"]) for r in odd.select("doc_id", "text").collect()]
     loss = {}
     for name, chosen in (("background_loss", [w for _, w in rows]), ("target_loss", [w for d, w in rows if d in (3, 6)])):
@@ -162,11 +220,25 @@ def test_suffix_dedup(spark, empty, monkeypatch):
     want = removed([(d, (t or "").encode()) for d, t in rows])
     for most in (1000, 3):  # also with nearly all anchors sent window by window
         monkeypatch.setattr(suffix_dedup, "COMMON", most)
-        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, batch=9).collect()}
+        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, size=2_000).collect()}
         assert got == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    carried = suffix_dedup.remove_repeats(df.withColumn("lang", F.lit("x")), carry=["lang"]).collect()
-    assert all(r["lang"] == "x" and hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in carried if r["doc_id"] > 69)
+    keyed = suffix_dedup.remove_repeats(df.withColumn("batch", F.col("doc_id") + 5), row="batch").collect()
+    assert all(r["batch"] == r["doc_id"] + 5 and hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in keyed if r["doc_id"] > 69)
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    t = "The very same passage of more than fifty bytes stands in every row here. "
+    df = spark.createDataFrame([(5, t), (5, t), (None, t), (None, "x" + t), (3, None), (9, "y" + t * 30_000)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 99, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(3, 0, 0), (5, 73, 0), (5, 73, 0), (9, 2190001, 2190001 - 1), (99, 73, 73), (99, 74, 73)]
+
+
+def test_stretches_of_one_hash_are_told_apart():
+    raw = np.frombuffer(b"aaabbbaaa", np.uint8)
+    start, size = np.array([0, 3, 6, 0]), np.array([3, 3, 3, 2])
+    at, same = suffix_dedup.distinct_stretches(raw, start, size, np.zeros(4, np.uint64))
+    assert same[0] == same[2] and len({same[0], same[1], same[3]}) == 3 and len(at) == 3
 
 
 def test_column_classes_are_those_of_equal_windows():
@@ -200,7 +272,27 @@ def test_html_noise():
     html_text.extract("<div>" * 3000 + "deep" + "<p" + "<<>>")
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "article-with-comments", "layout nav-open", "main search-page", "post-related-wrapper", "sidebar", "comments", "nav menu"])
+def test_html_wrapper_names_do_not_cost_the_article(name):
+    body = "<p>" + "A sentence of the article that goes on. " * 5 + "</p>"
+    page = f'<body><div class=top><a href=x>Home</a></div><div class="{name}">{body * 3}</div><div class=comments><p>Nice one, thanks.</p></div></body>'
+    want = " ".join(("A sentence of the article that goes on. " * 5).split())
+    assert html_text.extract(page) == "\n\n".join([want] * 3)
+
+
+def test_html_broken_markup():
+    assert html_text.extract("<p title=don't>Hello") == "Hello" and html_text.extract('<p title="a>b">Q</p>') == "Q"
+    assert html_text.extract("a < b and <p c") == "a < b and" and html_text.extract("1 < 2 > 0") == "1 < 2 > 0"
+    start = time.time()
+    for page in ("<div>" * 200_000, "<p a=" * 200_000, "<p><b>" * 100_000 + "x"):
+        html_text.extract(page)
+    assert time.time() - start < 30
+
+
 def test_html_odd_rows(spark):
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>x", "old", "many")], "page_id long, url string, html string, text string, n_chars string")
+    assert [tuple(r) for r in html_text.extract_pages(clash).collect()] == [(1, "u", "x", 1)]
     df = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extract_pages(df).collect()) == ["", "", "x", "x"]
 
@@ -231,6 +323,39 @@ def test_near_copies(spark, docs):
     assert links and {d: (r["n_links"], r["class_id"]) for d, r in got.items()} == {d: (count[d], want[d]) for d in sets}
 
 
+def test_near_copies_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    t1, t2 = " ".join(words), " ".join(words[::-1])
+    df = spark.createDataFrame([(1, t1), (1, t2), (2, t1 + " end"), (3, "x " + t2), (4, None), (4, t1), (4, t1)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"], r["kept"]) for r in jaccard_forest.near_copies(df).collect())
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 3, 1, False), (4, 3, 1, False)]
+
+
+def test_near_copies_recall_at_defaults(spark):
+    """Pairs just above the similarity, and a chain-free group of many, against the sets themselves."""
+    rng = np.random.default_rng(12)
+    rows, want = [], 0
+    for i in range(400):
+        w = [f"{i}a{j}" for j in range(104)]
+        v = w[:]
+        v[50] = "x"  # 95 of 105 runs shared
+        v[20] = "y" if i % 2 else v[20]  # 90 of 110: 0.82
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        want += 2
+    base = [f"b{j}" for j in range(300)]
+    for k in range(300):
+        v = base[:]
+        v[int(rng.integers(0, 300))] = f"c{k}"
+        rows.append((10_000 + k, " ".join(v)))
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_forest.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(n for d, n in got.items() if d < 10_000) >= 0.999 * want
+    assert sum(n for d, n in got.items() if d >= 10_000) == 300 * 299
+
+
+def test_descent_shortens_until_the_recall():
+    assert jaccard_forest.prefix_depth(16, 4, 0.8, 0.99998) == 3 and jaccard_forest.prefix_depth(16, 4, 0.99, 0.99998) == 4
+
+
 def test_near_copies_odd(odd, empty):
     got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_forest.near_copies(odd).collect()}
     assert len(got) == odd.count() and got[3] == (1, 3, True) and got[4] == (1, 3, False) and got[0] == (0, 0, True) and got[None][2]
@@ -264,6 +389,19 @@ def test_tokens_and_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["one", "seventeen", "short", "mixed"])
+def test_packing_of_short_documents_is_tight(spark, name, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = {"one": np.ones(80_000, int), "seventeen": np.full(20_480, 17), "short": rng.integers(2, 60, 20_000), "mixed": np.r_[rng.integers(1, 60, 20_000), rng.integers(60, 2049, 400)]}[name]
+    monkeypatch.setattr(packing, "pieces", lambda docs, *_: docs)
+    df = spark.createDataFrame([(i, 0, int(k), 1, int(k)) for i, k in enumerate(n)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = packing.pack_documents(df, "").toPandas().sort_values(["sequence_id", "offset"])
+    end = rows["offset"] + rows["length"]
+    assert sorted(rows["doc_id"]) == list(range(len(n))) and (end <= 2048).all()
+    assert (rows["offset"] == end.shift().where(rows["sequence_id"] == rows["sequence_id"].shift(), 0)).all()
+    assert rows["sequence_id"].nunique() <= 1.02 * n.sum() / 2048 + 1
+
+
 def test_cutting_stock_is_near_its_bound():
     rng = np.random.default_rng(3)
     lengths, demand = np.unique(np.minimum(2047, rng.lognormal(6.2, 0.8, 3000).astype(int) + 1), return_counts=True)
@@ -296,6 +434,51 @@ def test_toxicity_held_out(spark):
         assert all(0 <= s["start"] < s["end"] <= len(r["text"]) for s in r["spans"])
 
 
+def test_toxic_spans_point_at_the_words(spark):
+    rng = np.random.default_rng(7)
+    plain = [f"word{i}" for i in range(200)]
+    texts_, toxic = [], []
+    for i in range(300):
+        w = list(rng.choice(plain, 30))
+        if i % 3 == 0:
+            w[int(rng.integers(0, 30))] = "vile"
+        texts_.append(" ".join(w))
+        toxic.append(int(i % 3 == 0))
+    m = toxic_crf.fit(texts_, np.array(toxic))
+    odd_ = ["İyi vile ok", "İyi vile", "word1 " * 500 + "vile " + "word2 " * 500, "ok", None, "VILE word3"]
+    got = toxic_crf.score_documents(spark.createDataFrame([(1, t) for t in odd_], "doc_id long, text string"), m).collect()
+    for r, t in zip(got, odd_):
+        assert [t[s["start"] : s["end"]].lower() for s in r["spans"]] == (["vile"] if t and "vile" in t.lower() else [])
+
+
+def test_toxicity_by_shape_and_repetition():
+    rng = np.random.default_rng(7)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    texts_, toxic = [], []
+    for i in range(600):
+        w = list(rng.choice(plain, 30, replace=False))
+        if i % 3 == 0:
+            w[5:9] = [w[5]] * 4
+        if i % 3 == 1:
+            w[5:9] = [x.upper() for x in w[5:9]]
+        texts_.append(" ".join(w))
+        toxic.append(int(i % 3 < 2))
+    m = toxic_crf.fit(texts_[:450], np.array(toxic[:450]))
+    assert np.mean((m.score(texts_[450:]) >= 0.3) == np.array(toxic[450:])) > 0.95
+
+
+def test_quality_risk_agrees_with_the_best_rule():
+    """Trained on positives and unlabelled rows alone, the classifier decides as the true densities do."""
+    rng = np.random.default_rng(1)
+    draw = lambda y: rng.normal(0, 1, (len(y), 3)) + np.where(y, 0.9, -0.9)[:, None]
+    pos, y = draw(np.ones(1500, bool)), rng.random(4000) < 0.6
+    model = quality_pu.minimise_risk(pos, draw(y), 0.6)
+    x = draw(rng.random(4000) < 0.6)
+    best = 1.8 * x.sum(1) + np.log(0.6 / 0.4) > 0
+    assert np.mean((model.logits(x) > 0) == best) > 0.95
+    assert abs(quality_pu.estimate_prior(pos, draw(y)) - 0.6) < 0.15
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(ODD))] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for module in (quality_pu, toxic_crf):
@@ -305,11 +488,13 @@ def test_scores_of_odd_rows(spark, odd, empty):
         assert module.score_documents(empty, module.train(odd, labels)).count() == 0
 
 
-def test_marginals_are_those_of_all_tag_sequences():
+def test_marginals_are_those_of_all_tag_sequences(monkeypatch):
     rng = np.random.default_rng(5)
     em, trans = rng.normal(size=7), rng.normal(size=(2, 2))
     breaks = np.array([True, False, False, False, True, False, True])
     got = toxic_crf.Sequences.of(breaks).marginals(em, trans)
+    monkeypatch.setattr(toxic_crf, "ROW", 2)  # rows of two tokens pass on what whole lines would
+    assert np.allclose(got, toxic_crf.Sequences.of(breaks).marginals(em, trans))
     want = []
     for lo, hi in ((0, 4), (4, 6), (6, 7)):
         n, mass, total = hi - lo, np.zeros(hi - lo), 0.0
@@ -358,3 +543,19 @@ def test_pipeline_stages(spark):
         else:
             assert out.exceptAll(docs).isEmpty()
         docs = out
+
+
+def test_pipeline_of_repeated_ids_and_further_columns(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(60)]
+    t1, t2 = " ".join(words), " ".join(words[::-1])
+    rows = [(1, t1, "en", "a", 5, 1.5), (1, t2, "en", "a", 5, None), (2, t1, "en", "b", 5, 2.5), (2, "alone", None, "b", 5, 3.5), (3, None, "en", "c", None, 4.5), (None, "no id", "en", "c", 5, 5.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row double")
+    kept = P.one_of_each_group(spark, docs, DATA)
+    assert kept.columns == docs.columns and sorted(r["row"] or 0 for r in kept.collect()) == [0, 1.5, 3.5, 4.5, 5.5]
+    cut = P.repeated_passages(spark, docs, DATA)
+    assert cut.columns == docs.columns
+    assert {r["row"]: (r["text"], r["n_chars"]) for r in cut.collect()} == {1.5: (t1, len(t1)), None: (t2, len(t2)), 2.5: ("", 0), 3.5: ("alone", 5), 4.5: ("", 0), 5.5: ("no id", 5)}
+    for stage in (P.one_of_each_group, P.repeated_passages, P.packing):
+        assert stage(spark, docs.limit(0), DATA).count() == 0
