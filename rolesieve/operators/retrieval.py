@@ -172,6 +172,50 @@ def scoped_bm25(post: DataFrame, query_tokens: DataFrame, in_scope: DataFrame, m
     return seen.groupBy("query_id", key).agg(F.sum(weight * F.col("times")).alias("score")).where("score > 0")
 
 
+def keyword_f1(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, chunk_id, f1, rank): the k best chunks by F1 of distinct words without accents.
+
+    A question looks only at chunks whose text holds its primary word, the longest that is no
+    stopword, the first of equals; where no chunk does, at all of them.  Stopwords count in the
+    sets.  chunks: chunk_id, chunk_text; questions: query_id, text.  The chunks are read once for
+    each block of questions and scored where they are; only found pairs move.
+    """
+    asked = questions.withColumn("ws", X.words(F.col("text"))).where(F.size("ws") > 0)
+    told = X.without(F.col("ws"))
+    longest = F.array_max(F.transform(told, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
+    asked = written(asked.select("query_id", longest["w"].alias("primary"), F.array_distinct(X.words(X.strip_accents(F.col("text")))).alias("qs")))
+    sets = chunks.where("chunk_text <> ''").select("chunk_id", "chunk_text", F.array_distinct(X.words(X.strip_accents(F.col("chunk_text")))).alias("cs"))
+    shared = F.size(F.array_intersect("qs", "cs"))
+    f1 = F.round(2 * shared / (F.size("qs") + F.size("cs")), 6)
+    found = []
+    for rows in blocks_of(asked.select("primary").distinct(), block):
+        held = F.filter(F.array(*(F.lit(r["primary"]) for r in rows)), lambda p: F.contains("chunk_text", p))
+        found.append(sets.select("chunk_id", "cs", F.explode(held).alias("primary")).join(F.broadcast(asked), "primary").select("query_id", "chunk_id", f1.alias("f1")))
+    if not found:
+        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id string, f1 double, rank int")
+    pairs = written(reduce(DataFrame.unionAll, found))
+    lost = asked.join(pairs.select("query_id").distinct(), "query_id", "left_anti")
+    every = [sets.select("chunk_id", "cs", F.explode(F.array(*(F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*map(F.lit, r["qs"])).alias("qs")) for r in rows))).alias("q")).select("chunk_id", "cs", "q.*").select("query_id", "chunk_id", f1.alias("f1")) for rows in blocks_of(lost, block)]
+    return top(reduce(DataFrame.unionAll, every, pairs).where("f1 > 0"), ["query_id"], [F.desc("f1"), "chunk_id"], k)
+
+
+def merge_subqueries(results: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, place) of a compound question: each chunk once, by first appearance, with its best score.
+
+    ``results`` has query_id, sub (number of the sub-query), rank, chunk_id, score; null chunks go.
+    """
+    best = results.where("chunk_id is not null").groupBy("query_id", "chunk_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.min(F.struct("sub", "rank")).alias("first"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "chunk_id")).cast("long")).drop("first")
+
+
+def merge_collections(results: DataFrame, k: int) -> DataFrame:
+    """The k best of several collections' rankings by score; of equal scores the earlier collection, then the earlier rank.
+
+    ``results`` has query_id, collection (number), rank, chunk_id, score.
+    """
+    return top(results.withColumnRenamed("rank", "own"), ["query_id"], [F.desc(F.coalesce("score", F.lit(0.0))), "collection", "own"], k).withColumnRenamed("rank", "place")
+
+
 def rrf_fuse(lists: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, rrf, semantic, lexical): lists has query_id, key, source, rank (from 1), distance."""
     d = lambda s: F.max(F.when(F.col("source") == s, F.col("distance"))).alias(s)

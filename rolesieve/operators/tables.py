@@ -101,3 +101,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{(named or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_emails(messages: DataFrame, synced: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Messages (user_id, message_id, ...) not synced yet; with an empty index the history counts for nothing."""
+    if indexed.isEmpty():
+        return messages
+    return messages.join(synced.select("user_id", "message_id").distinct(), ["user_id", "message_id"], "left_anti").select(*messages.columns)

@@ -234,9 +234,13 @@ def _(t):
 
 @query("new_emails", "SELECT message_id, user_id FROM emails WHERE NOT synced")
 def _(t):
-    """With an empty collection the history of syncs counts for nothing."""
-    done = t.emails.where("synced").select("user_id", "message_id")
-    return t.emails.join(done, ["user_id", "message_id"], "left_anti").select("message_id", "user_id")
+    return D.new_emails(t.emails.select("message_id", "user_id"), t.emails.where("synced"), t.embeddings)
+
+
+@query("new_emails_reset", "SELECT message_id, user_id FROM emails")
+def _(t):
+    """With an empty index every message is new."""
+    return D.new_emails(t.emails.select("message_id", "user_id"), t.emails.where("synced"), t.embeddings.where("vec_id < 0"))
 
 
 @query("extract_body", "SELECT message_id, mime, body FROM (SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 'text/plain' ELSE 'text/html' END AS mime, CASE WHEN message_id % 2 = 0 THEN subject ELSE body_html END AS body FROM emails)")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolesieve import constants as K
 from rolesieve.functions import text as X
 from rolesieve.operators import organisation as O
+from rolesieve.operators import policy as P
 from rolesieve.operators import retrieval as R
 from rolesieve.operators.tables import written
 from rolesieve.plans.organisation_queries import AS_OF, GRANTS, closure, granted, tuples
-from rolesieve.plans.text_queries import tokens_sql
-from rolesieve.plans.views import query
+from rolesieve.plans.text_queries import TOKENS, tokens_sql
+from rolesieve.plans.views import QUERIES, query
 
 SEM = "sem AS (SELECT query_id, chunk_id, document_id, chunk_sensitivity, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance FROM queries q CROSS JOIN chunk_vectors c), semk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM sem QUALIFY rank <= 20)"
 
@@ -44,19 +46,15 @@ def _(t):
 
 
 @query("keyword_f1_topk", f"""
-WITH q AS (SELECT query_id, list_distinct({tokens_sql('strip_accents(text)')}) AS qt FROM text_queries), qx AS (SELECT query_id, unnest(qt) AS token, len(qt) AS nq FROM q),
-c AS (SELECT chunk_id, list_distinct({tokens_sql('strip_accents(chunk_text)')}) AS ct FROM line_chunks), cx AS (SELECT chunk_id, unnest(ct) AS token, len(ct) AS nc FROM c),
-both_ AS (SELECT query_id, chunk_id, count(*) AS n, any_value(nq) AS nq, any_value(nc) AS nc FROM qx JOIN cx USING (token) GROUP BY ALL)
-SELECT query_id, chunk_id, round(2.0 * n / (nq + nc), 6) AS f1 FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(2.0 * n / (nq + nc), 6) DESC, chunk_id) <= 20""")
+WITH q AS (SELECT query_id, list_distinct({TOKENS.replace('{0}', 'strip_accents(text)')}) AS qs, {tokens_sql('text')} AS told FROM text_queries),
+p AS (SELECT query_id, qs, list_filter(told, lambda x: length(x) = list_max(list_transform(told, lambda y: length(y))))[1] AS word FROM q WHERE len(told) > 0),
+c AS (SELECT chunk_id, chunk_text, list_distinct({TOKENS.replace('{0}', 'strip_accents(chunk_text)')}) AS cs FROM line_chunks),
+near AS (SELECT query_id, qs, chunk_id, cs FROM p JOIN c ON contains(chunk_text, word)),
+looked AS (SELECT * FROM near UNION ALL SELECT query_id, qs, chunk_id, cs FROM p CROSS JOIN c WHERE query_id NOT IN (SELECT query_id FROM near)),
+f AS (SELECT query_id, chunk_id, round(2.0 * len(list_intersect(qs, cs)) / (len(qs) + len(cs)), 6) AS f1 FROM looked)
+SELECT query_id, chunk_id, f1 FROM f WHERE f1 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, chunk_id) <= 20""")
 def _(t):
-    def exploded(df, key, col):
-        bare = df.select(key, X.strip_accents(F.col(col)).alias("x")).select(key, F.array_distinct(X.tokenize(F.col("x"))).alias("ts"))
-        return bare.select(key, F.explode("ts").alias("token"), F.size("ts").alias("n_" + key))
-
-    q, c = exploded(t.text_queries, "query_id", "text"), exploded(t.line_chunks, "chunk_id", "chunk_text")
-    both = q.join(c, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.first("n_query_id").alias("a"), F.first("n_chunk_id").alias("b"))
-    scored = both.select("query_id", "chunk_id", F.round(2 * F.col("n") / (F.col("a") + F.col("b")), 6).alias("f1"))
-    return R.top(scored, ["query_id"], [F.desc("f1"), "chunk_id"], 20).drop("rank")
+    return R.keyword_f1(t.line_chunks, t.text_queries, 20).select("query_id", "chunk_id", "f1")
 
 
 # One table of chunks with vectors and text, and questions with both.
@@ -175,16 +173,26 @@ def _(t):
     return R.rerank_rwss(rows, 5).select("query_id", "chunk_id", "rwss", F.col("rank").cast("long").alias("rank"))
 
 
-@query("merge_subqueries", "SELECT user_id % 100 AS query_id, event_type AS chunk, max(value) AS score, min(event_id) AS first_seen FROM events GROUP BY ALL")
+RANKED = f"{BOTH}, ranked AS (SELECT query_id, 0 AS part, rank, chunk_id, round(greatest(0, least(1, 1 - distance)), 6) AS score FROM semk UNION ALL SELECT query_id, 1, rank, chunk_id, round(1 / (1 + exp(-score / 5)), 6) FROM bmk)"
+
+
+def ranked(t, part: str):
+    """Both engines' lists of every question, on one scale, as those of two sub-queries or collections."""
+    chunks, ask = both_tables(t)
+    s = R.semantic_topk(chunks, ask, 20).select("query_id", F.lit(0).alias(part), "rank", "chunk_id", F.round(R.similarity(F.col("distance")), 6).alias("score"))
+    lex = R.bm25(written(R.postings(chunks, text="text")), asked_tokens(ask))
+    lex = R.top(lex, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20)
+    return s.unionAll(lex.select("query_id", F.lit(1), "rank", "chunk_id", F.round(1 / (1 + F.exp(-F.col("score") / K.BM25_SIGMOID_SCALE)), 6)))
+
+
+@query("merge_subqueries", f"WITH {RANKED} SELECT query_id, chunk_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY min(1000 * part + rank), chunk_id) AS place FROM ranked GROUP BY query_id, chunk_id")
 def _(t):
-    return t.events.groupBy((F.col("user_id") % 100).alias("query_id"), F.col("event_type").alias("chunk")).agg(F.max("value").alias("score"), F.min("event_id").alias("first_seen"))
+    return R.merge_subqueries(ranked(t, "sub"))
 
 
-@query("merge_collections", "SELECT query_id, chunk_id, place FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM (SELECT user_id AS query_id, event_id AS chunk_id, value AS score FROM events WHERE event_type <> 'click' UNION ALL SELECT user_id, event_id, value FROM events WHERE event_type = 'click')) WHERE place <= 5")
+@query("merge_collections", f"WITH {RANKED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, part, rank) AS place FROM ranked WHERE rank <= 5 QUALIFY place <= 5")
 def _(t):
-    e = t.events.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), F.col("value").alias("score"), "event_type")
-    both = e.where("event_type <> 'click'").unionAll(e.where("event_type = 'click'"))
-    return R.top(both, ["query_id"], [F.desc("score"), "chunk_id"], 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("place"))
+    return R.merge_collections(ranked(t, "collection").where("rank <= 5"), 5).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 @query("finalize_results", f"WITH {BOTH}, f AS (SELECT query_id, chunk_id, {SHOWN} AS score, text FROM fused JOIN chunks USING (chunk_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS most FROM f WHERE trim(text) <> '') SELECT query_id, chunk_id, score, rank FROM r WHERE (score >= 0.65 AND rank <= 5) OR (most < 0.65 AND rank = 1)")
@@ -255,3 +263,15 @@ def _(t):
     """
     rows = R.access_gate(scoped_candidates(t)).withColumn("score", R.display_score(F.col("semantic"), F.col("lexical"))).withColumn("ce", ce())
     return R.rerank_rwss(rows, 5).select("query_id", "user_id", "chunk_id", "document_id", "blurred", "restricted", "score", "rwss", F.col("rank").cast("long").alias("rank"))
+
+
+@query("apply_policy_search")
+def _(t):
+    """What ``search`` returns, under the asker's policy: masked text, label sets, contract, doc_restricted."""
+    hits = written(QUERIES["search"](t.spark, t.sf_dir).select("query_id", "user_id", "chunk_id", "document_id", F.col("restricted").alias("doc_restricted")))
+    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rows = hits.join(texts.withColumn("entities", P.extract_entities(F.col("text"))), "chunk_id")
+    users = t.assignments.join(hits.select("user_id").distinct(), "user_id", "left_semi")
+    matches = P.scope_match(t.rule_pairs, users, O.expanded_ouis(users, closure(t)))
+    tiers = P.resolve_tiers(t.rules, O.user_clearance(users, t.positions), matches)
+    return P.apply_policy(rows, tiers.join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key"))

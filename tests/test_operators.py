@@ -139,3 +139,42 @@ def test_context_budget_counts_the_separator(spark):
 
     rows = spark.createDataFrame([(1, i, "x" * 10) for i in (1, 2, 3)], "query_id long, rank long, text string")
     assert R.context_budget(rows, 34).count() == 2 and R.context_budget(rows, 33).count() == 1 and R.context_budget(rows, 1).count() == 1
+
+
+def test_keyword_f1_looks_for_the_longest_word(spark):
+    from rolesieve.operators import retrieval as R
+
+    chunks = spark.createDataFrame([("a", "hợp đồng lao động"), ("b", "hop dong"), ("c", "của công ty"), ("d", "")], "chunk_id string, chunk_text string")
+    asked = spark.createDataFrame([(1, "Hợp của đồng?"), (2, "cong ty xyzzy"), (3, "?")], "query_id long, text string")
+    got = {(r["query_id"], r["chunk_id"], r["rank"]): r["f1"] for r in R.keyword_f1(chunks, asked, 5).collect()}
+    # 1 looks for "đồng" (longest, no stopword), which "b" has only without accents; 2 finds its word nowhere and looks at all
+    assert got == {(1, "a", 1): round(4 / 6, 6), (2, "c", 1): round(4 / 6, 6)}
+
+
+def test_merges_of_ranked_lists(spark):
+    from rolesieve.operators import retrieval as R
+
+    rows = spark.createDataFrame([(1, 0, 1, "a", 0.5), (1, 0, 2, "b", 0.4), (1, 1, 1, "b", 0.9), (1, 1, 2, "c", None), (1, 1, 3, None, 1.0)], "query_id long, sub int, rank int, chunk_id string, score double")
+    assert [(r["place"], r["chunk_id"], r["score"]) for r in R.merge_subqueries(rows).orderBy("place").collect()] == [(1, "a", 0.5), (2, "b", 0.9), (3, "c", 0.0)]
+    lists = spark.createDataFrame([(1, 0, 1, "a", 0.5), (1, 0, 2, "b", 0.4), (1, 1, 1, "m", 0.5), (1, 1, 2, "n", 0.45)], "query_id long, collection int, rank int, chunk_id string, score double")
+    assert [r["chunk_id"] for r in R.merge_collections(lists, 3).orderBy("place").collect()] == ["a", "m", "n"]
+
+
+def test_apply_policy_masks_and_tells(spark):
+    from rolesieve import constants as K
+    from rolesieve.operators import policy as P
+
+    spans = [("email", "a@b.vn", 0, 6), ("phone", "12345678", 7, 15), ("other", "x", 16, 17)]
+    rows = spark.createDataFrame([(u, 7, "a@b.vn 12345678 x", spans, None) for u in (1, 2, 3)], "user_id long, chunk_id long, text string, entities array<struct<label:string,text:string,start:int,end:int>>, doc_restricted boolean")
+    tiers = spark.createDataFrame([(1, "email", "block", "full", None), (1, "phone", "require", "partial", "tail"), (2, "email", "full", "full", None), (2, "phone", "require", "full", None)], "user_id long, entity_key string, tier string, style string, position string")
+    got = {r["user_id"]: r for r in P.apply_policy(rows, tiers).collect()}
+    assert got[1]["text"] == " 12" + K.MASK_CHAR * 6 + " x" and got[2]["text"] == f"a@b.vn {K.MASK_PLACEHOLDER} x" and got[3]["text"] == "a@b.vn 12345678 x"
+    assert [(got[u]["decision"], got[u]["blocked"], got[u]["required"], got[u]["doc_restricted"]) for u in (1, 2, 3)] == [("block", ["email"], ["phone"], True), ("require", [], ["phone"], True), ("full", [], [], False)]
+    assert [tuple(m) for m in got[1]["contract"]["matched"]] == [("email", "block", ["a@b.vn"]), ("phone", "require", ["12345678"])] and got[1]["contract"]["requires_access_request"]
+
+
+def test_new_emails_with_an_empty_index(spark):
+    from rolesieve.operators import tables as D
+
+    m = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "user_id long, message_id long")
+    assert D.new_emails(m, m.where("message_id = 1"), m).count() == 1 and D.new_emails(m, m, m.limit(0)).count() == 3
