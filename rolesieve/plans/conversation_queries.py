@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolesieve.functions import text as X
+from rolesieve.operators import conversations as C
 from rolesieve.plans.text_queries import tokens_sql
 from rolesieve.plans.views import query
 
@@ -42,19 +43,14 @@ def words_sql(x: str) -> str:
     return rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> ''))"
 
 
-def words_of(column: str):
-    """Distinct lower-case words, split at white space alone."""
-    return F.array_distinct(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != ""))
-
-
 _rel = f"rel AS (SELECT o.conv_id, o.question_id, o.turn, len(list_intersect({words_sql('o.question')}, {words_sql('n.question')})) AS overlap FROM placed o JOIN placed n ON n.conv_id = o.conv_id AND n.back = 1 WHERE o.back > 3), best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM rel WHERE overlap > 0 QUALIFY rank <= 3)"
 
 
 def relevant(t):
-    p = placed(t)
-    now = p.where("back = 1").select("conv_id", words_of("question").alias("asked"))
-    o = p.where("back > 3").join(now, "conv_id").withColumn("overlap", F.size(F.array_intersect(words_of("question"), "asked")).cast("long")).where("overlap > 0")
-    return o.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("overlap"), "turn")).cast("long")).where("rank <= 3")
+    """Pairs before the last three that share words with the last question; these tables have no vectors of questions."""
+    p = placed(t).withColumn("vector", F.lit(None).cast("array<double>"))
+    found = C.relevant_pairs(p.where("back > 3"), p.where("back = 1"), 3).withColumn("overlap", F.col("relevance").cast("long"))
+    return found.join(p.select("conv_id", "question_id", "question"), ["conv_id", "question_id"])
 
 
 @query("relevant_pairs", f"WITH {PAIRS}, {_rel} SELECT conv_id, question_id, overlap, rank FROM best")
@@ -97,6 +93,16 @@ def _(t):
     return _cited(t).select("message_id", X.normalize_citation_labels(F.col("answer")).alias("answer"))
 
 
+@query("cited_answers")
+def _(t):
+    """Answers with their citations numbered by appearance; the sources are the conversation's latest four questions."""
+    asked = t.messages.where("role = 'user'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 4")
+    source = F.struct(F.col("message_id").alias("source_id"), F.col("content").alias("excerpt"), F.lit(False).alias("restricted"))
+    sources = asked.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", source.alias("s")))), lambda x: x["s"]).alias("sources"))
+    answers = _cited(t).join(t.messages.select("message_id", "conv_id"), "message_id").join(sources, "conv_id", "left").withColumn("allowed", F.lit(None).cast("array<int>"))
+    return C.cite_by_appearance(answers).select("message_id", "answer", F.transform("sources", lambda s: s["source_id"]).alias("source_ids"))
+
+
 _cit = "cit AS (SELECT message_id, list_sort(list_distinct(list_transform(regexp_extract_all(concat(content, ' [', 1 + turn % 4, '] and [2][9]'), '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INT)))) AS idx FROM messages WHERE role = 'assistant'), src AS (SELECT message_id, unnest(list_filter(idx, lambda i: i <= 5)) AS old FROM cit)"
 
 
