@@ -41,7 +41,7 @@ class CachedTokenizer:
     special strings, go to it whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 220_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

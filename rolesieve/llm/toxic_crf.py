@@ -23,45 +23,113 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.jaccard_forest import shingle_set
+from rolesieve.llm.jaccard_forest import mix, shingle_set
 
 TOKEN = re.compile(r"\w+|\n")
+#: Of every emission: tokens are mostly not toxic.
+BASE = -3.0
 #: Tokens in a row of the layout.
 ROW = 64
-BUCKETS = 1 << 20
 
 
-def shape(token: str) -> str:
+def shape(token: str, low: str) -> str:
     """^ for a token all in capitals, ^~ for capitals inside, nothing for other tokens."""
-    if len(token) > 1 and token.isupper():
-        return "^"
-    return "^~" if any(c.isupper() for c in token[1:]) else ""
+    if token[1:] == low[1:]:
+        return ""
+    return "^" if token.isupper() else "^~"
 
 
 def parts(token: str) -> list[str]:
     """The word, its prefixes and its shape, by which tokens are labelled and weighed."""
-    word = token.lower()
-    out = ["=" + word, *(word[:k] for k in range(4, min(9, len(word))))]
-    return [*out, shape(token)] if shape(token) else out
+    low = token.lower()
+    out = ["=" + low, *(low[:k] for k in range(4, min(9, len(low))))]
+    form = shape(token, low)
+    return [*out, form] if form else out
 
 
 #: The part of a token that repeats the one before it.
 REPEATS = "="
 
+_crc = zlib.crc32
+_WORD, _SUFFIX, _BEFORE, _AFTER = (_crc(x) for x in (b"=", b"-", b"<", b">"))
 
-def hashed(x: str) -> int:
-    return zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS
 
+def own_features(low: str, raw: bytes, form: str) -> list[int]:
+    """Hashes of a lower-case word (``raw``: its bytes): the word, its suffix, its prefixes, its shape."""
+    out = [_crc(raw, _WORD), _crc(low[-3:].encode(), _SUFFIX)]
+    if len(low) > 4:
+        h = _crc(low[:4].encode())
+        out.append(h)
+        for c in low[4 : min(8, len(low) - 1)]:  # a longer prefix continues the hash of the shorter
+            h = _crc(c.encode(), h)
+            out.append(h)
+    if form:
+        out.append(_crc(form.encode()))
+    return out
 
-def features(token: str) -> list[int]:
-    return [hashed(x) for x in (*parts(token), "-" + token.lower()[-3:])]
+
+@dataclass
+class Lexicon:
+    """Numbers of tokens and what they weigh, learnt as texts come; cleared when it holds ``most``."""
+
+    keys: np.ndarray  # sorted hashes of the features that training has seen
+    weights: np.ndarray
+    most: int = 100_000
+
+    def __post_init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"\n": 0}
+        self.folds: dict[str, int] = {}
+        self.fold = np.zeros(1 << 17, np.int32)  # number of the lower-case word
+        self.weight = np.zeros((3, 1 << 17), np.float32)  # own, as the word before, as the word after
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > self.most:
+            self.clear()
+        get = self.number.get
+        at = list(map(get, words))
+        if None in at:
+            self.learn([words[i] for i, k in enumerate(at) if k is None])
+            at = list(map(get, words))
+        return np.array(at, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        first, number, folds = len(self.number), self.number, self.folds
+        feats, size, fold, before, after = [], [], [], [], []
+        for w in words:
+            if w in number:
+                continue
+            number[w] = len(number)
+            low = w.lower()
+            raw = low.encode()
+            f = own_features(low, raw, shape(w, low))
+            feats += f
+            size.append(len(f))
+            fold.append(folds.setdefault(low, len(folds)))
+            before.append(_crc(raw, _BEFORE))
+            after.append(_crc(raw, _AFTER))
+        last = len(number)
+        while last > len(self.fold):
+            self.fold = np.concatenate([self.fold, np.zeros_like(self.fold)])
+            self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)], 1)
+        self.fold[first:last] = fold
+        self.weight[0, first:last] = np.add.reduceat(self.of(feats), np.cumsum([0, *size[:-1]]))
+        self.weight[1, first:last], self.weight[2, first:last] = self.of(before), self.of(after)
+
+    def of(self, hashes: list[int]) -> np.ndarray:
+        """Weights of features; nothing for those that training has not seen."""
+        h = np.array(hashes, np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.weights[at], np.float32(0))
 
 
 @dataclass
@@ -169,71 +237,51 @@ class Sequences:
         return marg, counts
 
 
-def following(words: list[str], starts: np.ndarray) -> np.ndarray:
-    """Whether each token is, case apart, the one before it in its line."""
-    low = [w.lower() for w in words]
-    same = np.fromiter((a == b for a, b in zip(low[1:], low)), bool, max(0, len(low) - 1))
-    return np.r_[False, same][: len(low)] & ~starts
-
-
-def tokens_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(tokens without line ends, document of each, whether each starts a line)."""
-    words: list[str] = []
-    size = []
-    for t in texts:
-        toks = TOKEN.findall(t)
-        words += toks
-        size.append(len(toks))
-    doc = np.repeat(np.arange(len(texts)), size)
-    ends = np.fromiter((w == "\n" for w in words), bool, len(words))
-    line = np.cumsum(ends)[~ends]
-    doc = doc[~ends]
-    starts = np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
-    return [w for w in words if w != "\n"], doc, starts
+def line_starts(ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each token that is no line end starts a line; ``ends`` and ``doc`` are of all tokens."""
+    line, doc = np.cumsum(ends)[~ends], doc[~ends]
+    return np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
 
 
 @dataclass
 class ToxicModel:
+    keys: np.ndarray
     weights: np.ndarray
     trans: np.ndarray
     regression: np.ndarray
-    base: float = -3.0  # of every emission: tokens are mostly not toxic
-    cache: dict = field(default_factory=dict)
-
-    def known(self, words: list[str]) -> np.ndarray:
-        """Rows (own, as the word before, as the word after) of the weights of each token."""
-        number, table = self.cache.setdefault("number", {}), self.cache.setdefault("table", [])
-        if len(number) > 150_000:
-            number.clear()
-            table.clear()
-        get = number.get
-        at = [get(w) for w in words]
-        if None in at:
-            for i, k in enumerate(at):
-                if k is None:
-                    w = words[i]
-                    k = get(w)
-                    if k is None:
-                        k = number[w] = len(table)
-                        low = w.lower()
-                        table.append((float(self.weights[features(w)].sum()), float(self.weights[hashed("<" + low)]), float(self.weights[hashed(">" + low)])))
-                    at[i] = k
-        return np.array(table)[at]
-
-    def emissions(self, words: list[str], starts: np.ndarray) -> np.ndarray:
-        own, before, after = self.known(words).T
-        inside = ~starts[1:]
-        out = own + self.base + self.weights[hashed(REPEATS)] * following(words, starts)
-        out[1:] += np.where(inside, before[:-1], 0)
-        out[:-1] += np.where(inside, after[1:], 0)
-        return out
+    base: float = BASE
+
+    def __post_init__(self):
+        self.lexicon = Lexicon(self.keys, self.weights)
+        self.repeats = float(self.lexicon.of([_crc(REPEATS.encode())])[0])
+
+    def fields(self) -> tuple:
+        """What makes the model anew in a task; features of next to no weight are left out."""
+        told = np.abs(self.weights) >= 0.02
+        told[:1] = True
+        return self.keys[told], self.weights[told].astype(np.float32), self.trans, self.regression, self.base
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document of each token, number of the token in its text, P(toxic))."""
-        words, doc, starts = tokens_of(texts)
-        if not words:
+        """(document of each token, number of the token in its text, P(toxic)); line ends are no tokens."""
+        words: list[str] = []
+        size = []
+        for t in texts:
+            found = TOKEN.findall(t)
+            words += found
+            size.append(len(found))
+        at = self.lexicon.numbers(words)
+        del words
+        doc = np.repeat(np.arange(len(texts)), size)
+        starts = line_starts(at == 0, doc)
+        doc, at = doc[at > 0], at[at > 0]
+        if not len(at):
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        p = Sequences.of(starts).marginals(self.emissions(words, starts), self.trans)
+        fold, (own, before, after) = self.lexicon.fold[at], self.lexicon.weight[:, at].astype(float)
+        follows = np.flatnonzero(~starts[1:]) + 1
+        em = own + self.base
+        em[follows] += before[follows - 1] + self.repeats * (fold[follows] == fold[follows - 1])
+        em[follows - 1] += after[follows]
+        p = Sequences.of(starts).marginals(em, self.trans)
         first = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
         nth = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
         return doc, nth, p
@@ -269,30 +317,34 @@ def label_parts(sets: list[set[str]], toxic: np.ndarray, least: int = 3, odds: f
 
 
 def copies_once(texts: list[str], toxic: np.ndarray) -> list[int]:
-    """Places of the texts without copies of one another (of one label and least 5-word run), which would make hints of chance words."""
-    seen: dict = {}
+    """Places of the texts without copies of one another within a label, which would make hints of chance words.
+
+    A copy has one of three minima over the 5-word runs in common with a text before it; of
+    similarity 0.8 it goes unseen once in 125.
+    """
+    seen: set = set()
+    out = []
     for i, (t, y) in enumerate(zip(texts, toxic)):
         runs = shingle_set(t)
-        seen.setdefault((bool(y), int(runs[0]) if len(runs) else None), i)
-    return list(seen.values())
-
+        keys = {(bool(y), k, int(h.min())) for k, h in enumerate((runs, ~runs, mix(runs ^ np.uint64(1))))} if len(runs) else {(bool(y), -1, 0)}
+        if seen.isdisjoint(keys):
+            out.append(i)
+        seen |= keys
+    return out
 
-def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds: int = 60, rate: float = 0.5) -> ToxicModel:
-    """Train the field on tokens labelled from the documents, then the document regression.
 
-    ``share``: the part of toxic rows among all labelled ones, where ``texts`` has another.
-    """
-    toxic = np.asarray(toxic).astype(bool)
-    one = copies_once(texts, toxic)
-    texts, toxic = [texts[i] for i in one], toxic[one]
-    vocab: dict[str, int] = {}
+def fit_field(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.5) -> ToxicModel | None:
+    """The field alone; None where no token tells toxic documents from others."""
+    vocab: dict[str, int] = {"\n": 0}
     found = []
     for text in texts:  # one at a time, so that only numbers of tokens add up
-        words, _, starts = tokens_of([text])
-        found.append((np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)), starts))
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x, _ in found])
-    ids, starts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, bool))
-    names = list(vocab)
+        words = TOKEN.findall(text)
+        found.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
+    ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+    starts = line_starts(ids == 0, doc)
+    doc, ids = doc[ids > 0], ids[ids > 0] - 1
+    names = list(vocab)[1:]
     lower: dict[str, int] = {}
     folded = np.array([lower.setdefault(w.lower(), len(lower)) for w in names] or [0], np.int32)[ids]
     again = np.r_[False, folded[1:] == folded[:-1]][: len(ids)] & ~starts
@@ -302,45 +354,74 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
     sets = [set().union(*(of[i] for i in np.unique(ids[a:b]))) | ({REPEATS} if again[a:b].any() else set()) for a, b in zip(edge[:-1], edge[1:])]
     hints = label_parts(sets, toxic)
     del sets
-    model = ToxicModel(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(7))
     hinted = np.array([not hints.isdisjoint(x) for x in of] or [False])
     if not len(ids) or not (hinted.any() or REPEATS in hints):
-        share = toxic.mean() if share is None and len(toxic) else share or 0.0
-        model.regression[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return model
+        return None
     gold = toxic[doc] & (hinted[ids] | (again & (REPEATS in hints)))
     del doc, of
     seq = Sequences.of(starts)
     follows = np.flatnonzero(~starts[1:])
     seen = np.bincount(2 * gold[follows] + gold[follows + 1], minlength=4).reshape(2, 2)
-    feats = [features(w) for w in names]
-    flat, owner = np.concatenate(feats).astype(np.int32), np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
-    before, after = (np.array([hashed(mark + w.lower()) for w in names], np.int32) for mark in "<>")
-    repeats = hashed(REPEATS)
-    decay = np.full(BUCKETS, 0.01)
-    decay[before] = decay[after] = 2.0  # a toxic word has chance neighbours
+    lows = [w.lower() for w in names]
+    feats = [own_features(low, low.encode(), shape(w, low)) for w, low in zip(names, lows)]
+    owner = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
+    every = [np.fromiter((h for f in feats for h in f), np.uint32, len(owner)), *(np.array([_crc(low.encode(), mark) for low in lows], np.uint32) for mark in (_BEFORE, _AFTER)), np.array([_crc(REPEATS.encode())], np.uint32)]
+    del feats, vocab, names, lows
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    flat, before, after, repeats = np.split(at.astype(np.int32), np.cumsum([len(x) for x in every[:-1]]))
+    repeats = int(repeats[0])
+    del every, at
+    n, weights, trans = len(keys), np.zeros(len(keys)), np.zeros((2, 2))
+    decay = np.full(n, 0.01)
+    decay[before] = decay[after] = 20.0  # a toxic word has chance neighbours
     decay[flat] = 0.01
-    del feats, vocab, names
     n_words = len(hinted)
-    g2, t2 = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
+    g2, t2 = np.full(n, 1e-6), np.full((2, 2), 1e-6)
     here, there = ids[follows], ids[follows + 1]
     for _ in range(rounds):
-        per_word = np.bincount(owner, weights=model.weights[flat], minlength=n_words) + model.base
-        em = per_word[ids] + model.weights[repeats] * again
-        em[follows + 1] += model.weights[before][here]
-        em[follows] += model.weights[after][there]
-        p, pairs = seq.marginals(em, model.trans, pairs=True)
+        per_word = np.bincount(owner, weights=weights[flat], minlength=n_words) + BASE
+        em = per_word[ids] + weights[repeats] * again
+        em[follows + 1] += weights[before][here]
+        em[follows] += weights[after][there]
+        p, pairs = seq.marginals(em, trans, pairs=True)
         miss = gold - p
-        grad = np.bincount(flat, weights=np.bincount(ids, weights=miss, minlength=n_words)[owner], minlength=BUCKETS)
-        grad += np.bincount(before, weights=np.bincount(here, weights=miss[follows + 1], minlength=n_words), minlength=BUCKETS)
-        grad += np.bincount(after, weights=np.bincount(there, weights=miss[follows], minlength=n_words), minlength=BUCKETS)
+        grad = np.bincount(flat, weights=np.bincount(ids, weights=miss, minlength=n_words)[owner], minlength=n)
+        grad += np.bincount(before, weights=np.bincount(here, weights=miss[follows + 1], minlength=n_words), minlength=n)
+        grad += np.bincount(after, weights=np.bincount(there, weights=miss[follows], minlength=n_words), minlength=n)
         grad[repeats] += miss[again].sum()
-        grad -= decay * model.weights
-        tgrad = seen - pairs - 0.01 * model.trans
+        grad -= decay * weights
+        tgrad = seen - pairs - 0.01 * trans
         g2 += grad**2
         t2 += tgrad**2
-        model.weights += rate * grad / np.sqrt(g2)
-        model.trans += 0.3 * rate * tgrad / np.sqrt(t2)
+        weights += rate * grad / np.sqrt(g2)
+        trans += 0.3 * rate * tgrad / np.sqrt(t2)
+    return ToxicModel(keys, weights.astype(np.float32), trans, np.zeros(7))
+
+
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, aside: int = 4) -> ToxicModel:
+    """Train the field on tokens labelled from the documents, then the document regression.
+
+    The regression is fitted on every ``aside``-th text, which the field has not seen, so that it
+    knows what chance hits look like.  ``share``: the part of toxic rows among all labelled
+    ones, where ``texts`` has another.
+    """
+    toxic = np.asarray(toxic).astype(bool)
+    one = copies_once(texts, toxic)
+    texts, toxic = [texts[i] for i in one], toxic[one]
+    unseen = np.zeros(len(texts), bool)
+    for y in (False, True):
+        unseen[np.flatnonzero(toxic == y)[aside - 1 :: aside]] = True
+    if unseen[toxic].sum() < 20:  # too few to spare
+        unseen[:] = False
+    seen = [t for t, u in zip(texts, unseen) if not u]
+    model = fit_field(seen, toxic[~unseen])
+    if model is None:
+        share = toxic.mean() if share is None and len(toxic) else share or 0.0
+        model = ToxicModel(np.zeros(1, np.uint32), np.zeros(1, np.float32), np.zeros((2, 2)), np.zeros(7))
+        model.regression[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
+        return model
+    if unseen.any():
+        texts, toxic = [t for t, u in zip(texts, unseen) if u], toxic[unseen]
     x, y = model.summary(texts), toxic.astype(float)
     weight = np.ones(len(y))
     if share is not None and 0 < share < 1 and 0 < y.sum() < len(y):
@@ -389,14 +470,12 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3)
     One row for each input row, whatever its doc_id.
     """
     spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.regression, model.base))
+    weights = spark.sparkContext.broadcast(model.fields())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, trans, regression, base = weights.value
-        m = ToxicModel(w, trans, regression, base)
+        m = ToxicModel(*weights.value)
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            for part in sliced(pdf):
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
                 tagged = m.tag(texts)
                 spans: list[list] = [[] for _ in texts]
@@ -417,14 +496,26 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int, n_spans long, spans array<struct<start:long,end:long,score:double>>")
 
 
+def sliced(pdf: pd.DataFrame, most: int = 500, size: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Runs of rows of at most ``most`` rows and, but for single longer ones, ``size`` characters of text."""
+    lengths = [len(t) if isinstance(t, str) else 0 for t in pdf["text"]]
+    lo = 0
+    while lo < len(pdf):
+        hi, total = lo, 0
+        while hi < len(pdf) and hi - lo < most and (hi == lo or total + lengths[hi] <= size):
+            total += lengths[hi]
+            hi += 1
+        yield pdf.iloc[lo:hi]
+        lo = hi
+
+
 def accepted(docs: DataFrame, score, passes) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts pass; ``score(texts)`` is called batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = score()
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            for part in sliced(pdf):
                 yield part[passes(f([t if isinstance(t, str) else "" for t in part["text"]]))]
 
     return docs.mapInPandas(run, docs.schema)
@@ -432,5 +523,5 @@ def accepted(docs: DataFrame, score, passes) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
     """Documents that score below ``threshold``, unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.regression, model.base))
+    sent = docs.sparkSession.sparkContext.broadcast(model.fields())
     return accepted(docs, lambda: ToxicModel(*sent.value).score, lambda s: s < threshold)
