@@ -8,11 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold 16 MB rather than 10,000 rows of whatever length, where the session says nothing."""
+    if spark.conf.get(_BATCH, None) in (None, str((1 << 31) - 1), f"{(1 << 31) - 1}b"):
+        spark.conf.set(_BATCH, "16m")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """One input table; only the named columns are scanned."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -41,6 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     by Spark's own setting.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
