@@ -148,9 +148,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.score_documents(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "score", "predicted", "n_spans", "spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.periodic_runs import periodic_runs, planted
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    best = lambda c: F.col(f"best.{c}")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best(c).alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * best("length") / best("period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Five-word stretches that come back q words later lie side by side wherever a run has period q.
+OP11_SQL = """
+WITH raw AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+hashed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS h FROM raw),
+moved AS (SELECT *, len(ws) AS n, h // 10 AS g FROM hashed),
+steps AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM moved WHERE h % 10 = 0 AND n > 0),
+d AS (
+  SELECT k, list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) AS w FROM steps
+  UNION ALL SELECT k, ws FROM moved WHERE h IS NULL OR h % 10 <> 0 OR n = 0),
+fives AS (SELECT k, i, md5(array_to_string(w[i + 1 : i + 5], ' ')) AS f FROM (SELECT k, w, unnest(range(0, greatest(len(w) - 4, 0))) AS i FROM d)),
+same AS (SELECT a.k, a.i, b.i - a.i AS q FROM fives a JOIN fives b ON a.k = b.k AND a.f = b.f AND b.i > a.i),
+lined AS (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS line FROM same),
+stretches AS (SELECT k, q, min(i) AS s, count(*) + 4 + q AS l FROM lined GROUP BY k, q, line),
+runs AS (SELECT k, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY k, s, l),
+best AS (SELECT k, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+sums AS (SELECT k, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY k),
+gone AS (SELECT k, list(DISTINCT i) AS gone FROM (SELECT k, unnest(range(s + q, s + l)) AS i FROM runs) GROUP BY k),
+left_ AS (
+  SELECT d.k, array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ') AS t
+  FROM d LEFT JOIN gone USING (k))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(t) AS collapsed_sha256
+FROM raw JOIN left_ USING (k) LEFT JOIN sums USING (k) LEFT JOIN best USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_cross_entropy": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_near_copies": OP5_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_cross_entropy": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_near_copies": OP5_SQL, "op11_periodic_runs": OP11_SQL}
