@@ -192,9 +192,33 @@ FROM raw JOIN left_ USING (k) LEFT JOIN sums USING (k) LEFT JOIN best USING (k)
 """
 
 
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm.shared_search import ranked_search
+
+    return ranked_search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+OP12_SQL = """
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+sizes AS (SELECT doc_id, k, len(ws) AS n FROM words),
+total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM sizes WHERE n > 0),
+asked AS (
+  SELECT r, item_id, t, count(*) AS reps
+  FROM (SELECT row_number() OVER () AS r, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+posts AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(ws) AS t FROM words) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posts, total GROUP BY t, nn),
+parts AS (SELECT k, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))) AS c FROM posts JOIN weights USING (t) JOIN sizes USING (k), total),
+scored AS (SELECT r, item_id, k, sum(reps * c)::BIGINT AS score FROM asked JOIN parts USING (t) GROUP BY r, item_id, k)
+SELECT item_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored JOIN sizes USING (k) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_cross_entropy": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_near_copies": OP5_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_cross_entropy": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_near_copies": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_shared_search": OP12_SQL}
