@@ -216,6 +216,14 @@ FROM scored JOIN sizes USING (k) WHERE score > 0 QUALIFY rank <= 20
 """
 
 
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolesieve.llm import language_mixture
+
+    model = language_mixture.train(read(spark, sf_dir, "documents", "doc_id", "text", "lang").where(~_fold(4, 2)))
+    scored = language_mixture.predict_languages(read(spark, sf_dir, "documents", "doc_id", "text"), model)
+    return scored.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
