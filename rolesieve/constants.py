@@ -209,3 +209,34 @@ DEFAULT_RULES = [
     ("date_generic", "Ngày tháng dạng số", "Chung", "regex", "full", 1, []),
     ("location", "Địa điểm", "Chung", "gliner", "full", 1, []),
 ]
+
+# Amounts of money, what is put after those without a unit so that a model takes them for money,
+# and how many sets of labels a request may ask for one by one.
+MONEY_SHAPE = r"\b[\d.,]+\s?(?:VND|đồng|VNĐ)\b|\b\d{1,3}(?:\.\d{3}){2,}\b"
+MONEY_HINT = " $"
+LABEL_SETS = 4
+
+# Fixed values of the knowledge graph: document types, entity classes by sensitivity 1 to 5, classes and permission of
+# each policy tier, static nodes (name, category, type) and static edges (from, relation, to).
+DOCUMENT_TYPES = [
+    "EmployeeProfile", "Contract", "FinancialReport", "TechnicalDocument", "MeetingMinutes", "Email", "Specification",
+    "Policy", "ProjectPlan", "Invoice", "PurchaseOrder", "Proposal", "PerformanceReview", "TrainingMaterial",
+    "Presentation", "AuditReport", "LegalDocument", "Memo", "Handbook", "Other",
+]
+ENTITY_CLASSES = ["PublicEntity", "InternalEntity", "ConfidentialEntity", "SecretEntity", "TopSecretEntity"]
+TIER_NODES = {"allow": ("Allow", "AllowPolicy", "AllowEntity"), "mask": ("Mask", "MaskPolicy", "MaskEntity")}
+STATIC_NODES = [
+    ("Enterprise", "Organization", "Root"), ("Employee", "Employee", "Root"), ("Document", "Document", "Root"),
+    *((x, "Document", "DocumentType") for x in DOCUMENT_TYPES),
+    ("Entity", "Entity", "Root"), *((x, "Entity", "EntityClass") for x in ENTITY_CLASSES),
+    ("AccessPolicy", "Policy", "Root"), ("AllowPolicy", "Policy", "PolicyClass"), ("MaskPolicy", "Policy", "PolicyClass"), ("AuditPolicy", "Policy", "PolicyClass"),
+    ("Scope", "Scope", "Root"), ("RoleScope", "Scope", "ScopeClass"),
+    ("Permission", "Permission", "Root"), ("AllowEntity", "Permission", "PermissionClass"), ("MaskEntity", "Permission", "PermissionClass"),
+    ("ALLOW", "Decision", "Decision"), ("MASK", "Decision", "Decision"), ("BLOCK", "Decision", "Decision"), ("AUDIT", "Decision", "Decision"),
+]
+STATIC_EDGES = [
+    *((x, "IS_A", "Document") for x in DOCUMENT_TYPES), *((x, "IS_A", "Entity") for x in ENTITY_CLASSES),
+    ("AllowPolicy", "IS_A", "AccessPolicy"), ("MaskPolicy", "IS_A", "AccessPolicy"), ("AuditPolicy", "IS_A", "AccessPolicy"),
+    ("RoleScope", "IS_A", "Scope"), ("AllowEntity", "IS_A", "Permission"), ("MaskEntity", "IS_A", "Permission"),
+    ("Permission", "RESULTS_IN", "ALLOW"), ("Permission", "RESULTS_IN", "MASK"), ("Permission", "RESULTS_IN", "BLOCK"),
+]

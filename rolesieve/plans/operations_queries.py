@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rolesieve import constants as K
 from rolesieve.functions import text as X
+from rolesieve.operators import graph as G
 from rolesieve.operators import organisation as O
 from rolesieve.operators import tables as D
 from rolesieve.plans.organisation_queries import GRANTS, closure, granted, tuples
@@ -229,6 +231,70 @@ def _(t):
     return nodes(t).join(edges(t).withColumnRenamed("src", "id"), "id", "left").select("id", "kind", "type", "dst")
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x + "'" for x in r) + ")" for r in rows)
+
+
+_tier_case = lambda i: " ".join(f"WHEN '{t}' THEN '{n[i]}'" for t, n in K.TIER_NODES.items())
+#: The graph was synced once with the mask scopes alone and without the users in debt, then with all tables.
+SYNCED = f"""static(name, category, type) AS (VALUES {_values(K.STATIC_NODES)}), static_edges(src, type, dst) AS (VALUES {_values(K.STATIC_EDGES)}),
+seats AS (SELECT concat(p.position_id, ':', o.oui_id) AS seat, p.position_id, o.oui_id, concat('p', p.clearance, ' (', o.name, ')') AS name FROM positions p JOIN oui o USING (ou_id)),
+every AS (SELECT entity_key, bool_or(tier = 'allow' AND coalesce(oui_id, '') = '__ALL__') AS everyone FROM rule_pairs GROUP BY 1),
+tiers AS (SELECT DISTINCT entity_key, tier, concat(entity_key, ':', tier) AS source FROM rule_pairs JOIN every USING (entity_key) WHERE tier = 'allow' OR NOT everyone),
+graph_nodes AS (
+  SELECT 'static' AS kind, name AS source, name, category, type, true AS old FROM static
+  UNION ALL SELECT 'entity_policy_rule', entity_key, entity_key, 'Entity', 'EntityInstance', true FROM rules
+  UNION ALL SELECT 'entity_policy_rule_tier', source, CASE tier {_tier_case(0)} END, 'Policy', 'PolicyInstance', tier = 'mask' FROM tiers
+  UNION ALL SELECT 'org_unit', CAST(ou_id AS VARCHAR), name, 'Organization', 'OrgUnitType', true FROM oui_type
+  UNION ALL SELECT 'org_unit_scope', concat(ou_id, ':scope'), concat(name, 'Scope'), 'Scope', 'ScopeClass', true FROM oui_type
+  UNION ALL SELECT 'org_unit_instance', oui_id, name, 'Organization', 'OrgUnitInstance', true FROM oui
+  UNION ALL SELECT 'position_instance', seat, name, 'Scope', 'PositionInstance', true FROM seats
+  UNION ALL SELECT 'user_assignment', concat(user_id, ':', oui_id), c_name, 'Employee', 'Employee', c_acctbal >= 0 FROM assignments JOIN customer ON c_custkey = user_id),
+graph_edges AS (
+  SELECT 'static' AS src_kind, src, type, 'static' AS dst_kind, dst FROM static_edges
+  UNION SELECT 'entity_policy_rule', entity_key, 'IS_A', 'static', CASE sensitivity {" ".join(f"WHEN {i + 1} THEN '{c}'" for i, c in enumerate(K.ENTITY_CLASSES))} ELSE 'PublicEntity' END FROM rules
+  UNION SELECT 'entity_policy_rule', entity_key, 'PROTECTED_BY', 'entity_policy_rule_tier', source FROM tiers
+  UNION SELECT 'entity_policy_rule_tier', source, 'IS_A', 'static', CASE tier {_tier_case(1)} END FROM tiers
+  UNION SELECT 'entity_policy_rule_tier', source, 'GRANTS', 'static', CASE tier {_tier_case(2)} END FROM tiers
+  UNION SELECT 'entity_policy_rule_tier', source, 'APPLIES_TO', 'static', 'Scope' FROM tiers JOIN every USING (entity_key) JOIN rule_pairs p USING (entity_key, tier) WHERE p.oui_id = '__ALL__' OR everyone
+  UNION SELECT 'entity_policy_rule_tier', source, 'APPLIES_TO', 'position_instance', seat FROM tiers JOIN every USING (entity_key) JOIN rule_pairs p USING (entity_key, tier) JOIN seats s ON s.position_id = p.position_id AND (p.oui_id IS NULL OR s.oui_id = p.oui_id) WHERE NOT (everyone AND tier = 'allow')
+  UNION SELECT 'entity_policy_rule_tier', source, 'APPLIES_TO', 'org_unit_instance', p.oui_id FROM tiers JOIN every USING (entity_key) JOIN rule_pairs p USING (entity_key, tier) JOIN oui o USING (oui_id) WHERE p.position_id IS NULL AND NOT (everyone AND tier = 'allow')
+  UNION SELECT 'org_unit', CAST(ou_id AS VARCHAR), 'IS_A', CASE WHEN parent_id IS NULL THEN 'static' ELSE 'org_unit' END, coalesce(CAST(parent_id AS VARCHAR), 'Enterprise') FROM oui_type
+  UNION SELECT 'org_unit_scope', concat(ou_id, ':scope'), 'IS_A', 'static', 'Scope' FROM oui_type
+  UNION SELECT 'org_unit_instance', oui_id, 'IS_A', 'org_unit', CAST(ou_id AS VARCHAR) FROM oui
+  UNION SELECT 'org_unit_instance', oui_id, 'IS_A', 'org_unit_scope', concat(ou_id, ':scope') FROM oui
+  UNION SELECT 'org_unit_instance', oui_id, 'BELONGS_TO', 'org_unit_instance', parent_oui_id FROM oui_parents
+  UNION SELECT 'position_instance', seat, 'IS_A_ROLE_OF', 'org_unit_instance', oui_id FROM seats
+  UNION SELECT 'position_instance', seat, 'IS_A', 'static', 'RoleScope' FROM seats
+  UNION SELECT 'user_assignment', concat(user_id, ':', a.oui_id), 'IS_A', 'position_instance', seat FROM assignments a JOIN seats s ON s.position_id = a.position_id AND s.oui_id = a.oui_id
+  UNION SELECT 'static', document_type, 'CONTAINS', 'entity_policy_rule', entity_key FROM detections JOIN docs USING (document_id) JOIN rules ON entity_key = label JOIN static ON name = document_type)"""
+
+
+def wanted_graph(t, pairs, users):
+    """The graph that the tables ask for, with the given scope pairs and users (user_id, name)."""
+    contained = t.detections.join(t.docs.select("document_id", "document_type"), "document_id").select("document_type", F.col("label").alias("entity_key")).distinct()
+    seats = t.positions.select("position_id", "ou_id", F.concat(F.lit("p"), F.col("clearance").cast("string")).alias("name"))
+    return G.wanted_graph(t.oui_type, t.oui, t.oui_parents, seats, t.rules.select("entity_key", F.col("entity_key").alias("name"), "sensitivity"), pairs, t.assignments.join(users, "user_id"), contained)
+
+
+def synced_graph(t):
+    """Two syncs, written in between as a job would."""
+    users = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), "c_acctbal")
+    day = lambda d: F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp_ntz")
+    first = G.sync_graph(None, None, wanted_graph(t, t.rule_pairs.where("tier = 'mask'"), users.where("c_acctbal >= 0")), day(1))
+    return G.sync_graph(*map(D.written, first), wanted_graph(t, t.rule_pairs, users), day(2))
+
+
+@query("sync_graph_nodes", f"WITH {SYNCED} SELECT kind, source, name, category, type, CASE WHEN old THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS created_at FROM graph_nodes")
+def _(t):
+    return synced_graph(t)[0].select("kind", "source", "name", "category", "type", "created_at")
+
+
+@query("sync_graph_edges", f"WITH {SYNCED} SELECT * FROM graph_edges")
+def _(t):
+    return synced_graph(t)[1].select(*G.EDGE)
+
+
 # e-mail
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolesieve import constants as K
+from rolesieve.operators import detection as D
 from rolesieve.operators import organisation as O
 from rolesieve.operators import policy as P
 from rolesieve.plans.organisation_queries import CLEAR, CLOSURE, closure
@@ -46,9 +49,42 @@ def _(t):
     return t.documents.select("doc_id", F.explode(P.extract_entities(text, ["employee_address"])).alias("e")).select("doc_id", "e.*")
 
 
-@query("detect_entities_model")
+def amounts_and_clerks(texts: list[str], labels: list[str]) -> list[list[dict]]:
+    """A stand-in for a model: it knows an amount by the hint behind it, and clerks by their name."""
+    known = {"paid amount": re.compile(r"[\d.]+ \$"), "clerk name": re.compile(r"Clerk#\d+")}
+    one = lambda t, k, m: {"text": m[0], "label": k, "start": m.start(), "end": m.end(), "score": 0.9}
+    return [[one(t, k, m) for k in labels if k in known for m in known[k].finditer(t)] for t in texts]
+
+
+_paid = "paid AS (SELECT o_orderkey AS id, replace(format('{:,}', CAST(round(o_totalprice * 100) AS BIGINT)), ',', '.') AS amount, concat('Clerk#', o_custkey) AS o_clerk, o_orderstatus, o_orderpriority FROM orders), told AS (SELECT *, concat('Đơn ', o_orderpriority, ': ', amount, ' / ', o_clerk, ', ', amount, ' đồng') AS text FROM paid)"
+_spans = "money AS (SELECT id, 'paid_amount' AS label, amount AS value, strpos(text, amount) - 1 AS start, o_orderstatus FROM told WHERE length(amount) > 8), clerks AS (SELECT id, 'clerk_name' AS label, o_clerk AS value, strpos(text, o_clerk) - 1 AS start, o_orderstatus FROM told)"
+
+
+def paid(t):
+    """Orders as short texts with an amount without a unit, a clerk, and the amount with its unit."""
+    amount = F.replace(F.format_number(F.round(F.col("o_totalprice") * 100).cast("long"), 0), F.lit(","), F.lit("."))
+    text = F.concat(F.lit("Đơn "), "o_orderpriority", F.lit(": "), amount, F.lit(" / Clerk#"), F.col("o_custkey").cast("string"), F.lit(", "), amount, F.lit(" đồng"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text"), "o_orderstatus", "o_orderpriority")
+
+
+def shown(found):
+    return found.select("id", F.explode("entities").alias("e")).select("id", "e.label", F.col("e.text").alias("value"), F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"))
+
+
+@query("detect_entities_model", f"WITH {_paid}, {_spans}, found AS (SELECT * FROM money WHERE o_orderstatus <> 'O' UNION ALL SELECT * FROM clerks WHERE o_orderstatus <> 'F') SELECT id, label, value, start, start + length(value) AS \"end\" FROM found")
+def _(t):
+    """Three sets of labels, one for each status of an order: each is asked for by itself."""
+    both, s = ["paid_amount", "clerk_name"], F.col("o_orderstatus")
+    wanted = F.when(s == "F", F.array(F.lit(both[0]))).when(s == "O", F.array(F.lit(both[1]), F.lit("not_allowed"))).otherwise(F.array(*map(F.lit, both)))
+    return shown(D.detect_entities(paid(t).withColumn("labels", wanted), both, amounts_and_clerks))
+
+
+@query("detect_entities_union", f"WITH {_paid}, {_spans}, found AS (SELECT * FROM money UNION ALL SELECT * FROM clerks) SELECT id, label, value, start, start + length(value) AS \"end\" FROM found")
 def _(t):
-    return P.detect_entities(t.documents.select(F.col("doc_id").alias("id"), "text"), ["email", "credential"])
+    """Five sets of labels, one for each priority: all are asked for their union."""
+    labels = ["paid_amount", "clerk_name", "a_name", "b_name", "c_name"]
+    wanted = F.array(F.get(F.array(*map(F.lit, labels)), F.substring("o_orderpriority", 1, 1).cast("int") - 1))
+    return shown(D.detect_entities(paid(t).withColumn("labels", wanted), labels, amounts_and_clerks))
 
 
 @query("locate_verbatim", "SELECT doc_id AS id, lang AS label, split_part(text, ' ', 3) AS value, strpos(text, split_part(text, ' ', 3)) - 1 AS start, strpos(text, split_part(text, ' ', 3)) - 1 + length(split_part(text, ' ', 3)) AS \"end\" FROM documents WHERE split_part(text, ' ', 3) <> ''")

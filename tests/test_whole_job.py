@@ -8,7 +8,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 
-from rolesieve.llm.html_text import extract
 from rolesieve.operators import retrieval as R
 from rolesieve.plans import catalog
 from rolesieve.plans import policy_queries as P
@@ -84,19 +83,6 @@ def test_search_scoped_against_brute_force(spark):
     assert len({r["query_id"] for r in QUERIES["search_scoped"](spark, DATA).collect()}) == 40
 
 
-def test_html_words_in_names_do_not_decide():
-    text = " ".join(["A sentence of the article that goes on."] * 5)
-    for name in ("class='layout has-sidebar'", "id='page-with-banner'", "class='post no-comments'", "class='search-page'", "class='sidebar'", "class='menu'"):
-        assert extract(f"<body><div {name}><p>{text}</p><p>{text}</p></div><footer>Foot</footer></body>") == f"{text}\n\n{text}"
-        assert extract(f"<body><div {name}><article><p>{text}</p></article></div><p>{text * 9}</p></body>").startswith(text)
-    for name in ("share-price", "notice", "related-work", "widget-guide", "toc"):
-        assert extract(f"<article><p>{text}</p><div class={name}><p>{text}</p></div><p>{text}</p></article>") == f"{text}\n\n{text}\n\n{text}"
-    links = "".join(f"<li><a href=x{i}>Part {i}</a></li>" for i in range(9))
-    assert extract(f"<article><p>{text}</p><ul class=toc>{links}</ul><p>{text}</p></article>") == f"{text}\n\n{text}"
-    comments = "<div class=comments><p>" + "Nice post, thanks. " * 99 + "</p></div>"
-    assert extract(f"<body><article><p>{text}</p></article>{comments}</body>") == text  # beside a marked article, of any length
-
-
 def test_policy_of_all_pairs_of_user_and_document(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
