@@ -177,3 +177,41 @@ def user_profile(assignments: DataFrame, positions: DataFrame, oui: DataFrame, k
     """user_id, clearance, is_corp, units (sorted names)."""
     rows = assignments.join(positions.drop("ou_id"), "position_id").join(oui, "oui_id").join(kinds.select("ou_id", F.col("parent_id").isNull().alias("top")), "ou_id")
     return rows.groupBy("user_id").agg(F.greatest(F.lit(1), F.max("clearance")).alias("clearance"), F.bool_or("top").alias("is_corp"), F.array_join(F.array_sort(F.collect_set(oui["name"])), ",").alias("units"))
+
+
+def touched_documents(document_oui: DataFrame, moved: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(document_id): documents whose grants a change of the units in ``moved`` (oui_id) can alter.
+
+    These stand at such a unit, at one below it (their grants go up), or at one above it (public
+    ones are granted to all below), by the closure ``before`` or ``after`` the change.  The result is a
+    written table: Catalyst pushes a semi join with it below the unions that make the tuples, to each of them.
+    """
+    units = moved.select("oui_id").where("oui_id is not null").distinct()
+    lines = before.unionByName(after).distinct()
+    below = lines.join(units.withColumnRenamed("oui_id", "ancestor"), "ancestor", "left_semi").select(F.col("descendant").alias("oui_id"))
+    above = lines.join(units.withColumnRenamed("oui_id", "descendant"), "descendant", "left_semi").select(F.col("ancestor").alias("oui_id"))
+    return written(document_oui.join(units.unionByName(below).unionByName(above).distinct(), "oui_id", "left_semi").select("document_id").distinct())
+
+
+TUPLE = ["subject", "relation", "document_id", "required"]
+
+
+def tuple_changes(old: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(op, subject, relation, document_id, required): what to delete and to write so that ``old`` becomes ``new``.
+
+    Both sides are sets of tuples; nulls count as equal.  A changed requirement is a delete and a write.
+    With ``documents`` (document_id) only these are compared, and only their tuples change.  One
+    shuffle by the whole tuple, so a subject or document that has very many costs no task more than others.
+    """
+    sides = old.select(*TUPLE, F.lit(1).alias("_side")).unionByName(new.select(*TUPLE, F.lit(2).alias("_side")))
+    if documents is not None:
+        sides = sides.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    one = sides.groupBy(*TUPLE).agg(F.min("_side").alias("_a"), F.max("_side").alias("_b")).where("_a = _b")
+    return one.select(F.when(F.col("_a") == 1, "delete").otherwise("write").alias("op"), *TUPLE)
+
+
+def apply_tuple_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """``old`` without the deletes and with the writes; applied twice it gives the same."""
+    step = F.when(F.col("op") == "delete", 1).otherwise(2)
+    every = old.select(*TUPLE, F.lit(0).alias("_step")).unionByName(changes.select(*TUPLE, step.alias("_step")))
+    return every.groupBy(*TUPLE).agg(F.max("_step").alias("_step")).where("_step <> 1").select(*TUPLE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rolesieve.operators import organisation as O
@@ -182,6 +184,31 @@ def _(t):
     return t.document_oui.join(moved, "oui_id", "left_semi").select("document_id").distinct()
 
 
+def _before(sql: str) -> str:
+    """Common tables as they were before the change: every name gets a 0."""
+    for n in ("oui_parents", "closure", "up", "chain", "roots", "at_unit", "raw", "tuples"):
+        sql = re.sub(rf"(?<![\w.']){n}\b(?!\.)", n + "0", sql)
+    return sql
+
+
+#: Nations had their first region alone; then the further ones were added.
+_old_parents = "oui_parents0 AS (SELECT 'r' || r_regionkey AS oui_id, 'corp' AS parent_oui_id FROM region UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def reorganised(t):
+    """(tuples before, tuples after, documents touched) when nations join a second region."""
+    parents = t.sql("SELECT concat('r', r_regionkey) AS oui_id, 'corp' AS parent_oui_id FROM region UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation")
+    before, after = O.org_closure(parents), closure(t)
+    old = O.document_tuples(t.docs, t.document_oui, parents, before, O.org_root(parents))
+    moved = t.oui_parents.exceptAll(parents).unionByName(parents.exceptAll(t.oui_parents)).select("oui_id")
+    return old, tuples(t), O.touched_documents(t.document_oui, moved, before, after)
+
+
+@query("grant_changes", f"{RC}, {ROOTS}, {TUPLES}, {_old_parents}, {_before(CLOSURE)}, {_before(ROOTS)}, {_before(TUPLES)} SELECT 'delete' AS op, * FROM (SELECT * FROM tuples0 EXCEPT SELECT * FROM tuples) UNION ALL SELECT 'write', * FROM (SELECT * FROM tuples EXCEPT SELECT * FROM tuples0)")
+def _(t):
+    return O.tuple_changes(*reorganised(t))
+
+
 @query("request_listing", "SELECT r.request_id, r.status, d.title, d.sensitivity, coalesce(nullif(c.c_name, ''), concat('user', r.user_id)) AS requester FROM access_requests r LEFT JOIN docs d USING (document_id) LEFT JOIN customer c ON c.c_custkey = r.user_id")
 def _(t):
     names = t.customer.select(F.col("c_custkey").alias("user_id"), "c_name")
