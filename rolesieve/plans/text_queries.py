@@ -306,7 +306,8 @@ WITH pages_of AS (SELECT document_id, 1 + chunk_index // 8 AS page, sum(length(c
 spans AS (SELECT document_id, page, n, coalesce(sum(n) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM pages_of),
 total AS (SELECT document_id, max(page) AS pages FROM pages_of GROUP BY 1),
 texts AS (SELECT document_id, string_agg(chunk_text, chr(10) ORDER BY chunk_index) AS full_text FROM line_chunks GROUP BY 1),
-found AS (SELECT c.chunk_id, c.document_id, length(c.chunk_text) AS len, strpos(full_text, substr(chunk_text, 1, 80)) - 1 AS at FROM line_chunks c JOIN texts USING (document_id))
+probes AS (SELECT chunk_id, document_id, chunk_text, CASE WHEN length(trim(chunk_text)) > 15 THEN substr(trim(chunk_text), 1, 80) END AS a, trim(substr(chunk_text, 1, 80)) AS b FROM line_chunks),
+found AS (SELECT chunk_id, document_id, length(chunk_text) AS len, coalesce(nullif(strpos(full_text, a), 0), CASE WHEN length(b) > 10 THEN strpos(full_text, b) END, 0) - 1 AS at FROM probes JOIN texts USING (document_id))
 SELECT f.chunk_id, coalesce(min(s.page), 1) AS page_start, coalesce(max(s.page), max(t.pages)) AS page_end FROM found f JOIN total t USING (document_id)
 LEFT JOIN spans s ON s.document_id = f.document_id AND f.at >= 0 AND s.lo < f.at + f.len AND s.lo + s.n > f.at GROUP BY f.chunk_id""")
 def _(t):
@@ -317,15 +318,34 @@ def _(t):
     return chunking.locate_chunk_pages(lines.select("chunk_id", "document_id", "chunk_text"), pages, texts)
 
 
-@query("parse_structured_chunks", """
-WITH r AS (SELECT chunk_id, chunk_text, CASE chunk_index % 3 WHEN 0 THEN concat('```json', chr(10), CAST(to_json({'chunks': [{'text': chunk_text, 'heading': 'h'}, {'text': '', 'heading': 'x'}]}) AS VARCHAR), chr(10), '```') WHEN 1 THEN CAST(to_json([{'text': chunk_text, 'heading': 'l'}]) AS VARCHAR) ELSE 'no json' END AS reply FROM line_chunks)
-SELECT chunk_id, 0 AS pos, chunk_text AS text, CASE WHEN reply LIKE '```%' THEN 'h' WHEN reply LIKE '[%' THEN 'l' END AS heading, reply <> 'no json' AS parsed FROM r""")
+@query("parse_structured_chunks", f"""
+WITH w AS (SELECT document_id, title, list_filter(regexp_split_to_array(text, '{W}'), lambda x: x <> '') AS w FROM docs JOIN documents ON doc_id = document_id),
+t AS (SELECT *, array_to_string(w, ' ') AS t FROM w WHERE document_id % 5 < 4 AND len(w) > 0),
+cuts AS (SELECT document_id, title, CASE WHEN (length(t) + 3) // 4 <= 1024 THEN [t] ELSE list_transform(range(0, CAST(greatest(0, ceil((len(w) - 512) / 472.0)) AS BIGINT) + 1), lambda i: array_to_string(w[i * 472 + 1 : i * 472 + 512], ' ')) END AS p FROM t),
+every AS (SELECT document_id, list_concat([{{'h': title, 't': ''}}], list_transform(p, lambda x: {{'h': 'whole', 't': x}})) AS p FROM cuts)
+SELECT document_id, (pos - 1)::INTEGER AS pos, CASE WHEN pos = 1 THEN document_type ELSE p[pos].t END AS text, CASE WHEN pos = 1 THEN title ELSE p[pos].h END AS heading, 'structured' AS mode
+FROM (SELECT document_id, p, unnest(range(1, len(p) + 1)) AS pos FROM every) JOIN docs USING (document_id)
+""")
 def _(t):
-    one = lambda h: F.struct(F.col("chunk_text").alias("text"), F.lit(h).alias("heading"))
-    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(one("h"), F.struct(F.lit("").alias("text"), F.lit("x").alias("heading"))).alias("chunks"))), F.lit("\n```"))
-    k = F.col("chunk_index") % 3
-    reply = F.when(k == 0, fenced).when(k == 1, F.to_json(F.array(one("l")))).otherwise("no json")
-    return chunking.parse_structured_chunks(t.line_chunks.select("chunk_id", F.col("chunk_text").alias("source"), reply.alias("reply")))
+    """Replies in five forms about every document (one item: its type, one: its words); of the fifth, which cannot be read, the others' rows only."""
+    return structured(t).where("mode = 'structured'")
+
+
+def structured(t):
+    words = F.array_join(F.filter(F.split("text", W), lambda x: x != ""), " ")
+    one = lambda text, heading: F.struct(text.alias("chunk_text"), heading.alias("section_heading"))
+    items = F.array(one(F.col("document_type"), F.col("title")), one(F.lit(" "), F.lit("x")), one(words, F.lit("whole")))
+    obj, listed = F.to_json(F.struct(items.alias("chunks"))), F.to_json(items)
+    k = F.col("document_id") % 5
+    reply = F.when(k == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(k == 1, F.concat(listed, F.lit("\nThat is all."))).when(k == 2, F.concat(F.lit("Here: "), obj, F.lit(" done"))).when(k == 3, obj).otherwise(F.substring(obj, 1, 40))
+    d = t.docs.join(t.documents.select(F.col("doc_id").alias("document_id"), "text"), "document_id").where(words != "")
+    return chunking.parse_structured_chunks(d.select("document_id", F.col("text").alias("source"), reply.alias("reply")))
+
+
+@query("parse_structured_fallback")
+def _(t):
+    """The documents whose reply cannot be read, cut from their text."""
+    return structured(t).where("mode = 'legacy'")
 
 
 @query("renumber_chunks", """SELECT chunk_id, row_number() OVER w - 1 AS chunk_index, round((row_number() OVER w - 1) / count(*) OVER (PARTITION BY document_id), 4) AS position_ratio FROM line_chunks WHERE chunk_index % 3 <> 1 WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)""")
