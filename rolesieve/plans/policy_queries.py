@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolesieve import constants as K
+from rolesieve.functions import text as X
 from rolesieve.operators import detection as D
 from rolesieve.operators import organisation as O
 from rolesieve.operators import policy as P
 from rolesieve.plans.organisation_queries import CLEAR, CLOSURE, closure
+from rolesieve.plans.text_queries import tidied
 from rolesieve.plans.views import query, quoted
 
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
@@ -209,14 +211,20 @@ def _(t):
     return tiers(t).join(t.rules.where("enabled"), "entity_key", "left_semi").where("tier <> 'full'").select("user_id").distinct()
 
 
-@query("action_applies", "SELECT a.user_id, v.version_id FROM assignments a JOIN versions v ON v.document_id % 25 = a.user_id % 25 WHERE (v.document_id % 3 = 0 OR list_contains(['n1', 'n2', 'corp'], a.oui_id)) AND (v.document_id % 2 = 0 OR list_contains([31, 33], a.position_id))")
+#: Users and the documents they asked for: the pairs that a decision is wanted for.
+REQUESTED = "requested AS (SELECT DISTINCT user_id, document_id FROM access_requests)"
+
+
+def requested(t):
+    return t.access_requests.select("user_id", "document_id").distinct()
+
+
+@query("action_applies", f"WITH {REQUESTED} SELECT DISTINCT a.user_id, v.version_id FROM requested r JOIN assignments a USING (user_id) JOIN versions v USING (document_id) WHERE (v.document_id % 3 = 0 OR list_contains(['n1', 'n2', 'corp'], a.oui_id)) AND (v.document_id % 2 = 0 OR list_contains([31, 33], a.position_id))")
 def _(t):
-    a = t.assignments.withColumn("k", F.col("user_id") % 25)
-    v = t.versions.withColumn("k", F.col("document_id") % 25)
     units = F.when(F.col("document_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, ("n1", "n2", "corp"))))
     roles = F.when(F.col("document_id") % 2 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(31).cast("long"), F.lit(33).cast("long")))
-    j = a.join(v.withColumn("units", units).withColumn("roles", roles), "k")
-    return j.where(((F.size("units") == 0) | F.array_contains("units", F.col("oui_id"))) & ((F.size("roles") == 0) | F.array_contains("roles", F.col("position_id").cast("long")))).select("user_id", "version_id")
+    rows = requested(t).join(t.versions.withColumn("scope_oui_ids", units).withColumn("scope_position_ids", roles), "document_id")
+    return P.action_applies(rows, t.assignments).select("user_id", "version_id").distinct()
 
 
 @query("mask_spans")
@@ -243,12 +251,19 @@ def _(t):
     return new.select("entity_key", "display_name", "group_name", "detection_source", "action", "sensitivity", "priority", F.array_join("boolean_labels", ",").alias("flags"), shown("allow_scope_pairs").alias("allowed"), shown("mask_scope_pairs").alias("masked"))
 
 
-_ask = "asked AS (SELECT d.document_id, d.label, u.user_id FROM detections d JOIN (SELECT DISTINCT user_id FROM assignments) u ON u.user_id % 50 = d.document_id % 50)"
+_ask = f"{REQUESTED}, asked AS (SELECT d.document_id, d.label, u.user_id, coalesce(x.tier, 'block') AS tier FROM requested u JOIN detections d USING (document_id) JOIN rules r ON r.entity_key = d.label LEFT JOIN tiers x ON x.user_id = u.user_id AND x.entity_key = d.label)"
 
 
-def _asked(t):
-    users = t.assignments.select("user_id").distinct().withColumn("k", F.col("user_id") % 50)
-    return t.detections.withColumn("k", F.col("document_id") % 50).join(users, "k").select("document_id", "label", "user_id")
+def asked(t):
+    """Each user and document asked for, with what a detector found in the document as entities."""
+    span = F.struct("label", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    found = t.detections.groupBy("document_id").agg(F.collect_list(span).alias("entities"))
+    return requested(t).join(found, "document_id").select("user_id", "document_id", "entities", F.lit("").alias("text"), F.lit(False).alias("doc_restricted"))
+
+
+def styled(t):
+    """Tiers with the style of their rule."""
+    return tiers(t).join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key")
 
 
 def decided(rows, by: str):
@@ -258,10 +273,16 @@ def decided(rows, by: str):
     return rows.groupBy("document_id", by).agg(names("block").alias("blocked"), names("require").alias("required"), F.when(worst == 2, "block").when(worst == 1, "require").otherwise("full").alias("decision"))
 
 
-@query("apply_policy", f"{RT}, {_ask} SELECT a.document_id, a.user_id, string_agg(CASE tier WHEN 'block' THEN label END, ',' ORDER BY label) AS blocked, string_agg(CASE tier WHEN 'require' THEN label END, ',' ORDER BY label) AS required, CASE max(CASE tier WHEN 'block' THEN 2 WHEN 'require' THEN 1 ELSE 0 END) WHEN 2 THEN 'block' WHEN 1 THEN 'require' ELSE 'full' END AS decision FROM asked a JOIN tiers x ON x.user_id = a.user_id AND x.entity_key = a.label GROUP BY ALL")
+_sets = "string_agg(DISTINCT CASE tier WHEN 'block' THEN label END, ',' ORDER BY CASE tier WHEN 'block' THEN label END) AS blocked, string_agg(DISTINCT CASE tier WHEN 'require' THEN label END, ',' ORDER BY CASE tier WHEN 'require' THEN label END) AS required"
+
+
+@query("apply_policy", f"{RT}, {_ask} SELECT document_id, user_id, {_sets}, CASE max(CASE tier WHEN 'block' THEN 2 WHEN 'require' THEN 1 ELSE 0 END) WHEN 2 THEN 'block' WHEN 1 THEN 'require' ELSE 'full' END AS decision, bool_or(tier = 'require') AS doc_restricted FROM asked GROUP BY ALL")
 def _(t):
-    j = _asked(t).join(tiers(t).withColumnRenamed("entity_key", "label"), ["user_id", "label"])
-    return decided(j, "user_id")
+    """Decisions for every user and document asked for; users without an assignment are blocked by every rule."""
+    told = lambda c: F.nullif(F.array_join(c, ","), F.lit("")).alias(c)
+    ruled = t.detections.join(t.rules.select(F.col("entity_key").alias("label")), "label", "left_semi").select("document_id").distinct()
+    decided = P.apply_policy(asked(t).join(ruled, "document_id", "left_semi"), styled(t), t.rules)
+    return decided.select("document_id", "user_id", told("blocked"), told("required"), "decision", "doc_restricted")
 
 
 @query("tier_groups")
@@ -282,17 +303,26 @@ def _(t):
     return decided(t.detections.select("document_id", "label").join(F.broadcast(known), "label"), "tiers")
 
 
-@query("recheck_erase", "SELECT doc_id, replace(replace(text, v2, ''), v1, '') AS text FROM (SELECT doc_id, text, split_part(text, ' ', 2) AS v1, concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) AS v2 FROM documents WHERE split_part(text, ' ', 3) <> '')")
+_told = "told AS (SELECT doc_id, owner_user_id AS user_id, text, [{'k': 'email', 'v': split_part(text, ' ', 2)}, {'k': 'phone', 'v': concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))}, {'k': 'robot', 'v': split_part(text, ' ', 4)}, {'k': 'credential', 'v': split_part(text, ' ', 3)}] AS told FROM documents JOIN docs ON document_id = doc_id)"
+_sound = f"{_told}, trimmed AS (SELECT doc_id, user_id, text, list_transform(told, lambda x: {{'k': x.k, 'v': regexp_replace(x.v, '^\\s+|\\s+$', '', 'g')}}) AS told FROM told), closed AS (SELECT doc_id, list(r.entity_key) AS closed FROM told CROSS JOIN rules r LEFT JOIN tiers x ON x.user_id = told.user_id AND x.entity_key = r.entity_key WHERE coalesce(x.tier, 'block') <> 'full' GROUP BY 1), sound AS (SELECT doc_id, text, list_filter(told, lambda x: x.v <> '' AND coalesce(list_contains(closed, x.k), false)) AS s FROM trimmed LEFT JOIN closed USING (doc_id)), once AS (SELECT doc_id, text, list_filter(s, lambda x, i: len(list_filter(s[1 : i - 1], lambda y: y.v = x.v)) = 0) AS s FROM sound)"
+
+
+@query("recheck_erase", f"{RT}, {_sound}, done AS (SELECT *, list_reduce(list_concat([text], list_transform(list_sort(list_transform(s, lambda x, i: {{'n': -length(x.v), 'i': i, 'v': x.v}})), lambda x: x.v)), lambda a, x: replace(a, x, '')) AS cut FROM once) SELECT doc_id, CASE WHEN len(s) > 0 THEN {tidied('cut')} ELSE text END AS text, CASE WHEN len(s) > 0 THEN 'block' ELSE 'full' END AS decision, array_to_string(list_sort(list_distinct(list_transform(s, lambda x: x.k))), ',') AS added FROM done")
 def _(t):
-    two, three = F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3))
-    values = F.array_sort(F.array(two, F.concat(two, F.lit(" "), three)), lambda a, b: F.length(b) - F.length(a))
-    return t.documents.where(three != "").select("doc_id", F.aggregate(values, F.col("text"), lambda x, v: F.replace(x, v, F.lit(""))).alias("text"))
+    """A second look at every document for its owner reports three values under rules and one under none."""
+    w = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
+    said = lambda k, v: F.struct(F.lit(k).alias("entity_type"), v.alias("value"))
+    reports = F.array(said("Email ", w(2)), said("Phone", F.concat(w(2), F.lit(" "), w(3))), said("robot", w(4)), said("credential", w(3)))
+    empty = F.struct(F.lit("full").alias("decision"), F.lit(False).alias("requires_access_request"), F.array().cast("array<struct<entity_type:string,tier:string,values:array<string>>>").alias("matched"))
+    rows = t.documents.join(t.docs.select(F.col("document_id").alias("doc_id"), F.col("owner_user_id").alias("user_id")), "doc_id").select("doc_id", "user_id", "text", empty.alias("contract"), reports.alias("reports"))
+    done = P.recheck_erase(rows, styled(t), t.rules)
+    return done.select("doc_id", "text", F.col("contract.decision").alias("decision"), F.array_join(F.transform("contract.matched", lambda m: m["entity_type"]), ",").alias("added"))
 
 
-@query("blocked_types_by_version", f"{RT}, {_ask} SELECT a.document_id, a.user_id, string_agg(DISTINCT label, ',' ORDER BY label) AS blocked FROM asked a JOIN tiers x ON x.user_id = a.user_id AND x.entity_key = a.label WHERE tier = 'block' GROUP BY ALL")
+@query("blocked_types_by_version", f"{RT}, {_ask} SELECT document_id, user_id, string_agg(DISTINCT label, ',' ORDER BY label) AS blocked FROM asked WHERE tier = 'block' GROUP BY ALL")
 def _(t):
-    j = _asked(t).join(tiers(t).where("tier = 'block'").withColumnRenamed("entity_key", "label"), ["user_id", "label"])
-    return j.groupBy("document_id", "user_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("blocked"))
+    decided = P.apply_policy(asked(t), styled(t), t.rules)
+    return decided.where(F.size("blocked") > 0).select("document_id", "user_id", F.array_join("blocked", ",").alias("blocked"))
 
 
 @query("entity_preview", "SELECT d.doc_id, substr(text, 1, 12000) AS preview, count(r.entity_key) AS labels, coalesce(sum(hits) FILTER (WHERE action = 'block'), 0) AS block, coalesce(sum(hits) FILTER (WHERE action = 'mask'), 0) AS mask FROM documents d LEFT JOIN detections x ON x.document_id = d.doc_id LEFT JOIN rules r ON r.entity_key = x.label AND enabled GROUP BY ALL")
@@ -311,13 +341,21 @@ def _(t):
     return t.events.select("event_id", ((F.col("user_id") % 100 == 0) | (F.size(F.array_except(F.when(e % 3 == 0, a("email")).otherwise(a("phone")), granted)) == 0)).alias("ok"))
 
 
-@query("reveal_values", f"SELECT message_id, CASE WHEN message_id % 3 = 0 THEN replace(shown, '{K.MASK_PLACEHOLDER}', split_part(content, ' ', 1)) ELSE shown END AS shown FROM (SELECT message_id, content, concat(content, ' {K.MASK_PLACEHOLDER}') AS shown FROM messages)")
+_part = f"concat(repeat('{K.MASK_CHAR}', CAST(length(amount) - greatest(1, length(amount) // 4) AS BIGINT)), right(amount, CAST(greatest(1, length(amount) // 4) AS BIGINT)))"
+
+
+@query("reveal_values", f"WITH {_paid} SELECT id AS message_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN concat('Đơn ', amount, ' / {K.MASK_PLACEHOLDER}') ELSE concat('Đơn ', {_part}, ' / ', o_clerk) END AS content FROM told JOIN orders ON o_orderkey = id WHERE orders.o_orderstatus = 'O' OR (orders.o_orderstatus = 'F' AND length(amount) > 8)".replace("CASE o_orderstatus", "CASE orders.o_orderstatus"))
 def _(t):
-    m = t.messages.select("message_id", F.concat("content", F.lit(" " + K.MASK_PLACEHOLDER)).alias("shown"), F.split_part("content", F.lit(" "), F.lit(1)).alias("value"))
-    grants = m.where("message_id % 3 = 0").select("message_id", F.lit(K.MASK_PLACEHOLDER).alias("mask"), "value")
-    held = grants.groupBy("message_id").agg(F.collect_list(F.struct("mask", "value")).alias("g"))
-    shown = F.aggregate(F.col("g"), F.col("shown"), lambda x, g: F.replace(x, g["mask"], g["value"]))
-    return m.join(held, "message_id", "left").select("message_id", F.coalesce(shown, "shown").alias("shown"))
+    """An answer about each order hides its amount in part and its clerk; who ordered was granted one of the two, by status."""
+    kinds = ["paid_amount", "clerk_name"]
+    found = D.detect_entities(paid(t), kinds, amounts_and_clerks).select(F.col("id").alias("chunk_id"), F.explode("entities").alias("e")).select("chunk_id", "e.label", "e.start", "e.text")
+    amount = F.replace(F.format_number(F.round(F.col("o_totalprice") * 100).cast("long"), 0), F.lit(","), F.lit("."))
+    messages = t.orders.select(F.col("o_orderkey").alias("message_id"), F.concat(F.lit("Đơn "), X.partial_mask(amount, F.lit("head")), F.lit(f" / {K.MASK_PLACEHOLDER}")).alias("content"))
+    masks = t.orders.select(F.col("o_orderkey").alias("message_id"), F.col("o_orderkey").alias("chunk_id"), F.explode(F.array(*map(F.lit, kinds))).alias("entity_type"))
+    s = F.col("o_orderstatus")
+    grants = t.orders.where(s.isin("F", "O")).select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("message_id"), F.when(s == "F", kinds[0]).otherwise(kinds[1]).alias("entity_type"))
+    rules = t.spark.createDataFrame([(kinds[0], "partial", "head"), (kinds[1], "full", None)], "entity_key string, style string, position string")
+    return P.reveal_values(messages, masks, grants, found, rules)
 
 
 _con = "con AS (SELECT conv_id, pos, label, tier, cited FROM (SELECT conv_id, turn AS pos, CASE turn % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'money' END AS label, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'block' WHEN (conv_id + turn) % 4 = 1 THEN 'require' ELSE 'full' END AS tier, turn % 2 = 0 AS cited FROM conversations))"

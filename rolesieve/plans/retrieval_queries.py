@@ -202,11 +202,12 @@ def _(t):
     return R.finalize_results(rows, 0.65, 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("sensitivity_gate", "SELECT c.chunk_id, u.user_id FROM chunk_vectors c JOIN assignments u ON u.user_id % 100 = c.chunk_id % 100 JOIN positions p USING (position_id) WHERE c.chunk_sensitivity <= p.clearance")
+@query("sensitivity_gate", "SELECT DISTINCT c.chunk_id, u.user_id FROM access_requests r JOIN chunk_vectors c USING (document_id) JOIN assignments u USING (user_id) JOIN positions p USING (position_id) WHERE c.chunk_sensitivity <= p.clearance")
 def _(t):
-    c = t.chunk_vectors.withColumn("k", F.col("chunk_id") % 100)
-    u = t.assignments.join(t.positions.drop("ou_id"), "position_id").withColumn("k", F.col("user_id") % 100)
-    return c.join(u, "k").where("chunk_sensitivity <= clearance").select("chunk_id", "user_id")
+    """Chunks of the documents a user asked for that the user's clearance reaches."""
+    pairs = t.access_requests.select("user_id", "document_id").distinct()
+    held = t.assignments.join(t.positions.drop("ou_id"), "position_id").groupBy("user_id").agg(F.max("clearance").alias("clearance"))
+    return pairs.join(held, "user_id").join(t.chunk_vectors, "document_id").where("chunk_sensitivity <= clearance").select("chunk_id", "user_id")
 
 
 @query("context_budget", "WITH r AS (SELECT document_id AS query_id, chunk_index + 1 AS rank, chunk_text AS text FROM line_chunks), n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, text FROM r), s AS (SELECT *, sum(length(text) + 7) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM n) SELECT query_id, rank, upto FROM s WHERE rank = 1 OR upto <= 40000")
@@ -216,12 +217,6 @@ def _(t):
     return R.context_budget(rows).select("query_id", "rank", "upto")
 
 
-@query("context_budget_whole")
-def _(t):
-    """``context_budget`` with the 40,000 characters of the system we follow."""
-    return R.context_budget(t.line_chunks.select(F.col("document_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), F.col("chunk_text").alias("text")).withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy("rank")).cast("long"))).select("query_id", "rank", "upto")
-
-
 @query("enrich_document_type", "SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN coalesce(d.document_type, 'general') ELSE 'Kept' END AS document_type FROM chunk_vectors c LEFT JOIN docs d USING (document_id)")
 def _(t):
     stale = F.when(F.col("chunk_id") % 2 == 0, "general").otherwise("Kept")
@@ -274,4 +269,4 @@ def _(t):
     users = t.assignments.join(hits.select("user_id").distinct(), "user_id", "left_semi")
     matches = P.scope_match(t.rule_pairs, users, O.expanded_ouis(users, closure(t)))
     tiers = P.resolve_tiers(t.rules, O.user_clearance(users, t.positions), matches)
-    return P.apply_policy(rows, tiers.join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key"))
+    return P.apply_policy(rows, tiers.join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key"), t.rules)

@@ -110,8 +110,13 @@ def _ce(k: int) -> str:
     return rf"regexp_matches(trim(regexp_extract(trim(x), '{_rowre}', {k})), '^[,.\s]*$')"
 
 
-@query("tidy_masked_rows", rf"""SELECT chunk_id, array_to_string(list_transform(list_filter(string_split({_table}, chr(10)), lambda x: NOT (regexp_matches(trim(x), '{_rowre}') AND ({_ce(1)} OR {_ce(2)}))),
-  lambda x: CASE WHEN regexp_matches(trim(x), '{_rowre}') THEN concat('| ', {_cl(1)}, ' | ', {_cl(2)}, ' |') ELSE x END), chr(10)) AS text FROM line_chunks""")
+def tidied(text: str) -> str:
+    """SQL of ``tidy_masked_rows`` of an SQL expression."""
+    return rf"""array_to_string(list_transform(list_filter(string_split({text}, chr(10)), lambda x: NOT (regexp_matches(trim(x), '{_rowre}') AND ({_ce(1)} OR {_ce(2)}))),
+  lambda x: CASE WHEN regexp_matches(trim(x), '{_rowre}') THEN concat('| ', {_cl(1)}, ' | ', {_cl(2)}, ' |') ELSE x END), chr(10))"""
+
+
+@query("tidy_masked_rows", f"SELECT chunk_id, {tidied(_table)} AS text FROM line_chunks")
 def _(t):
     word = lambda k: F.replace(F.split_part("chunk_text", F.lit(" "), F.lit(k)), F.lit("|"), F.lit(""))
     table = F.concat(F.lit("| "), word(1), F.lit(" | "), word(2), F.when(F.col("document_id") % 3 == 0, ", , .").otherwise(""), F.lit(" |\n| x |  |\n"), "chunk_text")

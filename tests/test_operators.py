@@ -165,11 +165,13 @@ def test_apply_policy_masks_and_tells(spark):
     from rolesieve.operators import policy as P
 
     spans = [("email", "a@b.vn", 0, 6), ("phone", "12345678", 7, 15), ("other", "x", 16, 17)]
-    rows = spark.createDataFrame([(u, 7, "a@b.vn 12345678 x", spans, None) for u in (1, 2, 3)], "user_id long, chunk_id long, text string, entities array<struct<label:string,text:string,start:int,end:int>>, doc_restricted boolean")
-    tiers = spark.createDataFrame([(1, "email", "block", "full", None), (1, "phone", "require", "partial", "tail"), (2, "email", "full", "full", None), (2, "phone", "require", "full", None)], "user_id long, entity_key string, tier string, style string, position string")
-    got = {r["user_id"]: r for r in P.apply_policy(rows, tiers).collect()}
-    assert got[1]["text"] == " 12" + K.MASK_CHAR * 6 + " x" and got[2]["text"] == f"a@b.vn {K.MASK_PLACEHOLDER} x" and got[3]["text"] == "a@b.vn 12345678 x"
-    assert [(got[u]["decision"], got[u]["blocked"], got[u]["required"], got[u]["doc_restricted"]) for u in (1, 2, 3)] == [("block", ["email"], ["phone"], True), ("require", [], ["phone"], True), ("full", [], [], False)]
+    rows = spark.createDataFrame([(u, 7, "a@b.vn 12345678 x", spans, None) for u in (1, 2, 3, 4, None)], "user_id long, chunk_id long, text string, entities array<struct<label:string,text:string,start:int,end:int>>, doc_restricted boolean")
+    tiers = spark.createDataFrame([(1, "email", "block", "full", None), (1, "phone", "require", "partial", "tail"), (2, "email", "full", "full", None), (2, "phone", "require", "full", None), (4, "email", "full", "full", None)], "user_id long, entity_key string, tier string, style string, position string")
+    rules = spark.createDataFrame([("email",), ("phone",)], "entity_key string")
+    got = {r["user_id"]: r for r in P.apply_policy(rows, tiers, rules).collect()}
+    assert got[1]["text"] == " 12" + K.MASK_CHAR * 6 + " x" and got[2]["text"] == f"a@b.vn {K.MASK_PLACEHOLDER} x"
+    assert got[3]["text"].strip() == "x" and got[4]["text"] == "a@b.vn  x" and got[None]["text"].strip() == "x"  # no tier for a rule: blocked
+    assert [(got[u]["decision"], got[u]["blocked"], got[u]["required"], got[u]["doc_restricted"]) for u in (1, 2, 3, 4)] == [("block", ["email"], ["phone"], True), ("require", [], ["phone"], True), ("block", ["email", "phone"], [], False), ("block", ["phone"], [], False)]
     assert [tuple(m) for m in got[1]["contract"]["matched"]] == [("email", "block", ["a@b.vn"]), ("phone", "require", ["12345678"])] and got[1]["contract"]["requires_access_request"]
 
 
