@@ -240,3 +240,8 @@ STATIC_EDGES = [
     ("RoleScope", "IS_A", "Scope"), ("AllowEntity", "IS_A", "Permission"), ("MaskEntity", "IS_A", "Permission"),
     ("Permission", "RESULTS_IN", "ALLOW"), ("Permission", "RESULTS_IN", "MASK"), ("Permission", "RESULTS_IN", "BLOCK"),
 ]
+
+# Fixed values of conversations: statuses of answers that count, what stands before a summary, how many pairs a prompt gets.
+DONE_STATUSES = ["success", "fallback", "no_answer", "llm_error", "blocked"]
+SUMMARY_HEAD = "[Tóm tắt cuộc trò chuyện trước]\n"
+RECENT_PAIRS, RELEVANT_PAIRS, HISTORY_MESSAGES, LISTED_MESSAGES = 3, 3, 200, 1000

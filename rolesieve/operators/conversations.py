@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolesieve import constants as K
 from rolesieve.functions import text as X
 
 CITED = r"\[(\d+)\]"
@@ -43,18 +44,30 @@ def cite_sorted(rows: DataFrame) -> DataFrame:
     return j.withColumn("answer", F.when(F.size("_cited") > 0, renumbered(F.col("answer"), F.col("_cited"), False)).otherwise(F.col("answer"))).drop("_cited")
 
 
+#: Fields of a source that a reader sees.
+SHOWN_FIELDS = ["document_title", "section_path", "excerpt", "surrounding_context"]
+
+
+def cleaned(source: Column, fields: list[str]) -> Column:
+    for f in fields:
+        source = source.withField(f, X.drop_hidden_lines(F.coalesce(source[f], F.lit(""))))
+    return source
+
+
 def cite_by_appearance(rows: DataFrame) -> DataFrame:
     """Citations numbered anew by first appearance, hidden lines gone; rows: answer, sources, allowed and any others.
 
-    ``sources`` is array<struct<..., excerpt, restricted>>, ``allowed`` the numbers that may be cited (null: all).
-    Citations out of range or not allowed go, and with them their sources; hidden lines of excerpts go.
+    ``sources`` is array<struct<..., restricted>>, ``allowed`` the numbers that may be cited (null: all).
+    Citations out of range or not allowed go, and with them their sources; hidden lines go from the
+    ``SHOWN_FIELDS`` that the sources have, a null one becomes empty.
     An answer that cites nothing keeps its restricted sources, so that access can be asked for.
     """
     j = rows.withColumn("answer", X.normalize_citation_labels(X.drop_hidden_lines(F.coalesce("answer", F.lit("")))))
     in_range = F.filter(cited_numbers(F.col("answer")), lambda n: (n >= 1) & (n <= F.coalesce(F.size("sources"), F.lit(0))))
     j = j.withColumn("_any", F.size(cited_numbers(F.col("answer"))) > 0)
     j = j.withColumn("_order", F.filter(in_range, lambda n: F.col("allowed").isNull() | F.array_contains("allowed", n)))
-    kept = F.transform(sources_at(F.col("sources"), F.col("_order")), lambda s: s.withField("excerpt", X.drop_hidden_lines(s["excerpt"])))
+    told = [f for f in SHOWN_FIELDS if f in rows.schema["sources"].dataType.elementType.names]
+    kept = F.transform(sources_at(F.col("sources"), F.col("_order")), lambda s: cleaned(s, told))
     closed = F.filter("sources", lambda s: F.coalesce(s["restricted"], F.lit(False)))
     j = j.withColumn("sources", F.when(F.col("_any"), kept).otherwise(closed))
     tidy = F.regexp_replace(F.regexp_replace(renumbered(F.col("answer"), F.col("_order"), True), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
@@ -88,3 +101,83 @@ def relevant_pairs(pairs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     j = j.withColumn("relevance", F.when(F.col("_embedded"), F.coalesce("_near", F.lit(0.0))).otherwise(common)).where(F.col("_embedded") | (F.col("relevance") > 0))
     order = Window.partitionBy("conv_id").orderBy(F.desc("relevance"), "turn")
     return j.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("conv_id", "question_id", "relevance", "rank")
+
+
+PARTS = {"source": "struct<pos:int,document_id:bigint,title:string,excerpt:string>", "mask": "string", "granted": "struct<user_id:bigint,entity_type:string>", "shown": "struct<user_id:bigint,content:string>"}
+
+
+def qa_pairs(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, question_id, question, answer_id, answer): each question with its answer.
+
+    messages: conv_id, turn, message_id, role, content, parent_message_id, status.  The last answer that names a
+    question as its parent is its answer, if it is finished (``DONE_STATUSES``) or is still streaming with more than
+    10 characters; else the question has none and makes no pair, even where an earlier answer was finished.
+    """
+    a = messages.where("role = 'assistant' and parent_message_id is not null").groupBy(F.col("parent_message_id").alias("question_id")).agg(F.max_by(F.struct("message_id", "content", "status"), "turn").alias("a"))
+    long = F.length(F.regexp_replace(F.coalesce("a.content", F.lit("")), r"(?U)^\s+|\s+$", "")) > 10
+    a = a.where(F.col("a.status").isin(K.DONE_STATUSES) | ((F.col("a.status") == "streaming") & long))
+    q = messages.where("role = 'user'").select("conv_id", "turn", F.col("message_id").alias("question_id"), F.col("content").alias("question"))
+    return q.join(a, "question_id").select("conv_id", "turn", "question_id", "question", F.col("a.message_id").alias("answer_id"), F.col("a.content").alias("answer"))
+
+
+def first_messages(messages: DataFrame, most: int = K.HISTORY_MESSAGES) -> DataFrame:
+    """The first ``most`` messages of each conversation: what its memory is made from."""
+    return messages.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("_n") <= most).drop("_n")
+
+
+def placed_pairs(messages: DataFrame) -> DataFrame:
+    """``qa_pairs`` of the first messages with back: 1 for a conversation's last pair, 2 for the one before it, ..."""
+    return qa_pairs(first_messages(messages)).withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))).cast("long"))
+
+
+def build_history(messages: DataFrame, asked: DataFrame, summaries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(conv_id, place, role, content): what a prompt is told of each conversation, in order from 1.
+
+    First the summary (conv_id, summary) unless blank, then the pairs before the last three that are nearest to the
+    question now asked (conv_id, question, vector), nearest first, then the last three, oldest first; a
+    question and its answer are a row each.  ``vectors`` (question_id, vector) gives those of past questions; without
+    them nearness counts words.  A conversation without pairs has no history.
+    """
+    p = placed_pairs(messages)
+    older = p.where(F.col("back") > K.RECENT_PAIRS)
+    older = older.join(vectors, "question_id", "left") if vectors is not None else older.withColumn("vector", F.lit(None).cast("array<double>"))
+    near = relevant_pairs(older, asked, K.RELEVANT_PAIRS).select("conv_id", "question_id", "rank")
+    both = lambda df, part, place: df.select("conv_id", F.lit(part).alias("part"), place.alias("at"), F.posexplode(F.array(F.struct(F.lit("user").alias("role"), F.coalesce("question", F.lit("")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("content")))).alias("k", "m"))
+    blank = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?U)^\s+|\s+$", "")
+    summary = summaries.select("conv_id", blank.alias("summary")).where("summary <> ''").join(p.select("conv_id").distinct(), "conv_id", "left_semi")
+    told = summary.select("conv_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.struct(F.lit("system").alias("role"), F.concat(F.lit(K.SUMMARY_HEAD), "summary").alias("content")).alias("m"))
+    rows = told.unionByName(both(near.join(p, ["conv_id", "question_id"]), 1, F.col("rank"))).unionByName(both(p.where(F.col("back") <= K.RECENT_PAIRS), 2, -F.col("back")))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("part", "at", "k"))
+    return rows.select("conv_id", place.cast("long").alias("place"), "m.role", "m.content")
+
+
+def conversation_view(messages: DataFrame, viewers: DataFrame, sources: DataFrame, masks: DataFrame, grants: DataFrame, revealed: DataFrame | None = None, most: int = K.LISTED_MESSAGES) -> DataFrame:
+    """(conv_id, user_id, message_id, content, answer, sources): each question as its reader sees it, with its answer.
+
+    messages as in ``qa_pairs``; viewers: conv_id, user_id; sources: message_id, pos, document_id, title,
+    excerpt; masks: message_id, entity_type; grants: user_id, message_id, entity_type; revealed (``reveal_values``):
+    message_id, user_id, content; the message of all these is the answer.  ``answer`` is a struct of id,
+    content (with what this reader was granted), status and pending (masked types not granted to the reader,
+    sorted), null where no finished answer with content is there; of several the last.  ``sources``
+    are in order.  The first ``most`` questions of a conversation are listed.
+
+    What belongs to an answer is gathered in one grouping by message, and meets its question once.
+    """
+    done = (F.col("role") == "assistant") & F.col("status").isin(K.DONE_STATUSES) & F.coalesce(F.col("content") != "", F.lit(False)) & F.col("parent_message_id").isNotNull()
+    last = messages.where(done).groupBy("parent_message_id").agg(F.max_by(F.struct("message_id", "content", "status"), "turn").alias("a"))
+
+    def part(df, kind, value):
+        return df.select("message_id", *[(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in PARTS.items()])
+
+    parts = part(sources, "source", F.struct("pos", "document_id", "title", "excerpt")).unionByName(part(masks.where("entity_type <> ''"), "mask", F.col("entity_type"))).unionByName(part(grants, "granted", F.struct("user_id", "entity_type")))
+    if revealed is not None:
+        parts = parts.unionByName(part(revealed, "shown", F.struct("user_id", "content")))
+    held = parts.groupBy("message_id").agg(F.array_sort(F.collect_list("source")).alias("sources"), *[F.collect_set(k).alias(k) for k in ("mask", "granted", "shown")])
+    answers = last.select("parent_message_id", "a.*").join(held, "message_id", "left").withColumnRenamed("message_id", "answer_id").withColumnRenamed("parent_message_id", "message_id").withColumnRenamed("content", "said")
+    asked = messages.where("role = 'user'").withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("_n") <= most)
+    j = asked.select("conv_id", "message_id", "content").join(viewers.select("conv_id", "user_id"), "conv_id").join(answers, "message_id", "left")
+    own = lambda c, f: F.transform(F.filter(F.col(c), lambda g: g["user_id"].eqNullSafe(F.col("user_id"))), lambda g: g[f])
+    pending = F.coalesce(F.array_sort(F.array_except("mask", own("granted", "entity_type"))), F.array().cast("array<string>"))
+    content = F.coalesce(F.get(own("shown", "content"), F.lit(0)), F.col("said"))
+    answer = F.when(F.col("answer_id").isNotNull(), F.struct(F.col("answer_id").alias("id"), content.alias("content"), "status", pending.alias("pending")))
+    return j.select("conv_id", "user_id", "message_id", "content", answer.alias("answer"), F.coalesce("sources", F.array().cast(f"array<{PARTS['source']}>")).alias("sources"))

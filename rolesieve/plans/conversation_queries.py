@@ -2,41 +2,31 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from rolesieve import constants as K
 from rolesieve.functions import text as X
 from rolesieve.operators import conversations as C
 from rolesieve.plans.text_queries import tokens_sql
 from rolesieve.plans.views import query
 
-PAIRS = "pairs AS (SELECT q.conv_id, q.turn, q.message_id AS question_id, q.content AS question, max_by(a.content, a.turn) AS answer FROM messages q JOIN messages a ON a.parent_message_id = q.message_id WHERE q.role = 'user' AND a.role = 'assistant' GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM pairs)"
-
-
-def qa_pairs(messages):
-    """Questions with the last answer that names them as its parent."""
-    a = messages.where("role = 'assistant'").select(F.col("parent_message_id").alias("question_id"), F.col("content").alias("answer"), F.col("turn").alias("at"))
-    q = messages.where("role = 'user'").select("conv_id", "turn", F.col("message_id").alias("question_id"), F.col("content").alias("question"))
-    return q.join(a, "question_id").groupBy("conv_id", "turn", "question_id", "question").agg(F.max_by("answer", "at").alias("answer"))
+_done = ", ".join(f"'{x}'" for x in K.DONE_STATUSES)
+PAIRS = f"first AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= {K.HISTORY_MESSAGES}), last AS (SELECT parent_message_id, max_by(message_id, turn) AS message_id FROM first WHERE role = 'assistant' GROUP BY 1), pairs AS (SELECT q.conv_id, q.turn, q.message_id AS question_id, q.content AS question, a.message_id AS answer_id, a.content AS answer FROM first q JOIN last l ON l.parent_message_id = q.message_id JOIN messages a ON a.message_id = l.message_id WHERE q.role = 'user' AND (a.status IN ({_done}) OR (a.status = 'streaming' AND length(trim(a.content)) > 10))), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM pairs)"
 
 
 def placed(t):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return qa_pairs(t.messages).withColumn("back", F.row_number().over(w).cast("long"))
+    return C.placed_pairs(t.messages)
 
 
-@query("qa_pairs", f"WITH {PAIRS} SELECT conv_id, turn, question_id, question, answer FROM pairs")
+@query("qa_pairs", f"WITH {PAIRS} SELECT conv_id, turn, question_id, question, answer_id, answer FROM pairs")
 def _(t):
-    return qa_pairs(t.messages)
+    return C.qa_pairs(C.first_messages(t.messages))
 
 
-@query("recent_older_split", f"WITH {PAIRS} SELECT conv_id, question_id, CASE WHEN back <= 3 THEN 'recent' ELSE 'older' END AS part FROM placed WHERE back <= 100")
+@query("recent_older_split", f"WITH {PAIRS} SELECT conv_id, question_id, CASE WHEN back <= 3 THEN 'recent' ELSE 'older' END AS part FROM placed")
 def _(t):
-    return placed(t).where("back <= 100").select("conv_id", "question_id", F.when(F.col("back") <= 3, "recent").otherwise("older").alias("part"))
+    return placed(t).select("conv_id", "question_id", F.when(F.col("back") <= 3, "recent").otherwise("older").alias("part"))
 
 
 def words_sql(x: str) -> str:
@@ -58,10 +48,16 @@ def _(t):
     return relevant(t).select("conv_id", "question_id", "overlap", "rank")
 
 
-@query("build_history", f"WITH {PAIRS}, {_rel} SELECT conv_id, 1 AS part, rank AS place, question FROM best JOIN pairs USING (conv_id, question_id) UNION ALL SELECT conv_id, 2, 4 - back, question FROM placed WHERE back <= 3")
+#: A conversation's summary is its first message, cut; every third has none.
+_summary = "summaries AS (SELECT conv_id, CASE WHEN conv_id % 3 > 0 THEN substr(min_by(text, turn), 1, 200) END AS summary FROM conversations GROUP BY 1)"
+
+
+@query("build_history", f"WITH {PAIRS}, {_rel}, {_summary}, both_ AS (SELECT conv_id, 1 AS part, rank AS place, question, answer FROM best JOIN pairs USING (conv_id, question_id) UNION ALL SELECT conv_id, 2, -back, question, answer FROM placed WHERE back <= 3), told AS (SELECT conv_id, 0 AS part, 0 AS place, 0 AS k, 'system' AS role, concat('{K.SUMMARY_HEAD.strip()}', chr(10), trim(summary, ' \n\t\r')) AS content FROM summaries WHERE trim(summary, ' \n\t\r') <> '' AND conv_id IN (SELECT conv_id FROM pairs) UNION ALL SELECT conv_id, part, place, 0, 'user', question FROM both_ UNION ALL SELECT conv_id, part, place, 1, 'assistant', answer FROM both_) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place, k) AS place, role, content FROM told")
 def _(t):
-    recent = placed(t).where("back <= 3").select("conv_id", F.lit(2).alias("part"), (4 - F.col("back")).alias("place"), "question")
-    return relevant(t).select("conv_id", F.lit(1).alias("part"), F.col("rank").alias("place"), "question").unionByName(recent)
+    last = placed(t).where("back = 1").select("conv_id", "question", F.lit(None).cast("array<double>").alias("vector"))
+    first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    summaries = first.select("conv_id", F.when(F.col("conv_id") % 3 > 0, F.substring("text", 1, 200)).alias("summary"))
+    return C.build_history(t.messages, last, summaries)
 
 
 @query("question_history", "SELECT conv_id, turn, substr(content, 1, 300) AS question FROM messages WHERE role = 'user' AND trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
@@ -75,12 +71,26 @@ def _(t):
     return placed(t).where("back <= 3").select("conv_id", (4 - F.col("back")).alias("place"), "question", "answer")
 
 
-@query("conversation_view", f"WITH {PAIRS} SELECT m.conv_id, m.message_id, p.answer, array_to_string(list_filter(CASE m.turn % 3 WHEN 0 THEN ['email', 'phone'] ELSE ['money'] END, lambda x: NOT list_contains(CASE m.conv_id % 2 WHEN 0 THEN ['email'] ELSE ['money'] END, x)), ',') AS pending FROM messages m LEFT JOIN pairs p ON p.question_id = m.message_id WHERE m.role = 'user'")
-def _(t):
-    a = lambda *x: F.array(*map(F.lit, x))
-    p = qa_pairs(t.messages).select(F.col("question_id").alias("message_id"), "answer")
-    pending = F.array_except(F.when(F.col("turn") % 3 == 0, a("email", "phone")).otherwise(a("money")), F.when(F.col("conv_id") % 2 == 0, a("email")).otherwise(a("money")))
-    return t.messages.where("role = 'user'").join(p, "message_id", "left").select("conv_id", "message_id", "answer", F.array_join(pending, ",").alias("pending"))
+#: An answer rests on the first lines of the document that has its conversation's number, and masks what was detected there.
+@query("conversation_view", f"""WITH last AS (SELECT parent_message_id, max_by(message_id, turn) AS answer_id FROM messages WHERE role = 'assistant' AND status IN ({_done}) AND content <> '' GROUP BY 1),
+src AS (SELECT document_id, count(*) AS n, string_agg(chunk_text, chr(10) ORDER BY chunk_index) AS shown FROM line_chunks WHERE chunk_index < 3 GROUP BY 1),
+granted AS (SELECT DISTINCT user_id, document_id, CASE WHEN user_id % 2 = 0 THEN 'money' ELSE 'unknown' END AS label FROM access_requests WHERE status = 'approved'),
+masked AS (SELECT DISTINCT document_id, label FROM detections),
+pend AS (SELECT m.document_id, string_agg(m.label, ',' ORDER BY m.label) AS pending FROM masked m LEFT JOIN granted g ON g.document_id = m.document_id AND g.label = m.label AND g.user_id = m.document_id % 150 WHERE g.label IS NULL GROUP BY 1)
+SELECT q.conv_id, q.conv_id % 150 AS user_id, q.message_id, a.message_id AS answer_id, a.content AS answer, a.status, CASE WHEN a.message_id IS NOT NULL THEN coalesce(p.pending, '') END AS pending, CASE WHEN a.message_id IS NULL THEN 0 ELSE coalesce(s.n, 0) END AS sources, CASE WHEN a.message_id IS NULL THEN '' ELSE coalesce(s.shown, '') END AS shown
+FROM (SELECT * FROM messages WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= {K.LISTED_MESSAGES}) q LEFT JOIN last l ON l.parent_message_id = q.message_id LEFT JOIN messages a ON a.message_id = l.answer_id LEFT JOIN src s ON s.document_id = q.conv_id LEFT JOIN pend p ON p.document_id = q.conv_id""")
+def _(t):
+    answers = t.messages.where("role = 'assistant'").select("message_id", F.col("conv_id").alias("document_id"))
+    titles = t.docs.select("document_id", "title")
+    lines = t.line_chunks.where("chunk_index < 3").select("document_id", F.col("chunk_index").cast("int").alias("pos"), F.col("chunk_text").alias("excerpt"))
+    sources = answers.join(lines, "document_id").join(titles, "document_id")
+    masks = answers.join(t.detections.select("document_id", F.col("label").alias("entity_type")), "document_id")
+    kind = F.when(F.col("user_id") % 2 == 0, "money").otherwise("unknown")
+    grants = t.access_requests.where("status = 'approved'").select("user_id", "document_id", kind.alias("entity_type")).distinct().join(answers, "document_id")
+    viewers = t.conversations.select("conv_id", (F.col("conv_id") % 150).alias("user_id")).distinct()
+    v = C.conversation_view(t.messages, viewers, sources, masks, grants)
+    excerpts = F.array_join(F.transform("sources", lambda s: s["excerpt"]), "\n")
+    return v.select("conv_id", "user_id", "message_id", F.col("answer.id").alias("answer_id"), F.col("answer.content").alias("answer"), "answer.status", F.array_join("answer.pending", ",").alias("pending"), F.size("sources").cast("long").alias("sources"), excerpts.alias("shown"))
 
 
 def _cited(t):
@@ -93,45 +103,31 @@ def _(t):
     return _cited(t).select("message_id", X.normalize_citation_labels(F.col("answer")).alias("answer"))
 
 
-@query("cited_answers")
-def _(t):
-    """Answers with their citations numbered by appearance; the sources are the conversation's latest four questions."""
-    asked = t.messages.where("role = 'user'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 4")
-    source = F.struct(F.col("message_id").alias("source_id"), F.col("content").alias("excerpt"), F.lit(False).alias("restricted"))
-    sources = asked.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", source.alias("s")))), lambda x: x["s"]).alias("sources"))
-    answers = _cited(t).join(t.messages.select("message_id", "conv_id"), "message_id").join(sources, "conv_id", "left").withColumn("allowed", F.lit(None).cast("array<int>"))
-    return C.cite_by_appearance(answers).select("message_id", "answer", F.transform("sources", lambda s: s["source_id"]).alias("source_ids"))
-
-
-_cit = "cit AS (SELECT message_id, list_sort(list_distinct(list_transform(regexp_extract_all(concat(content, ' [', 1 + turn % 4, '] and [2][9]'), '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INT)))) AS idx FROM messages WHERE role = 'assistant'), src AS (SELECT message_id, unnest(list_filter(idx, lambda i: i <= 5)) AS old FROM cit)"
+#: Each answer may cite the questions of its conversation, the latest first.
+_cit = "listed AS (SELECT conv_id, list(message_id ORDER BY turn DESC) AS ids FROM messages WHERE role = 'user' GROUP BY 1), cit AS (SELECT message_id, ids, list_sort(list_distinct(list_transform(regexp_extract_all(concat(content, ' [', 1 + turn % 4, '] and [2][9]'), '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INT)))) AS idx FROM messages LEFT JOIN listed USING (conv_id) WHERE role = 'assistant')"
 
 
-@query("cited_sources", f"WITH {_cit} SELECT message_id, old, row_number() OVER (PARTITION BY message_id ORDER BY old) AS new FROM src")
-def _(t):
+def sources_of(t):
+    """Answers with citations and, as their sources, the questions of the conversation, the latest first."""
+    asked = t.messages.where("role = 'user'")
+    source = F.struct(F.col("message_id").alias("source_id"), F.concat(F.lit("Q"), F.col("turn").cast("string")).alias("document_title"), F.lit(None).cast("string").alias("section_path"), F.col("content").alias("excerpt"), F.substring("content", 1, 40).alias("surrounding_context"), F.lit(False).alias("restricted"))
+    listed = asked.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("n"), source.alias("s")))), lambda x: x["s"]).alias("sources"))
     text = F.concat("content", F.lit(" ["), (1 + F.col("turn") % 4).cast("string"), F.lit("] and [2][9]"))
-    idx = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))))
-    rows = t.messages.where("role = 'assistant'").select("message_id", F.posexplode(F.filter(idx, lambda i: i <= 5)).alias("pos", "old"))
-    return rows.select("message_id", "old", (F.col("pos") + 1).cast("long").alias("new"))
-
-
-@F.pandas_udf(T.StringType())
-def renumber_by_appearance(s: pd.Series) -> pd.Series:
-    """Citations numbered by first appearance, those out of range (above 5) removed."""
-
-    def one(text: str) -> str:
-        seen: dict[str, int] = {}
-
-        def number(m):
-            return f"[{seen.setdefault(m[1], len(seen) + 1)}]" if 1 <= int(m[1]) <= 5 else ""
+    return t.messages.where("role = 'assistant'").select("message_id", "conv_id", text.alias("answer")).join(listed, "conv_id", "left")
 
-        return re.sub(r"\[(\d+)\]", number, text)
 
-    return s.map(one)
+@query("cited_sources", f"WITH {_cit} SELECT message_id, CAST(i AS BIGINT) AS new, ids[idx[i]] AS source_id FROM (SELECT message_id, ids, list_filter(idx, lambda x: x BETWEEN 1 AND len(ids)) AS idx, unnest(range(1, len(list_filter(idx, lambda x: x BETWEEN 1 AND len(ids))) + 1)) AS i FROM cit)")
+def _(t):
+    """Every cited source of every answer, however many, by its new place."""
+    rows = C.cite_sorted(sources_of(t)).select("message_id", F.posexplode("sources").alias("pos", "s"))
+    return rows.select("message_id", (F.col("pos") + 1).cast("long").alias("new"), F.col("s.source_id").alias("source_id"))
 
 
 @query("renumber_by_appearance")
 def _(t):
-    return _cited(t).select("message_id", renumber_by_appearance(X.normalize_citation_labels(F.col("answer"))).alias("answer"))
+    """Answers with citations by first appearance, and the four shown fields of their sources without hidden lines."""
+    done = C.cite_by_appearance(sources_of(t).withColumn("allowed", F.lit(None).cast("array<int>")))
+    return done.select("message_id", "answer", F.to_json("sources").alias("sources"))
 
 
 @query("fallback_answer", "SELECT document_id, string_agg(substr(chunk_text, 1, 200), chr(10) || chr(10) ORDER BY chunk_index) AS answer FROM (SELECT * FROM line_chunks QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) <= 5) GROUP BY 1")
@@ -147,14 +143,8 @@ def _(t):
     return t.messages.withColumn("n", F.row_number().over(w)).where("n = 1").select("message_id")
 
 
-@query("reject_oversized", "SELECT message_id, length(content) > 500 AS blocked FROM messages WHERE role = 'user'")
-def _(t):
-    return t.messages.where("role = 'user'").select("message_id", (F.length("content") > 500).alias("blocked"))
-
-
-@query("reject_oversized_whole")
+@query("reject_oversized", "SELECT message_id, length(content) > 2000 AS blocked FROM messages WHERE role = 'user'")
 def _(t):
-    """``reject_oversized`` with the 2,000 characters of the system we follow."""
     return t.messages.where("role = 'user'").select("message_id", (F.length("content") > 2000).alias("blocked"))
 
 

@@ -18,7 +18,7 @@ VIEWS = {
     "docs": "SELECT doc_id AS document_id, concat(source, '-', doc_id) AS title, doc_id % 150 AS owner_user_id, 1 + CAST(floor(doc_id / 25.0) AS BIGINT) % 5 AS sensitivity, CASE doc_id % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Policy' WHEN 2 THEN 'Memo' ELSE 'general' END AS document_type, CASE doc_id % 6 WHEN 0 THEN 'review' WHEN 1 THEN 'uploaded' ELSE 'approved' END AS status FROM documents",
     "document_oui": "SELECT doc_id AS document_id, concat('n', doc_id % 25) AS oui_id FROM documents UNION SELECT doc_id, concat('r', doc_id % 5) FROM documents WHERE doc_id % 7 = 0 UNION SELECT doc_id, 'corp' FROM documents WHERE doc_id % 50 = 0",
     "access_requests": "SELECT event_id AS request_id, user_id, event_id % 200 AS document_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'signup' THEN 'approved' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'rejected' ELSE 'revoked' END AS status, ts AS created_at, CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 10 DAY END AS expires_at FROM events",
-    "messages": "SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role, text AS content, CASE WHEN role = 'assistant' THEN max(CASE WHEN role = 'user' THEN conv_id * 1000 + turn END) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent_message_id FROM conversations",
+    "messages": "SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role, text AS content, CASE WHEN role = 'assistant' THEN max(CASE WHEN role = 'user' THEN conv_id * 1000 + turn END) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent_message_id, CASE WHEN role = 'assistant' THEN CASE (conv_id + turn) % 7 WHEN 0 THEN 'streaming' WHEN 1 THEN 'error' WHEN 2 THEN 'no_answer' ELSE 'success' END END AS status FROM conversations",
     "jobs": "SELECT o_orderkey AS job_id, concat('ingest:', o_orderkey % 400) AS idempotency_key, o_orderkey % 200 AS document_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders",
     "traces": "SELECT event_id AS trace_id, user_id, ts AS created_at, value AS total_ms, props AS timings_json FROM events",
     "queries": "SELECT vec_id AS query_id, vec_id % 150 AS user_id, embedding FROM embeddings WHERE vec_id % 50 = 0",

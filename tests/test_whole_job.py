@@ -103,5 +103,5 @@ def test_trim_question_reads_the_whole_text(spark, tmp_path):
 def test_limits_are_the_references(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x" * 2000), (2, 0, "user", "x" * 2001)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     spark.createDataFrame([(1, "\n".join(["y" * 9993] * 5))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(map(tuple, QUERIES["reject_oversized_whole"](spark, str(tmp_path)).collect())) == [(1000, False), (2000, True)]
+    assert sorted(map(tuple, QUERIES["reject_oversized"](spark, str(tmp_path)).collect())) == [(1000, False), (2000, True)]
     assert sorted(r["rank"] for r in QUERIES["context_budget"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
