@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,20 @@ def delete_cascade(tables: dict[str, DataFrame], documents: DataFrame, versions:
 
 
 def parse_bytes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, rejects) of path, content: UTF-8 without what cannot be decoded, one page; empty ones are rejected."""
+    """(texts, rejects) of path, content and maybe error: UTF-8 without what cannot be decoded, one page.
+
+    Rejected are files that could not be read (their error is the reason), have no bytes, or no text.
+    """
     from rolesieve.functions.text import normalize_text_of
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "text": [normalize_text_of(bytes(c).decode("utf-8", "ignore")) if c is not None else "" for c in pdf["content"]]})
+            yield pd.DataFrame({"path": pdf["path"], "text": ["" if c is None else normalize_text_of(bytes(c).decode("utf-8", "ignore")) for c in pdf["content"]], "reason": pdf["reason"]})
 
-    parsed = files.select("path", "content").mapInPandas(run, "path string, text string")
-    return parsed.where("text <> ''").withColumn("page", F.lit(1)), parsed.where("text = ''").select("path", F.lit("empty text").alias("reason"))
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    reason = F.coalesce(error, F.when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "no bytes"))
+    parsed = files.select("path", "content", reason.alias("reason")).mapInPandas(run, "path string, text string, reason string")
+    return parsed.where("text <> ''").select("path", "text", F.lit(1).alias("page")), parsed.where("text = ''").select("path", F.coalesce("reason", F.lit("empty text")).alias("reason"))
 
 
 def hashing_embedder(dims: int = 32):
@@ -92,13 +97,18 @@ def embed_batches(rows: DataFrame, embed, batch: int = 64) -> DataFrame:
     return rows.select("id", "text").mapInPandas(run, "id long, embedding array<double>")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back, so that its plan is made and run once."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in ``spark.checkpoint.dir``, which all executors share; tests on a local master get a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(named or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='rolesieve-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back, so that its plan is made and run once."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

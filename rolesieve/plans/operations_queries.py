@@ -13,12 +13,17 @@ from rolesieve.operators import tables as D
 from rolesieve.plans.organisation_queries import GRANTS, closure, granted, tuples
 from rolesieve.plans.text_queries import _html
 from rolesieve.plans.views import query
+from rolesieve.sources.files import read_text_files
 
 
 @query("read_text_files")
 def _(t):
-    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return D.parse_bytes(files)[0]
+    """The documents as files of up to 1,000 texts, by source, written and then read as raw files; one row a file."""
+    path = D.shared_path(t.spark)
+    shelf = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("shelf")
+    t.documents.select("doc_id", "text", shelf).repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("text", "shelf").write.partitionBy("shelf").text(path)
+    texts, _ = read_text_files(t.spark, path)
+    return texts.select(F.regexp_extract("path", "shelf=([^/]+)/", 1).alias("shelf"), "text", "page")
 
 
 @query("embed_batches")
