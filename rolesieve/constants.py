@@ -245,3 +245,18 @@ STATIC_EDGES = [
 DONE_STATUSES = ["success", "fallback", "no_answer", "llm_error", "blocked"]
 SUMMARY_HEAD = "[Tóm tắt cuộc trò chuyện trước]\n"
 RECENT_PAIRS, RELEVANT_PAIRS, HISTORY_MESSAGES, LISTED_MESSAGES = 3, 3, 200, 1000
+
+# Fixed values of the rule migrations: level of a rule by its key (others: 2), and new names of groups.
+DEFAULT_LEVELS = {
+    "credential": 5, "password": 5, "api_key": 5, "token": 5, "merger": 5,
+    "salary": 4, "bonus": 4, "income": 4, "payroll": 4, "social_insurance": 4, "national_id": 4, "dob": 4, "bank_account": 4, "tax_id": 4,
+    "financial_data": 4, "contract": 4, "contract_number": 4, "strategy": 4, "business_plan": 4, "roadmap": 4,
+    "money": 3, "percentage": 3, "customer": 3, "customer_id": 3, "customer_email": 3, "customer_phone": 3, "person_name": 3, "address": 3,
+    "phone": 3, "email": 3, "project": 3, "project_code": 3,
+    "organization": 1, "date": 1, "date_generic": 1, "location": 1,
+}
+OTHER_LEVEL = 2
+GROUP_NAMES = {
+    "security": "Bảo mật", "hr_financial": "Nhân sự & Tài chính", "financial": "Tài chính", "customer": "Khách hàng",
+    "strategy": "Chiến lược", "legal": "Pháp lý", "pii": "Thông tin cá nhân", "general": "Chung",
+}

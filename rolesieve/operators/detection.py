@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -98,3 +99,18 @@ def entity_summary(entities: Column, text: Column) -> Column:
     of_labels = F.flatten(F.transform(types, lambda t: F.coalesce(by_label[t], F.array().cast("array<string>"))))
     of_words = F.filter(F.array(*[F.when(text.rlike("(?iu)" + K.FLAG_PATTERNS[f]), F.lit(f)) for f in K.FLAG_WORDS]), lambda f: f.isNotNull())
     return F.struct(types.alias("entity_types"), F.array_sort(F.array_distinct(F.concat(of_labels, of_words))).alias("flags"))
+
+
+def query_entities(questions: DataFrame, labels: list[str], detect: Callable | None = None) -> DataFrame:
+    """``questions`` (id, text; ids are unique) with labels, a sorted array: the entity types that each question is about.
+
+    A label is found by the detector (``detect_entities``), by one of its aliases in the text, or by a word of its own name
+    there, all without regard to case and anywhere in the text.  Labels are those given (``rule_keys``) and those with aliases.
+    """
+    known = sorted({*labels, *K.LABEL_ALIASES})
+    words = [(x, sorted({*K.LABEL_ALIASES.get(x, []), *(w for w in x.split("_") if w)})) for x in known]
+    book = F.from_json(F.lit(json.dumps([{"label": x, "words": ws} for x, ws in words])), "array<struct<label:string,words:array<string>>>")
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    named = F.transform(F.filter(book, lambda x: F.exists(x["words"], lambda w: F.contains(lower, w))), lambda x: x["label"])
+    found = detect_entities(questions, labels, detect).select("id", F.transform("entities", lambda e: e["label"]).alias("_found"))
+    return questions.join(found, "id", "left").withColumn("labels", F.array_sort(F.array_distinct(F.concat(F.coalesce("_found", F.array().cast("array<string>")), named)))).drop("_found")

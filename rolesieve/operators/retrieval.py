@@ -267,6 +267,36 @@ def finalize_results(rows: DataFrame, least: float, k: int) -> DataFrame:
     return ranked.withColumn("some", any_passes).where((F.col("some") & F.col("passes") & (F.col("rank") <= k)) | (~F.col("some") & (F.col("rank") == 1))).drop("some", "passes")
 
 
+def unit_filter(rows: DataFrame, document_oui: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (query_id, document_id, ...) of documents at a unit that their question picked; wanted: query_id, oui_id.
+
+    A question that picked none keeps all its rows.
+    """
+    wanted = wanted.where("oui_id is not null").select("query_id", "oui_id").distinct()
+    at = rows.select("query_id", "document_id").distinct().join(document_oui.select("document_id", "oui_id"), "document_id").join(wanted, ["query_id", "oui_id"], "left_semi")
+    free = rows.join(wanted.select("query_id").distinct(), "query_id", "left_anti")
+    return free.unionByName(rows.join(at.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_semi"))
+
+
+def search_results(candidates: DataFrame, document_oui: DataFrame, wanted: DataFrame, sound: DataFrame, tiers: DataFrame, rules: DataFrame, k: int = 5, least: float = 0.65) -> DataFrame:
+    """What each asker is shown of the candidates of their question, masked.
+
+    candidates: query_id, user_id, chunk_id, document_id, text, entities, rrf, score, ce (a reranker's), and the flags
+    of ``access_gate``; wanted as in ``unit_filter``; sound: document_id of documents whose stored hash
+    holds (``verify_content``); tiers and rules as in ``apply_policy``.  In order: access and blur, picked
+    units, hashes, the risk-weighted cut to ``k``, the threshold ``least`` (the best alone where none
+    reaches it), masking.  Returns query_id, user_id, chunk_id, document_id, score, rwss, rank, blurred,
+    restricted, text and what ``apply_policy`` adds.
+    """
+    from rolesieve.operators.policy import apply_policy
+
+    rows = unit_filter(access_gate(candidates), document_oui, wanted).join(sound.select("document_id").distinct(), "document_id", "left_semi")
+    best = rerank_rwss(rows, k).drop("rank")
+    shown = finalize_results(best, least, k)
+    kept = ["query_id", "user_id", "chunk_id", "document_id", "score", "rwss", "rank", "blurred", "restricted", "text", "entities"]
+    return apply_policy(shown.select(*kept, F.col("restricted").alias("doc_restricted")), tiers, rules)
+
+
 def context_budget(rows: DataFrame, most: int = 40_000, separator: int = 7) -> DataFrame:
     """Blocks in rank order, each counted with its separator, until one would pass the budget; the first always stays."""
     upto = F.sum(F.length("text") + separator).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -118,3 +118,52 @@ def new_emails(messages: DataFrame, synced: DataFrame, indexed: DataFrame) -> Da
     if indexed.isEmpty():
         return messages
     return messages.join(synced.select("user_id", "message_id").distinct(), ["user_id", "message_id"], "left_anti").select(*messages.columns)
+
+
+def review_transitions(docs: DataFrame, events: DataFrame, jobs: DataFrame, corporate: DataFrame) -> DataFrame:
+    """(document_id, event, user_id, status, problem, job_id, job_status, job_error): one event on each document, and its ingest job.
+
+    docs: document_id, status, owner_user_id; events: document_id, event, user_id; jobs: job_id, document_id, status,
+    created_at; corporate: user_id of the members of the top unit.  The owner submits an uploaded document, which is then
+    in review, or approved where the owner is corporate; corporate users approve or reject what is uploaded or in
+    review.  ``ingested`` is the outcome of a job for the user who made it: approved stays, else approved for corporate
+    users and review for others.  Approval queues the document's newest job that waits for it, rejection makes the
+    document a draft and cancels that job.  A move that is not allowed changes nothing and has its problem: role, owner or status.
+    """
+    top = corporate.select("user_id").distinct().withColumn("_corp", F.lit(True))
+    j = docs.select("document_id", F.col("status").alias("_was"), "owner_user_id").join(events.select("document_id", "event", "user_id"), "document_id").join(top, "user_id", "left")
+    corp, event, was = F.coalesce("_corp", F.lit(False)), F.col("event"), F.col("_was")
+    judged = event.isin("approve", "reject")
+    problem = (
+        F.when(judged & ~corp, "role")
+        .when((event == "submit") & ~F.col("user_id").eqNullSafe(F.col("owner_user_id")), "owner")
+        .when(((event == "submit") & ~was.eqNullSafe("uploaded")) | (judged & ~F.coalesce(was.isin("review", "uploaded"), F.lit(False))), "status")
+        .when(~event.isin("submit", "approve", "reject", "ingested"), "event")
+    )
+    done = F.when(event == "reject", "draft").when((event == "approve") | corp | ((event == "ingested") & (was == "approved")), "approved").otherwise("review")
+    j = j.withColumn("problem", problem).withColumn("status", F.when(F.col("problem").isNull(), done).otherwise(was))
+    waiting = jobs.where("status = 'pending_approval'").groupBy("document_id").agg(F.max_by("job_id", F.struct("created_at", "job_id")).alias("_job"))
+    moved = F.when(F.col("problem").isNull() & (event == "reject"), "cancelled").when(F.col("problem").isNull() & event.isin("approve", "submit") & (F.col("status") == "approved"), "queued")
+    j = j.withColumn("_moved", moved).join(waiting, "document_id", "left")
+    job = F.when(F.col("_job").isNotNull(), F.col("_moved"))
+    return j.select("document_id", "event", "user_id", "status", "problem", F.when(job.isNotNull(), F.col("_job")).alias("job_id"), job.alias("job_status"), F.when(job == "cancelled", "Rejected by reviewer").alias("job_error"))
+
+
+def vector_rows(chunks: DataFrame, docs: DataFrame, versions: DataFrame, document_oui: DataFrame) -> DataFrame:
+    """Rows of the vector collection: each chunk with what its document and version say, lists joined by commas.
+
+    chunks: chunk_id, version_id, chunk_text, embed_text, embedding, chunk_sensitivity, entity_types (array) and any others;
+    versions: version_id, document_id and any others; docs: document_id, title, document_type, sensitivity; document_oui:
+    document_id, oui_id.  The text is the one to embed, else the chunk's; the level is the chunk's, else the
+    document's; the units are sorted, entity types stay in order.
+    """
+    units = document_oui.where("oui_id is not null").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("oui_id")), ",").alias("oui_ids"))
+    d = docs.select("document_id", F.col("title").alias("document_title"), "document_type", F.col("sensitivity").alias("sensitivity")).join(units, "document_id", "left")
+    j = chunks.join(versions, "version_id").join(d, "document_id")
+    return (
+        j.withColumn("document_text", F.coalesce(F.nullif("embed_text", F.lit("")), "chunk_text"))
+        .withColumn("chunk_sensitivity", F.coalesce("chunk_sensitivity", "sensitivity"))
+        .withColumn("entity_types", F.coalesce(F.array_join("entity_types", ","), F.lit("")))
+        .withColumn("oui_ids", F.coalesce("oui_ids", F.lit("")))
+        .drop("chunk_text", "embed_text")
+    )

@@ -66,11 +66,15 @@ def _(t):
     return kept["versions"].agg(F.lit("versions").alias("name"), F.count("*").alias("n")).unionAll(kept["chunks"].agg(F.lit("chunks").alias("name"), F.count("*").alias("n")))
 
 
-@query("build_vector_rows", "SELECT c.chunk_id, coalesce(CASE WHEN c.chunk_id % 3 > 0 THEN c.chunk_sensitivity END, d.sensitivity) AS chunk_sensitivity, d.title, o.ouis FROM chunk_vectors c JOIN docs d USING (document_id) LEFT JOIN (SELECT document_id, string_agg(DISTINCT oui_id, ',' ORDER BY oui_id) AS ouis FROM document_oui GROUP BY 1) o USING (document_id)")
+@query("build_vector_rows", "SELECT c.chunk_id, v.version_id, v.version_no, coalesce(CASE WHEN c.chunk_id % 3 > 0 THEN c.chunk_sensitivity END, d.sensitivity) AS chunk_sensitivity, d.title AS document_title, d.document_type, coalesce(o.ouis, '') AS oui_ids, coalesce(x.types, '') AS entity_types, concat('chunk ', c.chunk_id) AS document_text FROM chunk_vectors c JOIN (SELECT document_id, max(version_id) AS version_id, max(version_no) AS version_no FROM versions GROUP BY 1) v USING (document_id) JOIN docs d USING (document_id) LEFT JOIN (SELECT document_id, string_agg(DISTINCT oui_id, ',' ORDER BY oui_id) AS ouis FROM document_oui GROUP BY 1) o USING (document_id) LEFT JOIN (SELECT document_id, string_agg(label, ',' ORDER BY label) AS types FROM detections GROUP BY 1) x USING (document_id)")
 def _(t):
-    o = t.document_oui.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("oui_id")), ",").alias("ouis"))
-    j = t.chunk_vectors.join(t.docs.select("document_id", "sensitivity", "title"), "document_id").join(o, "document_id", "left")
-    return j.select("chunk_id", F.coalesce(F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_sensitivity")), "sensitivity").alias("chunk_sensitivity"), "title", "ouis")
+    """Each vector under the last version of its document, with what was detected there."""
+    v = t.versions.groupBy("document_id").agg(F.max("version_id").alias("version_id"), F.max("version_no").alias("version_no"))
+    types = t.detections.groupBy("document_id").agg(F.array_sort(F.collect_list("label")).alias("entity_types"))
+    chunks = t.chunk_vectors.join(v.select("document_id", "version_id"), "document_id").join(types, "document_id", "left").drop("document_id")
+    level = F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_sensitivity"))
+    chunks = chunks.withColumn("chunk_sensitivity", level).withColumn("chunk_text", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))).withColumn("embed_text", F.lit(None).cast("string"))
+    return D.vector_rows(chunks, t.docs, v, t.document_oui).select("chunk_id", "version_id", "version_no", "chunk_sensitivity", "document_title", "document_type", "oui_ids", "entity_types", "document_text")
 
 
 # jobs, traces, versions
@@ -123,13 +127,17 @@ def _(t):
     return t.versions.join(t.docs.select("document_id", "title"), "document_id").join(a, "document_id").select("version_id", "title", "actions")
 
 
-@query("review_transitions", "SELECT document_id, event, coalesce(new, status) AS status, new IS NULL AS rejected FROM (SELECT document_id, status, event, CASE WHEN event = 'submit' AND status = 'uploaded' THEN 'review' WHEN event = 'approve' AND status = 'review' THEN 'approved' WHEN event = 'reject' AND status = 'review' THEN 'uploaded' END AS new FROM (SELECT *, CASE document_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'submit' ELSE 'reject' END AS event FROM docs))")
+_events = "ev AS (SELECT document_id, d.status, owner_user_id, CASE document_id % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'submit' WHEN 2 THEN 'reject' ELSE 'ingested' END AS event, CASE WHEN document_id % 8 < 4 THEN owner_user_id ELSE 100 END AS user_id FROM docs d), corp AS (SELECT DISTINCT user_id FROM assignments WHERE oui_id = 'corp'), wait AS (SELECT document_id, arg_max(job_id, (created_at, job_id)) AS job FROM jobs WHERE status = 'queued' GROUP BY 1)"
+
+
+@query("review_transitions", f"WITH {_events}, judged AS (SELECT ev.*, c.user_id IS NOT NULL AS corp, CASE WHEN event IN ('approve', 'reject') AND c.user_id IS NULL THEN 'role' WHEN event = 'submit' AND ev.user_id <> owner_user_id THEN 'owner' WHEN event = 'submit' AND status <> 'uploaded' THEN 'status' WHEN event IN ('approve', 'reject') AND status NOT IN ('review', 'uploaded') THEN 'status' END AS problem FROM ev LEFT JOIN corp c ON c.user_id = ev.user_id), done AS (SELECT *, CASE WHEN problem IS NOT NULL THEN status WHEN event = 'reject' THEN 'draft' WHEN event = 'approve' OR corp OR (event = 'ingested' AND status = 'approved') THEN 'approved' ELSE 'review' END AS new FROM judged), moved AS (SELECT *, CASE WHEN problem IS NOT NULL THEN NULL WHEN event = 'reject' THEN 'cancelled' WHEN event IN ('approve', 'submit') AND new = 'approved' THEN 'queued' END AS m FROM done) SELECT document_id, event, user_id, new AS status, problem, CASE WHEN m IS NOT NULL THEN job END AS job_id, CASE WHEN job IS NOT NULL THEN m END AS job_status, CASE WHEN job IS NOT NULL AND m = 'cancelled' THEN 'Rejected by reviewer' END AS job_error FROM moved LEFT JOIN wait USING (document_id)")
 def _(t):
-    k = F.col("document_id") % 5
-    d = t.docs.withColumn("event", F.when(k == 0, "approve").when(k == 1, "submit").otherwise("reject"))
-    at = lambda e, s: (F.col("event") == e) & (F.col("status") == s)
-    new = F.when(at("submit", "uploaded"), "review").when(at("approve", "review"), "approved").when(at("reject", "review"), "uploaded")
-    return d.select("document_id", "event", F.coalesce(new, "status").alias("status"), new.isNull().alias("rejected"))
+    """One event on each document by its owner or by a corporate user; queued jobs are those that wait for approval."""
+    k, d = F.col("document_id") % 4, F.col("document_id")
+    event = F.when(k == 0, "approve").when(k == 1, "submit").when(k == 2, "reject").otherwise("ingested")
+    events = t.docs.select("document_id", event.alias("event"), F.when(d % 8 < 4, F.col("owner_user_id")).otherwise(100).cast("long").alias("user_id"))
+    jobs = t.jobs.withColumn("status", F.when(F.col("status") == "queued", "pending_approval").otherwise(F.col("status")))
+    return D.review_transitions(t.docs, events, jobs, t.assignments.where("oui_id = 'corp'"))
 
 
 @query("emit_ingest_events", "SELECT document_id, kind, concat('{\"document_id\":', document_id, ',\"chunk_count\":', n, '}') AS payload FROM (SELECT document_id, count(*) AS n FROM line_chunks GROUP BY 1) CROSS JOIN (SELECT unnest(['outbox', 'audit']) AS kind)")
@@ -224,11 +232,13 @@ def _(t):
     return last.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("scope"))
 
 
-@query("taxonomy_seed", "SELECT DISTINCT document_type AS id, 'document_type' AS kind FROM docs UNION SELECT DISTINCT concat('class:', substr(document_type, 1, 1)), 'class' FROM docs")
+@query("taxonomy_seed", f"WITH static(name, category, type) AS (VALUES {', '.join('(' + ', '.join(chr(39) + x + chr(39) for x in r) + ')' for r in K.STATIC_NODES)}), static_edges(src, rel, dst) AS (VALUES {', '.join('(' + ', '.join(chr(39) + x + chr(39) for x in r) + ')' for r in K.STATIC_EDGES)}), e AS (SELECT src, string_agg(concat(rel, ' ', dst), ',' ORDER BY rel, dst) AS edges FROM static_edges GROUP BY 1), n AS (SELECT document_type, count(*) AS documents FROM docs GROUP BY 1) SELECT name, category, static.type, coalesce(edges, '') AS edges, coalesce(documents, 0) AS documents FROM static LEFT JOIN e ON src = name LEFT JOIN n ON document_type = name")
 def _(t):
-    """Types of the documents at hand and the classes above them."""
-    k = t.docs.select("document_type").distinct()
-    return k.select(F.col("document_type").alias("id"), F.lit("document_type").alias("kind")).unionAll(k.select(F.concat(F.lit("class:"), F.substring("document_type", 1, 1)).alias("id"), F.lit("class").alias("kind"))).distinct()
+    """Every node and edge of the taxonomy, with the number of documents of each type."""
+    nodes, edges = G.taxonomy(t.spark)
+    e = edges.groupBy(F.col("src").alias("name")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "type", "dst"))), ",").alias("edges"))
+    n = t.docs.groupBy(F.col("document_type").alias("name")).agg(F.count("*").alias("documents"))
+    return nodes.join(e, "name", "left").join(n, "name", "left").select("name", "category", "type", F.coalesce("edges", F.lit("")).alias("edges"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 @query("graph_export", f"WITH {NODES}, {EDGES} SELECT n.id, n.kind, e.type, e.dst FROM nodes n LEFT JOIN edges e ON e.src = n.id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolesieve import constants as K
 from rolesieve.functions import text as X
 from rolesieve.operators import detection as D
+from rolesieve.operators import migrations as M
 from rolesieve.operators import organisation as O
 from rolesieve.operators import policy as P
 from rolesieve.plans.organisation_queries import CLEAR, CLOSURE, closure
@@ -148,14 +149,19 @@ def _(t):
     return snapshot(t).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["s"]), ",").alias("snapshot"))
 
 
-_alias = [(k, w) for k, ws in K.LABEL_ALIASES.items() for w in ws]
+#: Questions about parts; some name what is asked for, some hold a mail address.
+_questions = "q AS (SELECT p_partkey AS id, concat('Which ', p_name, ' of ', p_brand, CASE p_size % 6 WHEN 0 THEN ' has the best Price?' WHEN 1 THEN ', and whose phone?' WHEN 2 THEN ' is on the payroll?' WHEN 3 THEN concat(', asks b', p_size, '@mail.vn') WHEN 4 THEN ': legacy?' ELSE '?' END) AS text FROM part)"
 
 
-@query("query_entities", "WITH a(label, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, w in _alias) + ") SELECT conv_id, turn, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM conversations JOIN a ON contains(lower(text), word) WHERE role = 'user' GROUP BY ALL")
+def _label_words() -> list[tuple[str, str]]:
+    ours = ["email", "phone", "credential", "money", "person_name", "legacy"]  # the keys of the view rules
+    return [(x, w) for x in sorted({*ours, *K.LABEL_ALIASES}) for w in sorted({*K.LABEL_ALIASES.get(x, []), *x.split("_")})]
+
+
+@query("query_entities", f"WITH {_questions}, a(label, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, w in _label_words()) + f"), found AS (SELECT id, label FROM q JOIN a ON contains(lower(text), word) UNION SELECT id, 'email' FROM q WHERE regexp_matches(text, '{EMAIL}')) SELECT q.id, coalesce(string_agg(label, ',' ORDER BY label), '') AS labels FROM q LEFT JOIN found USING (id) GROUP BY 1")
 def _(t):
-    found = F.array(*[F.when(F.lower("text").contains(w), F.lit(k)) for k, w in _alias])
-    labels = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", labels.alias("l")).where("size(l) > 0").select("conv_id", "turn", F.array_join("l", ",").alias("labels"))
+    q = t.sql("SELECT p_partkey AS id, concat('Which ', p_name, ' of ', p_brand, CASE p_size % 6 WHEN 0 THEN ' has the best Price?' WHEN 1 THEN ', and whose phone?' WHEN 2 THEN ' is on the payroll?' WHEN 3 THEN concat(', asks b', p_size, '@mail.vn') WHEN 4 THEN ': legacy?' ELSE '?' END) AS text FROM part")
+    return D.query_entities(q, P.rule_keys(t.rules)).select("id", F.array_join("labels", ",").alias("labels"))
 
 
 _act = "acts AS (SELECT doc_id AS version_id, k AS pos, CASE k WHEN 0 THEN ' Salary Amount ' WHEN 1 THEN 'salary_amount' WHEN 2 THEN source ELSE '--' END AS entity_type, CASE (doc_id + k) % 4 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'mask' WHEN 2 THEN 'unknown' END AS action FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k)), plain AS (SELECT version_id, pos, regexp_replace(regexp_replace(lower(trim(entity_type)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS entity_type, CASE WHEN lower(action) IN ('block', 'full', 'mask') THEN lower(action) ELSE 'full' END AS action FROM acts), first AS (SELECT * FROM plain WHERE entity_type <> '' QUALIFY row_number() OVER (PARTITION BY version_id, entity_type ORDER BY pos) = 1)"
@@ -387,12 +393,19 @@ def _(t):
     return t.versions.select("version_id", F.lit(1).alias("one")).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one").select("version_id", F.explode("rules").alias("r")).select("version_id", "r.*")
 
 
-@query("apply_group_scope", "SELECT entity_key, CASE WHEN group_name = 'identity' THEN 'n7' END AS new_scope, CASE WHEN group_name = 'identity' THEN concat('v', priority + 1) ELSE concat('v', priority) END AS version FROM rules")
+#: Parts stand for rules, their type for the profile and their brand for the group; of some groups the scope is written anew.
+_scopes = "scopes AS (SELECT DISTINCT p_type AS profile, p_brand AS group_name, concat('n', right(p_brand, 1)) AS unit FROM part WHERE p_size > 45 AND p_type <> 'SMALL')"
+
+
+@query("apply_group_scope", f"WITH {_scopes}, hit AS (SELECT DISTINCT profile FROM scopes) SELECT p_partkey AS rule_id, concat(coalesce(unit, 'old'), '/*') AS allow, CASE WHEN unit IS NULL THEN '*/31' ELSE '' END AS mask, CASE WHEN h.profile IS NOT NULL THEN concat('v1.', length(p_type) + 1) ELSE concat('v1.', length(p_type)) END AS version FROM part p LEFT JOIN scopes s ON s.profile = p_type AND s.group_name = p_brand LEFT JOIN hit h ON h.profile = p_type")
 def _(t):
-    hit = F.col("group_name") == "identity"
-    v = F.concat(F.lit("v"), F.col("priority").cast("string"))
-    bumped = F.concat(F.regexp_extract(v, r"^(.*?)(\d+)$", 1), (F.regexp_extract(v, r"(\d+)$", 1).cast("long") + 1).cast("string"))
-    return t.rules.select("entity_key", F.when(hit, "n7").alias("new_scope"), F.when(hit, bumped).otherwise(v).alias("version"))
+    pair = lambda o, p: F.array(F.struct(o.cast("string").alias("oui_id"), p.cast("string").alias("position_id")).cast(M.PAIR))
+    none = F.lit(None)
+    rules = t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("profile"), F.col("p_brand").alias("group_name"), pair(F.lit("old"), none).alias("allow_scope_pairs"), pair(none, F.lit("31")).alias("mask_scope_pairs"), F.concat(F.lit("v1."), F.length("p_type").cast("string")).alias("version"))
+    unit = F.concat(F.lit("n"), F.substring("p_brand", -1, 1))
+    scopes = t.part.where("p_size > 45 and p_type <> 'SMALL'").select(F.col("p_type").alias("profile"), F.col("p_brand").alias("group_name"), F.concat(pair(unit, none), pair(none, none)).alias("allow"), none.cast(f"array<{M.PAIR}>").alias("mask")).distinct()
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["oui_id"], F.lit("*")), F.lit("/"), F.coalesce(x["position_id"], F.lit("*")))), ",")
+    return M.apply_group_scope(rules, scopes).select("rule_id", shown("allow_scope_pairs").alias("allow"), shown("mask_scope_pairs").alias("mask"), "version")
 
 
 COMBOS = "combos AS (SELECT oui_id, position_id FROM oui JOIN positions USING (ou_id)), covered AS (SELECT DISTINCT p.entity_key, c.oui_id, c.position_id FROM rule_pairs p JOIN combos c ON p.oui_id = '__ALL__' OR ((p.oui_id IS NULL OR p.oui_id = c.oui_id OR EXISTS (SELECT 1 FROM closure k WHERE k.descendant = p.oui_id AND k.ancestor = c.oui_id)) AND (p.position_id IS NULL OR p.position_id = c.position_id)))"
@@ -435,17 +448,47 @@ def _(t):
     return keys.join(t.rules, "entity_key", "left_anti").select("entity_key", (F.col("pos") * 10).cast("long").alias("priority"), F.when(k == 0, "allow").when(k == 1, "mask").alias("tier"), F.when(k < 2, K.ALL_SCOPE).alias("oui_id"))
 
 
-@query("migrate_rule_scopes", "SELECT c_custkey AS id, tier, array_to_string(list_sort(list_transform(u, lambda x: concat(x, '/', p))), ',') AS pairs FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'allow' ELSE 'mask' END AS tier, [concat('n', c_nationkey), 'corp'] AS u, 30 + c_custkey % 5 AS p FROM customer)")
+_old_rules = "old AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'mask' ELSE 'full' END AS action, CASE WHEN c_acctbal > 0 THEN [concat('n', c_nationkey), 'corp'] ELSE [] END AS u, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN [CAST(31 + c_custkey % 5 AS VARCHAR)] ELSE [] END AS p FROM customer)"
+
+
+@query("migrate_rule_scopes", f"WITH {_old_rules} SELECT id, CASE WHEN action = 'full' THEN '__ALL__/*' ELSE '' END AS allow, CASE WHEN action <> 'mask' THEN '' WHEN len(u) = 0 AND len(p) = 0 THEN '__ALL__/*' ELSE array_to_string(flatten(list_transform(CASE WHEN len(u) = 0 THEN ['*'] ELSE u END, lambda x: list_transform(CASE WHEN len(p) = 0 THEN ['*'] ELSE p END, lambda y: concat(x, '/', y)))), ',') END AS mask FROM old")
+def _(t):
+    """Rules of customers with one action, units by balance and positions by segment, in the form of pairs."""
+    k = F.col("c_custkey") % 3
+    none = F.array().cast("array<string>")
+    old = t.customer.select(
+        F.col("c_custkey").alias("id"),
+        F.when(k == 0, "block").when(k == 1, "mask").otherwise("full").alias("action"),
+        F.when(F.col("c_acctbal") > 0, F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lit("corp"))).otherwise(none).alias("scope_oui_ids"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.array((31 + F.col("c_custkey") % 5).cast("string"))).otherwise(none).alias("scope_position_ids"),
+    )
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["oui_id"], F.lit("*")), F.lit("/"), F.coalesce(x["position_id"], F.lit("*")))), ",")
+    return M.migrate_rule_scopes(old).select("id", shown("allow_scope_pairs").alias("allow"), shown("mask_scope_pairs").alias("mask"))
+
+
+_keys, _groups = [*K.DEFAULT_LEVELS, "other"], [*K.GROUP_NAMES, "Own", ""]
+_old_keys = f"old AS (SELECT p_partkey AS id, ([{quoted(_keys)}])[1 + p_partkey % {len(_keys)}] AS entity_key, ([{quoted(_groups)}])[1 + p_size % {len(_groups)}] AS group_name FROM part), named AS (SELECT id, entity_key, CASE group_name {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in K.GROUP_NAMES.items())} ELSE group_name END AS group_name FROM old)"
+
+
+def _backfilled(t):
+    """Parts stand for rules of every known key and group; brands are groups that exist."""
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    rules = t.part.select(F.col("p_partkey").alias("id"), pick(_keys, F.col("p_partkey")).alias("entity_key"), pick(_groups, F.col("p_size")).alias("group_name"))
+    return M.backfill_rules(rules, t.part.select(F.col("p_brand").alias("name")).distinct())
+
+
+@query("backfill_rule_columns", f"WITH {_old_keys} SELECT id, entity_key, group_name, CASE entity_key {' '.join(f"WHEN '{k}' THEN {v}" for k, v in K.DEFAULT_LEVELS.items())} ELSE {K.OTHER_LEVEL} END AS sensitivity FROM named")
+def _(t):
+    return _backfilled(t)[0]
+
+
+@query("backfill_groups", f"WITH {_old_keys} SELECT p_brand AS name FROM part UNION SELECT group_name FROM named WHERE group_name <> '' UNION SELECT unnest([{quoted(K.GROUP_NAMES.values())}])")
 def _(t):
-    u = F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lit("corp"))
-    p = F.array((30 + F.col("c_custkey") % 5).cast("string"))
-    pairs = F.flatten(F.transform(u, lambda o: F.transform(p, lambda q: F.concat(o, F.lit("/"), q))))
-    return t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "allow").otherwise("mask").alias("tier"), F.array_join(F.array_sort(pairs), ",").alias("pairs"))
+    return _backfilled(t)[1]
 
 
-@query("backfill_rule_columns", "SELECT document_id, label, row_number() OVER (PARTITION BY document_id ORDER BY label) - 1 AS sort_order, coalesce(r.sensitivity, 2) AS sensitivity, CASE coalesce(group_name, 'other') WHEN 'old' THEN 'other' ELSE coalesce(group_name, 'other') END AS group_name FROM detections LEFT JOIN rules r ON entity_key = label")
+@query("backfill_sort_order", "SELECT l_orderkey AS version_id, l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber) - 1 AS sort_order FROM lineitem")
 def _(t):
-    j = t.detections.join(F.broadcast(t.rules), F.col("label") == F.col("entity_key"), "left")
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("label")) - 1
-    g = F.coalesce("group_name", F.lit("other"))
-    return j.select("document_id", "label", order.cast("long").alias("sort_order"), F.coalesce("sensitivity", F.lit(2)).alias("sensitivity"), F.when(g == "old", "other").otherwise(g).alias("group_name"))
+    """Lines of orders stand for a version's actions, their flag for the type."""
+    actions = t.lineitem.select(F.col("l_orderkey").alias("version_id"), F.col("l_returnflag").alias("entity_type"), F.col("l_linenumber").alias("id"))
+    return M.backfill_sort_order(actions).select("version_id", "id", "sort_order")

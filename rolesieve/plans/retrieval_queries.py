@@ -9,6 +9,7 @@ from rolesieve.functions import text as X
 from rolesieve.operators import organisation as O
 from rolesieve.operators import policy as P
 from rolesieve.operators import retrieval as R
+from rolesieve.operators.chunking import verify_content, version_content_hash
 from rolesieve.operators.tables import written
 from rolesieve.plans.organisation_queries import AS_OF, GRANTS, closure, granted, tuples
 from rolesieve.plans.text_queries import TOKENS, tokens_sql
@@ -260,13 +261,37 @@ def _(t):
     return R.rerank_rwss(rows, 5).select("query_id", "user_id", "chunk_id", "document_id", "blurred", "restricted", "score", "rwss", F.col("rank").cast("long").alias("rank"))
 
 
+def asker_tiers(t, askers):
+    """Tiers and styles of the askers (user_id) alone."""
+    users = t.assignments.join(askers.select("user_id").distinct(), "user_id", "left_semi")
+    matches = P.scope_match(t.rule_pairs, users, O.expanded_ouis(users, closure(t)))
+    return P.resolve_tiers(t.rules, O.user_clearance(users, t.positions), matches).join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key")
+
+
+def sound_documents(t, few):
+    """Documents of ``few`` whose stored hash holds: of those in review it is an old one, uploaded ones have none yet."""
+    chunks = t.chunk_vectors.join(few, "document_id", "left_semi").join(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").select("document_id", F.sha2("text", 256).alias("chunk_hash"))
+    hashes = version_content_hash(chunks, "document_id").join(t.docs.select("document_id", "status"), "document_id")
+    stored = hashes.select("document_id", F.when(F.col("status") == "review", "old").when(F.col("status") != "uploaded", F.col("content_hash")).alias("stored_hash"))
+    return verify_content(chunks, stored, "document_id").select("document_id").distinct()
+
+
+@query("search_answers")
+def _(t):
+    """Search from the question to what the asker reads, in one call: scope, both engines, fusion, access, picked units, hashes, reranking, threshold, masks."""
+    found = written(scoped_candidates(t))
+    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text").join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("entities", P.extract_entities(F.col("text")))
+    rows = found.join(texts, "chunk_id").withColumn("score", R.display_score(F.col("semantic"), F.col("lexical"))).withColumn("ce", ce())
+    picked = t.text_queries.join(t.assignments.where("oui_id like 'r%'"), "user_id").select("query_id", "oui_id")  # who sits at a region looks there
+    few = found.select("document_id").distinct()
+    shown = R.search_results(rows, t.document_oui, picked, sound_documents(t, few), asker_tiers(t, found), t.rules)
+    return shown.select("query_id", "user_id", "chunk_id", "document_id", "score", "rwss", F.col("rank").cast("long").alias("rank"), "blurred", "restricted", "doc_restricted", "text", F.array_join("blocked", ",").alias("blocked"), F.array_join("required", ",").alias("required"), "decision")
+
+
 @query("apply_policy_search")
 def _(t):
     """What ``search`` returns, under the asker's policy: masked text, label sets, contract, doc_restricted."""
     hits = written(QUERIES["search"](t.spark, t.sf_dir).select("query_id", "user_id", "chunk_id", "document_id", F.col("restricted").alias("doc_restricted")))
     texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rows = hits.join(texts.withColumn("entities", P.extract_entities(F.col("text"))), "chunk_id")
-    users = t.assignments.join(hits.select("user_id").distinct(), "user_id", "left_semi")
-    matches = P.scope_match(t.rule_pairs, users, O.expanded_ouis(users, closure(t)))
-    tiers = P.resolve_tiers(t.rules, O.user_clearance(users, t.positions), matches)
-    return P.apply_policy(rows, tiers.join(t.rules.select("entity_key", F.col("mask_style").alias("style"), F.col("mask_position").alias("position")), "entity_key"), t.rules)
+    return P.apply_policy(rows, asker_tiers(t, hits), t.rules)
