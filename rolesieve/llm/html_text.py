@@ -28,14 +28,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)>|([^<]+|<)", re.S)
+#: Attributes are read in one way only: stretches without = and >, then = with a quoted value where its quote is closed.
+TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|([^<]+|<)", re.S)
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Elements whose content is not text of the page.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
-OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "dialog", "menu", "datalist", "input", "label", "fieldset", "audio", "video"}
+OUTSIDE = {"head", "nav", "header", "footer", "aside", "select", "option", "svg", "canvas", "object", "dialog", "menu", "datalist", "input", "audio", "video", "annotation", "annotation-xml"}
+#: Noise unless a sentence goes on around them, and noise unless they hold the page (server-made pages are one form).
+CONTROLS, FORMS, FIELDS = {"button", "label", "math"}, {"form", "fieldset"}, {"input", "select", "textarea", "button"}
+SENTENCES = {"p", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "caption", "div", "section", "article"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img label".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img label button math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded semantics".split())
 SOFT = {"br", "wbr", "img"}
 #: What an opening tag closes first, as browsers do, up to the named borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -46,10 +51,10 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dial
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "within", "density")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "within", "density", "fields")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise, self.named = tag, parent, noise, False
+        self.tag, self.parent, self.noise, self.named, self.fields = tag, parent, noise, False, False
         #: Whether it is or stands inside an article.
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.children: list[Node | str] = []
@@ -110,6 +115,12 @@ def parse(page: str) -> Node:
     while position <= last and (m := TAGS.search(page, position)):
         position = m.end()
         close, tag, attributes, text = m.groups()
+        if text == "<" and UNFINISHED.match(page, m.start()):  # a tag whose quotes hold its end
+            if page.find("<", position) < 0:
+                return root  # the page ends in it
+            if m := PLAIN.match(page, m.start()):
+                position = m.end()
+                close, tag, attributes, text = m.groups()
         if text:
             at.children.append(text)
             continue
@@ -119,6 +130,11 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if not close:
+            if tag in FIELDS:
+                up = at
+                while up:
+                    up.fields = up.fields or up.tag in FORMS
+                    up = up.parent
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, position)
                 position = end.end() if end else len(page)
@@ -166,6 +182,51 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
+def settle(root: Node) -> None:
+    """Makes noise of forms with fields that hold neither an article nor most of the text, and of controls outside sentences."""
+    nodes = preorder(root)
+    chars: dict[Node, int] = {}
+    holds: dict[Node, bool] = {}
+    for n in reversed(nodes):  # children before parents
+        inner = [c for c in n.children if isinstance(c, Node)]
+        chars[n] = sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) + sum(chars.get(c, 0) for c in inner)
+        holds[n] = n.tag in ("article", "main") or any(holds.get(c, False) for c in inner)
+    for n in nodes:
+        if n.tag in FORMS:
+            n.noise = n.fields and not holds[n] and 2 * chars[n] <= chars[root]
+        elif n.tag in CONTROLS:
+            up = n.parent
+            while up and up.tag in INLINE:
+                up = up.parent
+            n.noise = not (up and up.tag in SENTENCES and any(isinstance(c, str) and c.strip() for c in up.children))
+
+
+def widened(best: Node) -> tuple[Node, set[Node]]:
+    """The least subtree that holds ``best`` and the text of like density beside it, and what of it does not belong.
+
+    One step up is made wherever further text stands at that level: in a marked article any block of at least a third of
+    the density and few links, elsewhere such blocks with a fifth of the characters that ``best`` has.  Outside an article
+    what lies before the first or after the last of these is left out, but for a heading that leads in.
+    """
+    cut: set[Node] = set()
+    level = best
+    while (up := level.parent) and level.tag != "article":
+        like = [c for c in up.children if isinstance(c, Node) and c is not level and not c.noise and not c.named and c.tag not in INLINE and c.chars and 3 * c.link_chars < c.chars and 3 * c.density >= level.density]
+        if like and (up.within or 5 * sum(c.chars for c in like) >= level.chars):
+            if not up.within:
+                peers = [c for c in up.children if isinstance(c, Node)]
+                at = [i for i, c in enumerate(peers) if c is level or c in like]
+                first = at[0]
+                while first and re.fullmatch("h[1-6]", peers[first - 1].tag):
+                    first -= 1
+                cut.update(peers[:first] + peers[at[-1] + 1 :])
+            best = up
+        elif not up.within:
+            break
+        level = up  # in an article, what is alone at one level may have company at the next
+    return best, cut
+
+
 def main_node(root: Node) -> tuple[Node, float]:
     """The subtree of greatest density sum and the threshold of its path."""
     nodes = preorder(root)
@@ -198,10 +259,15 @@ def main_node(root: Node) -> tuple[Node, float]:
             best, most = n, total
     if best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table") and best.parent:
         best = best.parent  # one block is not an article
+    return best, path_threshold(best)
+
+
+def path_threshold(best: Node) -> float:
+    """The least density on the way from the body to ``best``."""
     threshold, up = best.density, best
     while up:
         threshold, up = min(threshold, up.density), up.parent
-    return best, threshold
+    return threshold
 
 
 def extract(page: str) -> str:
@@ -209,9 +275,12 @@ def extract(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
-    best, threshold = main_node(root)
+    settle(root)
+    best, _ = main_node(root)
     if drop_named(root, best):
-        best, threshold = main_node(root)
+        best, _ = main_node(root)
+    best, cut = widened(best)
+    threshold = path_threshold(best)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -230,7 +299,7 @@ def extract(page: str) -> str:
             words.append(x)
         elif x.tag in SOFT:
             words.append(" ")
-        elif not x.noise:
+        elif not x.noise and x not in cut:
             if x is not best and x.tag not in INLINE and x.link_chars and x.density < threshold and 2 * x.link_chars > x.chars:
                 continue
             if x.tag in INLINE:

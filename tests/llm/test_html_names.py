@@ -1,5 +1,9 @@
 """Page layouts whose names mean nothing."""
 
+import time
+
+import pytest
+
 from rolesieve.llm.html_text import extract
 
 
@@ -15,3 +19,41 @@ def test_html_words_in_names_do_not_decide():
     assert extract(f"<article><p>{text}</p><ul class=toc>{links}</ul><p>{text}</p></article>") == f"{text}\n\n{text}"
     comments = "<div class=comments><p>" + "Nice post, thanks. " * 99 + "</p></div>"
     assert extract(f"<body><article><p>{text}</p></article>{comments}</body>") == text  # beside a marked article, of any length
+
+
+TEXT = " ".join(["A sentence of the article that goes on."] * 5)
+P = f"<p>{TEXT}</p>"
+NAV = "<nav>" + "".join(f"<a href=x{i}>Link {i}</a> " for i in range(20)) + "</nav>"
+FOOT = "<div class=footer><p>Copyright</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<body><form action=x><input type=hidden name=v>{NAV}<main>{P * 3}</main>{FOOT}</form></body>", 3),
+        (f"<body><form><input><div>{P * 5}</div></form>{FOOT}</body>", 5),
+        (f"<article>{P * 4}<form><label>Mail</label><input><button>Send</button><p>Sign up</p></form>{P * 2}</article>", 6),
+        (f"<article><fieldset><legend>Box</legend>{P * 3}</fieldset>{P}</article>", 5),
+        (f"<body>{NAV}<article><section>{P * 12}</section><section>{P * 6}</section></article></body>", 18),
+        (f"<body>{NAV}<article><h1>T</h1><section>{P * 12}</section><section>{P * 6}</section><p>End.</p></article></body>", 20),
+        (f"<body>{NAV}<div class=c><div>{P * 6}</div><div class=ad><p>Buy</p></div><div>{P * 6}</div></div>{FOOT}</body>", 12),
+        (f"<body>{NAV}<div><p>Head of the site</p></div><h1>T</h1><div>{P * 6}</div><div class=ad><p>Buy</p></div><div>{P * 6}</div>{FOOT}</body>", 13),
+    ],
+    ids=["form and main", "form and div", "form in article", "fieldset", "sections", "sections and ends", "halves", "halves in body"],
+)
+def test_layouts_keep_the_whole_article(page, blocks):
+    got = extract(page).split("\n\n")
+    assert len(got) == blocks and not {"Copyright", "Buy", "Sign up", "Head of the site"} & set(got) and not any("Link" in b for b in got)
+
+
+def test_controls_inside_a_sentence_stay_inline():
+    page = f"<article><p>Press the <button>Go</button> key and <math><mi>x</mi><mo>=</mo><mn>2</mn></math> please, <label>now</label>.</p>{P}<div><button>Share</button></div></article>"
+    assert extract(page) == f"Press the Go key and x=2 please, now.\n\n{TEXT}"
+
+
+@pytest.mark.parametrize("tail", ['<a x=">" ' + " ".join(f'a{i}="1"' for i in range(200)), "<a " + " " * 100_000 + "b", "<a ='" * 50_000, '<a b="' * 50_001 + ">"], ids=["cut", "spaces", "quotes", "unclosed"])
+def test_broken_tags_take_no_time(tail):
+    began = time.time()
+    got = extract(f"<article>{P * 3}{tail}")
+    assert time.time() - began < 1 and got.startswith(TEXT)
+    assert "a0=" not in got
