@@ -33,8 +33,6 @@ class Hinted:
 
     def span(self, found: dict) -> dict:
         """``found`` (offsets in the new text) with offsets and words of the original."""
-        if not self.after:
-            return found
         start = self.back(int(found["start"]))
         end = max(start, self.back(int(found["end"])))
         return found | {"start": start, "end": end, "text": self.original[start:end]}
