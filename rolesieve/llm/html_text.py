@@ -205,13 +205,14 @@ def widened(best: Node) -> tuple[Node, set[Node]]:
     """The least subtree that holds ``best`` and the text of like density beside it, and what of it does not belong.
 
     One step up is made wherever further text stands at that level: in a marked article any block of at least a third of
-    the density and few links, elsewhere such blocks with a fifth of the characters that ``best`` has.  Outside an article
+    the density, few links and 100 characters (or a twentieth of those that ``best`` has), elsewhere such blocks with a
+    fifth of its characters together.  Outside an article
     what lies before the first or after the last of these is left out, but for a heading that leads in.
     """
     cut: set[Node] = set()
     level = best
     while (up := level.parent) and level.tag != "article":
-        like = [c for c in up.children if isinstance(c, Node) and c is not level and not c.noise and not c.named and c.tag not in INLINE and c.chars and 3 * c.link_chars < c.chars and 3 * c.density >= level.density]
+        like = [c for c in up.children if isinstance(c, Node) and c is not level and not c.noise and not c.named and c.tag not in INLINE and c.chars >= min(100, level.chars / 20) and 3 * c.link_chars < c.chars and 3 * c.density >= level.density]
         if like and (up.within or 5 * sum(c.chars for c in like) >= level.chars):
             if not up.within:
                 peers = [c for c in up.children if isinstance(c, Node)]
