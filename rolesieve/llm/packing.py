@@ -2,15 +2,16 @@
 
 A text's ids, closed by an end id, are cut into full sequences and one remainder.
 Remainders of at most a 32nd of a sequence are joined to bundles of a quarter to a half, by
-running sums within salted groups, since the program's rounding to a 128th of a sequence
-would cost them dear; from there on a bundle counts as one remainder.  Only the
-histogram of lengths (at most ``capacity`` numbers, whatever the input) reaches the driver.  There a linear program over patterns, each a multiset of lengths
+running sums within salted groups; from there on a bundle counts as one remainder.  Only the
+histogram of lengths (at most ``capacity`` numbers, whatever the input) reaches the driver.  Lengths are taken as they
+are where there are at most 128; else they are cut to 128 classes, each counted at its longest, such that the tokens
+added by that are the fewest possible.  A linear program over patterns, each a multiset of classes
 that fits in a sequence, is solved by column generation: the duals of the restricted
 program price the lengths, and a knapsack dynamic program finds the pattern of greatest
 worth, until none is worth more than a sequence.  The solution is rounded down, what is
 left is packed by largest fit, and the patterns are handed to remainders by their rank
-among those of the same length.  Ranks come from counts per (length, salt) and a row
-number within each, so no length, however common, has to meet in one task.
+among those of the same class.  Ranks come from counts per (length, salt) and a row
+number within each, so no class, however common, has to meet in one task.
 """
 
 from __future__ import annotations
@@ -137,29 +138,57 @@ def pieces(docs: DataFrame, model: str, capacity: int = 2048, end: int = 1) -> D
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the pattern of lengths within ``capacity`` of greatest worth."""
+    """Unbounded knapsack: the pattern of lengths within ``capacity`` of greatest worth.
+
+    As many states at a time as the shortest length has: none of them rests on another.
+    """
+    step = int(lengths.min())
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    ln, val = lengths[order], values[order]
-    upto = np.searchsorted(ln, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
-        k = upto[c]
-        if k:
-            worth = val[:k] + best[c - ln[:k]]
-            i = int(worth.argmax())
-            if worth[i] > best[c] + 1e-12:
-                best[c], last[c] = worth[i], i
+    padded = np.concatenate([np.full(int(lengths.max()), -np.inf), best])  # states below 0 are worth nothing at all
+    shift = int(lengths.max())
+    for lo in range(step, capacity + 1, step):
+        hi = min(capacity + 1, lo + step)
+        worth = values[:, None] + padded[shift + np.arange(lo, hi)[None, :] - lengths[:, None]]
+        i = worth.argmax(0)
+        found = worth[i, np.arange(hi - lo)]
+        upto = np.maximum.accumulate(np.concatenate([[best[lo - 1]], found]))
+        new = found > upto[:-1] + 1e-12
+        best[lo:hi], last[lo:hi] = upto[1:], np.where(new, i, -1)
+        padded[shift + lo : shift + hi] = best[lo:hi]
     pattern, c = np.zeros(len(lengths), int), capacity
     while c > 0:
         if last[c] < 0:
             c -= 1
         else:
-            pattern[order[last[c]]] += 1
-            c -= int(ln[last[c]])
+            pattern[last[c]] += 1
+            c -= int(lengths[last[c]])
     return best[capacity], pattern
 
 
+def classes_of(lengths: np.ndarray, demand: np.ndarray, most: int) -> np.ndarray:
+    """The class of each of the ascending ``lengths``, named by its longest: ``most`` at most, with the fewest tokens added."""
+    n = len(lengths)
+    if n <= most:
+        return lengths.copy()
+    count, tokens = np.cumsum(demand, dtype=float), np.cumsum(demand * lengths, dtype=float)
+    before = np.concatenate([[0], count[:-1]]), np.concatenate([[0], tokens[:-1]])
+    # added[i, j]: lengths i to j as one class
+    added = lengths[None, :] * (count[None, :] - before[0][:, None]) - (tokens[None, :] - before[1][:, None])
+    added[np.tril_indices(n, -1)] = np.inf
+    least, starts = added[0].copy(), [np.zeros(n, int)]
+    for _ in range(most - 1):
+        option = np.concatenate([[0], least[:-1]])[:, None] + added
+        starts.append(option.argmin(0))
+        least = option[starts[-1], np.arange(n)]
+    out, j = np.empty(n, lengths.dtype), n - 1
+    for start in reversed(starts):
+        if j < 0:
+            break
+        out[start[j] : j + 1] = lengths[j]
+        j = int(start[j]) - 1
+    return out
+
+
 def largest_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """Fill one sequence after another with the largest lengths that still fit; equal fillings are made together."""
     left, out = demand.astype(np.int64).copy(), []
@@ -177,16 +206,16 @@ def largest_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[
     return out
 
 
-def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, grain: int = 16, tolerance: float = 1.5e-3) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-    """[(uses, pattern)] that meet the demand of each class exactly, and the classes.
+def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, most: int = 128, tolerance: float = 1.5e-3) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """[(uses, pattern)] that meet the demand of each class exactly, the classes, and the class of each of the ascending ``lengths``.
 
-    The program's rows are the lengths rounded up to ``grain``.  It ends when the bound
-    that the duals give (Farley's) shows it within ``tolerance`` of the optimum.
+    The program has a row for each class (``classes_of``).  It ends when the bound that the duals give
+    (Farley's) shows it within ``tolerance`` of the optimum over these classes.
     """
-    cls = -(-lengths // grain)
-    classes, at = np.unique(cls, return_inverse=True)
+    of = classes_of(lengths, demand, most)
+    classes, at = np.unique(of, return_inverse=True)
     need = np.bincount(at, weights=demand).astype(float)
-    cap, m = capacity // grain, len(classes)
+    cap, m = capacity, len(classes)
     basis = np.diag([cap // int(c) for c in classes]).astype(float)
     inverse, bound = np.linalg.inv(basis), 0.0
     for k in range(rounds):
@@ -216,21 +245,17 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
         left += p
     chosen = [(u, p) for u, p in chosen if u]
     chosen += largest_fit(classes, left, cap)
-    return chosen, classes
-
-
-def grain_of(capacity: int) -> int:
-    return max(1, capacity // 128)
+    return chosen, classes, of
 
 
 def bundled(short: DataFrame, capacity: int) -> DataFrame:
     """Adds salt, bundle and at: runs of short remainders of a half, three eighths or a quarter of a sequence by salt, and each one's place in its run.
 
     A run starts wherever the running sum of its salt passes the next multiple of that width
-    less half a grain, so that runs, rounded up, fill a sequence among themselves; three
+    less a 256th of a sequence, so that runs fill a sequence among themselves; three
     widths leave the program room to fill up longer remainders.
     """
-    widths = F.array(*(F.lit(max(1, capacity * k // 8 - grain_of(capacity) // 2)) for k in (4, 3, 2)))
+    widths = F.array(*(F.lit(max(1, capacity * k // 8 - capacity // 256)) for k in (4, 3, 2)))
     salted = short.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(2 * partitions(short.sparkSession))))
     order = Window.partitionBy("salt").orderBy("doc_id", "start", "length", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("length").over(order), F.lit(0))
@@ -243,9 +268,9 @@ def assign(remainders: DataFrame, capacity: int) -> DataFrame:
     hist = remainders.groupBy("length").count().toPandas()  # at most ``capacity`` rows
     if hist.empty:
         return remainders.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    grain = grain_of(capacity)
+    hist = hist.sort_values("length")
     lengths, demand = hist["length"].to_numpy(), hist["count"].to_numpy()
-    plan, classes = cutting_stock(lengths, demand, capacity, grain=grain)
+    plan, classes, of = cutting_stock(lengths, demand, capacity)
     # slots of a class in the order of ranks: (first rank, uses, copies a use, first sequence)
     slots, sequence, taken = [], 0, dict.fromkeys(classes.tolist(), 0)
     for uses, pattern in plan:
@@ -255,7 +280,8 @@ def assign(remainders: DataFrame, capacity: int) -> DataFrame:
             taken[c] += uses * copies
         sequence += uses
     table = spark.createDataFrame(pd.DataFrame(slots, columns=["cls", "first", "n", "copies", "sequence"]))  # bounded by the histogram
-    ranked = rank_within(remainders.withColumn("cls", F.ceil(F.col("length") / grain)), "cls")
+    known = spark.createDataFrame(pd.DataFrame({"length": lengths, "cls": of}))
+    ranked = rank_within(remainders.join(F.broadcast(known), "length"), "cls")
     placed = ranked.join(F.broadcast(table), (ranked.cls == table.cls) & (ranked["rank"] >= table["first"]) & (ranked["rank"] < table["first"] + table["n"]))
     placed = placed.withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("copies")))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import re
 import time
 import zlib
@@ -389,27 +390,55 @@ def test_tokens_and_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("name", ["one", "seventeen", "short", "mixed"])
+@pytest.mark.parametrize("name", ["one", "seventeen", "short", "mixed", "65", "682", "halves", "narrow"])
 def test_packing_of_short_documents_is_tight(spark, name, monkeypatch):
     rng = np.random.default_rng(6)
-    n = {"one": np.ones(80_000, int), "seventeen": np.full(20_480, 17), "short": rng.integers(2, 60, 20_000), "mixed": np.r_[rng.integers(1, 60, 20_000), rng.integers(60, 2049, 400)]}[name]
+    n = {"one": np.ones(80_000, int), "seventeen": np.full(20_480, 17), "short": rng.integers(2, 60, 20_000), "mixed": np.r_[rng.integers(1, 60, 20_000), rng.integers(60, 2049, 400)], "65": np.full(2000, 65), "682": np.full(3000, 682), "halves": np.r_[np.full(1000, 1025), np.full(1000, 1023)], "narrow": rng.integers(65, 81, 3000)}[name]
     monkeypatch.setattr(packing, "pieces", lambda docs, *_: docs)
     df = spark.createDataFrame([(i, 0, int(k), 1, int(k)) for i, k in enumerate(n)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     rows = packing.pack_documents(df, "").toPandas().sort_values(["sequence_id", "offset"])
     end = rows["offset"] + rows["length"]
     assert sorted(rows["doc_id"]) == list(range(len(n))) and (end <= 2048).all()
     assert (rows["offset"] == end.shift().where(rows["sequence_id"] == rows["sequence_id"].shift(), 0)).all()
-    assert rows["sequence_id"].nunique() <= 1.02 * n.sum() / 2048 + 1
+    least = {"65": 65, "682": 1000, "halves": 1000}.get(name, n.sum() / 2048)
+    assert rows["sequence_id"].nunique() <= 1.02 * least + 1
 
 
 def test_cutting_stock_is_near_its_bound():
     rng = np.random.default_rng(3)
     lengths, demand = np.unique(np.minimum(2047, rng.lognormal(6.2, 0.8, 3000).astype(int) + 1), return_counts=True)
-    plan, classes = packing.cutting_stock(lengths, demand * 20, 2048)
+    plan, classes, of = packing.cutting_stock(lengths, demand * 20, 2048)
     made = sum(u * p for u, p in plan)
-    assert (made == np.bincount(np.unique(-(-lengths // 16), return_inverse=True)[1], weights=demand * 20)).all()
-    assert all((p * classes).sum() <= 128 for _, p in plan)
-    assert sum(u for u, _ in plan) <= 1.03 * (lengths * demand * 20).sum() / 2048
+    assert len(classes) <= 128 and (of >= lengths).all() and (made == np.bincount(np.unique(of, return_inverse=True)[1], weights=demand * 20)).all()
+    assert all((p * classes).sum() <= 2048 for _, p in plan)
+    assert sum(u for u, _ in plan) <= 1.015 * (lengths * demand * 20).sum() / 2048
+
+
+def test_cutting_stock_on_every_uniform_length():
+    for n in range(1, 2048):
+        plan, _, _ = packing.cutting_stock(np.array([n]), np.array([10_007]), 2048)
+        assert sum(u for u, _ in plan) == -(-10_007 // (2048 // n))
+
+
+def test_cutting_stock_on_two_lengths_and_narrow_mixes():
+    used = lambda lengths, demand: sum(u for u, _ in packing.cutting_stock(np.array(lengths), np.array(demand), 2048)[0])
+    assert used([1023, 1025], [1000, 1000]) == 1000 and used([682], [3000]) == 1000
+    assert used([129], [2000]) == 134 and used([65], [2000]) == 65
+    rng = np.random.default_rng(5)
+    for low, high in ((65, 80), (65, 400), (300, 340), (900, 1100)):
+        lengths, demand = np.unique(rng.integers(low, high + 1, 4000), return_counts=True)
+        plan, classes, of = packing.cutting_stock(lengths, demand, 2048)
+        assert sum(u for u, _ in plan) <= 1.02 * max((lengths * demand).sum() / 2048, demand.sum() / (2048 // low)) + 1
+
+
+def test_classes_add_the_fewest_tokens():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 60), 9, replace=False))
+        demand = rng.integers(1, 50, 9)
+        got = packing.classes_of(lengths, demand, 3)
+        best = min(sum(int(d) * (int(min(c for c in ends if c >= n)) - int(n)) for n, d in zip(lengths, demand)) for ends in ([*p, lengths[-1]] for p in itertools.combinations(lengths[:-1], 2)))
+        assert len(set(got)) <= 3 and ((got - lengths) * demand).sum() == best
 
 
 # op8, op10
