@@ -83,14 +83,14 @@ HEADING = (
     r"^(?:\s*(?:chương|phần|mục|section|chapter)\s+[\dIVXivx]+[.:]\s*.+|\s*(?:Điều|điều)\s+\d+[.:]\s*.+"
     rf"|\s*\d+[.)]\s+[{_UPPER}].{{3,80}}$|\s*[{_UPPER}]{{4,}}(?:\s+[{_UPPER}]+)*\s*$)"
 )
-PAGE_HEADER_LINE = r"^.{0,150}?(CÔNG TY TNHH TMGROUP\s*\|\s*Quy định|Mã tài liệu|Lần ban hành|Ngày hiệu lực).*$"
+PAGE_HEADER_LINE = r"^.{0,150}?(CÔNG TY TNHH [^|\n]{1,60}\|\s*Quy định|Mã tài liệu|Lần ban hành|Ngày hiệu lực).*$"
 PAGE_HEADER = r"CÔNG TY TNHH|Mã tài liệu|Lần ban hành|Ngày hiệu lực"
 CONNECTORS = [",", "và", "hoặc", "của", "theo", "để", "trong", "khi", "là", "các", "được", "có", "về", "với", "tại", "cho", "từ", "như", "này"]
 
 # Patterns that place a text on the sensitivity scale.
 SENSITIVITY = {
     4: [
-        r"hồ\s+sơ\s+nhân\s+viên", r"TMG-EMP-\d+", r"mức\s+lương\s+cơ\s+bản", r"tổng\s+thu\s+nhập", r"lịch\s+sử\s+kỷ\s+luật", r"đánh\s+giá\s+nhân\s+viên", r"người\s+liên\s+hệ\s+khẩn\s+cấp",
+        r"hồ\s+sơ\s+nhân\s+viên", r"\b[A-Z]{2,6}-EMP-\d+", r"mức\s+lương\s+cơ\s+bản", r"tổng\s+thu\s+nhập", r"lịch\s+sử\s+kỷ\s+luật", r"đánh\s+giá\s+nhân\s+viên", r"người\s+liên\s+hệ\s+khẩn\s+cấp",
         r"bảng\s+lương", r"thông\s+tin\s+tài\s+khoản\s+ngân\s+hàng", r"\d{1,3}(?:[.,]\d{3})+\s*(?:VND|đồng)", r"số\s+cccd", r"địa\s+chỉ\s+thường\s+trú", r"chỗ\s+ở\s+hiện\s+tại",
     ],
     3: [
@@ -260,3 +260,21 @@ GROUP_NAMES = {
     "security": "Bảo mật", "hr_financial": "Nhân sự & Tài chính", "financial": "Tài chính", "customer": "Khách hàng",
     "strategy": "Chiến lược", "legal": "Pháp lý", "pii": "Thông tin cá nhân", "general": "Chung",
 }
+
+# Provinces that end an address, and words one of which must stand before.
+PROVINCES = (
+    r"(?:Hà\s*Nội|TP\.?\s*Hồ\s*Chí\s*Minh|Thành\s*phố\s*Hồ\s*Chí\s*Minh|Hồ\s*Chí\s*Minh|TP\.?\s*HCM|TPHCM|"
+    r"Hải\s*Phòng|Đà\s*Nẵng|Cần\s*Thơ|An\s*Giang|Bà\s*Rịa[\s\-]*Vũng\s*Tàu|Bạc\s*Liêu|Bắc\s*Giang|"
+    r"Bắc\s*Kạn|Bắc\s*Ninh|Bến\s*Tre|Bình\s*Định|Bình\s*Dương|Bình\s*Phước|Bình\s*Thuận|"
+    r"Cà\s*Mau|Cao\s*Bằng|Đắk\s*Lắk|Đắk\s*Nông|Điện\s*Biên|Đồng\s*Nai|Đồng\s*Tháp|Gia\s*Lai|"
+    r"Hà\s*Giang|Hà\s*Nam|Hà\s*Tĩnh|Hải\s*Dương|Hậu\s*Giang|Hòa\s*Bình|Hưng\s*Yên|"
+    r"Khánh\s*Hòa|Kiên\s*Giang|Kon\s*Tum|Lai\s*Châu|Lâm\s*Đồng|Lạng\s*Sơn|Lào\s*Cai|"
+    r"Long\s*An|Nam\s*Định|Nghệ\s*An|Ninh\s*Bình|Ninh\s*Thuận|Phú\s*Thọ|Phú\s*Yên|"
+    r"Quảng\s*Bình|Quảng\s*Nam|Quảng\s*Ngãi|Quảng\s*Ninh|Quảng\s*Trị|Sóc\s*Trăng|"
+    r"Sơn\s*La|Tây\s*Ninh|Thái\s*Bình|Thái\s*Nguyên|Thanh\s*Hóa|Thừa\s*Thiên[\s\-]*Huế|"
+    r"Tiền\s*Giang|Trà\s*Vinh|Tuyên\s*Quang|Vĩnh\s*Long|Vĩnh\s*Phúc|Yên\s*Bái)"
+)
+STREET_WORDS = (
+    r"(?:Số\s*nhà|Số\s*\d|đường|phố|ngõ|hẻm|ngách|kiệt|thôn|xóm|ấp|tổ\s*\d|"
+    r"khu\s*phố|căn\s*hộ|chung\s*cư|tòa\s*nhà|Phường|Xã|Thị\s*trấn|Quận|Huyện|Thị\s*xã)"
+)

@@ -142,19 +142,13 @@ def _(t):
 _tail = rx(K.QUESTION_TAIL)
 
 
-@query("trim_question", rf"""WITH x AS (SELECT conv_id, turn, concat(substr(text, 1, 60), CASE turn % 3 WHEN 0 THEN ' là gì?' WHEN 1 THEN '??' ELSE '' END) AS q FROM conversations),
+@query("trim_question", rf"""WITH x AS (SELECT conv_id, turn, concat(text, CASE turn % 3 WHEN 0 THEN ' là gì?' WHEN 1 THEN '??' ELSE '' END) AS q FROM conversations),
 y AS (SELECT *, trim(rtrim(trim(regexp_replace(q, '{_tail}', '', 'i')), '?')) AS cut FROM x) SELECT conv_id, turn, CASE WHEN cut <> '' THEN cut ELSE q END AS q FROM y""")
 def _(t):
-    q = F.concat(F.substring("text", 1, 60), F.when(F.col("turn") % 3 == 0, " là gì?").when(F.col("turn") % 3 == 1, "??").otherwise(""))
+    q = F.concat("text", F.when(F.col("turn") % 3 == 0, " là gì?").when(F.col("turn") % 3 == 1, "??").otherwise(""))
     return t.conversations.select("conv_id", "turn", X.trim_question(q).alias("q"))
 
 
-@query("trim_question_whole")
-def _(t):
-    """``trim_question`` of the whole of each user's text, as it stands."""
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", X.trim_question(F.col("text")).alias("q"))
-
-
 @query("strip_heading_prefix", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE text END AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.strip_heading_prefix(F.col("text"), F.when(F.col("doc_id") % 3 > 0, "heading")).alias("text"))

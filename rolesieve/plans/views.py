@@ -21,7 +21,7 @@ VIEWS = {
     "messages": "SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role, text AS content, CASE WHEN role = 'assistant' THEN max(CASE WHEN role = 'user' THEN conv_id * 1000 + turn END) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent_message_id, CASE WHEN role = 'assistant' THEN CASE (conv_id + turn) % 7 WHEN 0 THEN 'streaming' WHEN 1 THEN 'error' WHEN 2 THEN 'no_answer' ELSE 'success' END END AS status FROM conversations",
     "jobs": "SELECT o_orderkey AS job_id, concat('ingest:', o_orderkey % 400) AS idempotency_key, o_orderkey % 200 AS document_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders",
     "traces": "SELECT event_id AS trace_id, user_id, ts AS created_at, value AS total_ms, props AS timings_json FROM events",
-    "queries": "SELECT vec_id AS query_id, vec_id % 150 AS user_id, embedding FROM embeddings WHERE vec_id % 50 = 0",
+    "queries": "SELECT vec_id AS query_id, vec_id % 150 AS user_id, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "text_queries": "SELECT item_id AS query_id, item_id % 150 AS user_id, text FROM benchmark",
     "emails": "SELECT page_id AS message_id, page_id % 150 AS user_id, url AS subject, html AS body_html, page_id % 3 = 0 AS synced FROM pages",
     "chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 200 AS document_id, 1 + vec_id % 5 AS chunk_sensitivity, embedding FROM embeddings",

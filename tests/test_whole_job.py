@@ -96,8 +96,9 @@ def test_policy_of_all_pairs_of_user_and_document(spark):
 
 def test_trim_question_reads_the_whole_text(spark, tmp_path):
     long = "Thời hạn nộp báo cáo tài chính hằng năm của công ty chúng tôi theo quy định hiện hành"
-    spark.createDataFrame([(1, 0, "user", long + " là gì?"), (2, 0, "user", long)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert [r["q"] for r in QUERIES["trim_question_whole"](spark, str(tmp_path)).collect()] == [long, long]
+    rows = [(1, 2, "user", long + " là gì?"), (2, 2, "user", long), (3, 0, "user", long), (4, 1, "user", long)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["q"] for r in QUERIES["trim_question"](spark, str(tmp_path)).collect()] == [long] * 4
 
 
 def test_limits_are_the_references(spark, tmp_path):
