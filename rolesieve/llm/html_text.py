@@ -37,7 +37,7 @@ UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "select", "option", "svg", "canvas", "object", "dialog", "menu", "datalist", "input", "audio", "video", "annotation", "annotation-xml"}
 #: Noise unless a sentence goes on around them, and noise unless they hold the page (server-made pages are one form).
-CONTROLS, FORMS, FIELDS = {"button", "label", "math"}, {"form", "fieldset"}, {"input", "select", "textarea", "button"}
+CONTROLS, FORMS = {"button", "label", "math"}, {"form", "fieldset"}
 SENTENCES = {"p", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "caption", "div", "section", "article"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img label button math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded semantics".split())
@@ -51,10 +51,10 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dial
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "within", "density", "fields")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "named", "within", "density")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise, self.named, self.fields = tag, parent, noise, False, False
+        self.tag, self.parent, self.noise, self.named = tag, parent, noise, False
         #: Whether it is or stands inside an article.
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.children: list[Node | str] = []
@@ -130,11 +130,6 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if not close:
-            if tag in FIELDS:
-                up = at
-                while up:
-                    up.fields = up.fields or up.tag in FORMS
-                    up = up.parent
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, position)
                 position = end.end() if end else len(page)
@@ -183,7 +178,7 @@ def preorder(root: Node) -> list[Node]:
 
 
 def settle(root: Node) -> None:
-    """Makes noise of forms with fields that hold neither an article nor most of the text, and of controls outside sentences."""
+    """Makes noise of forms that hold neither an article nor most of the text, and of controls outside sentences."""
     nodes = preorder(root)
     chars: dict[Node, int] = {}
     holds: dict[Node, bool] = {}
@@ -193,7 +188,7 @@ def settle(root: Node) -> None:
         holds[n] = n.tag in ("article", "main") or any(holds.get(c, False) for c in inner)
     for n in nodes:
         if n.tag in FORMS:
-            n.noise = n.fields and not holds[n] and 2 * chars[n] <= chars[root]
+            n.noise = not holds[n] and 2 * chars[n] <= chars[root]
         elif n.tag in CONTROLS:
             up = n.parent
             while up and up.tag in INLINE:
