@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,69 +11,70 @@ from rolesieve import constants as K
 from rolesieve.functions import text as X
 from rolesieve.operators.tables import written
 
-#: Questions ranked by one pass over the chunks: what a task holds of them is bounded.
+#: Questions of one task.
 QUERY_BLOCK = 2000
 #: Chunks of one matrix product.
 CHUNK_BLOCK = 2048
-NEAREST = "query_id long, chunk_id long, distance double"
+#: Vector components, or words, of the chunks of one task.
+TASK_SIZE = 4_000_000
+#: Grants of one task, and scopes added up in one step.
+MEMBERS = 2_000_000
+
 
+def _meet(asking: DataFrame, told: DataFrame, weight: Column, block: int, run, schema: str) -> DataFrame:
+    """Rows of ``run(questions, chunks)`` over all pairs of a block of questions and a block of chunks of one scope.
+
+    Questions go to blocks of about ``block`` rows, chunks to blocks of about ``TASK_SIZE`` of
+    ``weight``, so that neither a scope nor a set of questions of any size is one task's load.
+    Both sides have a ``scope``; chunks have chunk_id, questions query_id.
+    """
+    blocks = lambda rows, of, size, name: rows.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.sum(of) / size)).cast("int").alias(name))
+    sizes = written(blocks(asking, F.lit(1), block, "asks").join(blocks(told, weight, TASK_SIZE, "tells"), "scope"))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = asking.join(sizes, "scope").select(*asking.columns, place("query_id", "asks").alias("ask"), every("tells").alias("tell"))
+    told = told.join(sizes, "scope").select(*told.columns, every("asks").alias("ask"), place("chunk_id", "tells").alias("tell"))
+    key = ["scope", "ask", "tell"]
+    return asking.groupBy(*key).cogroup(told.groupBy(*key)).applyInPandas(run, schema)
 
-def blocks_of(rows: DataFrame, size: int):
-    """Lists of at most ``size`` rows; the driver holds one at a time."""
-    rest = rows.toLocalIterator()
-    while block := list(islice(rest, size)):
-        yield block
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.array(rows.tolist(), np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, members: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest chunks by cosine, by matrix products.
 
-    The chunks are read once for each block of questions; each task keeps k candidates a question
-    before anything is shuffled.  With ``members`` (scope, user_id) the chunks have a scope, the
-    questions a user_id, and a question is asked of the scopes of its user alone; the scopes of a
-    chunk that is in several must have no user in common.
+    Blocks of questions meet blocks of chunks in tasks of bounded size, each of which keeps k
+    candidates a question.  With ``members`` (scope, user_id) the chunks have a scope, the questions
+    a user_id, and a question meets the chunks of its user's scopes alone; the scopes of a chunk
+    that is in several must have no user in common.  Null and empty vectors take no part.
     """
-    found = []
-    for rows in blocks_of(queries.select("query_id", "embedding", *(["user_id"] if members else [])), block):
-        open_to = None
-        if members:
-            at: dict = {}
-            for i, r in enumerate(rows):
-                at.setdefault(r["user_id"], []).append(i)
-            askers = chunks.sparkSession.createDataFrame([(u,) for u in at if u is not None], "user_id long")
-            open_to = {}
-            for r in members.join(F.broadcast(askers), "user_id").select("scope", "user_id").distinct().toLocalIterator():
-                open_to.setdefault(r["scope"], np.zeros(len(rows), bool))[at[r["user_id"]]] = True
-        found.append(_nearest(chunks, rows, k, open_to))
-    none = chunks.sparkSession.createDataFrame([], NEAREST)
-    return top(reduce(DataFrame.unionAll, found, none), ["query_id"], [F.round("distance", 9), "chunk_id"], k)
-
-
-def _nearest(chunks: DataFrame, rows: list, k: int, open_to: dict | None = None) -> DataFrame:
-    """The k best chunks of each task for a block of questions; ``open_to``: which of them may see a scope."""
-    ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    nobody = np.zeros(len(rows), bool)
-
-    def run(batches):
-        distance, chunk = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-        for pdf in batches:
-            for lo in range(0, len(pdf), CHUNK_BLOCK):
-                part = pdf.iloc[lo : lo + CHUNK_BLOCK]
-                m = np.array(part["embedding"].tolist(), np.float64)
-                d = 1 - q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                if open_to is not None:
-                    d[~np.stack([open_to.get(x, nobody) for x in part["scope"]], axis=1)] = np.inf
-                distance = np.hstack([distance, d])
-                chunk = np.hstack([chunk, np.broadcast_to(part["chunk_id"].to_numpy(), d.shape)])
-                best = np.lexsort((chunk, np.round(distance, 9)), axis=1)[:, :k]
-                distance, chunk = np.take_along_axis(distance, best, 1), np.take_along_axis(chunk, best, 1)
-        seen = np.isfinite(distance)
-        if seen.any():
-            yield pd.DataFrame({"query_id": np.repeat(ids, seen.sum(axis=1)), "chunk_id": chunk[seen], "distance": distance[seen]})
-
-    return chunks.select("chunk_id", "embedding", *(["scope"] if open_to is not None else [])).mapInPandas(run, NEAREST)
+    usable = "embedding is not null and size(embedding) > 0"
+    asking = written(queries.where(usable).select("query_id", "embedding", *(["user_id"] if members else [])))
+    if members:
+        asking = asking.join(members.select("scope", "user_id").distinct(), "user_id").drop("user_id")
+        told = chunks.where(usable).select("chunk_id", "embedding", "scope")
+    else:
+        asking = asking.withColumn("scope", F.lit(0))
+        told = chunks.where(usable).select("chunk_id", "embedding", F.lit(0).alias("scope"))
+
+    def run(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(chunk):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
+        q, of = _unit(asked["embedding"]), chunk["chunk_id"].to_numpy()
+        distance, best = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for lo in range(0, len(of), CHUNK_BLOCK):
+            d = 1 - q @ _unit(chunk["embedding"].iloc[lo : lo + CHUNK_BLOCK]).T
+            distance = np.hstack([distance, d])
+            best = np.hstack([best, np.broadcast_to(of[lo : lo + CHUNK_BLOCK], d.shape)])
+            at = np.lexsort((best, np.round(distance, 9)), axis=1)[:, :k]
+            distance, best = np.take_along_axis(distance, at, 1), np.take_along_axis(best, at, 1)
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "chunk_id": best.ravel(), "distance": distance.ravel()})
+
+    found = _meet(asking, told, F.size("embedding"), block, run, "query_id long, chunk_id long, distance double")
+    return top(found, ["query_id"], [F.round("distance", 9), "chunk_id"], k)
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -114,56 +112,74 @@ def bm25(post: DataFrame, query_tokens: DataFrame, key: str = "chunk_id") -> Dat
 RAW_IDF = "user_id long, token string, raw double, n long"
 
 
-def _raw_idf(by_token: DataFrame, members: DataFrame, users: list) -> DataFrame:
-    """For a block of users: the raw idf of each asked token, and by null token the sum and number over all tokens of each task."""
-    ids, n = np.array([r["user_id"] for r in users], np.int64), np.array([r["n"] for r in users], np.float64)
-    at = {int(u): i for i, u in enumerate(ids)}
-    block = by_token.sparkSession.createDataFrame([(u,) for u in at], "user_id long")
-    pairs = [(r["scope"], at[r["user_id"]]) for r in members.join(F.broadcast(block), "user_id").toLocalIterator()]
-    row = {s: i for i, s in enumerate(sorted({s for s, _ in pairs}))}
-    sees = np.zeros((len(row), len(ids)), np.float32)
-    for scope, u in pairs:
-        sees[row[scope], u] = 1
-
-    def run(batches):
-        total, number = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                counts = np.zeros((len(part), len(row)))
-                for i, (scopes, dfs) in enumerate(zip(part["scopes"], part["dfs"])):
-                    for scope, df in zip(scopes, dfs):
-                        if scope in row:
-                            counts[i, row[scope]] = df
-                df = counts @ sees
-                has = df > 0
-                raw = np.where(has, np.log(n - df + 0.5) - np.log(df + 0.5), 0)
-                total += raw.sum(axis=0)
-                number += has.sum(axis=0)
-                i, u = np.nonzero(has & part["asked"].notna().to_numpy()[:, None])
-                if len(i):
-                    yield pd.DataFrame({"user_id": ids[u], "token": part["token"].to_numpy()[i], "raw": raw[i, u], "n": 1})
-        yield pd.DataFrame({"user_id": ids, "token": None, "raw": total, "n": number})
-
-    return by_token.mapInPandas(run, RAW_IDF)
+def raw_idf(dfs: DataFrame, members: DataFrame, size: DataFrame, asked: DataFrame, block: int = QUERY_BLOCK, step: int = MEMBERS) -> DataFrame:
+    """(user_id, token, raw, n): the raw idf of each asked token by user, and by null token the sum and number over tokens.
+
+    dfs: scope, token, df; members: scope, user_id; size: user_id, n (chunks the user sees);
+    asked: token.  Blocks of users meet blocks of tokens, so that the product of users and
+    tokens exists only as sums within tasks.
+    """
+    users, grants = members.agg(F.count_distinct("user_id"), F.count("*")).first()
+    groups = max(1, -(-users // block), -(-grants // step))
+    cells = max(1, -(-dfs.count() // TASK_SIZE))
+    left = dfs.join(asked.select("token", F.lit(True).alias("asked")).distinct(), "token", "left")
+    left = left.select("scope", "token", "df", "asked", F.pmod(F.xxhash64("token"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("of"))
+    right = members.join(size.select("user_id", "n"), "user_id").select("scope", "user_id", "n", F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int").alias("of"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
+
+    def run(counts: pd.DataFrame, grants: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"user_id": [], "token": [], "raw": [], "n": []}, dtype=object)
+        counts = counts[counts["scope"].isin(grants["scope"])]
+        if not len(counts):
+            return none
+        ids, first, who = np.unique(grants["user_id"].to_numpy(), return_index=True, return_inverse=True)
+        n = grants["n"].to_numpy(np.float64)[first]
+        scopes, scope = np.unique(grants["scope"].to_numpy(), return_inverse=True)
+        by_scope = who[np.argsort(scope, kind="stable")]
+        start = np.searchsorted(np.sort(scope), np.arange(len(scopes) + 1))
+        code, tokens = pd.factorize(counts["token"])
+        order = np.argsort(code, kind="stable")
+        code, df = code[order], counts["df"].to_numpy(np.float64)[order]
+        at = np.searchsorted(scopes, counts["scope"].to_numpy()[order])
+        wanted = np.zeros(len(tokens), bool)
+        wanted[code] = counts["asked"].notna().to_numpy()[order]
+        total, number, out = np.zeros(len(ids)), np.zeros(len(ids), np.int64), []
+        for lo in range(0, len(tokens), 256):
+            few = np.arange(*np.searchsorted(code, [lo, lo + 256]))
+            sums = np.zeros(256 * len(ids))
+            share = np.cumsum(start[at[few] + 1] - start[at[few]]) // step
+            for part in np.split(few, np.flatnonzero(np.diff(share)) + 1):  # a scope's users for each of its counts, some at a time
+                many = start[at[part] + 1] - start[at[part]]
+                user = by_scope[np.arange(many.sum()) + np.repeat(start[at[part]] - np.cumsum(many) + many, many)]
+                sums += np.bincount(np.repeat(code[part] - lo, many) * len(ids) + user, np.repeat(df[part], many), len(sums))
+            sums = sums.reshape(256, -1)
+            has = sums > 0
+            raw = np.where(has, np.log(n - sums + 0.5) - np.log(sums + 0.5), 0)
+            total += raw.sum(axis=0)
+            number += has.sum(axis=0)
+            here = np.zeros(256, bool)
+            here[: len(tokens) - lo] = wanted[lo : lo + 256]
+            i, u = np.nonzero(has & here[:, None])
+            out.append(pd.DataFrame({"user_id": ids[u], "token": np.asarray(tokens, object)[lo + i], "raw": raw[i, u], "n": 1}))
+        return pd.concat([*out, pd.DataFrame({"user_id": ids, "token": np.full(len(ids), None), "raw": total, "n": number})])
+
+    return left.groupBy("of", "cell").cogroup(right.groupBy("of", "cell")).applyInPandas(run, RAW_IDF)
 
 
 def scoped_bm25(post: DataFrame, query_tokens: DataFrame, in_scope: DataFrame, members: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score) of BM25 where each user's corpus is the chunks that user may see.
 
     ``in_scope`` has key, scope; ``members`` scope, user_id; ``query_tokens`` query_id, user_id, token.
-    Counts are made once a scope and added up by user in memory, a block of users at a time, so no chunk
+    Counts are made once a scope and added up by user in blocks (``raw_idf``), so no chunk
     is multiplied by its readers but where it holds a token that one of them asks.
     """
     wanted = query_tokens.groupBy("query_id", "user_id", "token").agg(F.count("*").alias("times"))
-    members = members.join(query_tokens.select("user_id").distinct(), "user_id", "left_semi").distinct()
+    members = written(members.join(query_tokens.select("user_id").distinct(), "user_id", "left_semi").distinct())
     length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
     sizes = in_scope.join(length, key).groupBy("scope").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
     size = sizes.join(members, "scope").groupBy("user_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    dfs = post.join(in_scope, key).groupBy("scope", "token").agg(F.count("*").alias("df"))
-    by_token = dfs.groupBy("token").agg(F.collect_list("scope").alias("scopes"), F.collect_list("df").alias("dfs"))
-    by_token = by_token.join(wanted.select("token", F.lit(True).alias("asked")).distinct(), "token", "left")
-    raw = written(reduce(DataFrame.unionAll, [_raw_idf(by_token, members, rows) for rows in blocks_of(size.select("user_id", "n"), QUERY_BLOCK)], post.sparkSession.createDataFrame([], RAW_IDF)))
+    dfs = written(post.join(in_scope, key).groupBy("scope", "token").agg(F.count("*").alias("df")))
+    raw = written(raw_idf(dfs, members, size, wanted))
     mean = raw.where("token is null").groupBy("user_id").agg((F.sum("raw") / F.sum("n")).alias("mean"))
     idf = wanted.join(raw.drop("n"), ["user_id", "token"]).join(mean, "user_id").join(size.drop("n"), "user_id").select("query_id", "user_id", "token", "times", "avgdl", F.when(F.col("raw") < 0, K.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     hits = post.join(wanted.select("token").distinct(), "token", "left_semi").join(in_scope, key).join(length, key)
@@ -172,31 +188,72 @@ def scoped_bm25(post: DataFrame, query_tokens: DataFrame, in_scope: DataFrame, m
     return seen.groupBy("query_id", key).agg(F.sum(weight * F.col("times")).alias("score")).where("score > 0")
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: text.substr(i, F.lit(n)))
+
+
+def holders(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, chunk_id) of each word (without white space, longer than one) that a chunk's text holds, inside longer ones too.
+
+    A word is looked for in the distinct runs between white space, and there only in runs that have
+    its rarest three letters (both letters of a word of two); words: word; texts: chunk_id, chunk_text.
+    """
+    runs = written(texts.select("chunk_id", F.explode(F.array_distinct(F.split("chunk_text", X.SPACE))).alias("run")).where("length(run) > 1"))
+    letters = words.select("word", F.explode(F.array_distinct(_grams(F.col("word"), 3))).alias("gram"))
+    parts = F.array_union(_grams(F.col("run"), 3), _grams(F.col("run"), 2))
+    found = runs.select("run").distinct().select("run", F.explode(parts).alias("gram")).join(letters.select("gram").distinct(), "gram", "left_semi")
+    found = written(found)
+    often = found.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = letters.join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    inside = rare.join(found, "gram").where(F.contains("run", "word")).select("word", "run")
+    return inside.join(runs, "run").select("word", "chunk_id").distinct()
+
+
 def keyword_f1(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk_id, f1, rank): the k best chunks by F1 of distinct words without accents.
 
     A question looks only at chunks whose text holds its primary word, the longest that is no
     stopword, the first of equals; where no chunk does, at all of them.  Stopwords count in the
-    sets.  chunks: chunk_id, chunk_text; questions: query_id, text.  The chunks are read once for
-    each block of questions and scored where they are; only found pairs move.
+    sets.  chunks: chunk_id, chunk_text; questions: query_id, text.  Primary words find their chunks
+    by joins (``holders``), those of very many chunks in shares; questions whose word is nowhere
+    meet the chunks in blocks that keep ``k`` each.
     """
     asked = questions.withColumn("ws", X.words(F.col("text"))).where(F.size("ws") > 0)
     told = X.without(F.col("ws"))
     longest = F.array_max(F.transform(told, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
-    asked = written(asked.select("query_id", longest["w"].alias("primary"), F.array_distinct(X.words(X.strip_accents(F.col("text")))).alias("qs")))
-    sets = chunks.where("chunk_text <> ''").select("chunk_id", "chunk_text", F.array_distinct(X.words(X.strip_accents(F.col("chunk_text")))).alias("cs"))
-    shared = F.size(F.array_intersect("qs", "cs"))
-    f1 = F.round(2 * shared / (F.size("qs") + F.size("cs")), 6)
-    found = []
-    for rows in blocks_of(asked.select("primary").distinct(), block):
-        held = F.filter(F.array(*(F.lit(r["primary"]) for r in rows)), lambda p: F.contains("chunk_text", p))
-        found.append(sets.select("chunk_id", "cs", F.explode(held).alias("primary")).join(F.broadcast(asked), "primary").select("query_id", "chunk_id", f1.alias("f1")))
-    if not found:
-        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id string, f1 double, rank int")
-    pairs = written(reduce(DataFrame.unionAll, found))
-    lost = asked.join(pairs.select("query_id").distinct(), "query_id", "left_anti")
-    every = [sets.select("chunk_id", "cs", F.explode(F.array(*(F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*map(F.lit, r["qs"])).alias("qs")) for r in rows))).alias("q")).select("chunk_id", "cs", "q.*").select("query_id", "chunk_id", f1.alias("f1")) for rows in blocks_of(lost, block)]
-    return top(reduce(DataFrame.unionAll, every, pairs).where("f1 > 0"), ["query_id"], [F.desc("f1"), "chunk_id"], k)
+    asked = written(asked.select("query_id", longest["w"].alias("word"), F.array_distinct(X.words(X.strip_accents(F.col("text")))).alias("qs")))
+    full = chunks.where("chunk_text <> ''")
+    sets = written(full.select("chunk_id", F.array_distinct(X.words(X.strip_accents(F.col("chunk_text")))).alias("cs")))
+    held = written(holders(asked.select("word").distinct(), full))
+    shares = held.groupBy("word").agg(F.ceil(F.count("*") / 100_000).cast("int").alias("shares"))
+    asking = asked.join(shares, "word").select("query_id", "qs", "word", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = held.join(shares, "word").select("word", "chunk_id", F.pmod(F.xxhash64("chunk_id"), F.col("shares")).cast("int").alias("share"))
+    pairs = dealt.join(sets, "chunk_id").join(asking, ["word", "share"]).select("query_id", "chunk_id", F.size(F.array_intersect("qs", "cs")).alias("shared"), (F.size("qs") + F.size("cs")).alias("both"))
+    lost = asked.join(held.select("word").distinct(), "word", "left_anti").select("query_id", "qs", F.lit(0).alias("scope"))
+
+    def run(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "chunk_id": [], "shared": [], "both": []}, dtype=object)]
+        if len(asked) and len(chunk):
+            chunk = chunk.sort_values("chunk_id", kind="stable", ignore_index=True)
+            size = chunk["cs"].map(len).to_numpy(np.int64)
+            of = np.repeat(np.arange(len(chunk)), size)
+            at = pd.Series(of).groupby(np.concatenate([np.asarray(c, object) for c in chunk["cs"]])).indices
+            for q, words in zip(asked["query_id"], asked["qs"]):
+                shared = np.zeros(len(chunk), np.int64)
+                for w in words:
+                    if w in at:
+                        shared[of[at[w]]] += 1
+                both = size + len(words)
+                millionths = (4_000_000 * shared + both) // (2 * both)  # rounded half up, as the result is
+                best = np.argsort(-millionths, kind="stable")[:k]
+                best = best[shared[best] > 0]
+                out.append(pd.DataFrame({"query_id": q, "chunk_id": chunk["chunk_id"].to_numpy()[best], "shared": shared[best], "both": both[best]}))
+        return pd.concat(out)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    far = _meet(lost, sets.withColumn("scope", F.lit(0)), F.size("cs"), block, run, f"query_id {kind(asked, 'query_id')}, chunk_id {kind(sets, 'chunk_id')}, shared int, both int")
+    f1 = F.round(2 * F.col("shared") / F.col("both"), 6)
+    return top(pairs.unionByName(far).select("query_id", "chunk_id", f1.alias("f1")).where("f1 > 0"), ["query_id"], [F.desc("f1"), "chunk_id"], k)
 
 
 def merge_subqueries(results: DataFrame) -> DataFrame:
