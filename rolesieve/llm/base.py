@@ -162,6 +162,15 @@ def two_sides(side):
     return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
 
 
+#: Bytes of text whose entries one bucket holds.
+BUCKET = 32_000_000
+
+
+def buckets_of(spark: SparkSession, times: int, batches: int, size: int, each: int = BUCKET) -> int:
+    """Buckets for the entries of ``batches`` batches of about ``size`` bytes: ``times`` the partitions, or as many as keep each bounded."""
+    return min(1 << 24, max(times * partitions(spark), -(-batches * size // each)))
+
+
 def batched(rows: DataFrame, text: str, size: int, hashed) -> tuple[DataFrame, int, int]:
     """Adds ``batch``: rows dealt by a hash column to batches of about ``size`` bytes of ``text``; also the numbers of rows and batches."""
     from pyspark.sql import functions as F

@@ -2,21 +2,25 @@
 
 Both are interpolated bigram models over one vocabulary, that of the whole table:
 
-    p(w | h) = weight * c(h w) / c(h) + (1 - weight) * (c(w) + add) / (N + add * V)
+    p(w | h) = weight * c(h w) / c(h) + (1 - weight) * (r * c(w) + add) / (r * N + add * V)
 
-with the counts c and N of the target documents for one and of all documents for the
-other (an unseen h leaves only the second part, with its whole mass).  Every document
-counts with a start and an end mark.  A document's score is the mean over its tokens
-(end mark included) of target loss minus background loss, in nats: the lower, the more
-like the target.
+with the counts c and N of the target documents for one and of all other documents for the
+other (an unseen h leaves only the second part, with its whole mass).  The two are matched
+in size by weight: r is the smaller of the two N over the model's own, so that both are
+smoothed as models of one size, and no document is left out of the counts (1 where one of
+them has none).  A document never vouches for itself: its own counts are taken off the
+model that it belongs to (off N too, while r stays).  Every document counts with a start
+and an end mark.  A document's score is the mean over its tokens (end mark included) of
+target loss minus background loss, in nats: the lower, the more like the target.
 
 Counts are of 64-bit hashes, whole, and grow with the table.  Batches of documents (a
 number of bytes each) send the counts of their distinct words and bigrams to buckets by
 hash; a bucket adds them up and answers each batch in the order it asked, so that a gram
-however frequent costs one number a batch.  Words are lower-cased and split at ASCII white space.  Null and empty texts have
-the end mark alone; a table without target documents has a uniform target model; an
-empty table gives no rows; rows that share a doc_id are scored each (and stand in one
-batch); further columns are ignored.
+however frequent costs one number a batch.  Buckets grow in number with the bytes of the table.  Words are lower-cased and split at ASCII white space.  Null and empty texts have
+the end mark alone; a model without documents (no target, no background, or only
+the document that is scored) is uniform; an empty table gives no rows; rows that share a
+doc_id are scored each (and stand in one batch), each without its own counts alone; a null
+doc_id is no target; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.llm.base import batched, materialise, partitions
+from rolesieve.llm.base import batched, buckets_of, materialise
 from rolesieve.llm.jaccard_forest import _P, mix, word_hashes
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -57,12 +61,17 @@ class Grams:
             out[np.searchsorted(grams, mix(np.array([START]))[0])] += int((self.context[chosen] == START).sum())
         return out
 
+    def own(self, grams: np.ndarray) -> np.ndarray:
+        """For each token, how often its gram (a number) stands in its document."""
+        _, at, n = np.unique(self.doc * (int(grams.max(initial=0)) + 1) + grams, return_inverse=True, return_counts=True)
+        return n[at]
+
 
 def _asked(grams: np.ndarray, buckets: int):
     """(bucket, places) in the order in which a batch asks and is answered; ``grams`` are sorted."""
-    to = (grams >> np.uint64(48)).astype(np.int64) * buckets >> 16
-    ends = np.searchsorted(to, np.arange(buckets + 1))
-    return [(b, np.arange(ends[b], ends[b + 1])) for b in range(buckets) if ends[b] < ends[b + 1]]
+    to = (grams >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    used, begin = np.unique(to, return_index=True)
+    return [(int(b), np.arange(lo, hi)) for b, lo, hi in zip(used, begin, [*begin[1:], len(to)])]
 
 
 def _steps(grams: np.ndarray) -> bytes:
@@ -103,11 +112,10 @@ def gathered(rows: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
         out = []
         if len(left):
             g = Grams(_texts(left))
-            every = np.ones(len(g.word), bool)
             wanted = left["doc_id"].isin(right["target_id"]).to_numpy()[g.doc]
             for kind in (0, 1):
                 grams = g.kinds[kind]
-                both = g.counts(kind, every), g.counts(kind, wanted)
+                both = g.counts(kind, ~wanted), g.counts(kind, wanted)
                 out += [(b, kind, int(left["batch"].iloc[0]), _steps(grams[at]), *(_pack(c[at]) for c in both)) for b, at in _asked(grams, buckets)]
         return pd.DataFrame(out, columns=["bucket", "kind", "batch", "numbers", "background", "target"])
 
@@ -135,12 +143,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: flo
     rows, n, batches = batched(rows, "text", size, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
     target = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
     target = target.withColumn("target_batch", F.pmod(F.xxhash64("target_id"), F.lit(batches)).cast("long"))
-    buckets = min(1 << 16, 2 * partitions(spark))
+    buckets = buckets_of(spark, 2, batches, size)
     answers = materialise(gathered(rows, target, buckets), "grams")
     sums = answers.where("batch is null and kind = 0").agg(F.sum("distinct"), F.sum("n_background"), F.sum("n_target")).first()
-    ends = n, rows.join(target.select(F.col("target_id").alias("doc_id")), "doc_id", "left_semi").count() if n else 0
+    starts = rows.join(target.select(F.col("target_id").alias("doc_id")), "doc_id", "left_semi").count() if n else 0
     vocabulary = (sums[0] or 1) - 1  # without the start mark
-    totals = tuple(float((s or 0) - e) for s, e in zip(sums[1:], ends))
+    totals = tuple(float((s or 0) - e) for s, e in zip(sums[1:], (n - starts, starts)))
+    matched = tuple(min(totals) / t if min(totals) else 1.0 for t in totals)
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
@@ -148,6 +157,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: flo
             return pd.DataFrame({c: [] for c in [*names, "difference"]})
         g = Grams(_texts(left))
         got = {(b, k): (x, y) for b, k, x, y in zip(right["asked_bucket"], right["kind"], right["background"], right["target"])}
+        mine = left["doc_id"].isin(right["target_id"].dropna()).to_numpy().astype(int)[g.doc]  # the model of each token's document
         counts = []
         for kind in (0, 1):
             c = np.zeros((2, len(g.kinds[kind])))
@@ -158,16 +168,19 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, weight: flo
         word, context = np.searchsorted(g.kinds[0], g.of_word), np.searchsorted(g.kinds[0], g.of_context)
         pair = np.searchsorted(g.kinds[1], g.of_pair)
         tokens = np.bincount(g.doc, minlength=len(left))
+        own = g.own(context), g.own(word), g.own(pair), tokens[g.doc]
         out = {"doc_id": left["doc_id"].to_numpy(), "n_tokens": tokens}
         for row, name in ((1, "target_loss"), (0, "background_loss")):
-            h = counts[0][row][context]
+            h, one, two, size = (c - o * (mine == row) for c, o in zip((counts[0][row][context], counts[0][row][word], counts[1][row][pair], totals[row]), own))
             w = np.where(h > 0, weight, 0.0)
-            single = (counts[0][row][word] + add) / (totals[row] + add * vocabulary)
-            loss = -np.log(w * counts[1][row][pair] / np.maximum(h, 1) + (1 - w) * single)
+            single = (matched[row] * one + add) / (matched[row] * size + add * vocabulary)
+            loss = -np.log(w * two / np.maximum(h, 1) + (1 - w) * single)
             out[name] = np.bincount(g.doc, weights=loss, minlength=len(left)) / tokens
         out = pd.DataFrame(out)
         return out.assign(difference=out["target_loss"] - out["background_loss"])
 
-    told = answers.where("batch is not null").select(F.col("batch").alias("asked"), F.col("bucket").alias("asked_bucket"), "kind", "background", "target")
+    told = answers.where("batch is not null").select(F.col("batch").alias("asked"), F.col("bucket").alias("asked_bucket"), "kind", "background", "target", F.lit(None).cast("long").alias("target_id"))
+    none = F.lit(None)
+    told = told.unionAll(target.select("target_batch", none.cast("int"), none.cast("int"), none.cast("binary"), none.cast("binary"), "target_id"))
     scored = rows.groupBy("batch").cogroup(told.groupBy("asked")).applyInPandas(apply, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
     return scored

@@ -46,17 +46,24 @@ WITH words AS (
   SELECT doc_id, list_concat(list_concat(['<s>'], list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')), ['</s>']) AS w FROM documents),
 marked AS (
   SELECT doc_id, unnest(w[:-2]) AS h, unnest(w[2:]) AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM words),
-pairs AS (SELECT h, w, count(*) AS b, count(*) FILTER (WHERE t) AS t FROM marked GROUP BY ALL),
+own AS (SELECT doc_id, t, h, w, count(*) AS c FROM marked GROUP BY ALL),
+own_h AS (SELECT doc_id, h, sum(c) AS c FROM own GROUP BY ALL), own_w AS (SELECT doc_id, w, sum(c) AS c FROM own GROUP BY ALL), own_n AS (SELECT doc_id, sum(c) AS c FROM own GROUP BY ALL),
+pairs AS (SELECT h, w, coalesce(sum(c) FILTER (WHERE NOT t), 0) AS b, coalesce(sum(c) FILTER (WHERE t), 0) AS t FROM own GROUP BY ALL),
 contexts AS (SELECT h, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY h),
 singles AS (SELECT w, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY w),
-sums AS (SELECT count(*) AS v, sum(b) AS b, sum(t) AS t FROM singles),
+sums AS (SELECT count(*) AS v, sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t, CASE WHEN least(sum(b), sum(t)) > 0 THEN least(sum(b), sum(t))::DOUBLE / sum(b) ELSE 1 END AS rb, CASE WHEN least(sum(b), sum(t)) > 0 THEN least(sum(b), sum(t))::DOUBLE / sum(t) ELSE 1 END AS rt FROM singles),
+rest AS (
+  SELECT o.doc_id, o.c AS times, n.v, n.rt, n.rb,
+    (p.t - CASE WHEN o.t THEN o.c ELSE 0 END)::DOUBLE AS pt, (c.t - CASE WHEN o.t THEN oh.c ELSE 0 END)::DOUBLE AS ct, (s.t - CASE WHEN o.t THEN ow.c ELSE 0 END)::DOUBLE AS st, n.t - CASE WHEN o.t THEN q.c ELSE 0 END AS nt,
+    (p.b - CASE WHEN o.t THEN 0 ELSE o.c END)::DOUBLE AS pb, (c.b - CASE WHEN o.t THEN 0 ELSE oh.c END)::DOUBLE AS cb, (s.b - CASE WHEN o.t THEN 0 ELSE ow.c END)::DOUBLE AS sb, n.b - CASE WHEN o.t THEN 0 ELSE q.c END AS nb
+  FROM own o JOIN own_h oh USING (doc_id, h) JOIN own_w ow USING (doc_id, w) JOIN own_n q USING (doc_id) JOIN pairs p USING (h, w) JOIN contexts c USING (h) JOIN singles s USING (w), sums n),
 losses AS (
-  SELECT h, w,
-    -ln(CASE WHEN c.t > 0 THEN 0.7 * p.t / c.t + (1 - 0.7::DOUBLE) * (s.t + 0.1) / (n.t + 0.1 * n.v) ELSE (s.t + 0.1) / (n.t + 0.1 * n.v) END) AS lt,
-    -ln(0.7 * p.b / c.b + (1 - 0.7::DOUBLE) * (s.b + 0.1) / (n.b + 0.1 * n.v)) AS lb
-  FROM pairs p JOIN contexts c USING (h) JOIN singles s USING (w), sums n)
-SELECT doc_id, count(*) AS n_tokens, round(avg(lt), 6) AS target_loss, round(avg(lb), 6) AS background_loss, round(avg(lt) - avg(lb), 6) AS difference
-FROM marked JOIN losses USING (h, w) GROUP BY doc_id
+  SELECT doc_id, times,
+    -ln(CASE WHEN ct > 0 THEN 0.7::DOUBLE * pt / ct + (1 - 0.7::DOUBLE) * (rt * st + 0.1::DOUBLE) / (rt * nt + 0.1::DOUBLE * v) ELSE (rt * st + 0.1::DOUBLE) / (rt * nt + 0.1::DOUBLE * v) END) AS lt,
+    -ln(CASE WHEN cb > 0 THEN 0.7::DOUBLE * pb / cb + (1 - 0.7::DOUBLE) * (rb * sb + 0.1::DOUBLE) / (rb * nb + 0.1::DOUBLE * v) ELSE (rb * sb + 0.1::DOUBLE) / (rb * nb + 0.1::DOUBLE * v) END) AS lb
+  FROM rest)
+SELECT doc_id, sum(times)::BIGINT AS n_tokens, round(sum(times * lt) / sum(times), 6) AS target_loss, round(sum(times * lb) / sum(times), 6) AS background_loss, round(sum(times * (lt - lb)) / sum(times), 6) AS difference
+FROM losses GROUP BY doc_id
 """
 
 

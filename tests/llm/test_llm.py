@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolesieve.llm import cross_entropy, html_text, jaccard_forest, packing, piece_codec, pivot_index, quality_pu, routed_search, suffix_dedup, toxic_crf
+from rolesieve.llm import base, cross_entropy, html_text, jaccard_forest, packing, piece_codec, pivot_index, quality_pu, routed_search, suffix_dedup, toxic_crf
 from rolesieve.llm.components import connected_components
 from rolesieve.llm.queries import tokenizer_path
 
@@ -174,19 +174,23 @@ def test_cross_entropy(spark, odd, empty):
     got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(odd, target, size=9_000).collect()}
     rows = [(r["doc_id"], ["<s>", *[w for w in re.split("[ \t-\r]+", (r["text"] or "").lower()) if w], "</s>"]) for r in odd.select("doc_id", "text").collect()]
     loss = {}
-    for name, chosen in (("background_loss", [w for _, w in rows]), ("target_loss", [w for d, w in rows if d in (3, 6)])):
-        pair, first, word = defaultdict(int), defaultdict(int), defaultdict(int)
-        for ws in chosen:
-            for h, w in zip(ws, ws[1:]):
-                pair[h, w] += 1
-                first[h] += 1
-                word[w] += 1
-        v, n = len({w for _, ws in rows for w in ws[1:]}), sum(word.values())
+    size = [sum(len(ws) - 1 for d, ws in rows if (d in (3, 6)) == t) for t in (False, True)]
+    v = len({w for _, ws in rows for w in ws[1:]})
+    for name, t in (("background_loss", False), ("target_loss", True)):
+        r = min(size) / size[t]
         for d, ws in rows:
+            pair, first, word = defaultdict(int), defaultdict(int), defaultdict(int)
+            for other, others in rows:
+                if (other in (3, 6)) == t and other != d:
+                    for h, w in zip(others, others[1:]):
+                        pair[h, w] += 1
+                        first[h] += 1
+                        word[w] += 1
+            n = sum(word.values())
             total = 0.0
             for h, w in zip(ws, ws[1:]):
                 k = 0.7 if first[h] else 0.0
-                total -= np.log(k * pair[h, w] / max(1, first[h]) + (1 - k) * (word[w] + 0.1) / (n + 0.1 * v))
+                total -= np.log(k * pair[h, w] / max(1, first[h]) + (1 - k) * (r * word[w] + 0.1) / (r * n + 0.1 * v))
             loss[d, name] = total / (len(ws) - 1)
     for d, ws in rows:
         assert got[d]["n_tokens"] == len(ws) - 1
@@ -195,6 +199,26 @@ def test_cross_entropy(spark, odd, empty):
     assert cross_entropy.cross_entropy_difference(empty, target).count() == 0
 
 
+def test_cross_entropy_of_repeated_ids_and_one_sided_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a c"), (None, "a b"), (3, "a b " * 60_000)], "doc_id long, text string")
+    none = cross_entropy.cross_entropy_difference(docs, spark.createDataFrame([], "doc_id long")).collect()
+    assert len(none) == 5 and all(abs(r["target_loss"] - np.log(4)) < 1e-9 for r in none)  # a, b, c and the end: uniform
+    every = cross_entropy.cross_entropy_difference(docs.where("doc_id = 2"), spark.createDataFrame([(2,)], "doc_id long")).collect()
+    assert [(r["n_tokens"], round(r["difference"], 12)) for r in every] == [(3, 0.0)]  # without itself nothing is left of the target
+    twice = [r["target_loss"] for r in cross_entropy.cross_entropy_difference(docs, spark.createDataFrame([(1,)], "doc_id long")).where("doc_id = 1").collect()]
+    # one of the two stays: p = 0.7 + 0.3 * (1 + 0.1) / (3 + 0.4) for each of its three tokens; r is 1 for the smaller side
+    assert np.allclose(twice, -np.log(0.7 + 0.3 * 1.1 / 3.4))
+
+
+def test_buckets_grow_with_bytes(spark):
+    assert base.buckets_of(spark, 2, 1, 2_000_000) == 2 * base.partitions(spark)
+    assert base.buckets_of(spark, 2, 50_000, 2_000_000) == 3125
+    grams = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
+    for buckets in (1, 7, 200_000):
+        asked = cross_entropy._asked(grams, buckets)
+        assert np.concatenate([at for _, at in asked]).tolist() == list(range(1000)) and all(0 <= b < buckets for b, _ in asked)
+
+
 # op3
 
 
