@@ -25,6 +25,8 @@ doc_id is no target; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,11 +93,13 @@ def _sums(blob: bytes) -> np.ndarray:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """A byte a count; those of 255 and more follow whole."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """A byte a count, those of 255 and more whole after them, in Huffman codes: most counts are 0 or 1."""
+    code = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return code.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()) + code.flush()
 
 
 def _unpack(blob: bytes, n: int) -> np.ndarray:
+    blob = zlib.decompress(blob, -15)
     out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(blob, "<u8", offset=n).astype(np.int64)
     return out
