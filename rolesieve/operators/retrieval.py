@@ -22,19 +22,27 @@ MEMBERS = 2_000_000
 
 
 def _meet(asking: DataFrame, told: DataFrame, weight: Column, block: int, run, schema: str) -> DataFrame:
-    """Rows of ``run(questions, chunks)`` over all pairs of a block of questions and a block of chunks of one scope.
+    """Rows of ``run(questions, chunks)`` over all pairs of a block of questions and a block of chunks, of one scope where they have one.
 
     Questions go to blocks of about ``block`` rows, chunks to blocks of about ``TASK_SIZE`` of
     ``weight``, so that neither a scope nor a set of questions of any size is one task's load.
-    Both sides have a ``scope``; chunks have chunk_id, questions query_id.
+    Chunks have chunk_id, questions query_id; both or neither have a ``scope``.
     """
-    blocks = lambda rows, of, size, name: rows.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.sum(of) / size)).cast("int").alias(name))
-    sizes = written(blocks(asking, F.lit(1), block, "asks").join(blocks(told, weight, TASK_SIZE, "tells"), "scope"))
+    scope = [c for c in asking.columns if c == "scope"]
+    blocks = lambda rows, of, size, name: rows.groupBy(*scope).agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(of), F.lit(0)) / size)).cast("int").alias(name))
+    asks, tells = blocks(asking, F.lit(1), block, "asks"), blocks(told, weight, TASK_SIZE, "tells")
+    kept = [*asking.columns], [*told.columns]
+    if scope:
+        sizes = written(asks.join(tells, "scope"))
+        asking, told = asking.join(sizes, "scope"), told.join(sizes, "scope")
+    else:
+        asks, tells = F.lit(asks.first()[0]), F.lit(tells.first()[0])
+        asking, told = (rows.withColumn("asks", asks).withColumn("tells", tells) for rows in (asking, told))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = asking.join(sizes, "scope").select(*asking.columns, place("query_id", "asks").alias("ask"), every("tells").alias("tell"))
-    told = told.join(sizes, "scope").select(*told.columns, every("asks").alias("ask"), place("chunk_id", "tells").alias("tell"))
-    key = ["scope", "ask", "tell"]
+    asking = asking.select(*kept[0], place("query_id", "asks").alias("ask"), every("tells").alias("tell"))
+    told = told.select(*kept[1], every("asks").alias("ask"), place("chunk_id", "tells").alias("tell"))
+    key = [*scope, "ask", "tell"]
     return asking.groupBy(*key).cogroup(told.groupBy(*key)).applyInPandas(run, schema)
 
 
@@ -53,12 +61,9 @@ def semantic_topk(chunks: DataFrame, queries: DataFrame, k: int, block: int = QU
     """
     usable = "embedding is not null and size(embedding) > 0"
     asking = written(queries.where(usable).select("query_id", "embedding", *(["user_id"] if members else [])))
+    told = chunks.where(usable).select("chunk_id", "embedding", *(["scope"] if members else []))
     if members:
         asking = asking.join(members.select("scope", "user_id").distinct(), "user_id").drop("user_id")
-        told = chunks.where(usable).select("chunk_id", "embedding", "scope")
-    else:
-        asking = asking.withColumn("scope", F.lit(0))
-        told = chunks.where(usable).select("chunk_id", "embedding", F.lit(0).alias("scope"))
 
     def run(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(chunk):
@@ -229,7 +234,7 @@ def keyword_f1(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUE
     asking = asked.join(shares, "word").select("query_id", "qs", "word", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     dealt = held.join(shares, "word").select("word", "chunk_id", F.pmod(F.xxhash64("chunk_id"), F.col("shares")).cast("int").alias("share"))
     pairs = dealt.join(sets, "chunk_id").join(asking, ["word", "share"]).select("query_id", "chunk_id", F.size(F.array_intersect("qs", "cs")).alias("shared"), (F.size("qs") + F.size("cs")).alias("both"))
-    lost = asked.join(held.select("word").distinct(), "word", "left_anti").select("query_id", "qs", F.lit(0).alias("scope"))
+    lost = asked.join(held.select("word").distinct(), "word", "left_anti").select("query_id", "qs")
 
     def run(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "chunk_id": [], "shared": [], "both": []}, dtype=object)]
@@ -251,7 +256,7 @@ def keyword_f1(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUE
         return pd.concat(out)
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    far = _meet(lost, sets.withColumn("scope", F.lit(0)), F.size("cs"), block, run, f"query_id {kind(asked, 'query_id')}, chunk_id {kind(sets, 'chunk_id')}, shared int, both int")
+    far = _meet(lost, sets, F.size("cs"), block, run, f"query_id {kind(asked, 'query_id')}, chunk_id {kind(sets, 'chunk_id')}, shared int, both int")
     f1 = F.round(2 * F.col("shared") / F.col("both"), 6)
     return top(pairs.unionByName(far).select("query_id", "chunk_id", f1.alias("f1")).where("f1 > 0"), ["query_id"], [F.desc("f1"), "chunk_id"], k)
 
