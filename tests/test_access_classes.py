@@ -59,3 +59,13 @@ def test_file_gate(spark):
     seen = seen.join(top, "user_id", "left").join(granted.withColumn("g", F.lit(True)), ["user_id", "document_id"], "left")
     want = seen.where(F.col("top").isNotNull() | (F.col("owner_user_id") == F.col("user_id")) | (F.coalesce("level", "sensitivity") <= F.coalesce("clearance", F.lit(1))) | F.col("g").isNotNull()).select("user_id", "document_id")
     assert rows(got) == rows(want) and {(2, 1), (2, 2), (3, 3)} <= {tuple(r) for r in got.collect()}
+
+
+def test_cleared_chunks_meet_by_classes(spark):
+    requests = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 7), (None, 7), (2, 8)], "user_id long, document_id long")
+    chunks = spark.createDataFrame([(70, 7, 1), (70, 7, 1), (71, 7, 3), (80, 8, 2), (90, None, 1)], "chunk_id long, document_id long, chunk_sensitivity int")
+    clearance = spark.createDataFrame([(1, 1), (2, 3), (None, 5)], "user_id long, clearance int")
+    got = O.cleared_chunks(requests, chunks, clearance)
+    assert sorted(map(tuple, got.collect())) == [(70, 1), (70, 2), (71, 2), (80, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate explode")]
