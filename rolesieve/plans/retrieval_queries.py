@@ -40,8 +40,7 @@ def _(t):
 
 @query("bm25_topk", f"WITH {LINE_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS most FROM bm) SELECT query_id, chunk_id, rank, round(score, 6) AS score, round(1 - score / most, 6) AS distance FROM r WHERE rank <= 20")
 def _(t):
-    found = R.bm25(written(R.postings(t.line_chunks)), asked_tokens(t.text_queries))
-    best = R.top(found, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20)
+    best = R.bm25_topk(t.line_chunks, asked_tokens(t.text_queries), 20)
     most = F.max("score").over(R.Window.partitionBy("query_id"))
     return best.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round(1 - F.col("score") / most, 6).alias("distance"))
 
@@ -80,8 +79,7 @@ def both_tables(t):
 def fused(t):
     chunks, ask = both_tables(t)
     s = R.semantic_topk(chunks, ask, 20).select("query_id", "chunk_id", F.lit("semantic").alias("source"), "rank", R.similarity(F.col("distance")).alias("distance"))
-    lex = R.bm25(written(R.postings(chunks, text="text")), asked_tokens(ask))
-    lex = R.top(lex, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("distance"))
+    lex = R.bm25_topk(chunks, asked_tokens(ask), 20, text="text").select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("distance"))
     return R.rrf_fuse(s.unionAll(lex))
 
 
@@ -181,8 +179,7 @@ def ranked(t, part: str):
     """Both engines' lists of every question, on one scale, as those of two sub-queries or collections."""
     chunks, ask = both_tables(t)
     s = R.semantic_topk(chunks, ask, 20).select("query_id", F.lit(0).alias(part), "rank", "chunk_id", F.round(R.similarity(F.col("distance")), 6).alias("score"))
-    lex = R.bm25(written(R.postings(chunks, text="text")), asked_tokens(ask))
-    lex = R.top(lex, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], 20)
+    lex = R.bm25_topk(chunks, asked_tokens(ask), 20, text="text")
     return s.unionAll(lex.select("query_id", F.lit(1), "rank", "chunk_id", F.round(1 / (1 + F.exp(-F.col("score") / K.BM25_SIGMOID_SCALE)), 6)))
 
 
