@@ -27,6 +27,8 @@ MARK = "▁"
 UNIT = re.compile(MARK + r"*[^\n" + MARK + r"A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ0-9]+|\n|" + MARK + r"*[^\n" + MARK + r"A-Za-zÀ-ɏ0-9]+|" + MARK + "+")
 SAFE = re.compile(MARK + r"*[^" + MARK + r"\n]+|\n|" + MARK + "+")
 WHOLE = re.compile(r"(?s).+")
+#: Characters of a unit whose agenda is a plain list, and the score of a pair that is no piece.
+SHORT, NEVER = 40, float("-inf")
 
 
 class PieceCodec:
@@ -52,6 +54,8 @@ class PieceCodec:
 
     def agenda(self, unit: str) -> list[int]:
         """Ids of one unit."""
+        if len(unit) <= SHORT:
+            return self.spelled_out(self.short_agenda(unit))
         score = self.score
         symbols: list[str | None] = list(unit)
         n = len(symbols)
@@ -75,20 +79,40 @@ class PieceCodec:
                     heapq.heappush(waiting, (-s, i, merged + symbols[k]))
             if (h := before[i]) >= 0 and (s := score.get(symbols[h] + merged)) is not None:
                 heapq.heappush(waiting, (-s, h, symbols[h] + merged))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.bytes[b] for b in s.encode()]
-        return out
+        return self.spelled_out([s for s in symbols if s is not None])
+
+    def short_agenda(self, unit: str) -> list[str]:
+        """The same merges where the agenda is a list in order of place: the first of the greatest scores is the next."""
+        score, symbols = self.score.get, list(unit)
+        waiting = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while waiting and (best := max(waiting)) != NEVER:
+            i = waiting.index(best)
+            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del waiting[i]
+            if i < len(waiting):
+                waiting[i] = score(merged + symbols[i + 1], NEVER)
+            if i:
+                waiting[i - 1] = score(symbols[i - 1] + merged, NEVER)
+        return symbols
+
+    def spelled_out(self, symbols: list[str]) -> list[int]:
+        """Ids of symbols; those that are no piece as bytes."""
+        out = [self.ids.get(s) for s in symbols]
+        if None not in out:
+            return out
+        return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode()])]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte ids joined as UTF-8, marks to spaces, without the leading one."""
-        return self.spell(ids).removeprefix(MARK).replace(MARK, " ")
+        return self.text_of(self.spell(ids))
+
+    def text_of(self, spelt: str) -> str:
+        return spelt.removeprefix(MARK).replace(MARK, " ")
 
     def spell(self, ids: list[int]) -> str:
+        pieces = [self.piece.get(i) for i in ids]
+        if None not in pieces:
+            return "".join(pieces)
         out, held = [], bytearray()
         byte = getattr(self, "_byte", None)
         if byte is None:
@@ -110,12 +134,13 @@ class PieceCodec:
             self.old, self.new = self.new, {}
         units = list(units)
         ours = [self.agenda(u) for u in units]
+        spelt = [self.spell(ids) for ids in ours]
         bare = [u.replace(MARK, " ") for u in units]  # the library puts its own mark before each
         marked = [i for i, u in enumerate(units) if u[0] == MARK]
         theirs = self.library.encode([bare[i][1:] for i in marked], num_threads=1)
         back = self.library.decode([ours[i] for i in marked], num_threads=1) if marked else []
         for i, ids, text in zip(marked, theirs, back):
-            if len(units[i]) > 1 and (ours[i] != ids or text != self.decode(ours[i])):
+            if len(units[i]) > 1 and (ours[i] != ids or text != self.text_of(spelt[i])):
                 raise ValueError(f"unit {units[i]!r}: {ours[i]}, by the library {ids}")
         rest = [i for i, u in enumerate(units) if u[0] != MARK]
         theirs = self.library.encode(["\n" + bare[i] for i in rest], num_threads=1)
@@ -123,8 +148,8 @@ class PieceCodec:
         for i, ids in zip(rest, theirs):
             if self.unit is not WHOLE and ours[i] != ids[head:]:
                 raise ValueError(f"unit {units[i]!r}: {ours[i]}, by the library {ids[head:]}")
-        for u, ids in zip(units, ours):
-            self.new[u] = (",".join(map(str, ids)), self.spell(ids).replace(MARK, " "))
+        for u, ids, text in zip(units, ours, spelt):
+            self.new[u] = (",".join(map(str, ids)), text.replace(MARK, " "))
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[str, str]]]:
         """(ids joined by commas, decoded text) of each unit, text by text."""

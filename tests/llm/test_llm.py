@@ -612,3 +612,15 @@ def test_pipeline_of_repeated_ids_and_further_columns(spark):
     assert {r["row"]: (r["text"], r["n_chars"]) for r in cut.collect()} == {1.5: (t1, len(t1)), None: (t2, len(t2)), 2.5: ("", 0), 3.5: ("alone", 5), 4.5: ("", 0), 5.5: ("no id", 5)}
     for stage in (P.one_of_each_group, P.repeated_passages, P.packing):
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_short_agenda_is_the_agenda(monkeypatch):
+    from rolesieve.llm import piece_codec, queries
+
+    rng = np.random.default_rng(3)
+    c = piece_codec.PieceCodec(queries.tokenizer_path("piece_bpe_32k.model"))
+    letters = list("aaeinrstlo▁▁.,é中\n😀0")
+    units = ["".join(rng.choice(letters, rng.integers(1, 39))) for _ in range(3000)] + ["▁" * 16, "aaaaaaa", "▁internationalization"]
+    short = [c.agenda(u) for u in units]
+    monkeypatch.setattr(piece_codec, "SHORT", 0)
+    assert short == [c.agenda(u) for u in units]
