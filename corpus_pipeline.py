@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     (row,) = free_name(docs, "row")
     rows = numbered(docs, row, "documents")
-    gone = near_copies(rows, row=row).where(~F.col("kept")).select(row)
+    gone = near_copies(rows, row=row, links=False).where(~F.col("kept")).select(row)
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
