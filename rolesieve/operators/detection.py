@@ -7,13 +7,16 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve import constants as K
 from rolesieve.operators.policy import SPAN, spans_of
 
+#: Fields of ``SPAN``.
+_SPAN = {"text": pa.string(), "label": pa.string(), "start": pa.int32(), "end": pa.int32(), "score": pa.float64()}
 _money = re.compile(K.MONEY_SHAPE, re.I)
 
 
@@ -70,12 +73,12 @@ def detect_entities(rows: DataFrame, labels: list[str], detect: Callable[[list[s
     own = "labels" in rows.columns
     asked = _asked(rows, allowed, request) if own and detect else rows.withColumn("_asked", F.array(*map(F.lit, allowed)).cast("array<string>"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = [t or "" for t in rows.column("text").to_pylist()]
             found = [spans_of(t, set(allowed)) for t in texts]
             sets: dict[tuple, list[int]] = {}
-            for i, wanted in enumerate(pdf["_asked"]):
+            for i, wanted in enumerate(rows.column("_asked").to_pylist()):
                 if detect and texts[i] and len(wanted):
                     sets.setdefault(tuple(wanted), []).append(i)
             for wanted, members in sets.items():
@@ -85,9 +88,12 @@ def detect_entities(rows: DataFrame, labels: list[str], detect: Callable[[list[s
                     hinted = [Hinted(texts[i]) for i in some]
                     for i, h, got in zip(some, hinted, detect([h.text for h in hinted], list(spoken))):
                         found[i] += [h.span(e | {"label": spoken[e["label"]]}) for e in got if e["label"] in spoken and e["score"] >= threshold]
-            yield pd.DataFrame({"id": pdf["id"], "entities": found})
+            flat = [e for entities in found for e in entities]
+            spans = pa.StructArray.from_arrays([pa.array([e[k] for e in flat], kind) for k, kind in _SPAN.items()], list(_SPAN))
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(ends, spans)], ["id", "entities"])
 
-    return asked.select("id", "text", "_asked").mapInPandas(run, f"id long, entities {SPAN}")
+    return asked.select(F.col("id").cast("long"), F.col("text").cast("string"), "_asked").mapInArrow(run, f"id long, entities {SPAN}")
 
 
 def entity_summary(entities: Column, text: Column) -> Column:
