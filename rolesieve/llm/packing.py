@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesieve.llm.base import materialise, partitions
+from rolesieve.llm.toxic_crf import slices
 
 #: Characters of which it is known how the tokenizer's normalizer and splitter treat them.
 _LETTERS = "a-zß-öø-ÿā-įıĳ-ɏ"
@@ -42,7 +44,7 @@ class CachedTokenizer:
     special strings, go to it whole.
     """
 
-    def __init__(self, path: str, cache: int = 220_000):
+    def __init__(self, path: str, cache: int = 60_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -110,31 +112,25 @@ def tokenizer(path: str) -> CachedTokenizer:
     return _tokenizers[path]
 
 
+def cut_batches(batches: Iterator[pa.RecordBatch], t: CachedTokenizer, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+    close = np.array([end], dtype="<u4")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    for batch in batches:
+        for part, texts in slices(batch):
+            rows = []
+            for d, ids in zip(part["doc_id"].to_pylist(), t.encode_batch(texts)):
+                ids = np.concatenate([ids, close])
+                rows += [(d, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+
+
 def pieces(docs: DataFrame, model: str, capacity: int = 2048, end: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each text cut after every ``capacity`` ids.
 
     A null or empty text is its end id alone.  Rows with the same doc_id stay apart pieces.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(model)
-        close = np.array([end], dtype="<u4")
-        for pdf in batches:
-            ids_of, texts = pdf["doc_id"].tolist(), [x if isinstance(x, str) else "" for x in pdf["text"]]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 4_000_000:
-                    size += len(texts[hi])
-                    hi += 1
-                rows = []
-                for d, ids in zip(ids_of[lo:hi], t.encode_batch(texts[lo:hi])):
-                    ids = np.concatenate([ids, close])
-                    rows += [(d, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                lo = hi
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    run = lambda batches: cut_batches(batches, tokenizer(model), capacity, end)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

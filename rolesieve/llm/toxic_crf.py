@@ -27,6 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -496,29 +498,40 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int, n_spans long, spans array<struct<start:long,end:long,score:double>>")
 
 
-def sliced(pdf: pd.DataFrame, most: int = 500, size: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """Runs of rows of at most ``most`` rows and, but for single longer ones, ``size`` characters of text."""
-    lengths = [len(t) if isinstance(t, str) else 0 for t in pdf["text"]]
+def cuts(lengths: list[int], most: int = 500, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from one place to another, of at most ``most`` rows and, but for single longer ones, ``size`` characters of text."""
     lo = 0
-    while lo < len(pdf):
+    while lo < len(lengths):
         hi, total = lo, 0
-        while hi < len(pdf) and hi - lo < most and (hi == lo or total + lengths[hi] <= size):
+        while hi < len(lengths) and hi - lo < most and (hi == lo or total + lengths[hi] <= size):
             total += lengths[hi]
             hi += 1
-        yield pdf.iloc[lo:hi]
+        yield lo, hi
         lo = hi
 
 
-def accepted(docs: DataFrame, score, passes) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose texts pass; ``score(texts)`` is called batch by batch."""
+def sliced(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for lo, hi in cuts([len(t) if isinstance(t, str) else 0 for t in pdf["text"]]):
+        yield pdf.iloc[lo:hi]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = score()
-        for pdf in batches:
-            for part in sliced(pdf):
-                yield part[passes(f([t if isinstance(t, str) else "" for t in part["text"]]))]
 
-    return docs.mapInPandas(run, docs.schema)
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows and their texts (null: empty); only those of one run are Python strings at a time."""
+    for lo, hi in cuts(pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()):
+        part = batch.slice(lo, hi - lo)
+        yield part, [t or "" for t in part["text"].to_pylist()]
+
+
+def passing(batches: Iterator[pa.RecordBatch], score, passes) -> Iterator[pa.RecordBatch]:
+    """The rows, with all their columns, whose texts pass; ``score(texts)`` is called run by run."""
+    for batch in batches:
+        for part, texts in slices(batch):
+            yield part.filter(pa.array(passes(score(texts))))
+
+
+def accepted(docs: DataFrame, score, passes) -> DataFrame:
+    """The rows of ``docs`` that are ``passing``; ``score()`` makes the scorer of a task."""
+    return docs.mapInArrow(lambda batches: passing(batches, score(), passes), docs.schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
